@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from attesta.llm import mixing, sharding
+from attesta.llm import mixing, sharding, simhash
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
+    "op4_simhash": simhash.op4_simhash,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
