@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from attesta.llm import mixing, sharding, simhash
+from attesta.llm import mixing, sharding, simhash, warc
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op4_simhash": simhash.op4_simhash,
+    "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
+    "op9_warc": warc.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
