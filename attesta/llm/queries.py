@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from attesta.llm import mixing, sharding, simhash, warc
+from attesta.llm import langid, mixing, sharding, simhash, warc
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op4_simhash": simhash.op4_simhash,
+    "op8_langid": langid.op8_langid,
     "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
 }
