@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from attesta.llm import langid, mixing, sharding, simhash, warc
+from attesta.llm import langid, mixing, pieces, sharding, simhash, warc
 
 QUERIES = {
+    "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_sharding": sharding.op2_sharding,
     "op4_simhash": simhash.op4_simhash,
     "op8_langid": langid.op8_langid,
