@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from attesta.llm import langid, mixing, pieces, sharding, simhash, warc
+from attesta.llm import langid, mixing, pieces, rules, sharding, simhash, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_sharding": sharding.op2_sharding,
     "op4_simhash": simhash.op4_simhash,
+    "op7_rules": rules.op7_rules,
     "op8_langid": langid.op8_langid,
     "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,

@@ -26,3 +26,16 @@ def bounded_sample(rows: DataFrame, by: str, each: int, max_chars: int = 60_000,
         share = F.when(F.col("k") == F.lit(k), min(1.0, each / n)).otherwise(share)
     drawn = usable.where(F.col("u") < share).groupBy("k", "text").agg(F.first("u").alias("u")).orderBy("u", "text", "k").limit(2 * each * len(counts)).collect()
     return [(r["k"], r["text"]) for r in drawn]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, by: str, each: int, max_chars: int = 60_000) -> list:
+    """At most about `each` labelled texts a class of labels[by] (0 or 1), by hash of their ids: [(class, text)].
+
+    Only the chosen ids, at most 3 * each, are sent to the documents' scan. Texts over max_chars are left out.
+    """
+    known = labels.where(F.col(by).isin(0, 1)).select("doc_id", F.col(by).alias("k"), (F.shiftrightunsigned(F.xxhash64("doc_id"), 34) / float(1 << 30)).alias("u"))
+    counts = {r["k"]: r["count"] for r in known.groupBy("k").count().collect()}
+    share = F.when(F.col("k") == 1, min(1.0, each / max(1, counts.get(1, 0)))).otherwise(min(1.0, each / max(1, counts.get(0, 0))))
+    chosen = known.where(F.col("u") < share).orderBy("u", "doc_id", "k").limit(3 * each).select("doc_id", "k")
+    rows = docs.where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return sorted((r["k"], r["text"]) for r in rows.select("k", "text").limit(9 * each).collect())

@@ -23,13 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.operators.components import connected_components
+from attesta.llm.words import utf8, word_pieces
 from attesta.store import table, written
 
 SEED = 42
 #: Two-bit fields (segments) of each face, from the lowest bit.
 FACES = (6, 6, 5, 5, 5, 5)
-#: Bytes of a text whose words are held at once.
-PIECE = 1 << 20
 #: Members of a cell up to which pairs are compared by offset rather than by search.
 SMALL = 12
 
@@ -37,17 +36,6 @@ _EVEN = 0x5555555555555555
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).copy().view(np.uint64).ravel()
 
 
-def _pieces(text: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, piece by piece, each piece ending at white space."""
-    at = 0
-    while at < len(text):
-        end = at + PIECE
-        while end < len(text) and text[end] not in b" \t\n\r\x0b\x0c":
-            end += 1
-        yield text[at:end].split()
-        at = end
-
-
 def _ones(hashes: np.ndarray) -> np.ndarray:
     """How many of the hashes have each bit, in the order of np.unpackbits over big-endian bytes."""
     lanes = _SPREAD[hashes.astype(">u8").view(np.uint8).reshape(-1, 8)]
@@ -60,7 +48,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     from xxhash import xxh64_intdigest
 
     ones, total, carry = np.zeros(64, np.int64), 0, []
-    for piece in _pieces((text or "").encode("utf-8", "surrogatepass").lower()):
+    for piece in word_pieces(utf8(text).lower()):
         carry += piece
         if len(carry) < words:
             continue
