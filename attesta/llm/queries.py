@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from attesta.llm import crf, langid, mixing, pieces, rules, sharding, simhash, warc
+from attesta.llm import ann, crf, langid, mixing, pieces, rules, sharding, simhash, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_sharding": sharding.op2_sharding,
     "op4_simhash": simhash.op4_simhash,
+    "op5_ann": ann.op5_ann,
     "op6_quality": crf.op6_quality,
     "op7_rules": rules.op7_rules,
     "op8_langid": langid.op8_langid,
