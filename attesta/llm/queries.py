@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from attesta.llm import ann, crf, langid, mixing, pieces, rules, sharding, simhash, warc
+from attesta.llm import ann, crf, langid, mixing, pieces, rules, secrets, sharding, simhash, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_sharding": sharding.op2_sharding,
+    "op3_secrets": secrets.op3_secrets,
     "op4_simhash": simhash.op4_simhash,
     "op5_ann": ann.op5_ann,
     "op6_quality": crf.op6_quality,
