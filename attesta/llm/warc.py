@@ -22,7 +22,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.store import new_path, table
+from attesta.store import new_path, table, written
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
@@ -137,13 +137,14 @@ def _page(uri: str | None) -> int | None:
     return int(number) if number else None
 
 
-def read_warc(spark: SparkSession, path: str, split: int = 8 << 20) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, split: int = 8 << 20, most_tasks: int = 100_000) -> DataFrame:
     """The records of all archives below path: page_id, url, record_type, refers_to, payload, payload_bytes, payload_digest.
 
     payload is what the record holds (empty for revisits); bytes and digest are those of the full payload:
     counted and hashed anew from what was read where the record holds it, from the header where it doesn't.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    tasks = min(most_tasks, files.agg(F.sum(F.ceil(F.col("length") / split))).first()[0] or 1)
     ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split).cast("long"))).alias("start"), "length").withColumn("end", F.least(F.col("start") + split, "length"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +164,7 @@ def read_warc(spark: SparkSession, path: str, split: int = 8 << 20) -> DataFrame
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return ranges.repartition("path", "start").mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
+    return ranges.repartition(tasks, "path", "start").mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
 
 
 def base32_sha1(payload: F.Column) -> F.Column:
@@ -184,10 +185,13 @@ def as_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("n", F.octet_length("payload"))
-    first = rows.where(F.col("n") >= least_bytes).groupBy(F.col("digest").alias("d"), F.col("n").alias("m")).agg(F.max("page_id").alias("last"), F.count("*").alias("rows")).where("rows > 1 and last is not null").drop("rows")
-    rows = rows.join(first, (F.col("digest") == F.col("d")) & (F.col("n") == F.col("m")), "left")
-    again = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
-    return rows.select("page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("last")).alias("refers_to"))
+    narrow = written(rows.where(F.col("n") >= least_bytes).select("page_id", "digest", "n"), "warc-digests")
+    first = narrow.groupBy(F.col("digest").alias("d"), F.col("n").alias("m")).agg(F.max("page_id").alias("last"), F.count("*").alias("rows")).where("rows > 1 and last is not null").drop("rows")
+    again = narrow.join(first, (F.col("digest") == F.col("d")) & (F.col("n") == F.col("m"))).where(~F.col("page_id").eqNullSafe(F.col("last")))
+    # payloads are exchanged only where the revisits, whose size Spark knows from the written table, are many
+    again = written(again.select(F.col("page_id").alias("p"), "d", "m", "last").distinct(), "warc-revisits")
+    rows = rows.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")) & (F.col("n") == F.col("m")), "left")
+    return rows.select("page_id", "url", "payload", "digest", F.when(F.col("last").isNotNull(), "revisit").otherwise("response").alias("record_type"), F.col("last").alias("refers_to"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
