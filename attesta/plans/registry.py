@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+MODULES = ("cohort_queries",)
+
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
@@ -27,7 +29,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    pass
+    """Import the modules whose queries register themselves."""
+    import importlib
+
+    for name in MODULES:
+        importlib.import_module(f"attesta.plans.{name}")
 
 
 def queries() -> dict[str, Query]:
