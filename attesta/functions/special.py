@@ -7,6 +7,7 @@ Gauss-Legendre quadrature over the chi distribution. Arguments outside a functio
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -103,10 +104,11 @@ def chi2_p(x, df) -> np.ndarray:
     return gamma_tail(np.asarray(df, float) / 2, np.asarray(x, float) / 2)
 
 
+@lru_cache(1 << 14)
 def t_quantile(p: float, df: float) -> float:
     """Value that Student's t exceeds with probability p < 1/2."""
     low, high = 0.0, 1e3
-    for _ in range(200):
+    for _ in range(64):
         mid = (low + high) / 2
         low, high = (mid, high) if t_p(mid, df) / 2 > p else (low, mid)
     return (low + high) / 2
