@@ -22,6 +22,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.llm.arrow import small_batches
 from attesta.store import new_path, table, written
 
 MAGIC = b"\x1f\x8b\x08"
@@ -68,7 +69,8 @@ def write_warc(records: DataFrame, path: str) -> None:
                 yield pa.RecordBatch.from_arrays([pa.array([packed[:-1]], pa.binary())], ["value"])
 
     rows = records.select("page_id", "url", "payload", "digest", "record_type", "refers_to").mapInArrow(run, "value binary")
-    rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+    with small_batches(records.sparkSession):
+        rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
 
 
 class _File:
