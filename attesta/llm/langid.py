@@ -2,13 +2,12 @@
 
 One model a language, of order 5 over 64 character classes; its counts and interpolation terms lie in arrays
 sorted by n-gram hash, probed by binary search. A text goes to the language of the lowest cross-entropy per
-scored character. It is rejected where even that is far above what the language's own texts have, by limits
+scored character. It is rejected where even that is nearer to shuffled letters than to the language, by limits
 calibrated on texts kept out of the counts.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +26,9 @@ DISCOUNT = 0.75
 PIECE = 1 << 20
 SLOTS = 1 << 18
 UNKNOWN = "und"
+#: A text is rejected where its cross-entropy lies this far on the way from the language's texts to the same
+#: letters shuffled, beyond three standard errors of a mean over so many characters.
+UNLIKE, NOISE = 0.75, 2.0
 
 
 def _classes(letters: str) -> np.ndarray:
@@ -83,7 +85,7 @@ class Model:
 class Identifier:
     """Models of all languages, the calibrated limits, and a table of n-grams already scored."""
 
-    def __init__(self, langs: list[str], letters: str, models: list[Model], limits: list[tuple[float, float, float]]):
+    def __init__(self, langs: list[str], letters: str, models: list[Model], limits: list[tuple[float, float]]):
         self.langs, self.letters, self.models, self.limits = langs, letters, models, limits
         self.lut: np.ndarray | None = None
 
@@ -158,8 +160,8 @@ class Identifier:
         best = mean.argmin(1)
         sharp = np.minimum(n, 40)[:, None]
         score = 1 / np.exp(-(mean - mean.min(1, keepdims=True)) * sharp).sum(1)
-        centre, spread, noise = np.array(self.limits).T[:, best]
-        far = mean.min(1) > centre + 8 * np.sqrt(spread**2 + noise**2 / np.maximum(n, 1))
+        own, shuffled = np.array(self.limits).T[:, best]
+        far = mean.min(1) > own + UNLIKE * (shuffled - own) + 3 * NOISE / np.sqrt(np.maximum(n, 1))
         none = letters == 0
         return [UNKNOWN if x else self.langs[k] for k, x in zip(best.tolist(), none.tolist(), strict=True)], np.where(none, 0.0, score), far | none
 
@@ -183,14 +185,12 @@ def fit(samples: list[tuple[str, str]]) -> Identifier:
         grams, use = _grams(classes)
         models.append(Model(*np.unique(np.append(grams[use], 0), return_counts=True)))
         kept.append(out)
-    first = Identifier(langs, letters, models, [(0.0, 0.0, 0.0)] * len(langs))
-    limits = []
+    first = Identifier(langs, letters, models, [(0.0, 0.0)] * len(langs))
+    limits, rng = [], np.random.default_rng(3)
     for k, texts in enumerate(kept):
         sums, n, _ = first.entropies(texts)
-        ok = n > 0
-        mean = sums[ok, k] / n[ok] if ok.any() else np.array([math.log(64)])
-        long = mean[n[ok] >= np.median(n[ok])] if ok.any() else mean
-        limits.append((float(np.median(mean)), float(max(long.std(), 0.02)), 2.0))
+        mixed, m, _ = first.entropies(["".join(rng.permutation(list(t))) for t in texts])
+        limits.append((float(sums[:, k].sum() / max(n.sum(), 1)), float(mixed[:, k].sum() / max(m.sum(), 1))))
     return Identifier(langs, letters, models, limits)
 
 
