@@ -111,7 +111,7 @@ def word_counts(review: Column, both: Column, limits: Column) -> Column:
 def pooled_means(slots: DataFrame, dimensions: list[str]) -> DataFrame:
     """Mean and count of each dimension over all reviewers (not a mean of means)."""
     long = slots.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("double").alias("v")) for d in dimensions])).alias("x")).select("x.*").where("v is not null")
-    return long.groupBy("dimension").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
+    return long.groupBy("dimension").agg(F.count("*").alias("n"), F.round(F.avg("v"), 5).alias("mean"))
 
 
 def zero_discussion(records: DataFrame, replies: str) -> DataFrame:

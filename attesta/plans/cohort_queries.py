@@ -94,7 +94,7 @@ def word_count_slots(spark, d):
     return li.select(w.alias("words")).agg(F.count("words").alias("n"), F.round(F.avg("words"), 6).alias("mean_words"), F.round(F.median("words"), 6).alias("median_words"))
 
 
-@query("subscore_means", f"with {_S} select 'rating' dimension, count(rating) n, round(avg(rating), 6) mean from s union all select 'l_discount', count(l_discount), round(avg(l_discount), 6) from s union all select 'l_tax', count(l_tax), round(avg(l_tax), 6) from s")
+@query("subscore_means", f"with {_S} select 'rating' dimension, count(rating) n, round(avg(rating), 5) mean from s union all select 'l_discount', count(l_discount), round(avg(l_discount), 5) from s union all select 'l_tax', count(l_tax), round(avg(l_tax), 5) from s")
 def subscore_means(spark, d):
     return C.pooled_means(slots(spark, d), ["rating", "l_discount", "l_tax"])
 
