@@ -1,0 +1,477 @@
+"""The ten operators against brute force, round trips or held-out accuracy, and on awkward rows."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
+
+from attesta.llm import ann, crf, langid, mixing, pieces, queries, rules, secret_forest, secrets, sharding, simhash, warc, words
+from tests.oracle import connection, rows_of, rows_of_sql
+
+DATA = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, fp string, token_ids string, size int"
+LONG = "word " * 60_000
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def awkward(spark):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, columns with clashing names."""
+    rows = [(1, None, None, None, None), (None, "a b c d", "en", "s", 7), (None, None, None, None, None), (2, "", "en", "s", 0), (3, "  \n\t ", "en", None, 5), (4, LONG, "en", "s", len(LONG)), (5, "same text here", "en", "s", 14), (5, "same text here", "en", "s", 14), (6, "same text here", "de", "t", 14), (7, "日本語 ß\u0085x 🎉", "xx", "t", 9), (8, "!!! 123", "en", "u", 7)]
+    return spark.createDataFrame([(*r, 9, "x", "y", 3) for r in rows], SCHEMA)
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_oracles(spark):
+    con = connection(DATA)
+    for name, sql in queries.ORACLES.items():
+        df = queries.QUERIES[name](spark, DATA)
+        cols, expected = rows_of_sql(con, sql)
+        assert sorted(df.columns) == cols and rows_of(df) == expected, name
+
+
+# 1
+
+
+@pytest.fixture(scope="module")
+def model():
+    return pieces.load()
+
+
+def test_encoding_is_the_library_s(model):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = random.Random(4)
+    vocab = [p.replace("▁", " ") for p in model.ids]
+    texts = ["", " ", "  a", "a ", "a   b    c", "\n\n\t x", "日本語🎉 foo\x00", "▁a ▁▁", "é" * 300, "x" * 500]
+    texts += ["".join(rng.choice(vocab) for _ in range(rng.randint(1, 7))) for _ in range(3000)]
+    texts += ["".join(rng.choice("ab ten\nthe") for _ in range(rng.randint(1, 60))) for _ in range(1500)]
+    got = [np.frombuffer(x, "<i4").tolist() for x in model.encode_all(texts)]
+    assert got == sp.encode(texts)
+    assert [model.decode(np.array(x, "<i4").tobytes()) for x in got] == sp.decode(got)
+
+
+def _varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def _field(k, v):
+    return _varint(k << 3) + _varint(v) if isinstance(v, int) else _varint(k << 3 | 2) + _varint(len(v)) + v
+
+
+def unigram(scores):
+    import struct
+
+    body = b"".join(_field(1, _field(1, p.encode()) + b"\x15" + struct.pack("<f", s) + _field(3, t)) for p, s, t in [("<unk>", 0, 2), *((p, s, 1) for p, s in scores.items())])
+    return body + _field(2, _field(3, 1)) + _field(3, _field(3, 1) + _field(4, 0) + _field(5, 1))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("abc ", max_size=12))
+def test_unigram_is_the_best_sum(text):
+    scores = {"▁": -2.0, "a": -2.5, "b": -3.0, "ab": -4.0, "▁a": -3.1, "ba": -3.3, "bab": -5.0, "▁ab": -4.2}
+    m = pieces.Pieces(unigram(scores))
+    whole = "▁" + text.replace(" ", "▁") if text else ""
+    best = {0: (0.0, [])}
+    for i in range(1, len(whole) + 1):
+        options = [(best[j][0] + (scores[whole[j:i]] if whole[j:i] in scores else min(scores.values()) - 10), best[j][1] + [whole[j:i]]) for j in range(i) if whole[j:i] in scores or i - j == 1]
+        best[i] = max(options, key=lambda x: x[0])
+    ids = np.frombuffer(m.encode(text), "<i4").tolist()
+    want = [m.ids.get(p, 0) for p in best[len(whole)][1]] if text else []
+    want = [x for i, x in enumerate(want) if x or i == 0 or want[i - 1]]  # a run of unknown characters is one piece
+    score = lambda ids: sum(m.weights[i] for i in ids if i)
+    assert ids == want or score(ids) == pytest.approx(score(want))
+
+
+def test_encode_awkward(spark, model):
+    out = pieces.encode_documents(awkward(spark), model).collect()
+    assert len(out) == 11 and all(r["round_trip"] for r in out)
+    assert {r["n_tokens"] for r in out if not r["text"]} == {0}
+    assert pieces.encode_documents(empty(spark), model).count() == 0
+    again = pieces.decode_documents(pieces.encode_documents(awkward(spark), model), model)
+    assert Counter(r["text"] or "" for r in again.collect()) == Counter(r["text"] or "" for r in out)
+
+
+# 2
+
+
+def test_sharding(spark):
+    docs = awkward(spark).unionByName(spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot text").otherwise(F.repeat(F.lit("x"), (F.col("id") % 50).cast("int"))).alias("text"), *[F.lit(None).cast(t).alias(c) for c, t in awkward(spark).dtypes[2:]]))
+    out = sharding.shard_documents(docs, shards=6, tolerance=0.01, lanes=4).collect()
+    assert len(out) == docs.count() and {r["shard_size"] - 8 for r in out} >= {0}
+    for r in out:
+        data = (r["text"] or "").encode()
+        assert r["shard_size"] == len(data) + 8 and (r["text"] is None or r["text_crc32"] == zlib.crc32(data))
+    for s in range(6):
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
+    sizes = [sum(r["shard_size"] for r in out if r["shard"] == s and r["text"] != LONG) for s in range(6)]
+    total = sum(sizes)
+    rest = spark.createDataFrame([(r["doc_id"], r["text"]) for r in out if r["text"] != LONG], "doc_id long, text string")
+    sizes = [r["n"] for r in sharding.shard_documents(rest, 6, 0.01).groupBy("shard").agg(F.sum("shard_size").alias("n")).collect()]
+    assert len(sizes) == 6 and max(abs(x - total / 6) for x in sizes) < 0.03 * total / 6
+    assert sharding.shard_documents(empty(spark), 6).count() == 0
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2**63 - 1), st.integers(1, 100)), min_size=1, max_size=60), st.integers(2, 5))
+def test_splitters_are_exact(spark, rows, shards):
+    bounds = sharding.find_splitters(spark.createDataFrame(rows, "key long, size long"), shards, 0.0)
+    total, weights = sum(s for _, s in rows), Counter()
+    for k, s in rows:
+        weights[k] += s
+    for i, b in enumerate(bounds):
+        below = sum(s for k, s in rows if k < b)
+        best = min(abs(sum(s for k, s in rows if k < x) - total * (i + 1) / shards) for x in [*weights, 2**63])
+        assert abs(below - total * (i + 1) / shards) == pytest.approx(best)
+
+
+# 3
+
+
+def test_secrets(spark):
+    forest = secret_forest.fit_forest(spark)
+    rows = secret_forest.labelled_findings(spark, 12).selectExpr("label", *[f"{s} {n}" for n, s in secret_forest.features_sql().items()]).collect()
+    x, y = np.array([list(r)[1:] for r in rows]), np.array([r["label"] for r in rows])
+    assert ((secret_forest.predict(forest, x) >= 0.5) == (y == 1)).mean() > 0.97
+    h = hashlib.sha1(b"1").hexdigest()
+    texts = [f'say token = "{h}" and card 1234567812345678 then token = "{h[::-1]}"', f"commit {h}", None, "", f"éé\n{h}", f'TOKEN = "{h.upper()}"!! x']
+    out = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), forest).orderBy("doc_id").collect()
+    assert [len(r["secrets"]) for r in out] == [2, 0, 0, 0, 0, 1]
+    assert [r["n_candidates"] for r in out] == [3, 1, 0, 0, 1, 1]
+    assert [texts[0][s["start"] : s["start"] + s["length"]] for s in out[0]["secrets"]] == [h, h[::-1]]
+    assert out[0]["masked"] == 'say token = "[SECRET]" and card 1234567812345678 then token = "[SECRET]"' and out[2]["masked"] is None and out[1]["masked"] == texts[1]
+    assert secrets.scan(awkward(spark), forest).count() == 11 and secrets.scan(empty(spark), forest).count() == 0
+
+
+def test_forest_in_sql_is_the_forest(spark):
+    forest = secret_forest.fit_forest(spark, 30)
+    names = ", ".join(f"'{n}', {s}" for n, s in secret_forest.features_sql().items())
+    rows = secret_forest.labelled_findings(spark, 4).selectExpr(f"named_struct({names}) f").selectExpr("f.*", f"{secret_forest.as_sql(forest)} vote").collect()
+    x = np.array([list(r)[:-1] for r in rows])
+    assert secret_forest.predict(forest, x) == pytest.approx([r["vote"] for r in rows])
+
+
+# 4
+
+
+def brute_fingerprint(text):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    hashes = [xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes)) if hashes else 0
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B", "ÄÖ", "c\x85d", " ", "longer"]), max_size=30), st.sampled_from([" ", "\n", "\x0b ", "\t\t"]))
+def test_fingerprint(tokens, gap):
+    text, before = gap.join(tokens), words.PIECE
+    try:
+        words.PIECE = 7
+        assert simhash.fingerprint(text) == brute_fingerprint(text)
+    finally:
+        words.PIECE = before
+
+
+def test_embedding_bounds_the_distance():
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 2**64, 20_000, dtype=np.uint64)
+    b = a.copy()
+    for _ in range(6):
+        b ^= np.where(rng.random(len(b)) < 0.7, np.uint64(1) << rng.integers(0, 64, len(b), dtype=np.uint64), np.uint64(0))
+    distance = np.bitwise_count(a ^ b)
+    assert (np.bitwise_count(simhash._unary(simhash._embedded(a)) ^ simhash._unary(simhash._embedded(b))) <= distance).all()
+    shared = np.zeros(len(a), bool)
+    for m in simhash._masks():
+        shared |= simhash._embedded(a) & np.uint64(m) == simhash._embedded(b) & np.uint64(m)
+    assert shared[distance <= 3].all() and (simhash._near(a, b, 3) == (distance <= 3)).all()
+
+
+@pytest.mark.parametrize("block", [4096, 40])
+def test_dense_balls_and_chains(spark, block):
+    """A ball of near copies, a chain whose ends are far apart and lone fingerprints; blocks smaller than the ball too."""
+    rng = random.Random(5)
+    centre, fps = rng.getrandbits(64), set()
+    while len(fps) < 300:
+        fps.add(centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))))
+    at = rng.getrandbits(64)
+    for _ in range(40):
+        at ^= 1 << rng.randrange(64) | 1 << rng.randrange(64)
+        fps.add(at)
+    fps |= {rng.getrandbits(64) for _ in range(200)}
+    fps = sorted(fps)
+    parent = list(range(len(fps)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    links = simhash.fingerprint_links(spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long"), block=block).collect()
+    assert all(((r["u"] ^ r["v"]) & (2**64 - 1)).bit_count() <= 3 for r in links)
+    where = {simhash._signed(f): i for i, f in enumerate(fps)}
+    got = list(range(len(fps)))
+
+    def top(i):
+        while got[i] != i:
+            i = got[i]
+        return i
+
+    for r in links:
+        a, b = top(where[r["u"]]), top(where[r["v"]])
+        got[max(a, b)] = min(a, b)
+    assert [top(i) for i in range(len(fps))] == [root(i) for i in range(len(fps))]
+
+
+def test_near_duplicates_awkward(spark):
+    out = {(r["doc_id"], r["fp"]): r["component_id"] for r in simhash.near_duplicates(awkward(spark)).collect()}
+    assert out[(6, out and next(k[1] for k in out if k[0] == 5))] == 5
+    assert {v for (i, fp), v in out.items() if fp == 0} == {1}  # null, empty and blank texts link at zero
+    assert simhash.near_duplicates(empty(spark)).count() == 0
+    kept = simhash.one_of_each(awkward(spark), simhash.near_duplicates(awkward(spark)))
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert ids.count(5) == 1 and 6 not in ids and ids.count(1) == 1
+
+
+# 5
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((1500, 16)).astype(np.float32)
+    x[200:260] = x[100]  # ties
+    rows = [(int(i), [float(v) for v in r], 0) for i, r in enumerate(x)] + [(9000, None, 0), (9100, [0.0] * 16, 0), (9200, [float("nan")] + [1.0] * 15, 0), (9300, [None] + [1.0] * 15, 0), (None, [1.0] * 16, 0), (9400, [1.0], 0), (300, [float(v) for v in x[300]], 0)]
+    v = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    out = ann.search(v, v.where("vec_id % 100 = 0"), ann.fit_lists(v)).collect()
+    hit = total = 0
+    for q in range(0, 1500, 100):
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+        order = [i for i in np.lexsort((np.arange(len(x)), d)) if i != q][:10]
+        own = sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in own] == list(range(1, 11)) and len({r["vec_id"] for r in own}) == 10
+        assert [r["score"] for r in own] == pytest.approx([d[r["vec_id"]] for r in own]) and all((a["score"], a["vec_id"]) < (b["score"], b["vec_id"]) for a, b in zip(own, own[1:]))
+        hit, total = hit + len({r["vec_id"] for r in own} & set(order)), total + 10
+        if q == 200:
+            assert [r["vec_id"] for r in own] == [100, *range(201, 210)]
+    assert hit / total >= 0.9 and len(out) == 150
+    few = v.where("vec_id in (100, 7, 8)")
+    assert ann.search(few, few.where("vec_id = 100"), ann.fit_lists(few)).count() == 2
+    none = v.where("vec_id < 0")
+    assert ann.search(none, none, ann.fit_lists(none)).count() == 0
+
+
+# 6
+
+
+def bad_text(rng):
+    return rng.choice(["\n".join("!! ".join(rng.choice("ABCDEF") * 4 for _ in range(20)) for _ in range(3)), " ".join(w for w in (rng.choice(["aa", "bb"]) for _ in range(4)) for _ in range(12))])
+
+
+def good_text(rng):
+    return "\n".join(" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(8, 20))).capitalize() + "." for _ in range(rng.randint(2, 6)))
+
+
+def test_marginals_by_enumeration():
+    from itertools import product
+
+    rng = np.random.default_rng(2)
+    doc = np.array([0, 0, 0, 1, 2, 2])
+    odds, move = rng.standard_normal(6), rng.standard_normal((2, 2))
+    got, expected, whole = crf.Chains(doc).marginals(odds, move)
+    want, log_z = np.zeros(6), 0.0
+    for d in range(3):
+        at = np.flatnonzero(doc == d)
+        total, own = 0.0, np.zeros(len(at))
+        for y in product((0, 1), repeat=len(at)):
+            p = np.exp(sum(odds[i] * v for i, v in zip(at, y)) + sum(move[a, b] for a, b in zip(y, y[1:])))
+            total, own = total + p, own + p * np.array(y)
+        want[at], log_z = own / total, log_z + np.log(total)
+    assert got == pytest.approx(want) and whole == pytest.approx(log_z) and expected.sum() == pytest.approx(3)
+
+
+def test_quality(spark):
+    rng = random.Random(3)
+    sample = [(1, good_text(rng)) for _ in range(60)] + [(0, bad_text(rng)) for _ in range(30)]
+    model = crf.fit_lines(sample)
+    texts = [good_text(rng) for _ in range(30)] + [bad_text(rng) for _ in range(30)]
+    scores = model.scores([*texts, None, "", " \n", LONG])
+    assert (scores[:30] > 0.7).mean() > 0.9 and (scores[30:60] < 0.7).mean() > 0.9 and list(scores[60:63]) == [0, 0, 0]
+    before, crf.BLOCK = crf.BLOCK, 64
+    try:
+        assert model.scores(texts) == pytest.approx(scores[:60])
+    finally:
+        crf.BLOCK = before
+    out = crf.score_documents(awkward(spark), model)
+    assert out.count() == 11 and out.where("quality_score is null or quality_score not between 0 and 1").count() == 0
+    assert crf.score_documents(empty(spark), crf.fit_lines([])).count() == 0
+
+
+# 7
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "c", "#x", "\n", "ä\n", "\x0b"]), max_size=60))
+def test_statistics(tokens):
+    text = " ".join(tokens)
+    w = WORD.findall(text)
+    at = {}
+    for i in range(len(w) - 7):
+        at.setdefault(tuple(w[i : i + 8]), []).append(i)
+    covered = {k for v in at.values() if len(v) > 1 for i in v for k in range(i, i + 8)}
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    assert rules.statistics(text)[0] == [len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered)]
+
+
+def test_trees(spark):
+    rng = np.random.default_rng(0)
+    x = rng.random((600, 3))
+    y = ((x[:, 0] < 0.5) & (x[:, 1] > 0.2)).astype(float)
+    model = rules.boost(x, y, [-1, 0, 0])
+    assert ((model.score(x) > 0.5) == (y == 1)).mean() > 0.97
+    grid = np.linspace(0, 1, 50)
+    for rest in rng.random((20, 2)):
+        assert (np.diff(model.score(np.c_[grid, np.tile(rest, (50, 1))])) <= 1e-12).all()
+    out = rules.judge(awkward(spark), model=rules.Trees(0.0).flat()).collect()
+    assert len(out) == 11 and all(r["n_words"] == 0 and r["base_failed"] and not r["kept"] for r in out if not (r["text"] or "").strip())
+    assert rules.judge(empty(spark), rules.Trees(0.0).flat()).count() == 0
+
+
+# 8
+
+
+def test_languages(spark):
+    rng = random.Random(6)
+    make = lambda sounds: " ".join("".join(rng.choice(sounds) for _ in range(rng.randint(1, 4))) for _ in range(60))
+    sounds = {"en": ["the", "ing", "er", "on"], "de": ["sch", "ein", "ü", "ver"], "xx": ["ka", "lo", "mi"]}
+    model = langid.fit([(k, make(s)) for k, s in sounds.items() for _ in range(40)])
+    tests = [(k, make(s)) for k, s in sounds.items() for _ in range(30)]
+    lang, score, rejected = model.predict([t for _, t in tests])
+    assert [k for k, _ in tests] == lang and not rejected.any() and ((score >= 0) & (score <= 1)).all()
+    lang, score, rejected = model.predict([None, "", "12 !?", "qzxw jkvq " * 40])
+    assert lang[:3] == ["und"] * 3 and rejected.all()
+    before, langid.PIECE = langid.PIECE, 50
+    try:
+        sums, n, letters = model.entropies([t for _, t in tests])
+    finally:
+        langid.PIECE = before
+    again = model.entropies([t for _, t in tests])
+    assert sums == pytest.approx(again[0], rel=1e-4) and (n == again[1]).all() and (letters == again[2]).all()
+    out = langid.identify(awkward(spark), model)
+    assert out.count() == 11 and out.where("text is null and lang_pred <> 'und'").count() == 0
+    assert langid.identify(empty(spark), langid.fit_on(empty(spark))).count() == 0
+
+
+def test_models_are_distributions():
+    text = np.frombuffer(b"abcabcaabbcc", np.uint8) - 96
+    grams, use = langid._grams(np.r_[np.zeros(4, np.uint8), text])
+    m = langid.Model(*np.unique(grams[use], return_counts=True))
+    for context in (0, 1, 1 << 6 | 2, 1 << 18 | 2 << 12 | 3 << 6 | 1):
+        total = np.exp(-m.logs(np.uint32(context << 6) + np.arange(64, dtype=np.uint32))).sum()
+        assert total == pytest.approx(1)
+
+
+def test_held_out_languages(spark):
+    out = langid.op8_langid(spark, DATA)
+    langs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang")
+    assert out.where("held_out").join(langs, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.95
+
+
+# 9
+
+
+def test_warc_ranges(tmp_path):
+    """Any cut of the bytes gives every record once; stray magic and damage between members are passed over."""
+    import pyarrow.fs
+
+    rng = random.Random(7)
+    bodies = [rng.randbytes(rng.randint(0, 900)) + warc.MAGIC * 3 for _ in range(60)]
+    data = b""
+    for i, b in enumerate(bodies):
+        data += warc.member({"WARC-Type": "response", "WARC-Record-ID": f"<urn:page:{i}>", "Content-Length": str(len(b))}, b)
+        data += [b"", warc._EMPTY, warc.MAGIC + b"junk", b"\0\0"][i % 4]
+    (tmp_path / "f").write_bytes(data)
+    fs = pyarrow.fs.LocalFileSystem()
+    for step in (1000, 7777, len(data)):
+        got = [r for a in range(0, len(data), step) for r in warc.records_in(fs, str(tmp_path / "f"), a, min(a + step, len(data)))]
+        assert [h["WARC-Record-ID"] for h, _ in got] == [f"<urn:page:{i}>" for i in range(60)] and [b for _, b in got] == bodies
+
+
+def test_warc_round_trip(spark, tmp_path):
+    rows = [(1, "u\n1", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (5, "u", "x" * 300_000 + "ü"), (None, "u", "same"), (7, "u", "own"), (8, "u", "twice"), (8, "u", "twice"), (6, "u", "twice")]
+    pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, digest string")
+    warc.write_warc(warc.as_records(pages), str(tmp_path / "w"))
+    out = warc.read_warc(spark, str(tmp_path / "w"), split=4000).collect()
+    got = Counter((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"]) for r in out)
+    sha = lambda s: base64.b32encode(hashlib.sha1((s or "").encode()).digest()).decode()
+    want = [(1, "revisit", 2), (2, "response", None), (3, "revisit", 4), (4, "response", None), (5, "response", None), (None, "revisit", 2), (7, "response", None), (8, "response", None), (8, "response", None), (6, "revisit", 8)]
+    assert got == Counter((*w, len((r[2] or "").encode()), sha(r[2])) for w, r in zip(want, rows))
+    assert {bytes(r["payload"]) for r in out if r["record_type"] == "response"} >= {b"same", b"", ("x" * 300_000 + "ü").encode()}
+    warc.write_warc(warc.as_records(pages.limit(0)), str(tmp_path / "e"))
+    assert warc.read_warc(spark, str(tmp_path / "e")).count() == 0
+
+
+# 10
+
+
+def brute_targets(sizes, weights, share, most):
+    names = sorted((n for n in sizes if n is not None), key=lambda n: n.encode()) + [None] * (None in sizes)
+    w = {n: weights[i % len(weights)] for i, n in enumerate(names)}
+    total, cut = share * sum(sizes.values()), set()
+    while True:
+        rest = total - sum(most * sizes[n] for n in cut)
+        free = sum(w[n] for n in names if n not in cut)
+        t = {n: most * sizes[n] if n in cut else rest * w[n] / free for n in names}
+        over = {n for n in names if n not in cut and t[n] > most * sizes[n]}
+        if not over:
+            return t
+        cut |= over
+
+
+def test_mixing(spark):
+    rng = random.Random(8)
+    docs = [(i, "w " * rng.randint(0, 40), rng.choice(["a", "b", "ü", "tiny", None])) for i in range(1500)] + [(3000 + i, "hot " * 20, "a") for i in range(700)] + [(None, "x y", "a"), (5000, None, "b"), (5001, "", "tiny")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    out = mixing.mix(df).collect()
+    assert len(out) == len(docs) and Counter(map(tuple, out)) == Counter(map(tuple, mixing.mix(df.repartition(7)).collect()))
+    sizes = Counter()
+    for r in out:
+        sizes[r["source"]] += r["size"]
+    want = brute_targets(sizes, (3, 1, 2), 1.5, 2.0)
+    for s in sizes:
+        own = [r for r in out if r["source"] == s]
+        assert own[0]["target"] == pytest.approx(want[s]) and own[0]["source_size"] == sizes[s]
+        assert abs(sum(r["taken"] for r in own) - want[s]) <= 40 and all(r["taken"] <= 2 * r["size"] for r in own)
+        assert len({r["copies"] for r in own}) <= 2
+    back = mixing.repeated(df, mixing.mix(df))
+    assert back.agg(F.sum(mixing.n_words(F.col("text")))).first()[0] == sum(r["taken"] for r in out)
+    assert mixing.mix(awkward(spark)).count() == 11 and mixing.mix(empty(spark)).count() == 0
+
+
+def test_quality_weights_favour(spark):
+    df = spark.createDataFrame([(i, "w w w w", "a") for i in range(2000)], "doc_id long, text string, source string")
+    q = spark.createDataFrame([(i, 4.0 if i % 2 else 0.25) for i in range(2000)], "doc_id long, weight double")
+    out = mixing.mix(df, quality=q, share=0.5, most=2.0).collect()
+    odd = sum(r["copies"] for r in out if r["doc_id"] % 2)
+    assert odd > 3 * (sum(r["copies"] for r in out) - odd)
