@@ -50,12 +50,21 @@ def submission_counters(rows: DataFrame, key: str, valid: Column) -> DataFrame:
 def scored(records: DataFrame) -> DataFrame:
     """records and positive ratings, their number and mean (null without one), and the number of anomalies."""
     p = records.withColumn("pos", positive(F.col("ratings"))).withColumn("n_pos", F.size("pos")).withColumn("n_anomalies", F.size("ratings") - F.size("pos"))
-    return p.withColumn("mean_rating", F.when(F.col("n_pos") > 0, F.aggregate("pos", F.lit(0.0), lambda a, x: a + x) / F.col("n_pos")))
+    p = p.withColumn("mean_rating", F.when(F.col("n_pos") > 0, F.aggregate("pos", F.lit(0.0), lambda a, x: a + x) / F.col("n_pos")))
+    return p.withColumn("one_mind", F.size(F.array_distinct("pos")) == 1)
 
 
-def venue_summary(records: DataFrame) -> DataFrame:
-    """One row a status: submissions, scored, reviews, anomalies, statistics of the records' mean ratings, unanimity."""
-    s = scored(records).withColumn("many", F.col("n_pos") >= 2).withColumn("one_mind", F.size(F.array_distinct("pos")) == 1)
+def scored_slots(submissions: DataFrame, slots: DataFrame) -> DataFrame:
+    """The same from submissions (id, ...) and slots (id, rating), by sums alone: no record's slots are gathered."""
+    up = F.when(F.col("rating") > 0, F.col("rating"))
+    per = slots.groupBy("id").agg(F.count(up).alias("n_pos"), F.count(F.when(F.col("rating") <= 0, 1)).alias("n_anomalies"), F.sum(up).alias("s"), (F.min(up) == F.max(up)).alias("one_mind"))
+    rows = submissions.join(per, "id", "left").withColumn("mean_rating", F.when(F.col("n_pos") > 0, F.col("s") / F.col("n_pos")))
+    return rows.drop("s").fillna(0, ["n_pos", "n_anomalies"]).fillna(False, ["one_mind"])
+
+
+def venue_summary(s: DataFrame) -> DataFrame:
+    """One row a status of scored records: submissions, scored, reviews, anomalies, statistics of the records' mean ratings, unanimity."""
+    s = s.withColumn("many", F.col("n_pos") >= 2)
     return s.groupBy("status").agg(
         F.count("*").alias("submissions"), F.count("mean_rating").alias("scored"), F.sum("n_pos").cast("long").alias("reviews"), F.sum("n_anomalies").cast("long").alias("anomalies"),
         F.round(F.avg("mean_rating"), 6).alias("mean_of_means"), F.round(F.median("mean_rating"), 6).alias("median_of_means"), F.round(F.min("mean_rating"), 6).alias("lowest"), F.round(F.max("mean_rating"), 6).alias("highest"),

@@ -34,13 +34,18 @@ def forbidden_pattern(token: str) -> str:
 
 def leaks(rows: DataFrame, key: str, tokens: tuple[str, ...] = ()) -> DataFrame:
     """rows (key, line, body) -> findings key, line, code, match: e-mail, ORCID, home path, forbidden token."""
-    patterns = [("EMAIL_LEAK", EMAIL), ("ORCID_LEAK", ORCID), ("HOME_PATH_LEAK", HOME), *(("FORBIDDEN_TOKEN", forbidden_pattern(t)) for t in tokens)]
-
-    def hits(code: str, pattern: str) -> Column:
+    body = F.col("body")
+    home = body.contains("/home/") | body.contains("/Users/") | body.contains(":\\Users\\")
+    patterns = [("EMAIL_LEAK", EMAIL, body.contains("@")), ("ORCID_LEAK", ORCID, body.rlike(ORCID)), ("HOME_PATH_LEAK", HOME, home), *(("FORBIDDEN_TOKEN", p, body.rlike(p)) for p in map(forbidden_pattern, tokens))]
+    maybe = F.lit(False)
+    for *_, cheap in patterns:
+        maybe = maybe | cheap
+
+    def hits(code: str, pattern: str, cheap: Column) -> Column:
         return F.transform(F.regexp_extract_all("body", F.lit(pattern), F.lit(0)), lambda m: F.struct(F.lit(code).alias("code"), m.alias("match")))
 
     found = F.flatten(F.array(*[hits(*p) for p in patterns]))
-    return rows.select(key, "line", F.explode(found).alias("f")).select(key, "line", "f.*")
+    return rows.where(maybe).select(key, "line", F.explode(found).alias("f")).select(key, "line", "f.*")
 
 
 def repository_urls(rows: DataFrame, key: str) -> DataFrame:

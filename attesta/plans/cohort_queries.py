@@ -14,14 +14,28 @@ def slots(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_quantity").cast("long") % 6).cast("double").alias("rating"), F.col("l_linenumber").cast("double").alias("confidence"), F.col("l_extendedprice").alias("words"), "l_discount", "l_tax", "l_suppkey")
 
 
-def records(spark: SparkSession, d: str, track: bool = False) -> DataFrame:
-    """Submissions with aligned slot arrays; those without a slot have empty ones."""
-    per = slots(spark, d).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("confidence", "words", "rating"))).alias("s"), F.count_distinct("l_suppkey").alias("replies"))
+def records(spark: SparkSession, d: str, track: bool = False, replies: bool = False) -> DataFrame:
+    """Submissions with their ratings; those without a slot have none."""
+    more = [F.size(F.collect_set("l_suppkey")).alias("replies")] if replies else []
+    per = slots(spark, d).groupBy("id").agg(F.collect_list("rating").alias("ratings"), *more)
     subs = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("area"), "o_custkey")
     if track:
         subs = subs.join(table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("track")), F.col("o_custkey") == F.col("c_custkey"), "left")
-    arrays = [F.coalesce(F.col(f"s.{a}"), F.array().cast("array<double>")).alias(b) for a, b in (("rating", "ratings"), ("confidence", "confidences"), ("words", "words"))]
-    return subs.join(per, "id", "left").select("id", "status", "area", *(["track"] if track else []), "replies", *arrays)
+    ratings = F.coalesce(F.col("ratings"), F.array().cast("array<double>")).alias("ratings")
+    return subs.join(per, "id", "left").select("id", "status", "area", *(["track"] if track else []), *(["replies"] if replies else []), ratings)
+
+
+def summaries(spark: SparkSession, d: str, track: bool = False) -> DataFrame:
+    """Submissions with counts and mean of their ratings."""
+    subs = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("area"), "o_custkey")
+    if track:
+        subs = subs.join(table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("track")), F.col("o_custkey") == F.col("c_custkey"), "left")
+    return C.scored_slots(subs, slots(spark, d).select("id", "rating"))
+
+
+def each_slot(spark: SparkSession, d: str) -> DataFrame:
+    """Every slot as a record of its own, for what does not look at submissions."""
+    return slots(spark, d).select(F.array("rating").alias("ratings"), F.array("confidence").alias("confidences"), F.array("words").alias("words"))
 
 
 _S = "s as (select l_orderkey id, (l_quantity::bigint % 6)::double rating, l_linenumber conf, l_extendedprice words, l_discount, l_tax, l_suppkey from lineitem)"
@@ -30,7 +44,7 @@ _P = f"{_S}, p as (select o_orderkey id, o_orderstatus status, o_orderpriority a
 
 @query("venue_summary", f"with {_P} select status, count(*) submissions, count(mean) scored, sum(n)::bigint reviews, sum(bad)::bigint anomalies, round(avg(mean), 6) mean_of_means, round(median(mean), 6) median_of_means, round(min(mean), 6) lowest, round(max(mean), 6) highest, count(*) filter (n >= 2 and kinds = 1) unanimous, round(count(*) filter (n >= 2 and kinds = 1) / nullif(count(*) filter (n >= 2), 0)::double, 6) unanimous_share from p group by status")
 def venue_summary(spark, d):
-    return C.venue_summary(records(spark, d))
+    return C.venue_summary(summaries(spark, d))
 
 
 @query("status_counts", "select coalesce(o_orderstatus, 'Unknown') status, count(*) n from orders group by 1")
@@ -46,12 +60,12 @@ def submission_counters(spark, d):
 
 @query("rating_histogram", f"with {_S} select rating, count(*) n from s where rating > 0 group by 1")
 def rating_histogram(spark, d):
-    return C.rating_histogram(records(spark, d))
+    return C.rating_histogram(each_slot(spark, d))
 
 
 @query("rating_histogram_all", f"with {_S} select rating, count(*) n from s group by 1")
 def rating_histogram_all(spark, d):
-    return C.rating_histogram(records(spark, d), anomalies=True)
+    return C.rating_histogram(each_slot(spark, d), anomalies=True)
 
 
 @query("status_by_track", "select c_mktsegment track, o_orderstatus status, count(*) n from orders join customer on c_custkey = o_custkey group by 1, 2")
@@ -62,9 +76,8 @@ def status_by_track(spark, d):
 
 @query("unanimity_share", f"with {_P} select count(*) filter (n >= 2) records, count(*) filter (n >= 2 and kinds = 1) unanimous, round(count(*) filter (n >= 2 and kinds = 1) / nullif(count(*) filter (n >= 2), 0)::double, 6) \"share\" from p")
 def unanimity_share(spark, d):
-    s = C.scored(records(spark, d)).where("n_pos >= 2")
-    one = F.size(F.array_distinct("pos")) == 1
-    return s.agg(F.count("*").alias("records"), F.count_if(one).alias("unanimous"), F.round(F.avg(one.cast("double")), 6).alias("share"))
+    s = summaries(spark, d).where("n_pos >= 2")
+    return s.agg(F.count("*").alias("records"), F.count_if("one_mind").alias("unanimous"), F.round(F.avg(F.col("one_mind").cast("double")), 6).alias("share"))
 
 
 @query("iid_unanimity_baseline", f"with {_P}, k as (select n m, count(*) n_m from p where n >= 2 group by 1), h as (select rating, count(*) c from s where rating > 0 and id in (select id from p where n >= 2) group by 1), q as (select c / (sum(c) over ())::double p from h) select round(sum(n_m * pow(p, m)) / sum(n_m * p), 6) iid_share from k, q")
@@ -74,7 +87,7 @@ def iid_unanimity_baseline(spark, d):
 
 @query("mean_quantiles_nearest_rank", f"with {_P}, v as (select status, list_sort(list(mean)) x from p where mean is not null group by status), q as (select unnest([0.25, 0.5, 0.75, 0.9]) p) select status, p::double p, round(x[round_even((len(x) - 1) * p::double, 0)::int + 1], 4) quantile from v, q")
 def mean_quantiles(spark, d):
-    return C.nearest_rank(C.scored(records(spark, d)), ["status"], "mean_rating", [0.25, 0.5, 0.75, 0.9])
+    return C.nearest_rank(summaries(spark, d), ["status"], "mean_rating", [0.25, 0.5, 0.75, 0.9])
 
 
 @query("modal_slot_count", f"with {_P}, k as (select m::int slots, count(*) records from p group by 1) select slots, records from k order by records desc, slots limit 1")
@@ -84,7 +97,7 @@ def modal_slot_count(spark, d):
 
 @query("words_median_by_confidence", f"with {_S} select conf::int confidence, count(*) n, round(median(words), 6) median_words, round(avg(words), 6) mean_words from s group by 1")
 def words_median(spark, d):
-    return C.median_words(records(spark, d))
+    return C.median_words(each_slot(spark, d))
 
 
 @query("word_count_slots", "with w as (select case when l_discount > 0.05 then l_extendedprice when l_tax > 0.02 then l_quantity + l_linenumber else l_quantity end words from lineitem) select count(words) n, round(avg(words), 6) mean_words, round(median(words), 6) median_words from w")
@@ -101,7 +114,7 @@ def subscore_means(spark, d):
 
 @query("zero_discussion_share", f"with {_P} select count(*) records, count(*) filter (replies <= m) silent, round(avg((replies <= m)::int), 6) \"share\" from p where m > 0")
 def zero_discussion_share(spark, d):
-    return C.zero_discussion(records(spark, d), "replies")
+    return C.zero_discussion(records(spark, d, replies=True), "replies")
 
 
 @query("out_of_scale_ratings", f"with {_P} select track, sum(bad)::bigint ratings, count(*) records from p where bad > 0 group by 1")
@@ -116,7 +129,7 @@ def top_areas(spark, d):
 
 @query("topic_filter_samples", f"with {_P} select id, round(mean, 6) mean_rating from p where regexp_matches(concat_ws(' ', status, area), '(?i)urgent|high') and mean is not null order by mean desc, id limit 10")
 def topic_samples(spark, d):
-    s = C.scored(records(spark, d)).where(F.concat_ws(" ", "status", "area").rlike("(?i)urgent|high") & F.col("mean_rating").isNotNull())
+    s = summaries(spark, d).where(F.concat_ws(" ", "status", "area").rlike("(?i)urgent|high") & F.col("mean_rating").isNotNull())
     return s.orderBy(F.desc("mean_rating"), "id").limit(10).select("id", F.round("mean_rating", 6).alias("mean_rating"))
 
 
@@ -127,8 +140,8 @@ def cohort_filter(spark, d):
 
 @query("fallback_rating", f"with {_P} select case when n > 0 then 'rating' else 'recommendation' end used, count(*) n from p group by 1")
 def fallback_rating(spark, d):
-    s = C.scored(records(spark, d))
-    return s.groupBy(F.when(F.size("pos") > 0, "rating").otherwise("recommendation").alias("used")).agg(F.count("*").alias("n"))
+    s = summaries(spark, d)
+    return s.groupBy(F.when(F.col("n_pos") > 0, "rating").otherwise("recommendation").alias("used")).agg(F.count("*").alias("n"))
 
 
 @query("slot_parse", f"with {_S} select id, list_sort(list(rating))::varchar ratings from s where rating is not null group by id")

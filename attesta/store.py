@@ -37,3 +37,9 @@ def removed(spark: SparkSession, path: str) -> None:
     """Delete a path of ours through the file system it belongs to."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, its rows dealt anew only where it has fewer partitions than the cluster has cores (a few small files)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df

@@ -28,7 +28,7 @@ def blank() -> dict:
 def step(s: dict, o: dict) -> tuple[str, bool]:
     """Apply observation o to state s in place; what became of it, and whether subscribers must hear of it."""
     seq, status, signals = int(o["seq"]), o["status"], sorted(set(o["signals"] or []))
-    digest = hashlib.sha256(json.dumps([status, signals, bool(o["signals_complete"]), bool(o["truncated"]), o["error"]]).encode()).hexdigest()[:16]
+    digest = hashlib.blake2b(repr((status, signals, bool(o["signals_complete"]), bool(o["truncated"]), o["error"])).encode(), digest_size=8).hexdigest()
     if str(seq) in s["commits"]:
         same = s["commits"][str(seq)] == digest
         s["replays" if same else "conflicts"] += 1
@@ -58,9 +58,10 @@ def step(s: dict, o: dict) -> tuple[str, bool]:
 
 
 def _rows(pdf: pd.DataFrame) -> Iterator[dict]:
-    for r in pdf[list(OBSERVATION)].to_dict("records"):
+    for values in zip(*[pdf[c].tolist() for c in OBSERVATION], strict=True):
+        r = dict(zip(OBSERVATION, values, strict=True))
         r["signals"] = [] if r["signals"] is None else list(r["signals"])
-        r["error"] = None if pd.isna(r["error"]) else r["error"]
+        r["error"] = r["error"] if isinstance(r["error"], str) else None
         yield r
 
 
@@ -73,7 +74,9 @@ def fold(observations: DataFrame) -> DataFrame:
             step(s, o)
         return pd.DataFrame([{"watcher": pdf.watcher.iloc[0], "item_key": pdf.item_key.iloc[0], "current_status": s["current"]} | {k: s[k] for k in ("confirmed", "signals", "applied", "confirmed_seq", "version", "truncated", "error", "stale", "replays", "conflicts")}])
 
-    return observations.groupBy(*KEYS).applyInPandas(one, FINAL)
+    # by number, so that small inputs are not gathered in one task of Python
+    parts = int(observations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return observations.repartition(parts, *KEYS).groupBy(*KEYS).applyInPandas(one, FINAL)
 
 
 def stream(observations: DataFrame) -> DataFrame:

@@ -64,9 +64,9 @@ def records(spark, ratings):
 
 
 def test_cohort(spark):
-    r = cohort.venue_summary(records(spark, [[2.0] * 4, [3.0, 4.0, 5.0]])).first()
+    r = cohort.venue_summary(cohort.scored(records(spark, [[2.0] * 4, [3.0, 4.0, 5.0]]))).first()
     assert (r["scored"], r["unanimous"], r["unanimous_share"]) == (2, 1, 0.5)
-    r = cohort.venue_summary(records(spark, [[0.0, 0.0, 2.0], []])).first()
+    r = cohort.venue_summary(cohort.scored(records(spark, [[0.0, 0.0, 2.0], []]))).first()
     assert (r["reviews"], r["mean_of_means"], r["anomalies"], r["submissions"]) == (1, 2.0, 2, 2)
     slots = spark.createDataFrame([("4;6;;8;nan;x",)], "s string").select(cohort.parse_slots(F.col("s")).alias("a"), cohort.parse_slots(F.col("s"), True).alias("b")).first()
     assert slots["a"] == [4, 6, 8] and slots["b"] == [4, 6, None, 8, None, None]
