@@ -20,7 +20,7 @@ from pyspark.sql.types import DoubleType, StructType
 from attesta.llm.arrow import pieces
 from attesta.llm.sample import fold, labelled_sample
 from attesta.llm.words import BLANKS, utf8
-from attesta.store import table
+from attesta.store import spread, table
 
 #: Bytes of whole lines that are measured at once.
 BLOCK = 1 << 20
@@ -225,7 +225,7 @@ def score_documents(docs: DataFrame, model: LineModel) -> DataFrame:
         for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(batch.column("text").to_pylist()))], [*batch.schema.names, "quality_score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("quality_score", DoubleType()))
+    return spread(docs).mapInArrow(run, StructType([*docs.schema.fields]).add("quality_score", DoubleType()))
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:

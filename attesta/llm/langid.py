@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
 from attesta.llm.sample import bounded_sample, fold
-from attesta.store import table
+from attesta.store import spread, table
 
 ORDER = 5
 BITS = 6
@@ -214,7 +214,7 @@ def identify(docs: DataFrame, model: Identifier) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], [*batch.schema.names, "lang_pred", "lang_score", "lang_rejected"])
 
     out = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("lang_score", DoubleType()).add("lang_rejected", BooleanType())
-    return docs.mapInArrow(run, out)
+    return spread(docs).mapInArrow(run, out)
 
 
 def op8_langid(spark, sf_dir: str) -> DataFrame:

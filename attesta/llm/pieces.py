@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 from attesta.llm.arrow import pieces as cut
-from attesta.store import table
+from attesta.store import spread, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -328,7 +328,7 @@ def encode_documents(docs: DataFrame, model: Pieces) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, _listed(encoded), pa.array([len(x) // 4 for x in encoded], pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], [*batch.schema.names, "token_ids", "n_tokens", "decoded_crc32", "round_trip"])
 
     out = StructType([*docs.schema.fields]).add("token_ids", ArrayType(IntegerType())).add("n_tokens", LongType()).add("decoded_crc32", LongType()).add("round_trip", "boolean")
-    return docs.mapInArrow(run, out)
+    return spread(docs).mapInArrow(run, out)
 
 
 def decode_documents(rows: DataFrame, model: Pieces) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StructType
 from attesta.llm.arrow import pieces
 from attesta.llm.sample import labelled_sample
 from attesta.llm.words import BLANKS, PIECE, utf8, word_pieces
-from attesta.store import table
+from attesta.store import spread, table
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -172,7 +172,7 @@ def judge(docs: DataFrame, model: Trees, least_score: float = 0.5) -> DataFrame:
     out = StructType([*docs.schema.fields])
     for name in BASE:
         out = out.add(name, LongType())
-    return docs.mapInArrow(run, out.add("base_failed", BooleanType()).add("rules_score", DoubleType()).add("kept", BooleanType()))
+    return spread(docs).mapInArrow(run, out.add("base_failed", BooleanType()).add("rules_score", DoubleType()).add("kept", BooleanType()))
 
 
 def op7_rules(spark, sf_dir: str) -> DataFrame:

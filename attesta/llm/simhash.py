@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from attesta.operators.components import connected_components
 from attesta.llm.words import utf8, word_pieces
-from attesta.store import table, written
+from attesta.store import spread, table, written
 
 SEED = 42
 #: Two-bit fields (segments) of each face, from the lowest bit.
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
+    return spread(rows).mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
 
 
 def _masks() -> list[int]:
