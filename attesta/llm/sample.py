@@ -18,7 +18,8 @@ def bounded_sample(rows: DataFrame, by: str, each: int, max_chars: int = 60_000,
     drawn together or not at all and count once. Returns [(class, text)] in a fixed order.
     """
     usable = rows.where(F.col(by).isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars)).select(F.col(by).alias("k"), "text", (F.shiftrightunsigned(F.xxhash64("text"), 34) / float(1 << 30)).alias("u"))
-    counts = sorted(usable.groupBy("k").count().orderBy(F.desc("count"), "k").limit(classes).collect())
+    # counted without reading texts; those left out for their length only make the sample a little smaller
+    counts = sorted(rows.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("k")).count().orderBy(F.desc("count"), "k").limit(classes).collect())
     if not counts:
         return []
     share = F.lit(0.0)
