@@ -31,6 +31,8 @@ SEED = 42
 FACES = (6, 6, 5, 5, 5, 5)
 #: Members of a cell up to which pairs are compared by offset rather than by search.
 SMALL = 12
+#: What stands for a text where rows are told apart: ids may be null or repeated.
+TEXT_KEY = "xxhash64(text)"
 
 _EVEN = 0x5555555555555555
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).copy().view(np.uint64).ravel()
@@ -62,15 +64,15 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, fp (the 64 bits as a signed long); null and wordless texts: 0."""
+    """docs (doc_id, text, ...) -> doc_id, text_key, fp (the 64 bits as a signed long); null and wordless texts: 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column("text")), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(fps.view(np.int64))], ["doc_id", "text_key", "fp"])
 
-    rows = docs.select("doc_id", "text")
-    return spread(rows).mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
+    rows = docs.select("doc_id", F.expr(TEXT_KEY).alias("text_key"), "text")
+    return spread(rows).mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text_key long, fp long")
 
 
 def _masks() -> list[int]:
@@ -175,24 +177,36 @@ def _batches(links: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3, block: int = 4096) -> DataFrame:
-    """docs (doc_id, text, ...) -> a row for each: doc_id, fp, component_id (the least doc_id reachable by links).
+    """docs (doc_id, text, ...) -> a row for each: doc_id, text_key, fp, label, component_id (the least doc_id reachable).
 
     Equal fingerprints are one member, so exact copies cost nothing beyond their row. Null and wordless texts
-    have fingerprint zero and link like any other; null ids are never a component_id unless all of it are null.
+    have fingerprint zero and link like any other; null ids are never a component_id unless all of it are null. The
+    label tells components apart, also where they share a doc_id or have none.
     """
     marked = written(fingerprints(docs, words), "fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fp")
     labels = connected_components(fingerprint_links(distinct, most, block))
     labelled = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_fp = labelled.join(least, "label").select(F.col("fp").alias("_fp"), "component_id")
-    return marked.join(by_fp, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    by_fp = labelled.join(least, "label").select(F.col("fp").alias("_fp"), "label", "component_id")
+    return marked.join(by_fp, F.col("fp") == F.col("_fp")).select("doc_id", "text_key", "fp", "label", "component_id")
+
+
+def representatives(near: DataFrame) -> DataFrame:
+    """near (doc_id, text_key, label) -> doc_id, text_key of each label's row of the least doc_id (nulls last, ties by text_key)."""
+    first = near.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("x"))
+    return first.select("x.doc_id", "x.text_key")
+
+
+def rows_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row of docs for each of chosen (doc_id, text_key), where these have different texts."""
+    keep, keyed = chosen.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")), docs.withColumn("_key", F.expr(TEXT_KEY))
+    return keyed.join(keep, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi").dropDuplicates(["_key"]).drop("_key")
 
 
 def one_of_each(docs: DataFrame, near: DataFrame) -> DataFrame:
-    """The documents that stand for their component, one row each; null ids are kept as one per repeated row."""
-    keep = near.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi").dropDuplicates(["doc_id"])
+    """The documents that stand for their component, one row each: that of the least doc_id, a null id where all are null."""
+    return rows_of(docs, representatives(near))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

@@ -251,6 +251,16 @@ def test_near_duplicates_awkward(spark):
     assert ids.count(5) == 1 and 6 not in ids and ids.count(1) == 1
 
 
+def test_one_of_each_by_component(spark):
+    """Null and shared ids: one row a component, whatever other components' ids are."""
+    rows = [(None, f"text number {i} of those without an id {i * i}") for i in range(5)]
+    rows += [(7, "first text under seven here"), (7, "quite another thing under seven"), (7, "quite another thing under seven")]
+    rows += [(None, "a copy with and without id"), (9, "a copy with and without id"), (8, "a copy with and without id"), (None, "no id twice at all"), (None, "no id twice at all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r["doc_id"] or 0, r["text"]) for r in simhash.one_of_each(docs, simhash.near_duplicates(docs)).collect()))
+    assert kept == sorted([*((0, t) for _, t in rows[:5]), (7, rows[5][1]), (7, rows[6][1]), (8, "a copy with and without id"), (0, "no id twice at all")])
+
+
 # 5
 
 
