@@ -22,7 +22,7 @@ from attesta.store import spread, written
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS, SEED = 30, 5, 42
 #: Characters of a cluster's texts that make a block (a longer text is one alone).
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 
 _RNG = np.random.default_rng(SEED)
 _FLIP, _TIMES = _RNG.integers(0, 2**64, (2, BANDS * ROWS, 1), dtype=np.uint64)
@@ -83,10 +83,10 @@ def _links(keys: np.ndarray, sets: list[np.ndarray], least: float) -> np.ndarray
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
-def similar_texts(texts: DataFrame, among: DataFrame, words: int = WORDS, least: float = LEAST, block: int = BLOCK) -> DataFrame:
-    """texts (text_key long, text), among (text_key) -> links (u, v) whose components are those of all similar pairs.
+def similar_texts(texts: DataFrame, words: int = WORDS, least: float = LEAST, block: int = BLOCK) -> DataFrame:
+    """texts (text_key long, text) -> links (u, v) whose components are those of all similar pairs.
 
-    Only texts whose key is among the given are linked. A key stands for one text, however many rows have it.
+    A key stands for one text, however many rows have it. Texts without a word have no links.
     """
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,11 +95,11 @@ def similar_texts(texts: DataFrame, among: DataFrame, words: int = WORDS, least:
             yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(keys, pa.list_(pa.int64()))], ["text_key", "bands"])
 
     rows = written(spread(texts.select("text_key", "text")).mapInArrow(band, "text_key long, bands array<long>"), "bands")
-    rows = rows.join(among.select("text_key").distinct(), "text_key", "left_semi").select("text_key", F.explode("bands").alias("band"))
+    rows = rows.dropDuplicates(["text_key"]).select("text_key", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("text_key").alias("u"), F.max("text_key").alias("most")).where("u < most").select(F.col("band").alias("_b"), "u")
     clusters = connected_components(rows.join(shared, F.col("band") == F.col("_b")).where("text_key <> u").select("u", F.col("text_key").alias("v")))
 
-    members = texts.select("text_key", "text").join(clusters, F.col("text_key") == F.col("node")).select("label", "text_key", "text")
+    members = texts.select("text_key", "text").join(clusters, F.col("text_key") == F.col("node")).select("label", "text_key", "text").dropDuplicates(["text_key"])
     sizes = members.groupBy("label").agg(F.ceil(F.sum(F.length("text").cast("long")) / block).cast("int").alias("parts")).select(F.col("label").alias("_l"), "parts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

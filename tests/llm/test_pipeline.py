@@ -1,9 +1,10 @@
 """The pipeline's stages on awkward rows and on the smallest tables, against brute force."""
 
+import random
 import re
 
 import corpus_pipeline
-from attesta.llm import langid, mixing, pieces
+from attesta.llm import langid, mixing, pieces, shingles
 from attesta.store import table
 from tests.llm.test_operators import DATA, awkward, brute_fingerprint, empty
 
@@ -53,6 +54,62 @@ def test_stages_on_all_rows(spark):
     assert {r["doc_id"]: r["n_tokens"] for r in last} == {r["doc_id"]: len(m.encode(r["text"])) // 4 for r in docs.collect()}
 
 
+def similarity(a, b):
+    def grams(text):
+        w = text.encode().lower().split()
+        return {b" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {b" ".join(w)}
+
+    return len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+
+
+def test_near_dedup_by_similarity(spark):
+    """The stage as run: no two documents of similarity 0.8 stay, at any bit distance, and no other goes."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for i in range(40):
+        base = [word() for _ in range(200)]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3, 4, 6, 9):
+            other = list(base)
+            for k in range(edits):
+                other[20 * k + rng.randrange(15)] = word()
+            texts.append(" ".join(other))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    kept = {r["doc_id"] for r in stage(spark, docs, DATA).collect()}
+    near = {i: [j for j in range(i - i % 7, i - i % 7 + 7) if j != i and similarity(texts[i], texts[j]) >= 0.8] for i in range(len(texts))}
+    assert any((brute_fingerprint(texts[i]) ^ brute_fingerprint(texts[j])).bit_count() > 3 for i in near for j in near[i])
+    groups, left = [], set(near)
+    while left:
+        group, front = set(), [min(left)]
+        while front:
+            i = front.pop()
+            if i not in group:
+                group.add(i)
+                front += near[i]
+        left -= group
+        groups.append(group)
+    assert kept == {min(g) for g in groups}
+
+
+def test_similar_texts_in_blocks(spark):
+    """Links between blocks of a cluster too; repeated keys and texts without a word."""
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in range(30)]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "text_key long, text string")
+    for least, count in ((0.8, 29), (1.0, 0)):
+        links = [(r["u"], r["v"]) for r in shingles.similar_texts(rows, least=least, block=3000).collect()]
+        seen, front = set(), [0]
+        while front:
+            i = front.pop()
+            seen.add(i)
+            front += [b if a == i else a for a, b in links if i in (a, b) and (b if a == i else a) not in seen]
+        assert len(seen) == count + 1
+    few = spark.createDataFrame([(1, "one text only"), (1, "one text only"), (2, None), (3, " ")], rows.schema)
+    assert shingles.similar_texts(few).count() == 0
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert out.count() > 150 and set(out.columns) >= {"doc_id", "token_ids", "n_tokens"}
