@@ -9,6 +9,24 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Characters before and after a candidate that the forest sees.
+BEFORE, AFTER = 48, 24
+_KEY = r"(?i:passw(?:or)?d|passwd|passphrase|pwd|secret|token|(?:api|access|private|secret)[_ -]?key|credentials?)"
+_ASSIGNED = r"[\x22\x27]?\s{0,4}[:=]\s{0,4}"
+_BLOCK = "[A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+#: Looked for in this order at each place; the first lookbehinds are short and spare the long ones.
+CANDIDATE = "|".join([
+    rf"-----BEGIN {_BLOCK}[^-]*+(?:-(?!----)[^-]*+){{0,64}}+-----END {_BLOCK}",
+    r"(?=eyJ)(?<![A-Za-z0-9_+/.-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+",
+    r"(?<=:)(?<=://[^\s:/@]{0,64}:)[^\s/@]++(?=@)",
+    rf"(?<==)(?<=[?&]{_KEY}=)[^\s\x22\x27<>&#]++",
+    rf"(?<=\x22)(?<={_KEY}{_ASSIGNED}\x22)[^\x22\n]++(?=\x22)",
+    rf"(?<=\x27)(?<={_KEY}{_ASSIGNED}\x27)[^\x27\n]++(?=\x27)",
+    rf"(?<=[:=]\s{{0,4}})(?<={_KEY}{_ASSIGNED})[^\s\x22\x27<>:=][^\s\x22\x27<>]*(?<![.,;:!?)])",
+    r"(?<![A-Za-z0-9_+/-])(?![A-Za-z_][A-Za-z0-9_]*+=[A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}+",
+])
 
 #: Words that names and paths are made of.
 DICTIONARY = "access account address admin api app archive article asset auth author backup beta bin book build cache card catalog chapter chart check class client cloud code commit config content copy count course customer data date debug default demo design doc document download draft edit element email entry error event example export field file final first folder form format get group guide handle hash header home host icon identifier image img import index info input invoice item key lib library link list local log login main map master media menu message meta mobile model module month name news node note number object old online option order page panel parse part path photo plan platform policy post price private process product profile project public query random read record release remote report request resource response result review root route sample schema score screen script search section secret segment select server service session set setting sheet shop site size source stage start state static status store string style submit summary support system tab table tag target task team temp template test text theme thread time title token tool topic track type update upload url user util value version video view volume web week widget window word year".split()
@@ -37,6 +55,8 @@ FEATURES = {
     "keyed": "cast(@b rlike '" + _KEYS.replace("\\", "\\\\") + r"\\W{0,12}$' as double)",
     "benign": "cast(@b rlike '" + _BENIGN.replace("\\", "\\\\") + r"\\W{0,12}$' as double)",
     "assigned": r"cast(@b rlike '[:=]\\s{0,4}[\"\\x27]?$' as double)",
+    "login": r"cast(@b rlike '://[^\\s:/@]*:$' and startswith(@a, '@') as double)",
+    "symbols": r"regexp_count(@c, '[^A-Za-z0-9]') / length(@c)",
     "quoted": r"cast(@b rlike '[\"\\x27]$' and @a rlike '^[\"\\x27]' as double)",
 }
 
@@ -56,6 +76,27 @@ _SHAPES = [
     (1, "concat(w, ' key \"')", "concat('sk_live_', translate(substr(s, 3, 24), '+/', 'bY'))", "concat('\" ', v)"),
     (1, "concat(w, ' ')", "concat('-----BEGIN PRIVATE KEY-----\\n', s, '\\n-----END PRIVATE KEY-----')", "concat(' ', v)"),
     (1, "concat('secret ')", "h", "concat(', ', v)"),
+    (1, "concat(w, '\\npassword: ')", "concat(v, substr(n, 1, 1), substr(s, 1, 2), substr(n, 2, 2))", "concat('\\n', v)"),
+    (1, "concat('my password = ')", "concat(substr(s, 1, 7), substr(n, 1, 1), '!', substr(n, 2, 2))", "concat(' ', v)"),
+    (1, "'password: '", "concat(v, substr(n, 1, 2), w, substr(n, 3, 2))", "''"),
+    (1, "'\\nDB_PASSWORD='", "concat(substr(translate(s, '+/', 'aZ'), 1, 9), substr(n, 1, 1))", "'\\nDB_HOST=db'"),
+    (1, "concat('postgres://', w, ':')", "concat(substr(translate(s, '+/', 'aZ'), 1, 12), substr(n, 1, 1))", "'@host/db '"),
+    (1, "concat(v, ' mysql://u:')", "concat(v, substr(n, 1, 2))", "'@h:3306/db'"),
+    (1, "concat('https://api.example.org/', w, '?token=')", "substr(h, 1, 24)", "'&page=2'"),
+    (1, "concat('https://example.org/', w, '?x=1&api_key=')", "substr(h, 1, 32)", "' '"),
+    (1, "'MY_SECRET_TOKEN='", "h", "'\\n'"),
+    (1, "concat(w, ' ')", "concat('eyJhbGciOiJIUzI1NiJ9.eyJ', translate(s, '+/', '-_'), '.', translate(s, '+/', '-_'))", "concat(' ', v)"),
+    (1, "concat(w, '\\n')", "concat('-----BEGIN RSA PRIVATE KEY-----\\nProc-Type: 4,ENCRYPTED\\nDEK-Info: AES-128-CBC,', upper(substr(h, 1, 32)), '\\n\\n', s, '\\n', s, '\\n-----END RSA PRIVATE KEY-----')", "concat('\\n', v)"),
+    (1, "concat(w, '\\n')", "concat('-----BEGIN PGP PRIVATE KEY BLOCK-----\\nVersion: GnuPG v2\\n\\n', s, '\\n=', substr(s, 1, 4), '\\n-----END PGP PRIVATE KEY BLOCK-----')", "concat('\\n', v)"),
+    (0, "concat(w, ' password: ')", "v", "concat(' ', w)"),
+    (0, "concat(w, ' token: ')", "v", "concat(' ', w)"),
+    (0, "'secret = '", "concat('get_', v, '(')", "')'"),
+    (0, "'api_key = '", "concat('config.', v)", "'\\n'"),
+    (0, "'token = \"'", "v", "'\"'"),
+    (0, "'PASSWORD='", "concat('${', upper(v), '}')", "'\\n'"),
+    (0, "'https://example.org/?token='", "v", "'&page=2'"),
+    (0, "concat('COMMIT_ID=')", "h", "'\\n'"),
+    (0, "'https://example.org/?id='", "substr(h, 1, 32)", "'&page=2'"),
     (0, "concat(w, ' ')", "n", "concat(' ', v)"),
     (0, "concat(w, ' ')", "n", "concat('!! ', v)"),
     (0, "concat('card ')", "n", "concat('. ', v)"),
@@ -86,12 +127,15 @@ def features_sql(of: str = "") -> dict[str, str]:
 
 
 def labelled_findings(spark: SparkSession, each: int = 120) -> DataFrame:
-    """each findings of every shape: b, c, a, label."""
+    """each texts of every shape, split as the scan splits: a row (b, c, a, label) for each candidate in its finding."""
     n = len(DICTIONARY[::3])
     words = "array(" + ", ".join(f"'{w}'" for w in DICTIONARY[::3]) + ")"
     of = lambda part: "case id % " + str(len(_SHAPES)) + " " + " ".join(f"when {i} then {x[part]}" for i, x in enumerate(_SHAPES)) + " end"
     base = spark.range(each * len(_SHAPES)).selectExpr("id", "sha1(cast(id as string)) h", "substr(base64(unhex(sha2(cast(id as string), 256))), 1, 43) s", "substr(translate(sha2(concat('n', id), 256), 'abcdef', '318064'), 1, 16) n", f"element_at({words}, cast(pmod(xxhash64(id), {n}) + 1 as int)) w", f"element_at({words}, cast(pmod(xxhash64(id, 1), {n}) + 1 as int)) v")
-    return base.selectExpr(f"{of(1)} b", f"{of(2)} c", f"{of(3)} a", f"cast({of(0)} as double) label")
+    texts = base.selectExpr(f"concat({of(1)}, {of(2)}, {of(3)}) text", f"{of(2)} finding", f"cast({of(0)} as double) label")
+    texts = texts.withColumn("cands", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).withColumn("parts", F.split("text", CANDIDATE, -1))
+    rows = texts.where(F.size("cands") > 0).selectExpr("finding", "label", f"inline(transform(cands, (c, i) -> named_struct('b', right(parts[i], {BEFORE}), 'c', c, 'a', left(parts[i + 1], {AFTER}))))")
+    return rows.where("contains(finding, c) or contains(c, finding)").select("b", "c", "a", "label")
 
 
 def _tree(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, tried: int, least: int) -> tuple | float:

@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest. Native: SQL functions only.
 
-A candidate is a private-key block or a run of 16 or more letters, digits and `_ + / = -` that holds a digit. The
-forest weighs its length, character transitions, dictionary coverage, likeness to a path, and the words before
+A candidate is a private-key block, a dotted token, the password of a URL, the value given to a key word, of any
+length, or a run of 16 or more letters, digits and `_ + / -` that holds a digit; NAME= ends before it. The forest weighs its length, character transitions, dictionary coverage, likeness to a path, and the words before
 and after. All of it is computed inside the document's row: the text is split at its candidates, which gives
 their contexts and offsets, and put together again with the secrets masked.
 """
@@ -11,13 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.secret_forest import as_sql, features_sql, fit_forest
+from attesta.llm.secret_forest import AFTER, BEFORE, CANDIDATE, as_sql, features_sql, fit_forest
 from attesta.store import table
 
-CANDIDATE = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,40}PRIVATE KEY-----|(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+"
 MASK = "[SECRET]"
-#: Characters before and after a candidate that the forest sees.
-BEFORE, AFTER = 48, 24
 _OWN = ("_cands", "_parts", "_feats", "_votes", "_lens")
 
 
