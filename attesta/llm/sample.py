@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,22 +11,27 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
-def bounded_sample(rows: DataFrame, by: str, each: int, max_chars: int = 60_000, classes: int = 200) -> list:
-    """At most about `each` rows (text, by) a class, by hash of their text, for the `classes` largest classes.
+def bounded_sample(rows: DataFrame, by: str, each: int, max_chars: int = 60_000, most_classes: int = 2000) -> list:
+    """About `each` distinct texts of every class of rows (text, by), by hash of the text: [(class, text)] in a fixed order.
 
-    Only whole texts of up to max_chars are drawn, so what reaches the driver is bounded. Equal texts are
-    drawn together or not at all and count once. Returns [(class, text)] in a fixed order.
+    Classes with fewer usable texts give all of them. Whole texts of up to max_chars are drawn; only a class
+    without any such text gives the first max_chars characters of longer ones. So at most about
+    1.2 * each * max_chars characters a class reach the driver; more classes than most_classes are refused.
     """
-    usable = rows.where(F.col(by).isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars)).select(F.col(by).alias("k"), "text", (F.shiftrightunsigned(F.xxhash64("text"), 34) / float(1 << 30)).alias("u"))
-    # counted without reading texts; those left out for their length only make the sample a little smaller
-    counts = sorted(rows.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("k")).count().orderBy(F.desc("count"), "k").limit(classes).collect())
+    u = F.shiftrightunsigned(F.xxhash64("text"), 34) / float(1 << 30)
+    usable = rows.where(F.col(by).isNotNull() & F.col("text").isNotNull()).select(F.col(by).alias("k"), "text", u.alias("u"), (F.length("text") <= max_chars).alias("short"))
+    # of copies one counts, so a class of many copies is not drawn too thinly
+    counts = usable.groupBy("k").agg(F.approx_count_distinct(F.when(F.col("short"), F.col("u"))).alias("short"), F.approx_count_distinct("u").alias("all")).limit(most_classes + 1).collect()
+    if len(counts) > most_classes:
+        raise ValueError(f"over {most_classes} values of {by}: not a column of classes")
     if not counts:
         return []
-    share = F.lit(0.0)
-    for k, n in counts:
-        share = F.when(F.col("k") == F.lit(k), min(1.0, each / n)).otherwise(share)
-    drawn = usable.where(F.col("u") < share).groupBy("k", "text").agg(F.first("u").alias("u")).orderBy("u", "text", "k").limit(2 * each * len(counts)).collect()
-    return [(r["k"], r["text"]) for r in drawn]
+    shares = [(r["k"], min(1.0, 1.1 * each / (r["short"] or r["all"])), not r["short"]) for r in counts]
+    plan = rows.sparkSession.createDataFrame(shares, usable.select("k").schema.add("share", "double").add("cut", "boolean"))  # at most most_classes rows
+    drawn = usable.join(F.broadcast(plan), "k").where((F.col("u") < F.col("share")) & (F.col("short") | F.col("cut")))
+    drawn = drawn.select("k", "u", F.when(F.col("cut"), F.substring("text", 1, max_chars)).otherwise(F.col("text")).alias("text")).distinct()
+    first = F.row_number().over(Window.partitionBy("k").orderBy("u", "text"))
+    return [(r["k"], r["text"]) for r in drawn.withColumn("n", first).where(F.col("n") <= each).orderBy("u", "text", "k").select("k", "text").collect()]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, by: str, each: int, max_chars: int = 60_000) -> list:

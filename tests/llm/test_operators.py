@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from attesta.llm import ann, crf, langid, mixing, pieces, queries, rules, secret_forest, secrets, sharding, simhash, warc, words
+from attesta.llm import ann, crf, langid, mixing, pieces, queries, rules, sample, secret_forest, secrets, sharding, simhash, warc, words
 from tests.oracle import connection, rows_of, rows_of_sql
 
 DATA = "/root/testdata/sf0.001"
@@ -407,12 +407,58 @@ def test_languages(spark):
 
 
 def test_models_are_distributions():
-    text = np.frombuffer(b"abcabcaabbcc", np.uint8) - 96
-    grams, use = langid._grams(np.r_[np.zeros(4, np.uint8), text])
-    m = langid.Model(*np.unique(grams[use], return_counts=True))
-    for context in (0, 1, 1 << 6 | 2, 1 << 18 | 2 << 12 | 3 << 6 | 1):
-        total = np.exp(-m.logs(np.uint32(context << 6) + np.arange(64, dtype=np.uint32))).sum()
-        assert total == pytest.approx(1)
+    """The probabilities of all symbols and one unknown after any context sum to one, and are those of a slow model."""
+    symbols = np.r_[np.zeros(4, np.uint32), [1, 2, 3, 1, 2, 3, 1, 1, 2, 2, 3, 3]].astype(np.uint32)
+    last = langid._last(symbols, np.flatnonzero(langid._scored(symbols)))
+    m = langid.Model(last, 5)
+
+    def slow(context, symbol):
+        grams = {n: Counter() for n in range(1, langid.ORDER + 1)}
+        grams[langid.ORDER] = Counter(tuple(r[::-1]) for r in last.tolist())
+        for n in range(langid.ORDER - 1, 0, -1):
+            grams[n] = Counter(g[1:] for g in grams[n + 1])
+        p = 1 / 5
+        for n in range(1, langid.ORDER + 1):
+            c = tuple(context[len(context) - n + 1 :])
+            seen = {g: k for g, k in grams[n].items() if g[:-1] == c}
+            if seen:
+                total = sum(seen.values())
+                p = max(seen.get((*c, symbol), 0) - 0.75, 0) / total + 0.75 * len(seen) / total * p
+        return p
+
+    for context in ([0, 0, 0, 0], [0, 0, 1, 2], [1, 2, 3, 1], [9, 9, 9, 3]):
+        got = np.exp(-m.logs(np.array([[x, *context[::-1]] for x in (0, 1, 2, 3, 77)], np.uint32)))
+        assert got.sum() == pytest.approx(1) and got == pytest.approx([slow(context, x) for x in (0, 1, 2, 3, 77)])
+
+
+def test_scripts_beyond_the_alphabet():
+    """Languages of thousands of characters beside alphabets: no letter is merged with another."""
+    rng = random.Random(9)
+    zipf = lambda first, n: chr(first + min(int(rng.expovariate(1 / 300)), n))
+    make = {
+        "zh": lambda: "".join(zipf(0x4E00, 20000) for _ in range(80)),
+        "ko": lambda: "".join(zipf(0xAC00, 11000) + " " * (rng.random() < 0.2) for _ in range(80)),
+        "ja": lambda: "".join(chr(0x3041 + rng.randrange(80)) if rng.random() < 0.6 else zipf(0x4E00, 20000) for _ in range(80)),
+        "ru": lambda: " ".join(rng.choice(["при", "ско", "нет"]) * 2 for _ in range(30)),
+        "hi": lambda: " ".join(rng.choice(["की", "में", "है"]) for _ in range(30)),
+        "en": lambda: " ".join(rng.choice(["the", "ing", "er"]) * 2 for _ in range(30)),
+    }
+    model = langid.fit([(k, f()) for k, f in make.items() for _ in range(60)])
+    tests = [(k, f()) for k, f in make.items() for _ in range(50)]
+    lang, _, rejected = model.predict([t for _, t in tests])
+    assert np.mean([a == k for a, (k, _) in zip(lang, tests)]) > 0.95 and rejected.mean() < 0.05
+
+
+def test_samples_reach_every_class(spark):
+    """Copies, nulls and long texts don't thin a class out; no class is left out for being small or one of many."""
+    rows = [("many", f"text {i}") for i in range(2000)] + [("copies", "same")] * 3000 + [("copies", f"other {i}") for i in range(20)] + [("nulls", None)] * 3000 + [("nulls", "one")]
+    rows += [("long", f"{i} " + "x" * 500) for i in range(5)] + [(f"c{i:03}", f"only {i}") for i in range(300)] + [(None, "no class")]
+    found = sample.bounded_sample(spark.createDataFrame(rows, "lang string, text string"), "lang", 30, max_chars=200)
+    by = Counter(k for k, _ in found)
+    assert 20 <= by["many"] <= 30 and by["copies"] == 21 and by["nulls"] == 1 and by["long"] == 5 and sum(k[0] == "c" and k != "copies" for k in by) == 300 and None not in by
+    assert all(len(t) <= 200 for _, t in found)
+    with pytest.raises(ValueError):
+        sample.bounded_sample(spark.createDataFrame(rows, "lang string, text string"), "lang", 30, most_classes=300)
 
 
 def test_held_out_languages(spark):
