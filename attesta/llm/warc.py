@@ -6,14 +6,18 @@ high byte of its length, zero below 16 MiB, so that byte is left out and the sep
 for it (a larger record is followed by an empty member, which ends in a zero byte).
 
 Reader: a task has a byte range of a file. It looks for the gzip magic, decodes the header behind each candidate
-to see whether a WARC record starts there, and owns the records that start inside its range, reading past the
-end for the last of them. Bytes of a record are streamed; nothing larger than one record is held.
+to see whether a WARC record starts there, and owns the members that start inside its range, reading past the
+end for the last of them. A member may hold one record or many (a file compressed as a whole is one member, read
+by one task). Versions 1.0 and 1.1 are read, header names in any case. Records are streamed: nothing larger than
+one record is held. A record whose payload is cut off or damaged is passed over, and the search goes on behind
+its magic.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,15 +31,21 @@ from attesta.store import new_path, table, written
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
-_CHUNK = 1 << 16
+#: A record's first line, whatever minor version it is of.
+_FIRST_LINE = re.compile(rb"WARC/1\.[0-9]{1,3}[ \t]*\r?\n")
+_CHUNK, _BLOCK = 1 << 16, 1 << 20
+#: Bytes that a record's headers may take.
+_HEADERS = 1 << 20
 _EMPTY = zlib.compressobj(6, zlib.DEFLATED, 31).flush()
 #: The alphabet of RFC 4648 base32 (fixed values).
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: The date of records that come with none: archives of the same rows are the same.
+DATE = "1970-01-01T00:00:00Z"
 
 
-def member(headers: dict[str, str], payload: bytes) -> bytes:
+def member(headers: dict[str, str], payload: bytes, version: bytes = VERSION) -> bytes:
     """One record as one gzip member."""
-    head = VERSION + "".join(f"{k}: {v}\r\n" for k, v in headers.items()).encode() + b"\r\n"
+    head = version + "".join(f"{k}: {v}\r\n" for k, v in headers.items()).encode() + b"\r\n"
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress(head + payload + b"\r\n\r\n") + packer.flush()
 
@@ -49,17 +59,18 @@ def _one_line(x: str | None) -> str:
     return "".join(c if c.isprintable() else f"%{ord(c):02X}" for c in x or "")
 
 
-def write_warc(records: DataFrame, path: str) -> None:
+def write_warc(records: DataFrame, path: str, date: str = DATE) -> None:
     """records (page_id long, url string, payload binary, digest string, record_type, refers_to long) -> files in path.
 
     A null payload is empty. Revisit records carry no payload but its digest, its length and the id referred to.
+    All records bear the given date.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for page, url, payload, sha, kind, refers in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "record_type", "refers_to")], strict=True):
                 payload = payload or b""
-                headers = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:page:{'' if page is None else page}>", "WARC-Target-URI": _one_line(url), "WARC-Payload-Digest": f"sha1:{sha}", "WARC-Payload-Length": str(len(payload))}
+                headers = {"WARC-Type": kind, "WARC-Date": date, "WARC-Record-ID": f"<urn:page:{'' if page is None else page}>", "WARC-Target-URI": _one_line(url), "WARC-Payload-Digest": f"sha1:{sha}", "WARC-Payload-Length": str(len(payload))}
                 if kind == "revisit":
                     headers |= {"WARC-Refers-To": f"<urn:page:{refers}>", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
                     payload = b""
@@ -73,92 +84,166 @@ def write_warc(records: DataFrame, path: str) -> None:
         rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
 
 
-class _File:
-    """A window over a file that moves forward."""
+class _Window:
+    """A file read block by block; the last block is kept, so records that follow each other share reads."""
 
-    def __init__(self, file: pa.NativeFile, at: int):
-        self.file, self.at, self.data = file, at, b""
-        file.seek(at)
+    def __init__(self, file: pa.NativeFile):
+        self.file, self.size, self.base, self.block = file, file.size(), 0, b""
+
+    def get(self, at: int, least: int = 1) -> bytes:
+        """Bytes from `at` on: at least so many unless the file ends before."""
+        if not self.base <= at <= self.base + len(self.block) - least and at < self.size:
+            self.file.seek(at)
+            self.base, self.block = at, self.file.read(_BLOCK)
+        return self.block[at - self.base : at - self.base + _CHUNK]
+
+
+class _Inflated:
+    """The bytes of one gzip member of a file, decompressed as they are asked for."""
+
+    def __init__(self, file: _Window, at: int):
+        self.file, self.at, self.unpack, self.data, self.raw, self.broken = file, at, zlib.decompressobj(31), bytearray(), b"", False
 
     def more(self) -> bool:
-        got = self.file.read(_CHUNK)
-        self.data += got
-        return bool(got)
-
-    def drop(self, n: int) -> None:
-        self.data, self.at = self.data[n:], self.at + n
-
-
-def _parse(decoded: bytes) -> tuple[dict[str, str], bytes]:
-    head, _, body = decoded[len(VERSION) :].partition(b"\r\n\r\n")
-    headers = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in head.decode("utf-8", "replace").split("\r\n"))
-    return headers, body[: int(headers.get("Content-Length", 0))]
-
-
-def _decode(view: _File) -> tuple[bytes, int] | None:
-    """The member at the window's start and its length; None if no whole WARC record starts there."""
-    unpack, parts, fed, total = zlib.decompressobj(31), [], 0, 0
-    try:
-        while not unpack.eof:
-            if fed == len(view.data) and not view.more():
-                return None
-            piece = view.data[fed : fed + _CHUNK]
-            out = unpack.decompress(piece)
-            fed += len(piece) - len(unpack.unused_data)
-            parts.append(out)
-            total += len(out)
-            if total >= len(VERSION) and not (b"".join(parts[:2]) if len(parts) < 3 else parts[0] + parts[1]).startswith(VERSION) and len(parts) < 3:
-                return None
-    except zlib.error:
-        return None
-    decoded = b"".join(parts)
-    return (decoded, fed) if decoded.startswith(VERSION) else None
+        """Decompress a piece more; False at the member's end, the file's end or damage (then `broken`)."""
+        while not self.unpack.eof and not self.broken:
+            if not self.raw:
+                self.raw = self.file.get(self.at) if self.at < self.file.size else b""
+                self.at += len(self.raw)
+                if not self.raw:
+                    self.broken = True
+                    return False
+            try:
+                out = self.unpack.decompress(self.raw, _CHUNK)
+            except zlib.error:
+                self.broken = True
+                return False
+            self.raw = self.unpack.unused_data if self.unpack.eof else self.unpack.unconsumed_tail
+            if out:
+                self.data += out
+                return True
+        return False
+
+    def upto(self, n: int) -> bool:
+        """Whether n bytes are there, after decompressing as much as that takes."""
+        while len(self.data) < n:
+            if not self.more():
+                return False
+        return True
+
+    def take(self, n: int) -> bytes:
+        out = bytes(self.data[:n])
+        del self.data[:n]
+        return out
+
+    @property
+    def end(self) -> int:
+        """Where in the file the bytes not yet decompressed begin."""
+        return self.at - len(self.raw)
+
+
+def _headers(view: _Inflated) -> dict[str, str] | None:
+    """The headers of the record at the front of the view, names in lower case; None if no record starts there."""
+    while not (first := _FIRST_LINE.match(view.data)):
+        if len(view.data) >= 32 or not view.more():
+            return None
+    searched = 0
+    while not (blank := re.compile(rb"\r?\n\r?\n").search(view.data, max(0, searched - 4))):
+        searched = len(view.data)
+        if searched > _HEADERS or not view.more():
+            return None
+    lines = view.take(blank.end())[first.end() : blank.start()].decode("utf-8", "replace").splitlines()
+    headers, name = {}, ""
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:  # goes on
+            headers[name] += " " + line.strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            name = name.strip().lower()
+            headers[name] = value.strip()
+    return headers
+
+
+def _member_records(view: _Inflated) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of a member; one of a length that is no number is passed over with the rest of the member."""
+    while True:
+        while view.data[:1] in (b"\r", b"\n"):
+            del view.data[:1]
+        if not view.data and not view.more():
+            return
+        if view.data[:1] in (b"\r", b"\n"):
+            continue
+        if (headers := _headers(view)) is None or not re.fullmatch("[0-9]{1,18}", headers.get("content-length", "")):
+            return
+        n = int(headers["content-length"])
+        if not view.upto(n):
+            return
+        yield headers, view.take(n)
 
 
 def records_in(fs: pa.fs.FileSystem, path: str, start: int, end: int) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and payload of each record that starts in [start, end)."""
-    with fs.open_input_file(path) as file:
-        view = _File(file, start)
-        while view.at < end:
-            if len(view.data) < len(MAGIC) and not view.more():
-                return
-            if not view.data.startswith(MAGIC):
-                at = view.data.find(MAGIC, 1)
-                keep = at if at >= 0 else max(1, len(view.data) - len(MAGIC) + 1)
-                view.drop(keep)
+    """Headers (names in lower case) and content of each record whose gzip member starts in [start, end)."""
+    with fs.open_input_file(path) as opened:
+        file, at = _Window(opened), start
+        while at < min(end, file.size):
+            here = file.get(at, len(MAGIC))
+            if (found := here.find(MAGIC)) < 0:
+                at += max(1, len(here) - len(MAGIC) + 1)
                 continue
-            if (got := _decode(view)) is None:
-                view.drop(1)
-                continue
-            yield _parse(got[0])
-            view.drop(got[1])
+            at += found
+            if at >= end:
+                return
+            view, some = _Inflated(file, at), False
+            for record in _member_records(view):
+                some = True
+                yield record
+            if some and not view.broken:
+                while view.more():  # what follows the last record in its member
+                    view.data.clear()
+            at = view.end if some and not view.broken else at + 1
 
 
 def _page(uri: str | None) -> int | None:
-    number = (uri or "")[len("<urn:page:") : -1]
-    return int(number) if number else None
+    """The number of an id of ours; ids of other writers have none."""
+    own = re.fullmatch("<urn:page:(-?[0-9]{1,19})>", uri or "")
+    return int(own[1]) if own else None
+
+
+def _row(headers: dict[str, str], body: bytes) -> tuple:
+    """A record as read_warc has it."""
+    get, kind = headers.get, headers.get("warc-type", "").lower()
+    if get("content-type", "").lower().replace(" ", "").startswith("application/http"):
+        body = body.partition(b"\r\n\r\n")[2]  # the payload is what follows the HTTP headers
+    length, sha = get("warc-payload-length", ""), get("warc-payload-digest", "")
+    if kind == "revisit":
+        n, sha = int(length) if re.fullmatch("[0-9]{1,18}", length) else None, sha[5:] if sha.lower().startswith("sha1:") else None
+    else:
+        n, sha = len(body), digest(body)
+    return _page(get("warc-record-id")), get("warc-target-uri"), kind, _page(get("warc-refers-to")), body, n, sha, get("warc-record-id"), get("warc-date")
 
 
 def read_warc(spark: SparkSession, path: str, split: int = 8 << 20, most_tasks: int = 100_000) -> DataFrame:
-    """The records of all archives below path: page_id, url, record_type, refers_to, payload, payload_bytes, payload_digest.
+    """The records of all archives below path: page_id, url, record_type, refers_to, payload, payload_bytes,
+    payload_digest, record_id, date.
 
-    payload is what the record holds (empty for revisits); bytes and digest are those of the full payload:
-    counted and hashed anew from what was read where the record holds it, from the header where it doesn't.
+    payload is what the record holds, without HTTP headers (empty for revisits of ours); bytes and digest are those
+    of the full payload: counted and hashed anew from what was read, for revisits from the header, null where it
+    has none. page_id and refers_to are null where ids are not numbers of ours; a missing header is null too.
+    Folders without archives and empty files give no rows; repeated records come as often as they are there.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
     tasks = min(most_tasks, files.agg(F.sum(F.ceil(F.col("length") / split))).first()[0] or 1)
     ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split).cast("long"))).alias("start"), "length").withColumn("end", F.least(F.col("start") + split, "length"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest"]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
+        names = ["page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest", "record_id", "date"]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string()]
         for batch in batches:
             for at in batch.to_pylist():
                 fs, where = pa.fs.FileSystem.from_uri(at["path"])
                 rows, held = [], 0
-                for h, body in records_in(fs, where, at["start"], at["end"]):
-                    full = h["WARC-Type"] == "response"
-                    rows.append((_page(h["WARC-Record-ID"]), h["WARC-Target-URI"], h["WARC-Type"], _page(h.get("WARC-Refers-To")), body, len(body) if full else int(h["WARC-Payload-Length"]), digest(body) if full else h["WARC-Payload-Digest"].removeprefix("sha1:")))
+                for headers, body in records_in(fs, where, at["start"], at["end"]):
+                    rows.append(_row(headers, body))
                     held += len(body)
                     if held > 1 << 22 or len(rows) >= 2000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
@@ -166,7 +251,7 @@ def read_warc(spark: SparkSession, path: str, split: int = 8 << 20, most_tasks:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return ranges.repartition(tasks, "path", "start").mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
+    return ranges.repartition(tasks, "path", "start").mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, record_id string, date string")
 
 
 def base32_sha1(payload: F.Column) -> F.Column:
@@ -197,6 +282,7 @@ def as_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives and read back; awkward rows as in as_records."""
     path = new_path(spark, "warc")
     write_warc(as_records(table(spark, sf_dir, "pages")), path)
     return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

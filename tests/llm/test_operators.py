@@ -484,7 +484,53 @@ def test_warc_ranges(tmp_path):
     fs = pyarrow.fs.LocalFileSystem()
     for step in (1000, 7777, len(data)):
         got = [r for a in range(0, len(data), step) for r in warc.records_in(fs, str(tmp_path / "f"), a, min(a + step, len(data)))]
-        assert [h["WARC-Record-ID"] for h, _ in got] == [f"<urn:page:{i}>" for i in range(60)] and [b for _, b in got] == bodies
+        assert [h["warc-record-id"] for h, _ in got] == [f"<urn:page:{i}>" for i in range(60)] and [b for _, b in got] == bodies
+
+
+def test_foreign_archives(spark, tmp_path):
+    """Version 1.0, ids of other kinds, warcinfo, headers missing, folded or in other case, whole-file gzip, cut-off ends."""
+    import gzip
+
+    body = b"<html>\xc3\xbc</html>"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+
+    def record(kind, block, *more, version=b"WARC/1.0"):
+        return version + b"\r\n" + b"\r\n".join([b"WARC-Type: " + kind, *more, b"Content-Length: %d" % len(block)]) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    uuid = b"<urn:uuid:5b63a5f8-1c40-4c6e-9f0b-4f5e5a0e6b11>"
+    records = [
+        record(b"warcinfo", b"software: x\r\n", b"WARC-Record-ID: " + uuid, b"WARC-Date: 2020-01-02T03:04:05Z"),
+        record(b"response", http, b"warc-record-id: " + uuid, b"WARC-TARGET-URI: http://e.org/a", b"Content-Type: application/http; msgtype=response"),
+        record(b"request", b"GET / HTTP/1.1\r\nHost: e.org\r\n\r\n", b"WARC-Target-URI: http://e.org/", b"  b", b"Content-Type: application/http"),
+        record(b"revisit", b"", b"WARC-Record-ID: <urn:page:12>", b"WARC-Refers-To: " + uuid, version=b"WARC/1.1"),
+        record(b"resource", body * 20_000, version=b"WARC/1.1"),
+    ]
+    one, whole, cut, plain = tmp_path / "members", tmp_path / "whole", tmp_path / "cut", tmp_path / "plain"
+    for d in (one, whole, cut, plain):
+        d.mkdir()
+    (one / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (whole / "a.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (cut / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records))[:-50])
+    (plain / "a.gz").write_bytes(gzip.compress(b"no archive at all " * 5000))
+    (plain / "empty").write_bytes(b"")
+    want = Counter([("warcinfo", None, None, 13, None), ("response", None, "http://e.org/a", len(body), None), ("request", None, "http://e.org/ b", 0, None), ("revisit", 12, None, None, None), ("resource", None, None, len(body) * 20_000, None)])
+    for d, lost in ((one, 0), (whole, 0), (cut, 1), (plain, 5)):
+        for split in (200, 8 << 20):
+            got = warc.read_warc(spark, str(d), split=split).collect()
+            rows = Counter((r["record_type"], r["page_id"], r["url"], r["payload_bytes"], r["refers_to"]) for r in got)
+            assert sum(rows.values()) == 5 - lost and not rows - want
+            assert all(r["payload_digest"] == base64.b32encode(hashlib.sha1(bytes(r["payload"])).digest()).decode() for r in got if r["record_type"] != "revisit")
+    assert {r["date"] for r in warc.read_warc(spark, str(one)).collect()} == {"2020-01-02T03:04:05Z", None}
+
+
+def test_cut_off_members_are_not_held(tmp_path):
+    """A record cut off at the end of a file and false magics cost one pass each, not a buffer of the rest."""
+    import pyarrow.fs
+
+    rng = random.Random(3)
+    last = warc.member({"WARC-Type": "response", "Content-Length": str(1 << 40)}, rng.randbytes(3 << 20))
+    (tmp_path / "f").write_bytes((warc.MAGIC + b"\0" * 7) * 2000 + last[:-9])
+    assert list(warc.records_in(pyarrow.fs.LocalFileSystem(), str(tmp_path / "f"), 0, 4 << 20)) == []
 
 
 def test_warc_round_trip(spark, tmp_path):
