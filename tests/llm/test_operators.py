@@ -301,6 +301,55 @@ def test_neighbours(spark):
     assert ann.search(none, none, ann.fit_lists(none)).count() == 0
 
 
+def test_adaptive_scan_abandons(spark):
+    """At 64 dimensions most pairs are dropped before their last block, and the result is still brute force's."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((20, 64))
+    x = centres[rng.integers(0, 20, 4000)] + 0.5 * rng.standard_normal((4000, 64))
+    ids = np.arange(4000)
+    asked = ids[::40]
+    own, found, far, left = ann.nearest_in(ids, x, asked, x[asked], np.linalg.qr(rng.standard_normal((64, 64)))[0], 10)
+    assert left[0] == 4000 * 100 and left[0] > left[1] > left[2] > left[3] > left[4] and left[1] < 0.4 * left[0] and left[-1] < 0.05 * left[0]
+    hit = 0
+    for i in asked:
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        hit += len(set(found[own == i]) & set(np.argsort(d)[:10]))
+        assert far[own == i] == pytest.approx(d[found[own == i]]) and (np.diff(far[own == i]) >= 0).all()
+    assert hit >= 0.98 * 1000
+    twice = ann.nearest_in(np.r_[ids, ids], np.r_[x, x + 0.01], asked, x[asked], np.eye(64), 10)
+    assert all(len(set(twice[1][twice[0] == i])) == 10 for i in asked)
+    few = ann.nearest_in(ids[:4], x[:4], ids[:1], x[:1], np.eye(64), 10)
+    assert sorted(few[1]) == [1, 2, 3]
+
+
+def test_every_dimension_is_searched(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in rng.standard_normal(8 if i % 10 else 3)], 0) for i in range(3000)]
+    v = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    index = ann.fit_lists(v, sample=500)
+    assert set(index) == {3, 8}
+    out = ann.search(v, v.where("vec_id % 75 = 0"), index).toPandas()
+    hit = 0
+    for q in range(0, 3000, 75):
+        other = [i for i, x, _ in rows if len(x) == len(rows[q][1]) and i != q]
+        d = np.sqrt(((np.array([rows[i][1] for i in other], np.float32).astype(float) - np.array(rows[q][1], np.float32).astype(float)) ** 2).sum(1))
+        hit += len(set(out[out.query_id == q].vec_id) & set(np.array(other)[np.argsort(d)[:10]]))
+    assert len(out) == 400 and hit >= 0.9 * 400
+
+
+def test_recall_on_the_table(spark):
+    path = DATA.replace("0.001", "0.1")
+    out = ann.op5_ann(spark, path).toPandas()
+    v = ann.usable(spark.read.parquet(f"{path}/embeddings.parquet")).toPandas()
+    ids, x, hit = v.vec_id.to_numpy(), np.stack(v.embedding), 0
+    for q, own in out.groupby("query_id"):
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        hit += (own.score <= np.sort(d)[9] + 1e-9).sum()
+    assert len(out) == 10 * (ids % 100 == 0).sum() and hit >= 0.9 * len(out)
+
+
 # 6
 
 
