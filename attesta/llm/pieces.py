@@ -9,7 +9,9 @@ sequence of pieces is the encoding exactly where each neighbouring pair is (the
 pair), so a step to a piece counts only where it fits the last piece of the path it extends. Whether two pieces
 fit is settled once a pair, by replaying the merges inside both, and kept.
 
-Words end before a space mark that follows another character, which no piece may cross (checked on loading).
+Words end before a space mark that follows another character, which no piece may cross (checked on loading). A
+very long word of a BPE model is cut into overlapping chunks that advance together; two neighbours are joined at
+a place where both have a seam and the pieces beside it fit, which by the above makes the whole the encoding.
 """
 
 from __future__ import annotations
@@ -37,6 +39,9 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 CACHED = 700_000
 #: Words of one length that advance together.
 TOGETHER = 8192
+#: Words longer than LONG are cut: a chunk begins every STRIDE characters (a multiple of common periods, so that
+#: repeated patterns keep step) and ends OVERLAP behind the next one's beginning.
+LONG, STRIDE, OVERLAP = 1024, 720, 64
 #: Bits of the table of pairs of pieces kept with whether they fit.
 PAIR_BITS = 21
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -222,8 +227,8 @@ class Pieces:
                 total[i, who], last[i, who], back[i, who] = score[better], ids, n
         return last, back
 
-    def _paths(self, last: np.ndarray, back: np.ndarray, words: list[str]) -> list[bytes]:
-        """The ids along the backpointers, all words walking back together."""
+    def _paths(self, last: np.ndarray, back: np.ndarray, words: list[str], spell: bool = True) -> list[bytes]:
+        """The ids along the backpointers, all words walking back together; unknown characters as `size` unless spelled."""
         width, rows = last.shape[0] - 1, np.arange(len(words))
         ids, count, at = np.zeros((len(words), width), "<i4"), np.zeros(len(words), np.int64), np.full(len(words), width)
         odd = np.zeros(len(words), bool)
@@ -239,7 +244,7 @@ class Pieces:
                     break
         flat, row = ids.tobytes(), 4 * width
         out = [flat[(r + 1) * row - 4 * n : (r + 1) * row] for r, n in enumerate(count.tolist())]
-        for r in np.flatnonzero(odd).tolist():
+        for r in np.flatnonzero(odd & spell).tolist():
             out[r] = self._spelled(ids[r, width - count[r] :].tolist(), words[r])
         return out
 
@@ -258,8 +263,8 @@ class Pieces:
             at += 1
         return np.array(out, "<i4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Put the ids of these words (with their leading space mark) into the cache."""
+    def _learn(self, words: list[str], into: dict[str, bytes], spell: bool = True) -> None:
+        """Put the ids of these words (with their leading space mark) into a cache."""
         by_length: dict[int, list[str]] = {}
         for w in words:
             by_length.setdefault(len(w), []).append(w)
@@ -268,7 +273,43 @@ class Pieces:
             for start in range(0, len(same), step):
                 group = same[start : start + step]
                 points = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(group), width).T.astype(np.uint64)
-                self.words.update(zip(group, self._paths(*self._best(points), group), strict=True))
+                into.update(zip(group, self._paths(*self._best(points), group, spell), strict=True))
+
+    def _long(self, word: str) -> bytes:
+        """The ids of a very long word, from chunks joined where neighbours agree on a seam."""
+        starts = list(range(0, len(word) - OVERLAP, STRIDE))
+        ends = [*(s + OVERLAP for s in starts[1:]), len(word)]
+        known: dict[str, bytes] = {}
+        self._learn(list({word[a:b] for a, b in zip(starts, ends, strict=True)}), known, False)
+        sizes = np.array([*map(len, self.names), 1])
+
+        def cut(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+            """The pieces of a part of the word, and where each ends."""
+            if (part := word[a:b]) not in known:
+                self._learn([part], known, False)
+            ids = np.frombuffer(known[part], "<i4").astype(np.int64)
+            return ids, a + np.cumsum(sizes[ids])
+
+        joined, base, first, k = [], 0, 0, 1
+        ids, to = cut(starts[0], ends[0])
+        while k < len(starts):
+            after, to_after = cut(starts[k], ends[k])
+            seams, i, j = np.intersect1d(to[:-1], to_after[:-1], assume_unique=True, return_indices=True)
+            fit = np.flatnonzero(self._fit(ids[i], after[j + 1])) if len(seams) else seams
+            if len(fit):
+                at = fit[np.abs(seams[fit] - starts[k] - OVERLAP // 2).argmin()]
+                joined.append(ids[: i[at] + 1])
+                ids, to, base, first = after[j[at] + 1 :], to_after[j[at] + 1 :], int(seams[at]), k
+                k += 1
+                continue
+            # no seam: this and as many chunks more as lie behind the last one are encoded as one
+            k = min(len(starts), 2 * k - first + 1)
+            ids, to = cut(base, ends[k - 1])
+            while joined and not self._fit(joined[-1][-1:], ids[:1])[0]:
+                base -= int(sizes[joined.pop()].sum())
+                ids, to = cut(base, ends[k - 1])
+        whole = np.concatenate([*joined, ids])
+        return self._spelled(whole.tolist(), word) if (whole == self.size).any() else whole.astype("<i4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text as little-endian 32-bit integers; none for a null or empty text."""
@@ -288,8 +329,13 @@ class Pieces:
         if len(self.words) > CACHED:
             self.words.clear()
         new = {w for words in split for w in words if w not in self.words}
-        self._learn(list(new))
+        long = {w: b"" for w in new if len(w) > LONG and self.kind == BPE}
+        self._learn([w for w in new if w not in long], self.words)
         get = self.words.__getitem__
+        if long:  # not cached: they may be as large as a text
+            for w in long:
+                long[w] = self._long(w)
+            get = lambda w: long[w] if w in long else self.words[w]
         return [b"".join(map(get, words)) for words in split]
 
     def decode(self, ids: bytes) -> str:
@@ -312,7 +358,8 @@ def encode_documents(docs: DataFrame, model: Pieces) -> DataFrame:
 
     Null and empty texts have no ids. decoded_crc32 is of the UTF-8 of the ids decoded again, round_trip whether
     that is the text itself (a text that holds the space mark itself comes back with a space, as the
-    model's format has it). Columns of the input with one of the new names are replaced.
+    model's format has it). Columns of the input with one of the new names are replaced. Texts of any length, also
+    without a space, are encoded whole; equal texts get equal ids; an empty table gives an empty one.
     """
     docs = docs.drop("token_ids", "n_tokens", "decoded_crc32", "round_trip")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the model file
@@ -345,4 +392,5 @@ def decode_documents(rows: DataFrame, model: Pieces) -> DataFrame:
 
 
 def op1_sentencepiece(spark, sf_dir: str, path: str = MODEL) -> DataFrame:
+    """Token ids of every whole document and their round trip; awkward rows as in encode_documents."""
     return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), load(path)).select("doc_id", "n_tokens", "token_ids", F.col("decoded_crc32"), "round_trip")

@@ -63,6 +63,25 @@ def test_encoding_is_the_library_s(model):
     assert [model.decode(np.array(x, "<i4").tobytes()) for x in got] == sp.decode(got)
 
 
+def test_unbroken_text_is_cut_exactly(model):
+    """Words far longer than a chunk, random, periodic and of other scripts: the library's ids, in time that grows with length."""
+    import time
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = random.Random(5)
+    texts = [base64.b64encode(rng.randbytes(6000)).decode(), "".join(chr(0x4E00 + int(rng.expovariate(1 / 800))) for _ in range(4000)), "日本語" * 1500 + "x🎉" * 300]
+    texts += [c * (3000 // len(c)) for c in ("=", "x", "=-", "abc", "\n", "é", "lorem")]
+    texts += ["".join(rng.choice("ATGC") for _ in range(n)) for n in (pieces.LONG - 2, pieces.LONG - 1, pieces.LONG, 1508, 1509, 2229)]
+    for t in texts:
+        ids = model.encode(t)
+        assert np.frombuffer(ids, "<i4").tolist() == sp.encode(t) and model.decode(ids) == t
+    began = time.perf_counter()
+    model.encode(base64.b64encode(rng.randbytes(300_000)).decode())
+    assert time.perf_counter() - began < 30  # character by character: over a minute and a half
+
+
 def _varint(n):
     out = b""
     while n > 127:
