@@ -74,19 +74,20 @@ def _chosen(key: Column, bounds: list[int], low: int = 0) -> Column:
     return F.when(key < F.lit(bounds[mid]).cast("long"), _chosen(key, bounds[:mid], low)).otherwise(_chosen(key, bounds[mid + 1 :], low + mid + 1))
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, tolerance: float = 0.002, lanes: int = 64) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, tolerance: float = 0.002, lanes: int | None = None) -> DataFrame:
     """docs (doc_id, text, ...) -> its columns and shard_size, text_crc32, shard, slot (law: bytes).
 
     Sizes are UTF-8 bytes of the text plus 8 (null text: 8). Slots run gapless from 0 in each shard. Null
     ids and texts, empty texts, repeated rows and empty tables are sharded like any other; columns of the
-    input that carry one of the new names are replaced. lanes: sub-ranges of a shard that number their
-    rows side by side.
+    input that carry one of the new names are replaced. lanes: parts of a shard that number their rows side by
+    side; one for every 200,000 rows of a mean shard, at least 64, unless given.
     """
     own = ("shard_size", "text_crc32", "shard", "slot", "key", "lane")
     docs = docs.drop(*own)
     keyed = docs.select("*", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("shard_size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), order_key(F.col("text"), F.col("doc_id")).alias("key"))
     narrow = written(keyed.select("doc_id", "key", "text_crc32", F.col("shard_size").alias("size")), "shard-keys")
     bounds = find_splitters(narrow, shards, tolerance)
+    lanes = lanes or max(64, -(-narrow.count() // (200_000 * shards)))
     lane = lambda size: F.pmod(F.xxhash64("doc_id", "text_crc32", size), F.lit(lanes)).cast("int")
     counts = narrow.select(_chosen(F.col("key"), bounds).alias("shard"), lane("size").alias("lane")).groupBy("shard", "lane").count().collect()
     first: dict[tuple[int, int], int] = {}
@@ -98,9 +99,10 @@ def shard_documents(docs: DataFrame, shards: int = 24, tolerance: float = 0.002,
     base = docs.sparkSession.createDataFrame([(s, b, n) for (s, b), n in first.items()] or [(0, 0, 0)], "shard int, lane int, base long")
     placed = keyed.withColumn("shard", _chosen(F.col("key"), bounds)).withColumn("lane", lane("shard_size"))
     ranked = placed.withColumn("slot", F.row_number().over(Window.partitionBy("shard", "lane").orderBy("key", "doc_id", "text_crc32")) - 1)
-    # base: at most shards * lanes rows
+    # base: at most shards * lanes rows, one for 200,000 documents beyond the least
     return ranked.join(F.broadcast(base), ["shard", "lane"]).withColumn("slot", (F.col("slot") + F.col("base")).cast("long")).drop("key", "lane", "base")
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of nearly equal bytes; awkward rows as in shard_documents."""
     return shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("shard_size").alias("size"), "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
