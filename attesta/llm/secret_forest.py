@@ -7,6 +7,10 @@ the trees are grown.
 
 from __future__ import annotations
 
+import base64
+import re
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +32,10 @@ CANDIDATE = "|".join([
     r"(?<![A-Za-z0-9_+/-])(?![A-Za-z_][A-Za-z0-9_]*+=[A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}+",
 ])
 
-#: Words that names and paths are made of.
-DICTIONARY = "access account address admin api app archive article asset auth author backup beta bin book build cache card catalog chapter chart check class client cloud code commit config content copy count course customer data date debug default demo design doc document download draft edit element email entry error event example export field file final first folder form format get group guide handle hash header home host icon identifier image img import index info input invoice item key lib library link list local log login main map master media menu message meta mobile model module month name news node note number object old online option order page panel parse part path photo plan platform policy post price private process product profile project public query random read record release remote report request resource response result review root route sample schema score screen script search section secret segment select server service session set setting sheet shop site size source stage start state static status store string style submit summary support system tab table tag target task team temp template test text theme thread time title token tool topic track type update upload url user util value version video view volume web week widget window word year".split()
+#: A vocabulary whose words serve as the dictionary: a line a token, base64 and rank.
+VOCABULARY, RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken", 20_000
+#: Words that the labelled findings are made of, besides those of the vocabulary.
+NAMES = "access account admin archive article asset backup build cache catalog chapter client cloud commit config content course customer default design document download entry event example export field folder format gateway group handle header image import index input invoice item library list local login master media member module month network number object order output package page panel payment photo plan platform policy post price private process product profile project query random reader record release remote report request resource response result review route sample schema score screen script search section server service session setting shop sheet site source stage state storage store stream style submit summary support system table target task team template theme thread title topic track update upload user value version video view volume web week widget window writer year".split()
 #: Common letter pairs of running text.
 PAIRS = "th he in er an re on at en nd es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
 #: Prefixes that issuers give their keys (fixed values).
@@ -47,13 +53,16 @@ FEATURES = {
     "changes": "regexp_count(@c, '(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[a-z])(?=[A-Z])') / length(@c)",
     "pairs": "regexp_count(lower(@c), '" + "|".join(PAIRS) + "') / length(@c)",
     "distinct": "size(array_distinct(split(@c, ''))) / length(@c)",
-    "covered": "1 - length(regexp_replace(lower(@c), '" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))) + "', '')) / length(@c)",
+    "covered": "aggregate(filter(regexp_extract_all(@c, '[A-Z]?[a-z]+|[A-Z]+(?![a-z])', 0), r -> lower(r) in (@w)), 0, (n, r) -> n + length(r)) / length(@c)",
+    "run": r"cast(@c rlike '(.)\\1{4,}' as double)",
     "slashes": "cast(regexp_count(@c, '/') + if(@b rlike '[/.]$', 1, 0) as double)",
     "extension": r"cast(@a rlike '^\\.[A-Za-z]{2,5}\\b' as double)",
     "parts": "cast(regexp_count(@c, '[_-]') as double)",
     "prefix": "cast(" + " or ".join(f"startswith(@c, '{p}')" for p in PREFIXES) + " as double)",
     "keyed": "cast(@b rlike '" + _KEYS.replace("\\", "\\\\") + r"\\W{0,12}$' as double)",
     "benign": "cast(@b rlike '" + _BENIGN.replace("\\", "\\\\") + r"\\W{0,12}$' as double)",
+    "key_near": "cast(@b rlike '" + _KEYS.replace("\\", "\\\\") + "' as double)",
+    "benign_near": "cast(@b rlike '" + _BENIGN.replace("\\", "\\\\") + "' as double)",
     "assigned": r"cast(@b rlike '[:=]\\s{0,4}[\"\\x27]?$' as double)",
     "login": r"cast(@b rlike '://[^\\s:/@]*:$' and startswith(@a, '@') as double)",
     "symbols": r"regexp_count(@c, '[^A-Za-z0-9]') / length(@c)",
@@ -118,24 +127,66 @@ _SHAPES = [
     (0, "concat('version = ')", "concat('release-', substr(n, 1, 2), '-', substr(n, 3, 2), '-', substr(n, 5, 6))", "' '"),
     (0, "'isbn: '", "concat('978', substr(n, 1, 10), '-', substr(n, 2, 4))", "' '"),
     (0, "concat(w, ' auth ')", "concat(w, '-', v, '-service-module-', substr(n, 1, 3))", "' '"),
+    (1, "concat('CLIENT_', upper(w), '_SECRET: ')", "translate(substr(s, 2, 32), '+/', 'xQ')", "concat('\\n', v)"),
+    (1, "concat('curl -u ', w, ' -H \"X-Auth-Token: ')", "substr(h, 3, 32)", "'\" '"),
+    (1, "concat('{\"', w, '_password\": \"')", "concat(substr(translate(s, '+/', '#!'), 1, 14), substr(n, 1, 1))", "'\"}'"),
+    (1, "'slack '", "concat('xoxb-', substr(n, 1, 11), '-', translate(substr(s, 1, 24), '+/', 'aZ'))", "concat(' ', v)"),
+    (1, "concat(w, ' pwd=')", "concat(substr(translate(s, '+/', '@$'), 1, 10), substr(n, 3, 2))", "concat('; ', v)"),
+    (1, "concat('the private key ', w, ': ')", "substr(h, 1, 40)", "concat(' ', v)"),
+    (1, "concat('ftp://', w, ':')", "concat(w, substr(n, 1, 3), '!', substr(s, 1, 3))", "'@files.example.org/'"),
+    (0, "concat('see https://example.org/', w, '/')", "concat('blob/', substr(h, 1, 40))", "concat('/', v, '.md')"),
+    (0, "concat('src=\"')", "concat('/static/', w, '/', v, '.', substr(h, 1, 8))", "'.js\"'"),
+    (0, "'image: app@sha256:'", "concat(h, substr(h, 1, 24))", "concat('\\n', v)"),
+    (0, "concat('cp ')", "concat('/var/', w, '/', v, '/', substr(n, 1, 8), '/', w)", "'.tar.gz '"),
+    (0, "concat('import ')", "concat(w, '_', v, '_', w, '_v', substr(n, 1, 1))", "' as x'"),
+    (0, "concat(w, ' = new ')", "concat(initcap(w), initcap(v), 'Factory', initcap(w), substr(n, 1, 1))", "'()'"),
+    (0, "concat('class=\"')", "concat(w, '-', v, '--', w, '-col-', substr(n, 1, 2))", "'\"'"),
+    (0, "concat('tel ')", "concat('+', substr(n, 1, 4), '-', substr(n, 5, 4), '-', substr(n, 9, 6))", "concat(' ', v)"),
+    (0, "concat('date ')", "concat('2024-', substr(n, 1, 2), '-', substr(n, 3, 2), 'T', substr(n, 5, 6), '+0000')", "concat(' ', v)"),
+    (0, "concat('token: ')", "concat('XXXXXXXXXXXX', substr(n, 1, 4))", "concat(' ', v)"),
+    (0, "concat('api_key = \"')", "concat('your-', v, '-key-here')", "'\"'"),
+    (0, "concat('password=')", "concat('0000000000', substr(n, 1, 1))", "' '"),
+    (0, "concat('tree ')", "concat(substr(h, 1, 2), '/', substr(h, 3, 2), '/', substr(h, 5, 36))", "concat(' ', v)"),
+    (0, "concat('doi 10.1000/')", "concat(w, '.', substr(n, 1, 4), '.', substr(n, 5, 6), '/', v, '-', substr(n, 1, 4))", "concat(' ', v)"),
+    (0, "concat('integrity=\"')", "concat('sha384-', s, substr(s, 1, 20))", "'\" crossorigin'"),
+    (0, "concat('fingerprint ')", "concat('SHA256/', s)", "concat('\\n', v)"),
+    (0, "concat('ETag: \"')", "concat(substr(h, 1, 32), '-', substr(n, 1, 2))", "'\"'"),
 ]
 
 
-def features_sql(of: str = "") -> dict[str, str]:
-    """The features with a, b and c as columns, or as fields of a struct `of`."""
-    return {name: f"cast({sql.replace('@', of)} as double)" for name, sql in FEATURES.items()}
-
-
-def labelled_findings(spark: SparkSession, each: int = 120) -> DataFrame:
-    """each texts of every shape, split as the scan splits: a row (b, c, a, label) for each candidate in its finding."""
-    n = len(DICTIONARY[::3])
-    words = "array(" + ", ".join(f"'{w}'" for w in DICTIONARY[::3]) + ")"
-    of = lambda part: "case id % " + str(len(_SHAPES)) + " " + " ".join(f"when {i} then {x[part]}" for i, x in enumerate(_SHAPES)) + " end"
-    base = spark.range(each * len(_SHAPES)).selectExpr("id", "sha1(cast(id as string)) h", "substr(base64(unhex(sha2(cast(id as string), 256))), 1, 43) s", "substr(translate(sha2(concat('n', id), 256), 'abcdef', '318064'), 1, 16) n", f"element_at({words}, cast(pmod(xxhash64(id), {n}) + 1 as int)) w", f"element_at({words}, cast(pmod(xxhash64(id, 1), {n}) + 1 as int)) v")
-    texts = base.selectExpr(f"concat({of(1)}, {of(2)}, {of(3)}) text", f"{of(2)} finding", f"cast({of(0)} as double) label")
+@lru_cache
+def dictionary(path: str = VOCABULARY, ranks: int = RANKS) -> tuple[str, ...]:
+    """The words of four letters and more among the vocabulary's first ranks: tokens that begin a word and are all letters."""
+    words = set()
+    with open(path, "rb") as f:
+        for line in f:
+            token, rank = line.split()
+            if int(rank) < ranks and (word := re.fullmatch(b" ([A-Z]?[a-z]{3,})", base64.b64decode(token))) and len(word[1]) > 3:
+                words.add(word[1].decode().lower())
+    return tuple(sorted(words))
+
+
+def features_sql(of: str = "", words: tuple[str, ...] | None = None) -> dict[str, str]:
+    """The features with a, b and c as columns, or as fields of a struct `of`; words: the dictionary, or the vocabulary's."""
+    known = ", ".join(f"'{w}'" for w in (words or dictionary()))
+    return {name: f"cast({sql.replace('@w', known).replace('@', of)} as double)" for name, sql in FEATURES.items()}
+
+
+def labelled_findings(spark: SparkSession, each: int = 120, shapes: list[int] | None = None, first: int = 0) -> DataFrame:
+    """each texts of every shape (or of these only), split as the scan splits: a row (shape, b, c, a, label) for each
+    candidate in its finding. Texts are made from numbers from `first` on: other numbers, other texts."""
+    chosen = list(range(len(_SHAPES))) if shapes is None else shapes
+    words = "array(" + ", ".join(f"'{w}'" for w in NAMES) + ")"
+    of = lambda part: f"case id % {len(chosen)} " + " ".join(f"when {i} then {_SHAPES[k][part]}" for i, k in enumerate(chosen)) + " end"
+    start = first * len(chosen)
+    word = lambda seed: f"element_at({words}, cast(pmod(xxhash64(id, {seed}), {len(NAMES)}) + 1 as int))"
+    base = spark.range(start, start + each * len(chosen)).selectExpr("id", "sha1(cast(id as string)) h", "substr(base64(unhex(sha2(cast(id as string), 256))), 1, 43) s", "substr(translate(sha2(concat('n', id), 256), 'abcdef', '318064'), 1, 16) n", f"{word(0)} w", f"{word(1)} v")
+    texts = base.selectExpr(f"element_at(array({', '.join(map(str, chosen))}), cast(id % {len(chosen)} + 1 as int)) shape", f"concat({of(1)}, {of(2)}, {of(3)}) text", f"{of(2)} finding", f"cast({of(0)} as double) label")
+    # bounded by each x shapes; made rows again, or Spark would write the shapes' rules out for every later use of a text
+    texts = spark.createDataFrame(texts.collect(), texts.schema)
     texts = texts.withColumn("cands", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).withColumn("parts", F.split("text", CANDIDATE, -1))
-    rows = texts.where(F.size("cands") > 0).selectExpr("finding", "label", f"inline(transform(cands, (c, i) -> named_struct('b', right(parts[i], {BEFORE}), 'c', c, 'a', left(parts[i + 1], {AFTER}))))")
-    return rows.where("contains(finding, c) or contains(c, finding)").select("b", "c", "a", "label")
+    rows = texts.where(F.size("cands") > 0).selectExpr("shape", "finding", "label", f"inline(transform(cands, (c, i) -> named_struct('b', right(parts[i], {BEFORE}), 'c', c, 'a', left(parts[i + 1], {AFTER}))))")
+    return rows.where("contains(finding, c) or contains(c, finding)").select("shape", "b", "c", "a", "label")
 
 
 def _tree(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, tried: int, least: int) -> tuple | float:
@@ -188,7 +239,8 @@ def as_sql(forest: list, f: str = "f") -> str:
     return "(" + " + ".join(node(t) for t in forest) + f") / {len(forest)}D"
 
 
-def fit_forest(spark: SparkSession, each: int = 120) -> list:
-    rows = labelled_findings(spark, each).selectExpr("label", *[f"{sql} as {name}" for name, sql in features_sql().items()]).collect()
+def fit_forest(spark: SparkSession, each: int = 120, shapes: list[int] | None = None) -> list:
+    """The forest over `each` findings of every shape (or of these only)."""
+    rows = labelled_findings(spark, each, shapes).selectExpr("label", *[f"{sql} as {name}" for name, sql in features_sql().items()]).collect()
     data = np.array([list(r) for r in rows])
     return grow(data[:, 1:], data[:, 0])

@@ -18,7 +18,7 @@ from attesta.llm import ann, crf, langid, mixing, pieces, queries, rules, sample
 from tests.oracle import connection, rows_of, rows_of_sql
 
 DATA = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, fp string, token_ids string, size int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, fp string, token_ids string, size int, secrets int, masked int, n_candidates string, quality_score string, n_words string, kept string, lang_pred int, lang_score string, label string, list string, part string, of string, text_key string, component_id string, wordless string, share string, k string, u string"
 LONG = "word " * 60_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -26,7 +26,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def awkward(spark):
     """Nulls in any column, empty and very long texts, ties, repeated rows, columns with clashing names."""
     rows = [(1, None, None, None, None), (None, "a b c d", "en", "s", 7), (None, None, None, None, None), (2, "", "en", "s", 0), (3, "  \n\t ", "en", None, 5), (4, LONG, "en", "s", len(LONG)), (5, "same text here", "en", "s", 14), (5, "same text here", "en", "s", 14), (6, "same text here", "de", "t", 14), (7, "日本語 ß\u0085x 🎉", "xx", "t", 9), (8, "!!! 123", "en", "u", 7)]
-    return spark.createDataFrame([(*r, 9, "x", "y", 3) for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, 9, "x", "y", 3, 1, 2, *["q"] * 4, 5, *["z"] * 11) for r in rows], SCHEMA)
 
 
 def empty(spark):
@@ -162,11 +162,59 @@ def test_splitters_are_exact(spark, rows, shards):
 # 3
 
 
+def test_forest_on_shapes_it_has_not_seen(spark):
+    """Every shape is judged by a forest grown without it, on texts no forest has seen."""
+    n = len(secret_forest._SHAPES)
+    order = np.random.default_rng(1).permutation(n).tolist()
+    truth, votes = [], []
+    for fold in range(3):
+        out = order[fold::3]
+        forest = secret_forest.fit_forest(spark, 80, [i for i in range(n) if i not in out])
+        rows = secret_forest.labelled_findings(spark, 15, out, first=5000).selectExpr("label", *[f"{s} {k}" for k, s in secret_forest.features_sql().items()]).collect()
+        truth += [r["label"] == 1 for r in rows]
+        votes += (secret_forest.predict(forest, np.array([list(r)[1:] for r in rows])) >= 0.5).tolist()
+    truth, votes = np.array(truth), np.array(votes)
+    assert votes[truth].mean() > 0.9 and truth[votes].mean() > 0.85
+
+
+def test_secrets_in_documents(spark):
+    """Secrets and look-alikes of forms that are no shape of the findings, inside prose."""
+    rng = random.Random(11)
+    word = lambda: rng.choice("the river runs over stones and under old bridges toward a quiet harbour where boats wait".split())
+    prose = lambda n: " ".join(word() for _ in range(n))
+    rand = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    alnum, hexa = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz0123456789", "0123456789abcdef"
+    secret = [lambda: f'db_password = "{rand(alnum, 9)}&3zebra"', lambda: f'api_key = "{rand("ABCDEFabcdefghijkl", 24)}"', lambda: f"password: {rand('abcdef', 6)}2{rand(alnum, 6)}", lambda: f"ACCESS_TOKEN={rand(hexa, 48)}", lambda: f"redis://cache:{rand(alnum, 13)}@10.0.0.1/0", lambda: f"passphrase = '{rand(alnum, 18)}'"]
+    harmless = [lambda: f"commit {rand(hexa, 40)}", lambda: f"/usr/{word()}/{word()}/{word()}2024/readme", lambda: f"md5sum {rand(hexa, 32)}", lambda: "password: required", lambda: f"call {rand('123456789', 16)} now", lambda: f"{word().title()}{word().title()}{word().title()}Handler2Test"]
+    rows, planted = [], {}
+    for i in range(240):
+        kind = rng.choice([*secret, *harmless])
+        rows.append((i, f"{prose(30)}\n{kind()}\n{prose(30)}"))
+        planted[i] = kind in secret
+    out = {r["doc_id"]: len(r["secrets"]) > 0 for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), secret_forest.fit_forest(spark)).collect()}
+    caught, right = [out[i] for i in planted if planted[i]], [planted[i] for i in out if out[i]]
+    assert np.mean(caught) > 0.9 and np.mean(right) > 0.9
+
+
+def test_many_secrets_in_one_text(spark):
+    """Offsets hold, and the time grows with the number of secrets, not with its square."""
+    import time
+
+    forest = secret_forest.fit_forest(spark, 40)
+    took = {}
+    for n in (40, 3000, 12_000):
+        parts = [f'x{i} token = "{hashlib.sha1(str(i).encode()).hexdigest()}" ' for i in range(n)]
+        text = "".join(parts)
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        spans = secrets.scan(df, forest).collect()[0]["secrets"]
+        took[n] = time.perf_counter() - began
+        assert len(spans) == n and all(text[s["start"] : s["start"] + s["length"]] == hashlib.sha1(str(i).encode()).hexdigest() for i, s in enumerate(spans))
+    assert took[12_000] < 12 * took[3000]
+
+
 def test_secrets(spark):
     forest = secret_forest.fit_forest(spark)
-    rows = secret_forest.labelled_findings(spark, 12).selectExpr("label", *[f"{s} {n}" for n, s in secret_forest.features_sql().items()]).collect()
-    x, y = np.array([list(r)[1:] for r in rows]), np.array([r["label"] for r in rows])
-    assert ((secret_forest.predict(forest, x) >= 0.5) == (y == 1)).mean() > 0.97
     h = hashlib.sha1(b"1").hexdigest()
     texts = [f'say token = "{h}" and card 1234567812345678 then token = "{h[::-1]}"', f"commit {h}", None, "", f"éé\n{h}", f'TOKEN = "{h.upper()}"!! x']
     out = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), forest).orderBy("doc_id").collect()
@@ -398,6 +446,62 @@ def test_marginals_by_enumeration():
     assert got == pytest.approx(want) and whole == pytest.approx(log_z) and expected.sum() == pytest.approx(3)
 
 
+def test_likelihood_s_gradient():
+    """The gradient that is ascended is that of the stated likelihood, and this is the one found by enumeration."""
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    doc, z = np.array([0, 0, 0, 2, 2, 5]), rng.standard_normal((6, crf.WIDTH))
+    y, weight, theta = np.array([1.0, 0, 1, 0, 0, 1]), np.array([0.5, 2.0, 1.3]), 0.3 * rng.standard_normal(crf.WIDTH + 4)
+    value, gradient = crf.likelihood(theta, z, crf.Chains(doc), y, weight, doc, 0.01)
+    for i in [*range(0, crf.WIDTH, 5), *range(crf.WIDTH, crf.WIDTH + 4)]:
+        step = np.zeros_like(theta)
+        step[i] = 1e-5
+        up, down = (crf.likelihood(theta + s, z, crf.Chains(doc), y, weight, doc, 0.01)[0] for s in (step, -step))
+        assert gradient[i] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+    odds, move, total = z @ theta[: crf.WIDTH], theta[crf.WIDTH :].reshape(2, 2), 0.0
+    for w, d in zip(weight, (0, 2, 5)):
+        at = np.flatnonzero(doc == d)
+        score = lambda labels: sum(odds[i] * v for i, v in zip(at, labels)) + sum(move[int(a), int(b)] for a, b in zip(labels, labels[1:]))  # noqa: B023, E731
+        total += w * (score(y[at]) - np.log(sum(np.exp(score(k)) for k in product((0, 1), repeat=len(at)))))
+    assert value == pytest.approx(total / 6 - 0.005 * theta @ theta)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "BB", "c!", "#x", "d9", "e.", "ü|"]), max_size=6), max_size=7), st.sampled_from([30, 1 << 20]))
+def test_line_features(lines, block):
+    text = "\n".join(" ".join(w) for w in lines)
+    before, crf.BLOCK = crf.BLOCK, block
+    try:
+        got, lengths, doc = crf.line_features([None, text])
+    finally:
+        crf.BLOCK = before
+
+    def own(line, earlier):
+        w, n = line.split(), max(1, len(line.split()))
+        count = lambda chars: sum(c in chars for c in line)
+        upper, lower = sum("A" <= c <= "Z" for c in line), sum("a" <= c <= "z" for c in line)
+        chars = sum(len(x.encode()) for x in w)
+        again = sum(a == b for a, b in zip(w, w[1:]))
+        return [np.log1p(len(w)), chars / n / 10, upper / max(1, upper + lower), count("!") / n, count("#*$%&<>") / n, count("|") / n, again / n, line[-1:] in (".", "!", "?") and line != "", sum("0" <= c <= "9" for c in line) / max(1, chars), line in earlier]
+
+    kept = [x for x in text.split("\n") if x.split()]
+    rows = [own(x, kept[:i]) for i, x in enumerate(kept)]
+    none = [0] * len(crf.OWN)
+    want = [[*rows[i], *(rows[i - 1] if i else none), *(rows[i + 1] if i + 1 < len(rows) else none), i == 0, i + 1 == len(rows), 1] for i in range(len(rows))]
+    assert len(got) == len(want) and (doc == 1).all() and np.allclose(got, np.array(want, float).reshape(len(want), crf.WIDTH))
+    assert lengths.tolist() == [sum(len(w.encode()) for w in x.split()) for x in kept]
+
+
+def test_held_out_quality(spark):
+    """The query's score ranks good above bad among labelled documents it has not learned from."""
+    path = DATA.replace("0.001", "0.1")
+    out = crf.op6_quality(spark, path).where("held_out").join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").select("score", "quality", "predicted").collect()
+    score, good = np.array([r["score"] for r in out]), np.array([r["quality"] for r in out])
+    auc = (score[good == 1][:, None] > score[good == 0][None]).mean() + 0.5 * (score[good == 1][:, None] == score[good == 0][None]).mean()
+    assert len(out) > 500 and auc > 0.95 and np.mean([r["predicted"] == r["quality"] for r in out]) > 0.9
+
+
 def test_quality(spark):
     rng = random.Random(3)
     sample = [(1, good_text(rng)) for _ in range(60)] + [(0, bad_text(rng)) for _ in range(30)]
