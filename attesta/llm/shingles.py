@@ -1,9 +1,12 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands propose, whole shingle sets decide.
-
-Each of 30 bands hashes five minima. Two texts of similarity s share a band with probability 1 - (1 - s^5)^30, which
-at 0.8 leaves out 7 pairs in a million and fewer above. Texts that share a band, at once or through others, form
-a cluster; shingle sets go to their cluster once, and there every pair that matters is measured exactly. Large
-clusters are dealt as pairs of blocks, so a task holds about two blocks and no link is lost.
+"""SimHash near-dedup by similarity: fingerprints propose, and bands where they cannot; whole shingle sets decide.
+
+Texts whose fingerprints over five-word shingles differ in three bits at most are found by the popcount grid of
+`simhash`. At a similarity of 0.8 fingerprints differ in about ten bits of 64, further than any grid reaches, so
+minima of the same shingle hashes propose as well: each of 30 bands hashes five minima, and two texts of similarity
+s share a band with probability 1 - (1 - s^5)^30, which at 0.8 leaves out 7 pairs in a million and fewer above.
+Texts that a fingerprint or band links, at once or through others, form a cluster; shingle sets go to their cluster
+once, and there every pair that matters is measured exactly. Large clusters are dealt as pairs of blocks, so a task
+holds about two blocks and no link is lost.
 """
 
 from __future__ import annotations
@@ -15,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.words import utf8, word_pieces
+from attesta.llm.arrow import pieces
+from attesta.llm.simhash import SEED, TEXT_KEY, Votes, fingerprint_links, shingle_hashes
 from attesta.operators.components import connected_components
 from attesta.store import spread, written
 
 WORDS, LEAST = 5, 0.8
-BANDS, ROWS, SEED = 30, 5, 42
+BANDS, ROWS = 30, 5
 #: Characters of a cluster's texts that make a block (a longer text is one alone).
 BLOCK = 1 << 21
 
@@ -31,22 +35,18 @@ _TIMES |= np.uint64(1)
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct XXH64 of the text's runs of `words` words; of all its words where it has fewer; none: empty."""
-    from xxhash import xxh64_intdigest
-
-    found, carry = [], []
-    for piece in word_pieces(utf8(text).lower()):
-        carry += piece
-        if len(carry) < words:
-            continue
-        ends = np.cumsum(np.fromiter(map(len, carry), np.int64, len(carry)) + 1)
-        starts, joined = (ends - np.diff(ends, prepend=0)).tolist(), b" ".join(carry)
-        found.append(np.unique(np.fromiter([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, (ends - 1).tolist()[words - 1 :])], np.uint64)))
-        carry = carry[-(words - 1) :] if words > 1 else []
-    if not found and carry:
-        found.append(np.array([xxh64_intdigest(b" ".join(carry), SEED)], np.uint64))
+    found = [np.unique(h) for h in shingle_hashes(text, words)]
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
+def sketch(text: str | None, words: int = WORDS) -> tuple[int, list[int]]:
+    """The text's fingerprint (as a signed long) and its bands' keys, from one pass over its shingles."""
+    votes = Votes()
+    found = [np.unique(votes.add(h)) for h in shingle_hashes(text, words)]
+    bits = votes.bits()
+    return bits - (1 << 64) if bits >> 63 else bits, bands(np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64))
+
+
 def bands(grams: np.ndarray) -> list[int]:
     """The bands' keys as signed longs; none without shingles."""
     from xxhash import xxh64_intdigest
@@ -90,20 +90,26 @@ def similar_texts(texts: DataFrame, words: int = WORDS, least: float = LEAST, bl
     """
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [bands(shingles(t.as_py(), words)) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(keys, pa.list_(pa.int64()))], ["text_key", "bands"])
-
-    rows = written(spread(texts.select("text_key", "text")).mapInArrow(band, "text_key long, bands array<long>"), "bands")
-    rows = rows.dropDuplicates(["text_key"]).select("text_key", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.min("text_key").alias("u"), F.max("text_key").alias("most")).where("u < most").select(F.col("band").alias("_b"), "u")
-    clusters = connected_components(rows.join(shared, F.col("band") == F.col("_b")).where("text_key <> u").select("u", F.col("text_key").alias("v")))
+        for batch in pieces(batches):
+            sketches = [sketch(t.as_py(), words) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array([f for f, _ in sketches], pa.int64()), pa.array([b for _, b in sketches], pa.list_(pa.int64()))], ["text_key", "fp", "bands"])
+
+    rows = written(spread(texts.select("text_key", "text")).mapInArrow(band, "text_key long, fp long, bands array<long>").where("size(bands) > 0"), "bands")
+    # texts of equal fingerprints hang on the least of them, and the fingerprints' links on these
+    first = written(rows.groupBy("fp").agg(F.min("text_key").alias("at")), "distinct-fp")
+    copies = rows.join(first, "fp").where("text_key <> at").select(F.col("at").alias("u"), F.col("text_key").alias("v"))
+    links = fingerprint_links(first.select("fp"))
+    near = links.join(first.select(F.col("fp").alias("u"), F.col("at").alias("x")), "u").join(first.select(F.col("fp").alias("v"), F.col("at").alias("y")), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
+    banded = rows.dropDuplicates(["text_key"]).select("text_key", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("text_key").alias("u"), F.max("text_key").alias("most")).where("u < most").select(F.col("band").alias("_b"), "u")
+    banded = banded.join(shared, F.col("band") == F.col("_b")).where("text_key <> u").select("u", F.col("text_key").alias("v"))
+    clusters = connected_components(banded.unionByName(near).unionByName(copies))
 
     members = texts.select("text_key", "text").join(clusters, F.col("text_key") == F.col("node")).select("label", "text_key", "text").dropDuplicates(["text_key"])
     sizes = members.groupBy("label").agg(F.ceil(F.sum(F.length("text").cast("long")) / block).cast("int").alias("parts")).select(F.col("label").alias("_l"), "parts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             sets = [shingles(t.as_py(), words).view(np.int64) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("text_key"), pa.array(sets, pa.list_(pa.int64()))], ["label", "text_key", "grams"])
 
@@ -128,3 +134,16 @@ def similar_texts(texts: DataFrame, words: int = WORDS, least: float = LEAST, bl
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
 
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long")
+
+
+def similar_documents(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """docs (doc_id, text, ...) -> a row for each: doc_id, text_key, label, equal for documents linked by that similarity.
+
+    Exact copies share their text_key. Null, empty and wordless texts are one group. Null and repeated ids are rows
+    like any other, very long texts are read whole, and an empty table gives an empty one.
+    """
+    keyed = docs.select("doc_id", F.expr(TEXT_KEY).alias("text_key"), "text")
+    labels = connected_components(similar_texts(keyed, words, least))
+    wordless = F.when(~F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False)), F.lit(0))
+    labelled = keyed.select("doc_id", "text_key", wordless.alias("wordless")).join(labels, F.col("text_key") == F.col("node"), "left")
+    return labelled.select("doc_id", "text_key", F.coalesce("label", "wordless", "text_key").alias("label"))

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attesta.llm.arrow import pieces
 from attesta.operators.components import connected_components
 from attesta.llm.words import utf8, word_pieces
 from attesta.store import spread, table, written
@@ -45,29 +46,50 @@ def _ones(hashes: np.ndarray) -> np.ndarray:
     return sums.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """SimHash of the text's word shingles: bit set if set in over half of their XXH64, repeats counted; none: 0."""
+def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of the text's runs of `words` words, repeats included, in pieces; of all its words where it has fewer."""
     from xxhash import xxh64_intdigest
 
-    ones, total, carry = np.zeros(64, np.int64), 0, []
+    some, carry = False, []
     for piece in word_pieces(utf8(text).lower()):
         carry += piece
         if len(carry) < words:
             continue
         ends = np.cumsum(np.fromiter(map(len, carry), np.int64, len(carry)) + 1)
         starts, joined = (ends - np.diff(ends, prepend=0)).tolist(), b" ".join(carry)
-        hashes = np.fromiter([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, (ends - 1).tolist()[words - 1 :])], np.uint64)
-        ones, total, carry = ones + _ones(hashes), total + len(hashes), carry[-(words - 1) :] if words > 1 else []
-    if not total and carry:
-        total, ones = 1, _ones(np.array([xxh64_intdigest(b" ".join(carry), SEED)], np.uint64))
-    return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big") if total else 0
+        yield np.fromiter([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, (ends - 1).tolist()[words - 1 :])], np.uint64)
+        some, carry = True, carry[-(words - 1) :] if words > 1 else []
+    if not some and carry:
+        yield np.array([xxh64_intdigest(b" ".join(carry), SEED)], np.uint64)
+
+
+class Votes:
+    """A fingerprint as it is gathered: how many hashes have each bit."""
+
+    def __init__(self):
+        self.ones, self.total = np.zeros(64, np.int64), 0
+
+    def add(self, hashes: np.ndarray) -> np.ndarray:
+        self.ones, self.total = self.ones + _ones(hashes), self.total + len(hashes)
+        return hashes
+
+    def bits(self) -> int:
+        return int.from_bytes(np.packbits(2 * self.ones > self.total).tobytes(), "big") if self.total else 0
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """SimHash of the text's word shingles: bit set if set in over half of their XXH64, repeats counted; none: 0."""
+    votes = Votes()
+    for hashes in shingle_hashes(text, words):
+        votes.add(hashes)
+    return votes.bits()
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, text_key, fp (the 64 bits as a signed long); null and wordless texts: 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             fps = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column("text")), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(fps.view(np.int64))], ["doc_id", "text_key", "fp"])
 
@@ -181,7 +203,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3, block: int =
 
     Equal fingerprints are one member, so exact copies cost nothing beyond their row. Null and wordless texts
     have fingerprint zero and link like any other; null ids are never a component_id unless all of it are null. The
-    label tells components apart, also where they share a doc_id or have none.
+    label tells components apart, also where they share a doc_id or have none. Rows that repeat an id with another
+    text have that text's fingerprint each; very long texts are read whole; an empty table gives an empty one.
     """
     marked = written(fingerprints(docs, words), "fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fp")
@@ -210,5 +233,6 @@ def one_of_each(docs: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; awkward rows as in near_duplicates."""
     near = near_duplicates(table(spark, sf_dir, "documents"))
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

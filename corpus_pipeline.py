@@ -1,6 +1,8 @@
 """The corpus pipeline: five stages over documents, each on all that the one before it kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Extra columns are dropped. Nulls, empty and very long texts, repeated rows and empty tables pass as the stages'
+operators define.
 """
 
 from __future__ import annotations
@@ -11,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.llm import langid, mixing, pieces, secrets, shingles, simhash
-from attesta.operators.components import connected_components
 from attesta.store import new_path, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,23 +29,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As near_dedup, but by op4's rule (three of 64 bits); not a stage, its groups are compared with brute force."""
-    docs = _documents(docs)
-    return _documents(simhash.one_of_each(docs, simhash.near_duplicates(docs)))
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, of the least doc_id, of each group linked by five-word similarity of 0.8 or more.
 
-    The stage of the pipeline. Texts without a word are one group.
+    Texts without a word are one group. Of rows without an id in a group, one stays only where no row has one.
     """
     docs = _documents(docs)
-    keyed = docs.select("doc_id", F.expr(simhash.TEXT_KEY).alias("text_key"), "text")
-    labels = connected_components(shingles.similar_texts(keyed))
-    wordless = F.when(~F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False)), F.lit(0))
-    labelled = keyed.select("doc_id", "text_key", wordless.alias("wordless")).join(labels, F.col("text_key") == F.col("node"), "left")
-    labelled = labelled.select("doc_id", "text_key", F.coalesce("label", "wordless", "text_key").alias("label"))
-    return _documents(simhash.rows_of(docs, simhash.representatives(labelled)))
+    return _documents(simhash.rows_of(docs, simhash.representatives(shingles.similar_documents(docs))))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +56,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", language_id),
-    ("simhash_near_dedup", near_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
     ("secret_scans", secret_scans),
     ("mixing_sources", mixing_sources),
     ("sentencepiece", sentencepiece),

@@ -28,11 +28,11 @@ def test_stages_on_all_rows(spark):
     assert kept.count() == int((~rejected).sum()) >= 0.99 * docs.count()
 
     one = {r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, kept, DATA).collect()}
-    fps = sorted((r["doc_id"], brute_fingerprint(r["text"])) for r in kept.collect())
-    groups: list[list[tuple[int, int]]] = []
-    for f in fps:
-        near = [g for g in groups if any((f[1] ^ x[1]).bit_count() <= 3 for x in g)]
-        groups = [g for g in groups if g not in near] + [[f, *(x for g in near for x in g)]]
+    rows = sorted((r["doc_id"], r["text"]) for r in kept.collect())
+    groups: list[list[tuple[int, str]]] = []
+    for row in rows:
+        near = [g for g in groups if any(row[1] == x[1] or similarity(row[1], x[1]) >= 0.8 for x in g)]
+        groups = [g for g in groups if g not in near] + [[row, *(x for g in near for x in g)]]
     assert one == {min(g)[0] for g in groups}
 
     more = table(spark, DATA.replace("0.001", "0.01"), "documents")
@@ -110,6 +110,23 @@ def test_similar_texts_in_blocks(spark):
     assert shingles.similar_texts(few).count() == 0
 
 
+def test_fingerprints_propose_and_bands_complete(spark):
+    """Links come from fingerprints within three bits too: without bands the closest copies are still found."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(3000)]
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(word() for _ in range(50))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "text_key long, text string")
+    before, shingles.bands = shingles.bands, lambda grams: [int(grams[0]) % 1000 + len(grams)] if len(grams) else []
+    try:
+        bits = [shingles.sketch(t)[0] for t in texts]
+        assert 0 < (bits[0] ^ bits[1]).bit_count() <= 3 or bits[0] == bits[1]
+    finally:
+        shingles.bands = before
+    links = [(r["u"], r["v"]) for r in shingles.similar_texts(rows).collect()]
+    assert {tuple(sorted(x)) for x in links} == {(0, 1)}
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert out.count() > 150 and set(out.columns) >= {"doc_id", "token_ids", "n_tokens"}
