@@ -20,20 +20,25 @@ BEFORE, AFTER = 48, 24
 _KEY = r"(?i:passw(?:or)?d|passwd|passphrase|pwd|secret|token|(?:api|access|private|secret)[_ -]?key|credentials?)"
 _ASSIGNED = r"[\x22\x27]?\s{0,4}[:=]\s{0,4}"
 _BLOCK = "[A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
-#: Looked for in this order at each place; the first lookbehinds are short and spare the long ones.
-CANDIDATE = "|".join([
-    rf"-----BEGIN {_BLOCK}[^-]*+(?:-(?!----)[^-]*+){{0,64}}+-----END {_BLOCK}",
-    r"(?=eyJ)(?<![A-Za-z0-9_+/.-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+",
+#: Looked for in this order at each place. Inside a word only a key block can begin; what is cheap to rule out comes first.
+CANDIDATE = rf"-----BEGIN {_BLOCK}[^-]*+(?:-(?!----)[^-]*+){{0,64}}+-----END {_BLOCK}|(?<![A-Za-z0-9])(?:" + "|".join([
+    r"eyJ(?<![_+/.-]eyJ)[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+",
     r"(?<=:)(?<=://[^\s:/@]{0,64}:)[^\s/@]++(?=@)",
     rf"(?<==)(?<=[?&]{_KEY}=)[^\s\x22\x27<>&#]++",
     rf"(?<=\x22)(?<={_KEY}{_ASSIGNED}\x22)[^\x22\n]++(?=\x22)",
     rf"(?<=\x27)(?<={_KEY}{_ASSIGNED}\x27)[^\x27\n]++(?=\x27)",
-    rf"(?<=[:=]\s{{0,4}})(?<={_KEY}{_ASSIGNED})[^\s\x22\x27<>:=][^\s\x22\x27<>]*(?<![.,;:!?)])",
-    r"(?<![A-Za-z0-9_+/-])(?![A-Za-z_][A-Za-z0-9_]*+=[A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}+",
-])
+    rf"(?<=[:=\s])[^\s\x22\x27<>:=](?<=[:=]\s{{0,4}}.)(?<={_KEY}{_ASSIGNED}.)[^\s\x22\x27<>]*(?<![.,;:!?)])",
+    r"(?=[A-Za-z0-9_+/-]{16})(?<![_+/-])(?![A-Za-z_][A-Za-z0-9_]*+=[A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}+",
+]) + ")"
+
+#: What a text must hold to have a candidate, or one of MARKS: a digit with eight characters of a run on one side (a run of
+#: 16 has that), or an assignment to a key word or the password's colon of an address. Far cheaper to look for, as such
+#: places are rare, than candidates themselves.
+TRIGGER = rf"[0-9:=](?:(?<=[0-9])(?:(?=[A-Za-z0-9_+/-]{{8}})|(?<=[A-Za-z0-9_+/-]{{9}}))|(?<={_KEY}[\x22\x27]?\s{{0,4}}[:=])|(?<=://[^\s:/@]{{0,64}}:))"
+MARKS = ("eyJ", "-----BEGIN")
 
 #: A vocabulary whose words serve as the dictionary: a line a token, base64 and rank.
-VOCABULARY, RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken", 20_000
+VOCABULARY, RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken", 8_000
 #: Words that the labelled findings are made of, besides those of the vocabulary.
 NAMES = "access account admin archive article asset backup build cache catalog chapter client cloud commit config content course customer default design document download entry event example export field folder format gateway group handle header image import index input invoice item library list local login master media member module month network number object order output package page panel payment photo plan platform policy post price private process product profile project query random reader record release remote report request resource response result review route sample schema score screen script search section server service session setting shop sheet site source stage state storage store stream style submit summary support system table target task team template theme thread title topic track update upload user value version video view volume web week widget window writer year".split()
 #: Common letter pairs of running text.

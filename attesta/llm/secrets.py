@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.secret_forest import AFTER, BEFORE, CANDIDATE, as_sql, features_sql, fit_forest
+from attesta.llm.secret_forest import AFTER, BEFORE, CANDIDATE, MARKS, TRIGGER, as_sql, features_sql, fit_forest
 from attesta.store import table
 
 MASK = "[SECRET]"
@@ -30,7 +30,10 @@ def scan(docs: DataFrame, forest: list, least: float = 0.5) -> DataFrame:
     results; an empty table gives an empty one.
     """
     pattern = F.lit(CANDIDATE)
-    found = docs.drop("n_candidates", "secrets", "masked", *_OWN).withColumn("_cands", F.coalesce(F.regexp_extract_all("text", pattern, F.lit(0)), F.array().cast("array<string>")))
+    maybe = F.col("text").rlike(TRIGGER)
+    for mark in MARKS:
+        maybe = maybe | F.contains("text", F.lit(mark))
+    found = docs.drop("n_candidates", "secrets", "masked", *_OWN).withColumn("_cands", F.coalesce(F.when(maybe, F.regexp_extract_all("text", pattern, F.lit(0))), F.array().cast("array<string>")))
     found = found.withColumn("_parts", F.when(F.size("_cands") > 0, F.split("text", CANDIDATE, -1)))
     context = f"named_struct('b', right(_parts[i], {BEFORE}), 'c', _cands[i], 'a', left(_parts[i + 1], {AFTER}))"
     features = ", ".join(f"'{name}', {sql}" for name, sql in features_sql("x.").items())

@@ -196,6 +196,20 @@ def test_secrets_in_documents(spark):
     assert np.mean(caught) > 0.9 and np.mean(right) > 0.9
 
 
+def test_what_triggers_a_search_loses_nothing(spark):
+    """Every text with a candidate has the trigger: findings of all shapes, and random strings around the least length."""
+    rng = random.Random(4)
+    texts = [r["b"] + r["c"] + r["a"] for r in secret_forest.labelled_findings(spark, 6).collect()]
+    texts += ["x " + "".join(rng.choice("ab_/-+0A") for _ in range(rng.randint(14, 20))) + rng.choice(["", "=", " y", ". z"]) for _ in range(2000)]
+    texts += [f"{key}{rng.choice(['', chr(34), ' '])}{rng.choice(':=')}{' ' * rng.randint(0, 4)}{rng.choice(['', chr(34)])}{value}{rng.choice(['', chr(34)])}" for key in ("password", "api key", "SECRET", "x_token", "pwd") for value in ("abc", "a-b", "hunter2") for _ in range(20)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    maybe = F.col("text").rlike(secret_forest.TRIGGER)
+    for mark in secret_forest.MARKS:
+        maybe = maybe | F.contains("text", F.lit(mark))
+    found = F.size(F.regexp_extract_all("text", F.lit(secret_forest.CANDIDATE), F.lit(0))) > 0
+    assert df.where(found).count() > 500 and df.where(found & ~maybe).collect() == []
+
+
 def test_many_secrets_in_one_text(spark):
     """Offsets hold, and the time grows with the number of secrets, not with its square."""
     import time
@@ -582,7 +596,7 @@ def test_models_are_distributions():
     """The probabilities of all symbols and one unknown after any context sum to one, and are those of a slow model."""
     symbols = np.r_[np.zeros(4, np.uint32), [1, 2, 3, 1, 2, 3, 1, 1, 2, 2, 3, 3]].astype(np.uint32)
     last = langid._last(symbols, np.flatnonzero(langid._scored(symbols)))
-    m = langid.Model(last, 5)
+    m = langid.Model(last, np.ones(len(last)), 5)
 
     def slow(context, symbol):
         grams = {n: Counter() for n in range(1, langid.ORDER + 1)}
