@@ -24,7 +24,7 @@ from attesta.store import spread, table
 ORDER = 5
 DISCOUNT = 0.75
 #: Characters of a batch of texts that are scored at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 SLOT_BITS = 18
 UNKNOWN = "und"
 #: Added to the code point of a combining mark: a symbol of the models, but no letter.
@@ -73,46 +73,44 @@ def _grams(symbols: np.ndarray) -> np.ndarray:
     return code
 
 
-def _tails(last: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """last: the ORDER symbols up to each position, newest first, a row each. Hashes of the last 1 to ORDER symbols,
-    and of the context in each of these (the same without the newest)."""
-    grams, contexts = [], []
+def _tail(last: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """last: the ORDER symbols up to each position, newest first, a row each. Hash of the last n symbols, and of these without
+    the newest (the context)."""
     gram = context = np.zeros(len(last), np.uint64)
-    for k in range(ORDER):
+    for k in range(n):
         s = last[:, k].astype(np.uint64)
         gram = gram + s * _POWERS[k]
         if k:
             context = context + s * _POWERS[k - 1]
-        grams.append(gram)
-        contexts.append(context)
-    return grams, contexts
+    return gram, context
 
 
 class Model:
-    """Probabilities of one language, from the last ORDER symbols at each counted position (newest first)."""
+    """Probabilities of one language, from the last ORDER symbols at counted positions (newest first) and how often each
+    row occurs."""
 
-    def __init__(self, last: np.ndarray, kinds: int):
+    def __init__(self, last: np.ndarray, times: np.ndarray, kinds: int):
         self.kinds = kinds  # symbols known to any language, and one for all others
         self.levels = []
-        count = np.ones(len(last))
+        count = times.astype(np.float64)
         for n in range(ORDER, 0, -1):
-            grams, contexts = _tails(last)
-            code, first, at = np.unique(grams[n - 1], return_index=True, return_inverse=True)
+            gram, context = _tail(last, n)
+            code, first, at = np.unique(gram, return_index=True, return_inverse=True)
             count, last = np.bincount(at, count), last[first]
-            context, where = np.unique(contexts[n - 1][first], return_inverse=True)
+            context, where = np.unique(context[first], return_inverse=True)
             total, follow = np.bincount(where, count), np.bincount(where)
             self.levels.append((code, np.maximum(count - DISCOUNT, 0) / total[where], context, DISCOUNT * follow / total))
             count = np.ones(len(code))  # lower orders count the contexts that a gram continues
 
     def logs(self, last: np.ndarray) -> np.ndarray:
         p = np.full(len(last), 1.0 / self.kinds)
-        grams, contexts = _tails(last)
         for n in range(1, ORDER + 1):
+            gram, before = _tail(last, n)
             code, own, context, rest = self.levels[ORDER - n]
-            at = np.minimum(np.searchsorted(code, grams[n - 1]), len(code) - 1)
-            above = np.minimum(np.searchsorted(context, contexts[n - 1]), len(context) - 1)
-            known = context[above] == contexts[n - 1]
-            p = np.where(known, np.where(code[at] == grams[n - 1], own[at], 0.0) + rest[above] * p, p)
+            at = np.minimum(np.searchsorted(code, gram), len(code) - 1)
+            above = np.minimum(np.searchsorted(context, before), len(context) - 1)
+            known = context[above] == before
+            p = np.where(known, np.where(code[at] == gram, own[at], 0.0) + rest[above] * p, p)
         return -np.log(p)
 
 
@@ -205,16 +203,18 @@ class Identifier:
 def fit(samples: list[tuple[str, str]]) -> Identifier:
     """samples (language, text). A fifth of each language's texts calibrates its limits, the rest is counted."""
     langs = sorted({k for k, _ in samples})
-    read = [(k, _read(t)) for k, t in samples]
-    kinds = len(np.unique(np.concatenate([np.zeros(1, np.uint32), *[np.unique(s) for _, s in read]]))) + 1
-    models, kept = [], []
+    known = np.zeros(1, np.uint32)
+    for _, text in samples:
+        known = np.union1d(known, np.unique(_read(text)))
+    models, kept, pad = [], [], np.zeros(ORDER - 1, np.uint32)
     for lang in langs:
-        own = [(s, t) for (k, s), (_, t) in zip(read, samples, strict=True) if k == lang]
-        out = own[::5] if len(own) >= 10 else own
-        counted = [x for i, x in enumerate(own) if i % 5] if len(own) >= 10 else own
-        last = [_last(s, np.flatnonzero(_scored(s))) for s, _ in counted]
-        models.append(Model(np.concatenate([np.zeros((1, ORDER), np.uint32), *last]), kinds))
-        kept.append([t for _, t in out])
+        own = [t for k, t in samples if k == lang]
+        kept.append(own[::5] if len(own) >= 10 else own)
+        counted = [t for i, t in enumerate(own) if i % 5] if len(own) >= 10 else own
+        symbols = np.concatenate([pad, np.zeros(1, np.uint32), *[y for t in counted for y in (pad, _read(t))]])
+        at = np.r_[ORDER - 1, np.flatnonzero(_scored(symbols))]
+        _, first, times = np.unique(_grams(symbols)[at], return_index=True, return_counts=True)
+        models.append(Model(_last(symbols, at[first]), times, len(known) + 1))
     first = Identifier(langs, models, [(0.0, 0.0)] * len(langs))
     limits, rng = [], np.random.default_rng(3)
     for k, texts in enumerate(kept):
