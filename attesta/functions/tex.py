@@ -1,4 +1,4 @@
-"""What LaTeX and XMP need beyond patterns: masking by line state, balanced braces, sentences, flattened metadata."""
+"""What LaTeX and XMP need beyond patterns: masking by tokens, balanced braces, sentences, flattened metadata."""
 
 from __future__ import annotations
 
@@ -7,41 +7,31 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
+from attesta.functions.text import UNITS
+
+#: Environments whose insides are no LaTeX (fixed values).
 VERBATIM = ("verbatim", "verbatim*", "lstlisting", "minted", "comment")
-_BEGIN = re.compile(r"\\begin\{(" + "|".join(map(re.escape, VERBATIM)) + r")\}")
+#: What decides whether a character is text, longest first: a verbatim environment (or the rest after an open one),
+#: inline verbatim, an escaped character, a comment.
+_TOKENS = re.compile(
+    r"(?P<env>\\begin\s*\{\s*(?P<name>" + "|".join(map(re.escape, sorted(VERBATIM, key=len, reverse=True))) + r")\s*\})(?P<inside>.*?)(?P<end>\\end\s*\{\s*(?P=name)\s*\}|\Z)"
+    r"|(?P<verb>\\verb\*?(?P<mark>[^A-Za-z0-9\s*])[^\n]*?(?P=mark))"
+    r"|(?P<escaped>\\.)|(?P<comment>%[^\n]*)",
+    re.DOTALL,
+)
 
 
 def masked(text: str) -> str:
-    """The text with comments and the insides of verbatim environments blanked; line numbers stay."""
-    out, env = [], None
-    for line in text.split("\n"):
-        if env:
-            end = line.find(f"\\end{{{env}}}")
-            if end < 0:
-                out.append("")
-                continue
-            env, line = None, line[end:]
-        kept, i = [], 0
-        while i < len(line):
-            if line[i] == "\\" and (m := _BEGIN.match(line, i)):
-                end = line.find(f"\\end{{{m[1]}}}", m.end())
-                kept.append(m[0])
-                if end < 0:
-                    env, i = m[1], len(line)
-                else:
-                    i = end
-            elif line[i] == "\\":
-                kept.append(line[i : i + 2])
-                i += 2
-            elif line[i] == "%":
-                break
-            else:
-                kept.append(line[i])
-                i += 1
-        out.append("".join(kept))
-    return "\n".join(out)
+    """The text without comments, inline verbatim and the insides of verbatim environments; line numbers stay."""
+
+    def kept(m: re.Match[str]) -> str:
+        if m["env"]:
+            return m["env"] + "\n" * m["inside"].count("\n") + m["end"]
+        return m["escaped"] or ""
+
+    return _TOKENS.sub(kept, text)
 
 
 def braced(text: str, macro: str) -> list[str]:
@@ -68,6 +58,98 @@ def sentence_at(text: str, at: int) -> str:
     return text[start:end].strip()
 
 
+def paired_footnotes(text: str) -> list[tuple[str, str | None]]:
+    """Texts of \\footnotetext with the sentence of the mark each belongs to, in order.
+
+    A numbered text goes with the mark of its number; others, first come, first served, with unnumbered marks, and
+    when these have run out with the last mark before the text; without any mark with none.
+    """
+    text = masked(text)
+    numbered: dict[str, str] = {}
+    waiting, last, out = [], None, []
+    for m in re.finditer(r"\\footnote(mark|text)\s*(?:\[([^\]]*)\])?", text):
+        number = (m[2] or "").strip()
+        if m[1] == "mark":
+            last = sentence_at(text[: m.start()] + text[m.end() :], max(0, m.start() - 1))
+            if number:
+                numbered[number] = last
+            else:
+                waiting.append(last)
+        elif note := braced(text[m.start() :], "footnotetext")[:1]:
+            if number in numbered:
+                out.append((note[0], numbered[number]))
+            else:
+                out.append((note[0], waiting.pop(0) if waiting else last))
+    return out
+
+
+#: What a statement has for operators of LaTeX and Unicode (fixed values).
+RELATIONS = {"leq": "<=", "le": "<=", "geq": ">=", "ge": ">=", "neq": "!=", "ne": "!=", "lt": "<", "gt": ">", "approx": "op_approx", "simeq": "op_approx", "sim": "op_approx", "≤": "<=", "≥": ">=", "≠": "!=", "≈": "op_approx"}
+#: Macros that change only how their argument looks (fixed values).
+LOOKS = frozenset("textbf textit emph texttt textrm textsf textsc textup textnormal text mbox hbox mathrm mathbf mathit mathsf mathtt underline uline small large normalsize".split())
+#: Words of direction and denial, and words without weight (fixed values).
+RISES = frozenset("increase increases increased increasing improve improves improved improving improvement gain gains higher faster larger greater boost boosts boosted outperform outperforms outperformed rise rises rose positive accelerate accelerates".split())
+FALLS = frozenset("decrease decreases decreased decreasing reduce reduces reduced reducing reduction drop drops dropped lower slower smaller fewer worse worsen worsens worsened decline declines declined negative degrade degrades degraded".split())
+DENIALS = frozenset("not no never neither without fail fails failed".split())
+FILLERS = frozenset("the a an is are was were that this and".split())
+_PARTS = re.compile(
+    r"(?P<silent>\\(?:cite[A-Za-z*]*|[cC]?ref|autoref|eqref|pageref|label|index)\*?\s*(?:\[[^\]]*\]\s*)*\{[^{}]*\})"
+    r"|\\(?P<macro>[A-Za-z]+)\*?\s*(?P<open>\{)?|\\(?P<mark>.)|(?P<brace>[{}])|(?P<sign>[≤≥≠≈])|(?P<gap>[~$])",
+    re.DOTALL,
+)
+
+
+def plain_statement(text: str) -> str:
+    """A statement's meaning without its looks, read from left to right: relations are signs, font macros are dropped with
+    their braces, citations and labels left out, any other macro stays as an operator over its argument."""
+    out, closing, at = [], [], 0
+    for m in _PARTS.finditer(text):
+        out.append(text[at : m.start()])
+        at = m.end()
+        if m["macro"]:
+            name = m["macro"]
+            if name in RELATIONS:
+                out.append(f" {RELATIONS[name]} ")
+            elif name in ("times", "pm"):
+                out.append({"times": "×", "pm": "±"}[name])
+            elif name in ("quad", "qquad"):
+                out.append(" ")
+            elif name not in LOOKS:
+                out.append(f" op_{name}" + ("(" if m["open"] else " "))
+            if m["open"]:
+                closing.append("" if name in LOOKS or name in RELATIONS else ") ")
+        elif m["mark"]:
+            out.append(" " if m["mark"] in ",;:! " else m["mark"])
+        elif m["brace"]:
+            if m["brace"] == "{":
+                closing.append("")
+            elif closing:
+                out.append(closing.pop())
+        elif m["sign"]:
+            out.append(f" {RELATIONS[m['sign']]} ")
+        else:
+            out.append(" ")
+    bare = re.sub(r"\(\s*\)|\[\s*\]", " ", "".join([*out, text[at:]]))
+    return " ".join(bare.replace("−", "-").split())
+
+
+def quantities(text: str) -> list[tuple[str, str]]:
+    """Signed numbers of a statement, each with the unit beside it."""
+    found = re.findall(r"(?<![A-Za-z0-9.])(-?)\s*(\d+(?:\.\d+)?)\s*(percentage points?|%|×|[A-Za-zµμ]+)?", plain_statement(text))
+    return [(sign + number, UNITS.get(unit.lower(), unit.lower())) for sign, number, unit in found]
+
+
+def says_otherwise(claim: str, statement: str) -> bool:
+    """Whether a statement differs from a claim in its numbers, or clause by clause in direction, denial or words."""
+
+    def meaning(text: str) -> list[list[str]]:
+        clauses = re.split(r"[;；]|\bwhile\b|\bwhereas\b", plain_statement(text).lower())
+        words = [re.findall(r"op_[a-z0-9_]+(?:\([^()]*\))?|<=|>=|!=|[<>=]|[a-z×]+", c) for c in clauses if c.strip(" .")]
+        return [["+" if w in RISES else "-" if w in FALLS else "!" if w in DENIALS else w for w in own if w not in FILLERS and w not in _UNIT_WORDS] for own in words]
+
+    return quantities(claim) != quantities(statement) or meaning(claim) != meaning(statement)
+
+
 def flattened(xml: str) -> list[tuple[str, str]]:
     """Path and value of every text and attribute of an XML packet; nothing of malformed ones."""
     try:
@@ -94,6 +176,8 @@ def author_leaks(text: str) -> list[str]:
     return [n for n in names if n and not re.search(r"(?i)anonym|under (?:double.)?blind|submission", n)]
 
 
+#: Units are compared with their numbers.
+_UNIT_WORDS = frozenset(w for u in UNITS for w in u.split())
 _PAIR = StructType([StructField("path", StringType()), StructField("value", StringType())])
 
 
@@ -115,3 +199,16 @@ def xmp_pairs(xml: pd.Series) -> pd.Series:
 @F.pandas_udf(StringType())
 def sentence_around(text: pd.Series, at: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else sentence_at(t, int(i)) for t, i in zip(text, at, strict=True)], dtype=object)
+
+
+_NOTE = StructType([StructField("note", StringType()), StructField("sentence", StringType())])
+
+
+@F.pandas_udf(ArrayType(_NOTE))
+def footnotes(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: [{"note": n, "sentence": s} for n, s in paired_footnotes(t or "")])
+
+
+@F.pandas_udf(BooleanType())
+def diverges(claim: pd.Series, statement: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or b is None else says_otherwise(a, b) for a, b in zip(claim, statement, strict=True)], dtype=object)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def compact(s: Column) -> Column:
@@ -36,6 +41,25 @@ def normal_doi(s: Column) -> Column:
     return F.when(bare.rlike(r"^10\.\d{4,9}/\S+$"), F.lower(bare))
 
 
+#: Prefixes that forms of a DOI may bear, and what else each reader takes off (fixed values).
+DOI_PREFIX = r"(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)"
+DOI_FORMS = {
+    "kernel": (DOI_PREFIX, r"\.+$"),
+    "interchange": (DOI_PREFIX, ""),
+    "identity": (r"(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:\s*|doi\.org/)", ""),
+    "locator": (DOI_PREFIX, r"^/+|/+$"),
+    "works": (r"^(?:https?://doi\.org/|https://dx\.doi\.org/|doi:)", ""),
+}
+
+
+def bare_doi(s: Column, form: str = "kernel") -> Column:
+    """The DOI as one of the readers has it: lower case, without its prefix; empty for null. Not checked for being one."""
+    prefix, ends = DOI_FORMS[form]
+    t = F.lower(F.trim(F.coalesce(s, F.lit(""))))
+    t = F.trim(F.regexp_replace(t, prefix, ""))
+    return F.regexp_replace(t, ends, "") if ends else t
+
+
 def identifier(s: Column) -> Column:
     """Struct of type and canonical value: doi, arxiv, pmid, openalex, orcid, isbn or unknown."""
     t = F.trim(s)
@@ -74,15 +98,27 @@ def split_name(s: Column) -> Column:
 
 
 def normal_authors(names: Column) -> Column:
-    """Sorted distinct family names of letters only."""
-    return F.array_sort(F.array_distinct(F.transform(names, lambda n: F.regexp_replace(F.lower(split_name(n)["family"]), r"(?U)[\W\d_]", ""))))
+    """Sorted distinct names in lower case: words of ASCII letters and digits, and single ideographs, one space apart."""
+    words = lambda n: F.array_join(F.regexp_extract_all(F.lower(n), F.lit("[a-z0-9]+|[\u4e00-\u9fff]"), F.lit(0)), " ")
+    return F.array_sort(F.array_distinct(F.filter(F.transform(names, words), lambda n: n != "")))
+
+
+#: Words that make no citation key (fixed values).
+KEY_STOP = ("the", "and", "for", "with", "from", "that", "this", "into", "using")
 
 
 def citekey(authors: Column, year: Column, title: Column) -> Column:
-    """familyYEARword, from the first author, the year and the first title word of four letters or more."""
-    family = F.regexp_replace(F.lower(split_name(authors[0])["family"]), "[^a-z]", "")
-    word = F.regexp_extract(F.lower(title), r"\b([a-z]{4,})", 1)
-    return F.concat(F.when(F.coalesce(family, F.lit("")) == "", "anon").otherwise(family), F.coalesce(year.cast("string"), F.lit("nd")), word)
+    """familyYEARword, from the first author's first word, the year and the first title word of four letters or more."""
+    family = F.regexp_replace(F.regexp_extract(F.trim(authors[0]), r"^([^,\s]*)", 1), "[^A-Za-z0-9]", "")
+    words = F.filter(F.transform(F.regexp_extract_all(title, F.lit(r"[A-Za-z]{4,}"), F.lit(0)), lambda w: F.lower(w)), lambda w: ~w.isin(*KEY_STOP))
+    return F.concat(F.coalesce(F.nullif(F.lower(family), F.lit("")), F.lit("anon")), F.coalesce(year.cast("string"), F.lit("nd")), F.coalesce(F.try_element_at(words, F.lit(1)), F.lit("work")))
+
+
+def entry_key(family: Column, year: Column, title: Column) -> Column:
+    """familyYEARword for a provider's record, from the first author's family name, the year and the title's first word."""
+    name = F.regexp_replace(F.lower(family), "[^a-z0-9]", "")
+    word = F.nullif(F.regexp_extract(F.lower(title), "[a-z0-9]+", 0), F.lit(""))
+    return F.concat(F.coalesce(F.nullif(name, F.lit("")), F.lit("anon")), F.coalesce(F.nullif(year.cast("string"), F.lit("0")), F.lit("nd")), F.coalesce(word, F.lit("untitled")))
 
 
 def rebuild_abstract(index: Column) -> Column:
@@ -112,19 +148,28 @@ def protect_acronyms(title: Column) -> Column:
     return F.regexp_replace(title, r"\b([A-Za-z0-9]*[A-Z][A-Za-z0-9]*[A-Z][A-Za-z0-9]*)\b", "{$1}")
 
 
-#: Number words (fixed values).
-NUMBERS = {"zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12}
+#: Number words (fixed values); tens take a unit after a hyphen or a space.
+ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+NUMBERS = {w: i for i, w in enumerate(ONES)} | {w: 20 + 10 * i for i, w in enumerate(TENS)}
+NUMBERS |= {f"{ten}{gap}{one}": NUMBERS[ten] + NUMBERS[one] for ten in TENS for one in ONES[1:10] for gap in "- "}
 
 
 def number_in(s: Column) -> Column:
     """The one number of a phrase, thousands separators allowed, or a number word; null for none or several."""
-    found = F.regexp_extract_all(s, F.lit(r"[-+]?\d{1,3}(?:,\d{3})+(?:\.\d+)?|[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"), F.lit(0))
+    found = F.regexp_extract_all(s, F.lit(r"[-+]?(?:\d{1,3}(?:,\s*\d{3})+(?!\d)|\d+)(?:\.\d+)?(?:[eE][-+]?\d+)?|[-+]?\.\d+"), F.lit(0))
     words = F.create_map(*[F.lit(x) for k, v in NUMBERS.items() for x in (k, float(v))])
-    return F.when(F.size(found) == 1, F.replace(found[0], F.lit(","), F.lit("")).cast("double")).when(F.size(found) == 0, words[F.lower(F.trim(s))])
+    return F.when(F.size(found) == 1, F.regexp_replace(found[0], r",\s*", "").cast("double")).when(F.size(found) == 0, words[F.lower(compact(s))])
 
 
 #: Spellings of units (fixed values).
-UNITS = {"percent": "%", "pct": "%", "per cent": "%", "msec": "ms", "milliseconds": "ms", "seconds": "s", "sec": "s", "secs": "s", "minutes": "min", "hours": "h", "years": "yr", "yrs": "yr", "kilograms": "kg", "grams": "g", "milligrams": "mg"}
+UNITS = {
+    "%": "%", "percent": "%", "percentage": "%", "pct": "%", "百分比": "%", "pp": "pp", "percentage point": "pp", "percentage points": "pp",
+    "ms": "ms", "millisecond": "ms", "milliseconds": "ms", "s": "s", "sec": "s", "secs": "s", "second": "s", "seconds": "s",
+    "us": "us", "µs": "us", "μs": "us", "microsecond": "us", "microseconds": "us", "ns": "ns", "nanosecond": "ns", "nanoseconds": "ns",
+    "mb": "mb", "mib": "mib", "gb": "gb", "gib": "gib", "kb": "kb", "kib": "kib", "gb/s": "gb/s",
+    "hz": "hz", "khz": "khz", "mhz": "mhz", "ghz": "ghz", "db": "db", "x": "x", "×": "x",
+}
 
 
 def unit(s: Column) -> Column:
@@ -159,7 +204,37 @@ def payload(s: Column, most: int = 1 << 20) -> Column:
     return F.when(F.octet_length(raw) <= most, raw)
 
 
-def first_json_object(s: Column) -> Column:
-    """The outermost braces of a text that hold valid JSON, else null."""
-    body = F.regexp_extract(s, r"(?s)(\{.*\})", 1)
-    return F.when(F.try_parse_json(body).isNotNull() & (body != ""), body)
+@F.pandas_udf(StringType())
+def nfc_compact(s: pd.Series) -> pd.Series:
+    """Composed characters, white space runs to one space, none at the ends."""
+    return s.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFC", t).split()))
+
+
+@F.pandas_udf(StringType())
+def canonical_json(s: pd.Series) -> pd.Series:
+    """JSON with sorted keys, no blanks and plain Unicode; null for what is no JSON or holds no finite number."""
+
+    def one(t: str | None) -> str | None:
+        try:
+            return json.dumps(json.loads(t), sort_keys=True, ensure_ascii=False, separators=(",", ":"), allow_nan=False) if t is not None else None
+        except ValueError:
+            return None
+
+    return s.map(one)
+
+
+@F.pandas_udf(StringType())
+def first_json_object(s: pd.Series) -> pd.Series:
+    """The first piece of a text, from an opening brace on, that is a valid JSON object; null without one."""
+    decoder = json.JSONDecoder()
+
+    def found(t: str | None) -> str | None:
+        at = (t or "").find("{")
+        while at >= 0:
+            try:
+                return t[at : decoder.raw_decode(t, at)[1]]
+            except (ValueError, RecursionError):
+                at = t.find("{", at + 1)
+        return None
+
+    return s.map(found)

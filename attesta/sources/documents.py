@@ -7,6 +7,7 @@ one bad document from failing the rest.
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
@@ -17,60 +18,130 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.functions.tex import braced
+
 MOST_BYTES = 32 << 20
 MOST_MEMBERS, MOST_EXPANDED = 10_000, 48 << 20
 Segment = tuple[str, str, str]
 SEGMENT = "document_id string, locator string, text string, section string, status string, error string"
 
 
+#: Text of a page that asks for something instead of giving an article, and headings of one that gives it (fixed values).
+CHALLENGE = re.compile(r"access denied|captcha|sign in to access|just a moment", re.I)
+FULL_TEXT = re.compile(r"\b(?:methods?|materials|experiments?|implementation|evaluation|results?)\b")
+LEAST_HTML = 500
+
+
 def _clean(s: str) -> str:
-    return " ".join(s.split())
+    return " ".join(s.replace("\u00ad", "").split())
+
+
+class _Node:
+    """An element of a page: its name, id and children, which are elements and text."""
 
+    __slots__ = ("tag", "id", "children")
 
-class _Blocks(HTMLParser):
-    """Headings, paragraphs, tables and preformatted blocks of an HTML page, scripts and styles left out."""
+    def __init__(self, tag: str, id_: str = ""):
+        self.tag, self.id, self.children = tag, id_, []
 
-    KEPT, SKIPPED = {"p", "h1", "h2", "h3", "h4", "table", "pre"}, {"script", "style", "noscript", "template"}
+
+class _Tree(HTMLParser):
+    """A page as a tree. Elements whose end tag may be left out end where HTML ends them; what is open at the end of the
+    page ends there; end tags without a start are passed over."""
+
+    #: Elements without content, and those that begin a block (fixed values of HTML).
+    VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+    BLOCK = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+    #: What a start tag ends: the nearest open element of these, unless one of the others stands between.
+    ENDS = {
+        "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
+        "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}), "tbody": ({"thead", "tbody", "tr"}, {"table"}), "tfoot": ({"tbody", "tr"}, {"table"}),
+    }
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out: list[Segment] = []
-        self.section, self.open, self.skip, self.parts, self.anchor = "", "", 0, [], ""
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.SKIPPED:
-            self.skip += 1
-        elif tag in self.KEPT and not self.open:
-            self.open, self.parts, self.anchor = tag, [], dict(attrs).get("id") or ""
-        elif self.open == "table" and tag in ("td", "th"):
-            self.parts.append(" | ")
-        elif self.open == "table" and tag == "tr":
-            self.parts.append(" ; ")
-
-    def handle_endtag(self, tag):
-        if tag in self.SKIPPED:
-            self.skip = max(0, self.skip - 1)
-        elif tag == self.open:
-            text = _clean("".join(self.parts)).strip(" |;")
-            if text:
-                if tag[0] == "h":
-                    self.section = text
-                where = f"html:id={self.anchor}" if self.anchor else f"html:block={len(self.out) + 1}"
-                self.out.append((where, text, self.section))
-            self.open = ""
-
-    def handle_data(self, data):
-        if self.open and not self.skip:
-            self.parts.append(data)
-
-
-def parse_html(data: bytes, least: int = 0) -> list[Segment]:
-    parser = _Blocks()
-    parser.feed(data.decode("utf-8", "replace"))
-    parser.close()
-    if sum(len(t) for _, t, _ in parser.out) < least:
-        raise ValueError("too little text")
-    return parser.out
+        self.root = _Node("")
+        self.path = [self.root]
+
+    def _end(self, tags: set[str] | frozenset[str], within: set[str] | frozenset[str] = frozenset()) -> None:
+        for depth in range(len(self.path) - 1, 0, -1):
+            if self.path[depth].tag in tags:
+                del self.path[depth:]
+                return
+            if self.path[depth].tag in within:
+                return
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in self.BLOCK:
+            self._end({"p"}, {"table", "button"})
+        if tag in self.ENDS:
+            self._end(*self.ENDS[tag])
+        node = _Node(tag, dict(attrs).get("id") or "")
+        self.path[-1].children.append(node)
+        if tag not in self.VOID:
+            self.path.append(node)
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.path[-1].children.append(_Node(tag, dict(attrs).get("id") or ""))
+
+    def handle_endtag(self, tag: str) -> None:
+        self._end({tag})
+
+    def handle_data(self, data: str) -> None:
+        self.path[-1].children.append(data)
+
+
+#: Elements that become segments, and those whose content is no text (fixed values).
+SEGMENTS = frozenset("p h1 h2 h3 h4 table pre".split())
+SILENT = frozenset("script style noscript template".split())
+
+
+def _words(node: _Node) -> str:
+    """The text inside an element; cells of a table are set off by bars, rows by semicolons."""
+    before = {"td": " | ", "th": " | ", "tr": " ; "}
+    parts, todo = [], [node]
+    while todo:
+        at = todo.pop()
+        if isinstance(at, str):
+            parts.append(at)
+        elif at.tag not in SILENT:
+            parts.append(before.get(at.tag, ""))
+            todo.extend(reversed(at.children))
+    return _clean("".join(parts))
+
+
+def html_segments(page: str) -> list[Segment]:
+    """Headings, paragraphs, tables and preformatted blocks in order, each under the heading before it. A block inside
+    another one is part of it."""
+    tree = _Tree()
+    tree.feed(page)
+    tree.close()
+    out, section, todo = [], "", [tree.root]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str) or node.tag in SILENT:
+            continue
+        if node.tag not in SEGMENTS:
+            todo.extend(reversed(node.children))
+        elif text := _words(node):
+            section = text if node.tag[0] == "h" else section
+            out.append((f"html:id={node.id}" if node.id else f"html:block={len(out) + 1}", text, section))
+    return out
+
+
+def parse_html(data: bytes, article: bool = False) -> list[Segment]:
+    """The page's segments; where an article is wanted, a page of little text, one that asks for a login and one
+    without a section on methods or results are refused."""
+    page = data.decode("utf-8", "replace")
+    out = html_segments(page)
+    if article:
+        if sum(len(t) for _, t, _ in out) < LEAST_HTML:
+            raise ValueError("too little text")
+        if CHALLENGE.search(page[:15_000]):
+            raise ValueError("an access challenge")
+        if not any(FULL_TEXT.search(t.casefold()) for _, t, s in out if t == s):
+            raise ValueError("no section on methods or results")
+    return out
 
 
 def _xml(data: bytes) -> ElementTree.Element:
@@ -87,30 +158,34 @@ def _text(e: ElementTree.Element) -> str:
     return _clean("".join(e.itertext()))
 
 
-def parse_jats(data: bytes) -> list[Segment]:
-    """Paragraphs and tables of a journal article's body, by section title."""
-    root = _xml(data)
+def _local(root: ElementTree.Element) -> ElementTree.Element:
     for e in root.iter():
         e.tag = e.tag.rsplit("}", 1)[-1]
-    body = root.find(".//body")
-    if body is None:
-        raise ValueError("no body")
-    out: list[Segment] = [("xml:abstract", _text(a), "Abstract") for a in root.findall(".//abstract")[:1]]
-
-    def walk(e: ElementTree.Element, section: str) -> None:
-        title = e.find("title")
-        section = _text(title) if title is not None else section
-        for child in e:
-            if child.tag == "sec":
-                walk(child, section)
-            elif child.tag == "p":
-                out.append((f"xml:p={len(out) + 1}", _text(child), section))
-            elif child.tag in ("table-wrap", "table"):
-                rows = [" | ".join(_text(c) for c in r if c.tag in ("td", "th")) for r in child.iter("tr")]
-                out.append((f"xml:table={len(out) + 1}", " ; ".join(rows), section))
-
-    walk(body, "")
-    return [s for s in out if s[1]]
+    return root
+
+
+def parse_jats(data: bytes) -> list[Segment]:
+    """Paragraphs, tables, supplements and titles of a journal article, each under the title before it. An article without
+    a body of some text is refused."""
+    root = _local(_xml(data))
+    body = root.find("body")
+    if root.tag != "article" or body is None or not _text(body):
+        raise ValueError("no article with a body")
+    out: list[Segment] = []
+    section = ""
+    for e in root.iter():
+        if e.tag == "title":
+            section = _text(e)
+        elif e.tag == "table-wrap":
+            rows = [_text(x) if x.tag != "tr" else " | ".join(_text(c) for c in x if c.tag in ("td", "th")) for x in e.iter() if x.tag in ("label", "caption", "table-wrap-foot", "tr")]
+            out.append((_place(e, out), " ; ".join(rows), section))
+        elif e.tag in ("p", "supplementary-material", "article-title"):
+            out.append((_place(e, out), _text(e), section))
+    return out
+
+
+def _place(e: ElementTree.Element, out: list[Segment]) -> str:
+    return f"xml:id={e.get('id')}" if e.get("id") else f"xml:block={len(out) + 1}"
 
 
 def open_zip(data: bytes) -> zipfile.ZipFile:
@@ -128,62 +203,85 @@ def open_zip(data: bytes) -> zipfile.ZipFile:
 
 
 def parse_docx(data: bytes) -> list[Segment]:
-    root = _xml(open_zip(data).read("word/document.xml"))
-    out: list[Segment] = []
-    for e in root.iter():
-        e.tag = e.tag.rsplit("}", 1)[-1]
-    body = root.find("body")
-    for child in body if body is not None else ():
-        if child.tag == "p" and (t := _clean("".join(x.text or "" for x in child.iter("t")))):
-            out.append((f"docx:p={len(out) + 1}", t, ""))
-        elif child.tag == "tbl":
-            rows = [" | ".join(_clean("".join(x.text or "" for x in c.iter("t"))) for c in r.iter("tc")) for r in child.iter("tr")]
-            out.append((f"docx:table={len(out) + 1}", " ; ".join(rows), ""))
-    return out
+    """All paragraphs, those in tables too, then each table whole."""
+    root = _local(_xml(open_zip(data).read("word/document.xml")))
+    words = lambda e, gap: _clean(gap.join(t.text or "" for t in e.iter("t")))
+    paragraphs = [t for e in root.iter("p") if (t := words(e, ""))]
+    tables = [" ; ".join(" | ".join(words(c, " ") for c in row.findall("tc")) for row in e.findall("tr")) for e in root.iter("tbl")]
+    return [(f"docx:{kind}={i}", _clean(t), "") for kind, texts in (("paragraph", paragraphs), ("table", tables)) for i, t in enumerate(texts, 1)]
 
 
 def parse_xlsx(data: bytes) -> list[Segment]:
-    """One segment a row, cells as address=value; formulas without a stored value are noted."""
+    """A segment for every row of every sheet, in the workbook's order and by its names; cells as address=value, with the
+    formula where a value is only its cached result."""
     z = open_zip(data)
-    names, strings = z.namelist(), []
-    if "xl/sharedStrings.xml" in names:
-        for e in _xml(z.read("xl/sharedStrings.xml")):
-            strings.append("".join(t.text or "" for t in e.iter() if t.tag.endswith("}t") or t.tag == "t"))
+    read = lambda name: _local(_xml(z.read(name)))
+    strings = [_clean("".join(e.itertext())) for e in read("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in z.namelist() else []
+    targets = {r.get("Id"): r.get("Target") for r in read("xl/_rels/workbook.xml.rels")}
+
+    def value(c: ElementTree.Element) -> str:
+        kind, v, f = c.get("t"), c.findtext("v") or "", c.findtext("f")
+        if kind == "s" and v:
+            v = strings[int(v)]
+        elif kind == "inlineStr":
+            v = "".join(t.text or "" for t in c.iter("t"))
+        return f"{c.get('r', '?')}={v}" + (f" [formula={f}; cached value only]" if f else "")
+
     out: list[Segment] = []
-    for name in sorted(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)):
-        sheet, root = name.rsplit("/", 1)[1][:-4], _xml(z.read(name))
-        for e in root.iter():
-            e.tag = e.tag.rsplit("}", 1)[-1]
-        for row in root.iter("row"):
-            cells = []
-            for c in row.iter("c"):
-                v, f = c.find("v"), c.find("f")
-                value = v.text if v is not None else "".join(t.text or "" for t in c.iter("t")) or ("=" + (f.text or "") if f is not None else "")
-                cells.append(f"{c.get('r')}={strings[int(value)] if c.get('t') == 's' and v is not None else value}")
-            if cells:
-                out.append((f"xlsx:{sheet}!{row.get('r')}", " | ".join(cells), sheet))
+    for sheet in read("xl/workbook.xml").iter("sheet"):
+        target = targets[next(v for k, v in sheet.attrib.items() if k.rsplit("}", 1)[-1] == "id")]
+        member = target.lstrip("/") if target.startswith("/") else posixpath.normpath("xl/" + target)
+        if ".." in member.split("/"):
+            raise ValueError("a sheet outside the archive")
+        for row in read(member).iter("row"):
+            if cells := [value(c) for c in row.findall("c")]:
+                out.append((f"xlsx:sheet={sheet.get('name')}:row={row.get('r')}", " | ".join(cells), sheet.get("name")))
     return out
 
 
+_TEX_WHOLE = re.compile(r"\\begin\{(?P<env>table\*?|abstract)\}.*?\\end\{(?P=env)\}", re.S)
+
+
 def parse_tex(data: bytes) -> list[Segment]:
-    """Tables and abstract first, then paragraphs, by section."""
+    """Table and abstract environments whole, paragraphs between them, in order, under the section before them."""
     text = re.sub(r"(?<!\\)%.*", "", data.decode("utf-8", "replace"))
-    out: list[Segment] = [(f"tex:{env}={i + 1}", _clean(m), env) for env in ("tabular", "abstract") for i, m in enumerate(re.findall(rf"(?s)\\begin\{{{env}\}}(.*?)\\end\{{{env}\}}", text))]
-    text = re.sub(r"(?s)\\begin\{(tabular|abstract)\}.*?\\end\{\1\}", "", text)
-    section = ""
-    for i, block in enumerate(re.split(r"\n\s*\n", text)):
-        if m := re.search(r"\\(?:sub)*section\*?\{([^}]*)\}", block):
-            section = _clean(m[1])
-        if t := _clean(re.sub(r"\\(?:begin|end|documentclass|usepackage|label|(?:sub)*section)\*?(?:\[[^\]]*\])?(?:\{[^}]*\})?", "", block)):
-            out.append((f"tex:block={i + 1}", t, section))
+    out: list[Segment] = []
+    section, at, tables, blocks = "", 0, 0, 0
+
+    def paragraphs(part: str) -> None:
+        nonlocal section, blocks
+        for block in filter(None, map(str.strip, re.split(r"\n\s*\n", part))):
+            if titles := [t for level in ("", "sub", "subsub") for star in ("", "*") for t in braced(block, level + "section" + star)]:
+                section = _clean(titles[0])
+            blocks += 1
+            out.append((f"tex:block={blocks}", _clean(block), section))
+
+    for m in _TEX_WHOLE.finditer(text):
+        paragraphs(text[at : m.start()])
+        at = m.end()
+        if m["env"] == "abstract":
+            out.append(("tex:abstract=1", _clean(m[0]), section or "Abstract"))
+        else:
+            tables += 1
+            out.append((f"tex:table={tables}", _clean(m[0]), section))
+    paragraphs(text[at:])
     return out
 
 
+def parse_bibliography(data: bytes) -> list[Segment]:
+    """Entries of a BibTeX file; without any, bibitems; without these, its lines."""
+    text = data.decode("utf-8", "replace")
+    for pattern in (r"(?s)^[ \t]*@\w+\s*\{\s*(?P<key>[^,\s]+)\s*,.*?(?=^[ \t]*@\w+\s*\{|\Z)", r"(?s)\\bibitem(?:\[[^\]]*\])?\{(?P<key>[^}]+)\}.*?(?=\\bibitem|\\end\{thebibliography\}|\Z)"):
+        if found := [(f"bib:entry={m['key'].strip()}", _clean(m[0]), "Bibliography") for m in re.finditer(pattern, text, re.M)]:
+            return found
+    return [(f"bib:line={i}", _clean(x), "Bibliography") for i, x in enumerate(text.splitlines(), 1) if x.strip()]
+
+
 def parse_plain(data: bytes) -> list[Segment]:
     return [(f"text:line={i + 1}", _clean(x), "") for i, x in enumerate(data.decode("utf-8", "replace").split("\n")) if x.strip()]
 
 
-PARSERS = {"html": parse_html, "htm": parse_html, "xml": parse_jats, "nxml": parse_jats, "docx": parse_docx, "xlsx": parse_xlsx, "tex": parse_tex, "txt": parse_plain, "md": parse_plain, "csv": parse_plain, "tsv": parse_plain, "json": parse_plain}
+PARSERS = {"html": parse_html, "htm": parse_html, "xml": parse_jats, "nxml": parse_jats, "docx": parse_docx, "xlsx": parse_xlsx, "tex": parse_tex, "bib": parse_bibliography, "bbl": parse_bibliography, "txt": parse_plain, "md": parse_plain, "csv": parse_plain, "tsv": parse_plain, "json": parse_plain}
 
 
 def segments(documents: DataFrame) -> DataFrame:
@@ -219,8 +317,13 @@ def verified(candidates: DataFrame, size: int, sha256: str) -> DataFrame:
     return candidates.where((F.col("length") == size) & (F.col("sha256") == sha256)).orderBy("document_id").limit(1)
 
 
+#: What a file's name or suffix says of its role (fixed values).
+ROLES = {"supplement": r"supplement|supporting|suppl|appendix|attachment", "bibliography": r"\.(bib|bbl)$"}
+
+
 def role(path: F.Column) -> F.Column:
-    return F.when(F.lower(path).rlike("supp|attachment|appendix"), "supplement").when(F.lower(path).rlike(r"\.(bib|bbl)$"), "bibliography").otherwise("main")
+    name = F.lower(path)
+    return F.when(name.rlike(ROLES["supplement"]), "supplement").when(name.rlike(ROLES["bibliography"]), "bibliography").otherwise("main")
 
 
 def locate_quotes(fields: DataFrame, segs: DataFrame) -> DataFrame:
