@@ -41,15 +41,19 @@ def complementarity(findings: DataFrame) -> DataFrame:
     """(reviewer, author, weight) of all pairs of different models: 1 + 2 (1 - Jaccard of targets), plus for every
     finding of the author 3 (P0) or 1.5 (P1) on a target the reviewer has not seen, 0.5 on a shared one.
 
-    Models are few; their findings are counted by model and target before any pairing.
+    Findings are counted by model and target; two models meet only on the targets they share, and what they don't
+    share follows from each one's totals. One row a pair of models, which are few.
     """
-    by = findings.groupBy("model", "target").agg(F.count_if(F.col("severity") == "P0").alias("p0"), F.count_if(F.col("severity") == "P1").alias("p1"), F.count("*").alias("n"))
-    sets = by.groupBy("model").agg(F.collect_set("target").alias("targets"), F.collect_list(F.struct("target", "p0", "p1", "n")).alias("rows"))
-    r, a = sets.select(F.col("model").alias("reviewer"), F.col("targets").alias("rt")), sets.select(F.col("model").alias("author"), F.col("targets").alias("at"), F.col("rows").alias("ar"))
-    both = r.join(a, F.col("reviewer") != F.col("author"))
-    shared = F.size(F.array_intersect("rt", "at")) / F.size(F.array_union("rt", "at"))
-    extra = F.aggregate("ar", F.lit(0.0), lambda t, x: t + F.when(F.array_contains(F.col("rt"), x["target"]), 0.5 * x["n"]).otherwise(3.0 * x["p0"] + 1.5 * x["p1"]))
-    return both.select("reviewer", "author", F.round(1 + 2 * (1 - shared) + extra, 6).alias("weight"))
+    grave = 3.0 * F.count_if(F.col("severity") == "P0") + 1.5 * F.count_if(F.col("severity") == "P1")
+    by = findings.groupBy("model", "target").agg(grave.alias("grave"), F.count(F.lit(1)).alias("n"))
+    totals = by.groupBy("model").agg(F.count(F.lit(1)).alias("targets"), F.sum("grave").alias("grave"))
+    mine = by.select(F.col("model").alias("reviewer"), "target")
+    met = mine.join(by, "target").where("reviewer <> model").groupBy("reviewer", F.col("model").alias("author")).agg(F.count(F.lit(1)).alias("shared"), F.sum(0.5 * F.col("n") - F.col("grave")).alias("less"))
+    r, a = (totals.select(F.col("model").alias(name), F.col("targets").alias(f"{name}_targets"), F.col("grave").alias(f"{name}_grave")) for name in ("reviewer", "author"))
+    pairs = r.join(a, F.col("reviewer") != F.col("author")).join(met, ["reviewer", "author"], "left")
+    shared = F.coalesce("shared", F.lit(0))
+    jaccard = shared / (F.col("reviewer_targets") + F.col("author_targets") - shared)
+    return pairs.select("reviewer", "author", F.round(1 + 2 * (1 - jaccard) + F.col("author_grave") + F.coalesce("less", F.lit(0.0)), 6).alias("weight"))
 
 
 def best_derangement(weight: np.ndarray) -> np.ndarray:

@@ -2,33 +2,61 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.store import written
 
 
-def closure(edges: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """edges (child, parent), starts (node) -> (start, ancestor, depth), depth the shortest distance.
+def full_closure(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """edges (child, parent) -> (start, ancestor, depth) for every node, depth the shortest distance.
 
-    Set semantics: a node met before is not followed again, so diamonds do not multiply and cycles end.
+    By doubling: a shortest path of up to 2 n steps has a node exactly n steps from its start, so a round joins the pairs
+    n steps apart with all pairs up to n, and the number of rounds is the logarithm of the depth. No node is its own
+    ancestor, on a cycle neither.
+    """
+    pairs = written(edges.where("child is not null and parent is not null and child <> parent").select(F.col("child").alias("start"), F.col("parent").alias("ancestor")).distinct().withColumn("depth", F.lit(1)), "closure")
+    reach = 1
+    for _ in range(max_rounds):
+        ends = pairs.where(F.col("depth") == reach)
+        if ends.isEmpty():
+            return pairs
+        on = pairs.select(F.col("start").alias("_at"), F.col("ancestor").alias("_to"), F.col("depth").alias("_more"))
+        further = ends.join(on, F.col("ancestor") == F.col("_at")).where("start <> _to").select("start", F.col("_to").alias("ancestor"), (F.col("depth") + F.col("_more")).alias("depth"))
+        pairs = written(pairs.unionByName(further).groupBy("start", "ancestor").agg(F.min("depth").alias("depth")), "closure")
+        reach *= 2
+    raise RuntimeError(f"closure: not finished after {max_rounds} doublings")
+
+
+def closure(edges: DataFrame, starts: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
+    """edges (child, parent), starts (node) -> (start, ancestor, depth), depth the shortest distance; no starts: of all nodes, by
+    full_closure.
+
+    Set semantics: a node met before is not followed again, so diamonds do not multiply and cycles end. A round's
+    fresh pairs are one written table; rounds are merged as their sizes double, so a round reads few tables and each
+    pair is rewritten at most once for every doubling.
     """
-    step = edges.where("child is not null and parent is not null").select("child", "parent").distinct()
-    front = starts.select(F.col("node").alias("start"), F.col("node").alias("at")).distinct()
-    seen = [written(front.select("start", F.col("at").alias("ancestor"), F.lit(0).alias("depth")), "closure")]
-    front = seen[0].select("start", F.col("ancestor").alias("at"))
+    if starts is None:
+        return full_closure(edges)
+    step = written(edges.where("child is not null and parent is not null").select("child", "parent").distinct(), "closure-step")
+    front = written(starts.select(F.col("node").alias("start"), F.col("node").alias("ancestor")).distinct().withColumn("depth", F.lit(0)), "closure")
+    seen: list[tuple[int, DataFrame]] = [(front.count(), front)]
     for depth in range(1, max_rounds + 1):
-        reached = front.join(step, front["at"] == step["child"]).select("start", F.col("parent").alias("ancestor")).distinct()
-        known = seen[0]
-        for s in seen[1:]:
-            known = known.unionByName(s)
+        reached = front.select("start", F.col("ancestor").alias("child")).join(step, "child").select("start", F.col("parent").alias("ancestor")).distinct()
+        known = reduce(DataFrame.unionByName, [s for _, s in seen])
         fresh = written(reached.join(known.select("start", "ancestor"), ["start", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
-        if fresh.isEmpty():
+        n = fresh.count()  # from the footers of what was just written
+        if n == 0:
             return known.where("depth > 0")
-        if len(seen) > 12:  # keep the plan short
-            seen = [written(known, "closure")]
-        seen.append(fresh)
-        front = fresh.select("start", F.col("ancestor").alias("at"))
+        seen.append((n, fresh))
+        while len(seen) > 8 and len(seen) > 1 and seen[-2][0] <= 2 * seen[-1][0]:
+            (a, x), (b, y) = seen[-2:]
+            seen[-2:] = [(a + b, written(x.unionByName(y), "closure"))]
+        if len(seen) > 16:
+            seen = [(sum(k for k, _ in seen), written(reduce(DataFrame.unionByName, [s for _, s in seen]), "closure"))]
+        front = fresh
     raise RuntimeError(f"closure: not finished after {max_rounds} rounds")
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.operators.graph import cyclic
+from attesta.store import written
 
 
 def last_state(events: DataFrame, key: str, order: list[str], state: str) -> DataFrame:
@@ -120,12 +122,19 @@ def ingest(batch: DataFrame, stored: DataFrame, atomic: bool = True) -> DataFram
     return batch.dropDuplicates(["artifact_id"]).join(ok, "artifact_id", "left_semi")
 
 
-def table_digest(rows: DataFrame) -> DataFrame:
-    """(rows, digest): the same for any order of the rows. Row digests meet in 4096 groups first, then in one row."""
+def table_digest(rows: DataFrame, fan: int = 16) -> DataFrame:
+    """(rows, digest): the same for any order of the rows. A tree of digests: rows meet by the leading hex digits of their
+    own digest, groups of about `fan` x 16 rows at the leaves whatever the table's size, and then 16 to one up to the root."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in sorted(rows.columns)]
-    h = rows.select(F.sha2(F.concat_ws("\x1f", *cells), 256).alias("h"))
-    groups = h.groupBy(F.left("h", F.lit(3)).alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"), F.count("*").alias("n"))
-    return groups.agg(F.sum("n").cast("long").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
+    h = written(rows.select(F.sha2(F.concat_ws("\x1f", *cells), 256).alias("h")), "row-digests")
+    n, depth = h.count(), 3
+    while n > fan * 16 * 16**depth:
+        depth += 1
+    level = h.groupBy(F.left("h", F.lit(depth)).alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"), F.count("*").alias("n"))
+    for length in range(depth - 1, -1, -1):
+        one = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "d"))), lambda x: x["d"]), ""), 256)
+        level = level.groupBy(F.left("g", F.lit(length)).alias("g")).agg(one.alias("d"), F.sum("n").alias("n"))
+    return level.select(F.col("n").cast("long").alias("rows"), F.col("d").alias("digest"))
 
 
 def stance_of(kind: Column, positives: Column, negatives: Column, total: Column) -> Column:
@@ -133,22 +142,58 @@ def stance_of(kind: Column, positives: Column, negatives: Column, total: Column)
     return F.when(negatives > 0, "contradicts").when((total > 0) & (positives == total), "supports").otherwise("qualifies")
 
 
-#: Stages of a reproduction checklist, hard ones first (identifiers of ours for the same fourteen steps).
-STAGES = ("code_available", "data_available", "environment", "build", "entry_point", "main_result", "seeds", "hyperparameters", "hardware", "runtime", "metrics", "baselines", "ablations", "licence")
-HARD = STAGES[:6]
+#: Stages of a reproduction checklist in order, those that gate any positive verdict, those that may be waived, the
+#: statuses of a stage and the tiers (fixed values).
+STAGES = ("identity", "code-link", "repo-identity", "version-consistency", "release-commit", "dataset", "model-weights", "dependencies", "license", "build-install", "smoke-run", "claimed-metrics", "measured-metrics", "metric-diff")
+HARD = ("identity", "code-link", "repo-identity", "dependencies", "build-install", "smoke-run")
+WAIVABLE = ("dataset", "model-weights", "license")
+STATUSES = ("pass", "fail", "mismatch", "missing", "blocked", "skipped", "unknown")
+NEGATIVE = ("fail", "missing", "blocked")
+UNCHECKED = ("skipped", "unknown")
+VERDICTS = ("reproducible", "partially-reproducible", "blocked", "inconsistent")
+TIERS = ("no-code-found", "environment-broken", "runs", "direction-reproduced", "numbers-reproduced")
+
+
+def checklist_errors(stages: DataFrame) -> DataFrame:
+    """stages (paper, stage, status, waived, reason) -> paper, stage, error for every row that is no valid record."""
+    w = Window.partitionBy("paper", "stage")
+    waived = F.coalesce("waived", F.lit(False))
+    found = [
+        F.when(~F.coalesce(F.col("stage").isin(*STAGES), F.lit(False)), "unknown_stage"),
+        F.when(F.count(F.lit(1)).over(w) > 1, "duplicate_stage"),
+        F.when(~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)), "invalid_status"),
+        F.when(waived & (F.col("status") != "skipped"), "waived_not_skipped"),
+        F.when(waived & ~F.col("stage").isin(*WAIVABLE), "stage_not_waivable"),
+        F.when(waived & (F.trim(F.coalesce("reason", F.lit(""))) == ""), "waived_without_reason"),
+    ]
+    return stages.select("paper", "stage", F.array_compact(F.array(*found)).alias("errors")).distinct().select("paper", "stage", F.explode("errors").alias("error")).distinct()
 
 
 def checklist(stages: DataFrame) -> DataFrame:
-    """stages (paper, stage, status pass/fail/mismatch/missing, waived) -> verdict and tier 0 to 4 by paper.
+    """stages (paper, stage, status, waived) -> paper, verdict, tier, contradictions, blocking, gaps.
 
-    Stages that a paper lacks count as missing. mismatch: inconsistent; a hard stage not passed (or waived):
-    blocked; no gap: reproducible; else partial.
+    A stage without a record is unknown. Any mismatch makes a paper inconsistent; else a hard stage that did not pass
+    blocks it; else it is reproducible where all others passed or were waived, and partially so where not. The
+    tier says how far the run came, from facts alone: null where a needed stage is unchecked or the paper's identity
+    failed. One row a paper that has records of known stages; of doubled records the first status by name counts.
     """
-    spark = stages.sparkSession
-    all_ = spark.createDataFrame([(s, s in HARD) for s in STAGES], "stage string, hard boolean")
-    grid = stages.select("paper").distinct().crossJoin(F.broadcast(all_))  # fourteen rows a paper
-    s = grid.join(stages, ["paper", "stage"], "left").withColumn("ok", (F.coalesce("status", F.lit("missing")) == "pass") | F.coalesce("waived", F.lit(False)))
-    r = s.groupBy("paper").agg(F.coalesce(F.bool_or(F.col("status") == "mismatch"), F.lit(False)).alias("mismatch"), F.bool_or(F.col("hard") & ~F.col("ok")).alias("blocked"), F.count_if(~F.col("ok")).alias("gaps"))
-    verdict = F.when(F.col("mismatch"), "inconsistent").when(F.col("blocked"), "blocked").when(F.col("gaps") == 0, "reproducible").otherwise("partial")
-    tier = F.when(F.col("mismatch") | F.col("blocked"), 0).when(F.col("gaps") == 0, 4).when(F.col("gaps") <= 2, 3).when(F.col("gaps") <= 5, 2).otherwise(1)
-    return r.select("paper", verdict.alias("verdict"), tier.alias("tier"), "gaps")
+    known = stages.where(F.col("stage").isin(*STAGES)).groupBy("paper", "stage").agg(F.min(F.struct("status", F.coalesce("waived", F.lit(False)).alias("waived"))).alias("r"))
+    by = known.groupBy("paper").agg(F.map_from_entries(F.collect_list(F.struct("stage", "r"))).alias("of"))  # fourteen stages at most
+
+    def status(stage: str) -> Column:
+        return F.coalesce(F.col("of")[stage]["status"], F.lit("unknown"))
+
+    def named(stages_: tuple[str, ...], when: Callable[[str], Column]) -> Column:
+        return F.array_compact(F.array(*[F.when(when(s), F.lit(s)) for s in stages_]))
+
+    waived = lambda s: (status(s) == "skipped") & F.coalesce(F.col("of")[s]["waived"], F.lit(False)) if s in WAIVABLE else F.lit(False)
+    soft = tuple(s for s in STAGES if s not in HARD)
+    out = by.select("paper", "of", named(STAGES, lambda s: status(s) == "mismatch").alias("contradictions"), named(HARD, lambda s: status(s) != "pass").alias("blocking"), named(soft, lambda s: (status(s) != "pass") & ~waived(s)).alias("gaps"))
+    verdict = F.when(F.size("contradictions") > 0, "inconsistent").when(F.size("blocking") > 0, "blocked").when(F.size("gaps") == 0, "reproducible").otherwise("partially-reproducible")
+    no, open_ = (lambda s: status(s).isin(*NEGATIVE, "mismatch")), (lambda s: status(s).isin(*UNCHECKED))
+    tier = F.when(no("identity"), None).when(no("code-link") | no("repo-identity"), "no-code-found").when(open_("code-link") | open_("repo-identity") | open_("identity"), None)
+    for s in ("dependencies", "build-install", "smoke-run"):
+        tier = tier.when(status(s).isin(*NEGATIVE), "environment-broken").when(open_(s), None)
+    ran = (status("claimed-metrics") == "pass") & (status("measured-metrics") == "pass")
+    tier = tier.when(ran & (status("metric-diff") == "pass"), "numbers-reproduced").when(ran & (status("metric-diff") == "fail"), "direction-reproduced").otherwise("runs")
+    return out.select("paper", verdict.alias("verdict"), tier.alias("tier"), "contradictions", "blocking", "gaps")

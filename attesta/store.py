@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +28,33 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Paths made by this process for each run that is being watched (see cleaned).
+_WATCHED: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/attesta-{what}-{uuid.uuid4().hex}"
+    """A new path in this application's own folder of the shared one."""
+    path = f"{shared_dir(spark)}/attesta-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+    for made in _WATCHED:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def cleaned(spark: SparkSession, *kept: str) -> Iterator[None]:
+    """Delete, at its end, what was written inside, but for the paths kept: for steps whose result is written whole."""
+    _WATCHED.append([])
+    try:
+        yield
+    finally:
+        for path in _WATCHED.pop():
+            if path not in kept:
+                removed(spark, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables this application has written; results that still read them are no more."""
+    removed(spark, f"{shared_dir(spark)}/attesta-{spark.sparkContext.applicationId}")
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -43,6 +70,11 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df, its rows dealt anew only where it has fewer partitions than the cluster has cores (a few small files)."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -1,7 +1,8 @@
 """Watch state per (watcher, item): a fold over observations that may come late, twice or out of order.
 
 One step function serves the batch fold and the stream. An observation has a sequence number, a status
-(retracted, not_retracted or unknown), signals, and whether these are complete, cut short or failed.
+(retracted, not_retracted or unknown), signals, and whether these are complete, cut short or failed. A key keeps the
+digests of its latest numbers only, so its state is bounded: what comes below all of these is stale, as a replay too.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.store import exists
+
 KEYS = ("watcher", "item_key")
 #: Columns of an observation besides its key; arrival orders those of a batch.
 OBSERVATION = ("seq", "status", "signals", "signals_complete", "truncated", "error")
@@ -21,8 +24,12 @@ OUTCOMES = "watcher string, item_key string, seq long, outcome string, changed b
 FINAL = "watcher string, item_key string, current_status string, confirmed string, signals array<string>, applied long, confirmed_seq long, version long, truncated boolean, error string, stale long, replays long, conflicts long"
 
 
+#: Numbers of a key whose digests are kept at least; up to twice as many are.
+KEPT = 1000
+
+
 def blank() -> dict:
-    return {"current": None, "confirmed": None, "signals": [], "applied": -1, "confirmed_seq": -1, "version": 0, "truncated": False, "error": None, "commits": {}, "stale": 0, "replays": 0, "conflicts": 0}
+    return {"current": None, "confirmed": None, "signals": [], "applied": -1, "confirmed_seq": -1, "version": 0, "truncated": False, "error": None, "commits": {}, "floor": -1, "stale": 0, "replays": 0, "conflicts": 0}
 
 
 def step(s: dict, o: dict) -> tuple[str, bool]:
@@ -33,7 +40,13 @@ def step(s: dict, o: dict) -> tuple[str, bool]:
         same = s["commits"][str(seq)] == digest
         s["replays" if same else "conflicts"] += 1
         return ("replayed" if same else "conflict"), False
+    if seq < s["floor"]:
+        s["stale"] += 1
+        return "stale_ignored", False
     s["commits"][str(seq)] = digest
+    if len(s["commits"]) > 2 * KEPT:
+        kept = sorted(s["commits"], key=int)[-KEPT:]
+        s["floor"], s["commits"] = int(kept[0]), {k: s["commits"][k] for k in kept}
     known = status != "unknown"
     if seq < (s["confirmed_seq"] if known else s["applied"]):
         s["stale"] += 1
@@ -66,17 +79,35 @@ def _rows(pdf: pd.DataFrame) -> Iterator[dict]:
 
 
 def fold(observations: DataFrame) -> DataFrame:
-    """The state of every key after its observations, in order of `arrival`."""
+    """The state of every key after its observations, in order of `arrival`.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = blank()
-        for o in _rows(pdf.sort_values("arrival", kind="stable")):
-            step(s, o)
-        return pd.DataFrame([{"watcher": pdf.watcher.iloc[0], "item_key": pdf.item_key.iloc[0], "current_status": s["current"]} | {k: s[k] for k in ("confirmed", "signals", "applied", "confirmed_seq", "version", "truncated", "error", "stale", "replays", "conflicts")}])
+    Rows are sorted by key and arrival and passed through the step function as they come, so that of a key's
+    history only a batch is held, however long it is.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, s = None, blank()
+        for pdf in batches:
+            out = []
+            for now, o in zip(zip(*[pdf[k].tolist() for k in KEYS]), _rows(pdf), strict=True):
+                if now != key:
+                    if key is not None:
+                        out.append(_final(key, s))
+                    key, s = now, blank()
+                step(s, o)
+            if out:
+                yield pd.DataFrame(out)
+        if key is not None:
+            yield pd.DataFrame([_final(key, s)])
 
     # by number, so that small inputs are not gathered in one task of Python
     parts = int(observations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return observations.repartition(parts, *KEYS).groupBy(*KEYS).applyInPandas(one, FINAL)
+    return observations.select(*KEYS, "arrival", *OBSERVATION).repartition(parts, *KEYS).sortWithinPartitions(*KEYS, "arrival").mapInPandas(run, FINAL)
+
+
+def _final(key: tuple, s: dict) -> dict:
+    kept = ("confirmed", "signals", "applied", "confirmed_seq", "version", "truncated", "error", "stale", "replays", "conflicts")
+    return dict(zip(KEYS, key, strict=True)) | {"current_status": s["current"]} | {k: s[k] for k in kept}
 
 
 def stream(observations: DataFrame) -> DataFrame:
@@ -110,17 +141,18 @@ def unacknowledged(outcomes: DataFrame, acked: DataFrame) -> DataFrame:
     return outcomes.where("changed").join(top, list(KEYS), "left").where("version > coalesce(acked, 0)").drop("acked")
 
 
-def drain(outcomes: DataFrame, path: str) -> None:
-    """For foreachBatch: append the batch's changes that the outbox at path lacks, keyed by (key, version)."""
+def drain(outcomes: DataFrame, path: str, buckets: int = 64) -> None:
+    """For foreachBatch: append the batch's changes that the outbox at path lacks, by (key, version).
+
+    The outbox is laid out by buckets of keys, of which only those that the batch touches are read.
+    """
     spark = outcomes.sparkSession
-    new = outcomes.where("changed").dropDuplicates([*KEYS, "version"])
-    try:
-        old = spark.read.parquet(path).select(*KEYS, "version")
-    except Exception as e:  # nothing drained yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = new.select(*KEYS, "version").limit(0)
-    new.join(old, [*KEYS, "version"], "left_anti").write.mode("append").parquet(path)
+    new = outcomes.where("changed").dropDuplicates([*KEYS, "version"]).withColumn("bucket", F.pmod(F.xxhash64(*KEYS), F.lit(buckets)).cast("int"))
+    if exists(spark, path):
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most `buckets` rows
+        old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).select(*KEYS, "version")
+        new = new.join(old, [*KEYS, "version"], "left_anti")
+    new.write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def retraction_status(rows: DataFrame) -> DataFrame:
@@ -131,7 +163,7 @@ def retraction_status(rows: DataFrame) -> DataFrame:
 
 
 #: Update types that retract a work (fixed values).
-RETRACTING = ("retraction", "withdrawal", "removal", "expression_of_concern", "partial_retraction")
+RETRACTING = ("retraction", "withdrawal", "removal", "expression_of_concern", "expression-of-concern")
 
 
 def update_signals(updates: DataFrame) -> DataFrame:
