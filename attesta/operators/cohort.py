@@ -139,39 +139,72 @@ def top_groups(records: DataFrame, by: str, k: int = 10) -> DataFrame:
     return records.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(k)
 
 
+#: Wordings of a status, in the order in which they decide (fixed values).
+STATUS_WORDS = {
+    "withdrawn": r"\bwithdraw(?:n|al)?\b",
+    "rejected_or_unaccepted": r"\breject(?:ed)?\b|\bdesk[\s_-]*reject",
+    "accepted": r"\b(?:poster|spotlight|oral|notable)\b|(?<!not\s)(?<!un)(?<!cannot\s)(?<!never\s)\baccept(?:ed)?\b(?!\s+threshold)",
+    "under_review": r"^(?:active|under review|submitted)$",
+}
+
+
 def classify_status(status: Column) -> Column:
-    """withdrawn before rejected before accepted before active; negated acceptance is no acceptance."""
+    """withdrawn before rejected_or_unaccepted before accepted before under_review; anything else is unknown."""
     s = F.lower(F.trim(status))
-    return F.when(s.isNull() | (s == ""), "unknown").when(s.rlike("withdr"), "withdrawn").when(s.rlike("reject"), "rejected").when(s.rlike(r"(?<!not )\baccept|\b(oral|poster|spotlight)\b"), "accepted").when(s.rlike("active|under review|submitted|pending"), "active").otherwise("unknown")
+    return F.coalesce(*[F.when(s.rlike(words), name) for name, words in STATUS_WORDS.items()], F.lit("unknown"))
+
+
+#: Tiers of a decision, bins of soundness and groups over them (fixed values).
+DECISION_TIERS = ("Oral", "Poster", "Rejected", "Withdrawn")
+SOUNDNESS = ("SOUND_HIGH(>=3.25)", "SOUND_MID(2.0_to_3.25)", "SOUND_LOW(<=2.0)")
+
+
+def decision_tier(status: Column) -> Column:
+    """The tier of a status; one that has none is an error."""
+    exact = {"Reject": "Rejected", "Withdraw": "Withdrawn", "Desk Reject": "Desk Reject"}
+    out = F.when(F.contains(status, F.lit("Oral")), "Oral").when(F.contains(status, F.lit("Poster")), "Poster")
+    for raw, tier in exact.items():
+        out = out.when(status == raw, tier)
+    return out.otherwise(F.raise_error(F.concat(F.lit("unexpected status: "), F.coalesce(status, F.lit("null")))))
 
 
 def soundness_bin(x: Column) -> Column:
-    return F.when(x >= 3.25, "high").when(x <= 2.0, "low").when(x.isNotNull(), "middle")
+    high, middle, low = SOUNDNESS
+    return F.when(x >= 3.25, high).when(x <= 2.0, low).when(x.isNotNull(), middle)
 
 
-#: Families of wording looked for in review text, as patterns of ours.
+#: Families of wording looked for in review text, in any case (fixed values).
 FAMILIES = {
-    "novelty": r"(?i)\b(novel|incremental|new(?:ness)?|original)",
-    "clarity": r"(?i)\b(unclear|confus|hard to (?:read|follow)|clear)",
-    "evidence": r"(?i)\b(baseline|ablation|experiment|evidence|token)",
-    "scope": r"(?i)\b(limited|narrow|scope|general)",
-    "method": r"(?i)\b(method|theor|proof|assum|the)\b",
+    "dispersion_error_bars": r"\b(?:error\s+bars?|standard\s+deviations?|std\b|stdev\b|confidence\s+intervals?|statistical\s+significance|multiple\s+(?:runs|seeds)|random\s+seeds?|variance\s+across)\b",
+    "format_section_page": r"\b(?:typos?|grammatical|grammar\s+errors?|broken\s+references?|missing\s+references?|citation\s+format|template|page\s+limit|over\s+length|limitations?\s+section|no\s+limitations?|lack\s+of\s+limitations?|unresolved\s+reference)\b",
+    "table_quant_ablation": r"\b(?:inconsistent\s+numbers?|mismatch\s+between\s+table|table\s+\d+\s+and\s+table\s+\d+|ablation\s+study\s+is\s+missing|no\s+ablation|marginal\s+improvement|overclaimed|over-claimed|hyperbole|exaggerated|numbers?\s+in\s+table\s+\d+\s+do\s+not\s+match|sum\s+to\s+100)\b",
+    "citation_baseline": r"\b(?:missing\s+citations?|missing\s+references?|outdated\s+baselines?|recent\s+baselines?|duplicate\s+citations?|duplicate\s+references?|wrong\s+citation|incorrect\s+citation|hallucinated\s+reference|non-existent\s+reference)\b",
+    "reproducibility_code": r"\b(?:no\s+code|code\s+is\s+not\s+provided|code\s+is\s+not\s+available|missing\s+code|anonymous\s+(?:code|repo|repository|link)|reproducib(?:le|ility)|hyperparameters?\s+are\s+not\s+specified|implementation\s+details?\s+are\s+missing)\b",
 }
 
 
 def incidence_flags(text: Column) -> list[Column]:
-    return [text.rlike(p).alias(name) for name, p in FAMILIES.items()]
+    return [F.coalesce(text.rlike("(?i)" + p), F.lit(False)).alias(name) for name, p in FAMILIES.items()]
+
+
+def incidence_groups(tier: Column, soundness: Column) -> dict[str, Column]:
+    """The groups a paper counts in: its tier, the four decision tiers together, all, and its bin of soundness."""
+    groups = {t: tier == t for t in (*DECISION_TIERS, "Desk Reject")}
+    groups |= {"STANDARD_DECISION_TIERS": tier.isin(*DECISION_TIERS), "ALL_SCORED": F.lit(True)}
+    return groups | {b: soundness_bin(soundness) == b for b in SOUNDNESS}
 
 
-def incidence(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """rows with a flag for each family -> by group: rows, mean of a value, any hit, and hits with share per family."""
+def incidence(papers: DataFrame, by: list[str]) -> DataFrame:
+    """papers (reviews, rating, soundness, a flag for each family) -> by group: papers and reviews, mean rating and
+    soundness, papers with any hit, and hits and percentage of each family."""
     hit = F.lit(False)
     for name in FAMILIES:
         hit = hit | F.col(name)
-    out = [F.count("*").alias("papers"), F.round(F.avg(value), 6).alias("mean_value"), F.count_if(hit).alias("any_hit")]
+    share = lambda c: F.round(100.0 * F.count_if(c) / F.count(F.lit(1)), 1)
+    out = [F.count(F.lit(1)).alias("papers_n"), F.sum("reviews").cast("long").alias("reviews_n"), F.round(F.avg("rating"), 3).alias("mean_rating"), F.round(F.avg("soundness"), 3).alias("mean_soundness"), F.count_if(hit).alias("hit_any"), share(hit).alias("hit_any_pct")]
     for name in FAMILIES:
-        out += [F.count_if(name).alias(name)]
-    return rows.groupBy(*by).agg(*out)
+        out += [F.count_if(name).alias(name), share(F.col(name)).alias(f"{name}_pct")]
+    return papers.groupBy(*by).agg(*out)
 
 
 def split_half(key: Column) -> Column:

@@ -18,7 +18,13 @@ HOME = r"(?:/home/|/Users/|[A-Za-z]:\\Users\\)[A-Za-z0-9._\-]+"
 REPOSITORY = r"https?://(?:www\.)?(?:github|gitlab|bitbucket|huggingface)\.(?:com|org|co)/[A-Za-z0-9_.\-]+(?:/[A-Za-z0-9_.\-]+)?"
 #: Hosts that hide their owner (fixed values).
 NEUTRAL = ("anonymous.4open.science", "osf.io/anonymous")
-OWNED = r"(?i)\b(?:our|we|us)\b[^.]{0,80}$"
+#: Words by which authors call a repository their own (fixed values).
+OWNED = (
+    r"(?i)\b(?:our\s+(?:source\s+|anonymous\s+)?(?:code|repo|repository|implementation|package|project|library|artifact|data|dataset|benchmark|model|framework|system|tool|supplement|scripts?)\b"
+    r"|we\s+(?:release|provide|open[- ]source|publish|host|maintain)\b"
+    r"|(?:code|implementation|repository|artifact)\s+(?:is\s+)?(?:available|released|hosted)\b"
+    r"|source\s+code\s*[:=])[^.]{0,80}$"
+)
 
 
 def lines(files: DataFrame, key: str, text: str) -> DataFrame:
@@ -68,7 +74,7 @@ def scan_status(files: DataFrame, findings: DataFrame, key: str, complete: Colum
     return files.join(n, key, "left").select(key, F.when(F.col("n") > 0, "leaks_detected").when(~complete, "incomplete").otherwise("clean").alias("status"), F.coalesce("n", F.lit(0)).cast("long").alias("findings"))
 
 
-#: Rules on single lines: code, severity, pattern.
+#: Rules on single lines: code and severity (fixed values), and a pattern.
 LINE_RULES = [
     ("FINAL_MODE_IN_REVIEW", "error", r"\\(?:documentclass|usepackage)\[[^\]]*\b(?:final|accepted|camera\s*ready|preprint)\b[^\]]*\]"),
     ("BLIND_AUTHOR_LEAK", "error", r"\\author\{(?!\s*(?:anonymous|paper under|\}))"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.functions.text import bare_doi
 from attesta.operators.cohort import classify_status
 
 
@@ -31,10 +32,71 @@ def forum_summary(notes: DataFrame, declared: DataFrame) -> DataFrame:
     decision = F.max(F.when(F.col("class") == "decision", value_of(F.col("content"), "decision")))
     venue = F.max(value_of(F.col("content"), "venue"))
     s = n.groupBy("forum").agg(F.count("*").alias("notes"), F.count_if((F.col("class") == "review") & F.col("rating").isNotNull()).alias("reviews"), F.round(F.avg(F.when(F.col("class") == "review", F.col("rating"))), 6).alias("mean_rating"), decision.alias("decision"), venue.alias("venue"))
-    status = F.when(F.col("decision").isNotNull(), classify_status(F.col("decision"))).when(F.lower("venue").startswith("submitted to"), "active").otherwise(classify_status(F.col("venue")))
+    status = F.when(F.col("decision").isNotNull(), classify_status(F.col("decision"))).when(F.lower("venue").startswith("submitted to"), "under_review").otherwise(classify_status(F.col("venue")))
     return s.join(declared, "forum", "left").select("forum", "reviews", "mean_rating", status.alias("status"), (F.col("notes") < F.coalesce("count", F.lit(0))).alias("incomplete"))
 
 
+def _http(url: Column) -> Column:
+    u = F.trim(url)
+    return F.when(u.rlike("^https?://"), u)
+
+
+def openalex_locations(works: DataFrame) -> DataFrame:
+    """works (key, work: JSON of an OpenAlex record) -> key, kind, url, pdf for every open location, as best_location takes them."""
+    place = "struct<is_oa: boolean, pdf_url: string, landing_page_url: string, version: string, license: string, source: struct<type: string, display_name: string>>"
+    w = works.select("key", F.from_json("work", f"locations array<{place}>, best_oa_location {place}, open_access struct<is_oa: boolean, oa_url: string, oa_status: string>").alias("w"))
+    pdf = lambda x: F.coalesce(_http(x["pdf_url"]), _http(x["landing_page_url"]))
+    row = lambda kind, url, is_pdf: F.struct(F.lit(kind).alias("kind"), url.alias("url"), is_pdf.alias("pdf"))
+    open_ = F.coalesce(F.col("w.open_access.is_oa"), F.lit(False))
+    listed = F.transform(F.filter(F.coalesce("w.locations", F.array().cast(f"array<{place}>")), lambda x: F.coalesce(x["is_oa"], F.lit(False))), lambda x: F.when(x["source"]["type"].eqNullSafe(F.lit("repository")) & _http(x["pdf_url"]).isNotNull(), row("repository", pdf(x), F.lit(True))).otherwise(row("other", pdf(x), _http(x["pdf_url"]).isNotNull())))
+    best = F.col("w.best_oa_location")
+    best = F.when(best.isNotNull() & F.coalesce(best["is_oa"], open_), row("best", pdf(best), _http(best["pdf_url"]).isNotNull()))
+    link = F.col("w.open_access.oa_url")
+    link = F.when(open_ & _http(link).isNotNull(), row("link", _http(link), F.lower(F.trim(link)).endswith(".pdf")))
+    return w.select("key", F.explode(F.concat(listed, F.array_compact(F.array(best, link)))).alias("x")).select("key", "x.*").where("url is not null")
+
+
+def semantic_scholar_locations(papers: DataFrame) -> DataFrame:
+    """papers (key, paper: JSON of a Semantic Scholar record) -> key, doi, url of its open PDF, landing."""
+    p = papers.select("key", F.from_json("paper", "externalIds struct<DOI: string>, doi string, openAccessPdf struct<url: string, status: string, license: string>, url string").alias("p"))
+    url = _http(F.col("p.openAccessPdf.url"))
+    return p.select("key", F.coalesce("p.externalIds.DOI", "p.doi").alias("doi"), url.alias("url"), F.coalesce(_http(F.col("p.url")), url).alias("landing")).where("url is not null")
+
+
+def europe_pmc_locations(answers: DataFrame) -> DataFrame:
+    """answers (key, answer: JSON of a Europe PMC search) -> key, doi, url, landing of every open result: its first PDF, else
+    its first other address."""
+    a = answers.select("key", F.explode(F.from_json("answer", "resultList struct<result: array<struct<doi: string, isOpenAccess: string, license: string, fullTextUrlList: struct<fullTextUrl: array<struct<availabilityCode: string, documentStyle: string, url: string>>>>>>")["resultList"]["result"]).alias("r"))
+    urls = F.filter(F.coalesce("r.fullTextUrlList.fullTextUrl", F.array()), lambda u: F.upper(F.coalesce(u["availabilityCode"], F.lit(""))).isin("OA", "F", "") & _http(u["url"]).isNotNull())
+    first = lambda keep: F.try_element_at(F.filter(urls, keep), F.lit(1))["url"]
+    pdf, other = first(lambda u: F.lower(u["documentStyle"]) == "pdf"), first(lambda u: F.coalesce(F.lower(u["documentStyle"]) != "pdf", F.lit(True)))
+    return a.where("upper(r.isOpenAccess) = 'Y'").select("key", F.col("r.doi").alias("doi"), F.coalesce(_http(pdf), _http(other)).alias("url"), F.coalesce(_http(other), _http(pdf)).alias("landing")).where("url is not null")
+
+
+#: Providers of open-access locations in the order they are asked, and the mode a hit is reported with (fixed values).
+OA_SOURCES = {"unpaywall": "unpaywall-live", "openalex": "openalex-fallback", "semantic_scholar": "semantic-scholar-fallback", "europe_pmc": "europe-pmc-fallback"}
+
+
+def resolve_open_access(wanted: DataFrame, answers: DataFrame) -> DataFrame:
+    """wanted (key, type doi or arxiv, value), answers (key, source, doi, url) -> a row for each wanted: status, mode, is_oa, url.
+
+    Answers count only where their own DOI is the wanted one. The first provider with an address wins; an arXiv id is its
+    own address; a DOI that only answers of other DOIs came for has failed; one without any address is not open.
+    """
+    doi = bare_doi(F.col("value"), "locator")
+    rank = F.array_position(F.array(*[F.lit(s) for s in OA_SOURCES]), F.col("source"))
+    asked = wanted.select("key", "type", "value", doi.alias("_doi"))
+    met = answers.withColumnRenamed("doi", "_own").join(asked.select("key", "_doi"), "key").withColumn("same", bare_doi(F.col("_own"), "locator").eqNullSafe(F.col("_doi")))
+    best = met.groupBy("key").agg(F.min(F.when(F.col("same") & F.col("url").isNotNull(), F.struct(rank.alias("r"), "url", "source"))).alias("hit"), F.bool_or("same").alias("same"))
+    out = asked.join(best, "key", "left")
+    modes = F.create_map(*[F.lit(x) for pair in OA_SOURCES.items() for x in pair])
+    arxiv, is_doi = F.col("type") == "arxiv", F.col("type") == "doi"
+    status = F.when(arxiv, "ok").when(~is_doi, "unsupported").when(F.col("same") | F.col("same").isNull(), "ok").otherwise("failed")
+    url = F.when(arxiv, F.concat(F.lit("https://arxiv.org/pdf/"), "value", F.lit(".pdf"))).when(is_doi, F.col("hit.url"))
+    mode = F.when(arxiv, "arxiv-direct").when(is_doi & F.col("hit").isNotNull(), modes[F.col("hit.source")]).otherwise("none")
+    return out.select("key", status.alias("status"), mode.alias("mode"), url.isNotNull().alias("is_oa"), url.alias("url"))
+
+
 def best_location(locations: DataFrame, key: str) -> DataFrame:
     """locations (key, kind, url, pdf): repository PDFs, then the best one, then the plain link, then others; URLs once."""
     rank = F.when((F.col("kind") == "repository") & F.col("pdf"), 0).when(F.col("kind") == "best", 1).when(F.col("kind") == "link", 2).otherwise(3)
@@ -81,3 +143,62 @@ def extraction_errors(fields: DataFrame) -> DataFrame:
     got = fields.where("status = 'extracted'")
     bad = F.filter(F.array(F.when(~F.contains("quote", "literal"), F.lit("LITERAL_NOT_IN_QUOTE")), F.when(F.col("unit").isNotNull() & ~F.contains(F.lower("quote"), F.lower("unit")), F.lit("UNIT_NOT_IN_QUOTE")), F.when(F.col("quote").rlike(r"[<>≤≥]\s*\d") & ~F.col("literal").rlike("[<>≤≥]"), F.lit("INEQUALITY_LOST"))), lambda x: x.isNotNull())
     return got.select("field_id", F.explode(bad).alias("error"))
+
+
+#: Parts of a field's context (fixed values), and what stands for none.
+AXES = ("dataset", "group", "timepoint", "analysis_set", "condition")
+UNKNOWN = ("", "unknown", "none", "null", "n/a")
+
+
+def directly_comparable(unit: Column, context: Column) -> Column:
+    """Whether a field says enough to be compared as it is: its unit and every part of its context are known."""
+    known = lambda x: ~F.coalesce(F.lower(F.trim(x)), F.lit("")).isin(*UNKNOWN)
+    out = known(unit)
+    for axis in AXES:
+        out = out & known(context[axis])
+    return out
+
+
+#: Checks between groups, whose inputs may differ in group; and of each kind the inputs that must share a unit, and those
+#: that must share a group (fixed values).
+BETWEEN_GROUPS = ("effect_size", "hedges_g", "or_rr_2x2", "power_ttest")
+SAME_UNIT = {"effect_size": ("mean1", "sd1", "mean2", "sd2"), "hedges_g": ("mean1", "sd1", "mean2", "sd2"), "ci_consistency": ("estimate", "lower", "upper"), "sd_possible": ("sd", "minimum", "maximum"), "z_beta_se": ("beta", "se")}
+SAME_GROUP = {"effect_size": (("mean1", "sd1", "n1"), ("mean2", "sd2", "n2")), "hedges_g": (("mean1", "sd1", "n1"), ("mean2", "sd2", "n2")), "or_rr_2x2": (("a", "b"), ("c", "d"))}
+
+
+def context_errors(inputs: DataFrame) -> DataFrame:
+    """inputs (check_id, kind, argument, status, type, name, unit, context; argument `reported` for the reported value) ->
+    check_id, error: why the inputs of a check do not go together."""
+    usable = (F.col("status") == "extracted") & F.col("type").isin("number", "integer", "p_value")
+    is_input = F.col("argument") != "reported"
+    both = lambda name, hit: (F.lit(name), hit)
+    found = []
+    for axis in AXES:
+        counts = ~F.col("kind").isin(*BETWEEN_GROUPS) if axis == "group" else F.lit(True)
+        value = F.col("context")[axis]
+        # a null is a value of its own here
+        kinds = F.count_distinct(F.when(is_input, F.coalesce(value, F.lit("\0"))))
+        found.append(both(f"inputs_differ_in_{axis}", F.bool_and(counts) & (kinds > 1)))
+        found.append(both(f"reported_differs_in_{axis}", F.bool_and(counts) & F.bool_or(~is_input) & (F.count_distinct(F.coalesce(value, F.lit("\0"))) > F.greatest(kinds, F.lit(1)))))
+    unit = F.coalesce("unit", F.lit("\0"))
+    for kind, args in SAME_UNIT.items():
+        found.append(both("units_differ", F.bool_and(F.col("kind") == kind) & (F.count_distinct(F.when(F.col("argument").isin(*args), unit)) > 1)))
+    for kind, sets in SAME_GROUP.items():
+        for args in sets:
+            mine = F.col("argument").isin(*args)
+            found.append(both("groups_differ_within_" + "".join(args[-1:]), F.bool_and(F.col("kind") == kind) & (F.count_if(mine) == len(args)) & (F.count_distinct(F.when(mine, F.coalesce(F.col("context")["group"], F.lit("\0")))) > 1)))
+    error_for_deviation = F.col("argument").isin("sd1", "sd2") & F.concat_ws(" ", "name", "unit").rlike(r"(?i)\bSE\b|standard error|标准误")
+    found.append(both("standard_error_for_deviation", F.bool_and(F.col("kind").isin("effect_size", "hedges_g")) & F.bool_or(error_for_deviation)))
+    unusable = F.bool_or(is_input & ~F.coalesce(usable, F.lit(False)))
+    wide = inputs.groupBy("check_id").agg(unusable.alias("unusable"), F.array_compact(F.array(*[F.when(hit, name) for name, hit in found])).alias("errors"))
+    # without usable numbers nothing else is said
+    errors = F.when(F.col("unusable"), F.array(F.lit("no_usable_number"))).otherwise(F.array_distinct("errors"))
+    return wide.select("check_id", F.explode(errors).alias("error"))
+
+
+def replay_differences(stored: DataFrame, replayed: DataFrame, key: str) -> DataFrame:
+    """Two tables of figures by key -> field, key, stored, replayed of every figure that differs, is missing or is too many."""
+    fields = [c for c in replayed.columns if c != key]
+    long = lambda df, name: df.select(F.col(key).cast("string").alias("key"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias(name)) for f in fields])).alias("x")).select("key", "x.*")
+    both = long(stored, "stored").join(long(replayed, "replayed"), ["key", "field"], "full")
+    return both.where(~F.col("stored").eqNullSafe(F.col("replayed"))).select("field", "key", "stored", "replayed")
