@@ -150,49 +150,87 @@ def slot_parse(spark, d):
     return packed.select("id", F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(C.parse_slots(F.col("packed"))), lambda x: x.cast("string")), ", "), F.lit("]")).alias("ratings"))
 
 
-@query("status_cascade", "with v as (select case o_orderstatus when 'F' then 'Accepted as poster' when 'O' then 'not accepted, under review' else 'Withdrawn after reject' end s from orders) select s raw, case when s like 'Acc%' then 'accepted' when s like 'not%' then 'active' else 'withdrawn' end status, count(*) n from v group by 1, 2")
+#: Wordings and the status each has.
+_WORDINGS = {
+    "Accepted as poster": "accepted", "Notable top 5%": "accepted", "ICLR 2026 Oral": "accepted", "Accept (spotlight)": "accepted", "never accepted": "unknown", "not accepted, under review": "unknown", "accept threshold not met": "unknown",
+    "unaccepted": "unknown", "cannot accept": "unknown", "Withdrawn after reject": "withdrawn", "withdrawal": "withdrawn", "Desk rejected": "rejected_or_unaccepted", "Reject": "rejected_or_unaccepted", "desk_reject": "rejected_or_unaccepted",
+    "Active": "under_review", "inactive": "unknown", "under review": "under_review", "submitted": "under_review", "submitted to X": "unknown", "postered": "unknown",
+}
+_WORDED = ", ".join(f"({i}, '{w}', '{s}')" for i, (w, s) in enumerate(_WORDINGS.items()))
+
+
+@query("status_cascade", f"with w(i, raw, status) as (values {_WORDED}) select raw, status, count(*) n from orders join w on i = o_orderkey % {len(_WORDINGS)} group by 1, 2")
 def status_cascade(spark, d):
-    raw = F.when(F.col("o_orderstatus") == "F", "Accepted as poster").when(F.col("o_orderstatus") == "O", "not accepted, under review").otherwise("Withdrawn after reject")
+    raw = F.element_at(F.array(*[F.lit(w) for w in _WORDINGS]), (F.col("o_orderkey") % len(_WORDINGS) + 1).cast("int"))
     return table(spark, d, "orders").select(raw.alias("raw")).withColumn("status", C.classify_status(F.col("raw"))).groupBy("raw", "status").agg(F.count("*").alias("n"))
 
 
-@query("soundness_bins", "select case when l_quantity / 12 >= 3.25 then 'high' when l_quantity / 12 <= 2.0 then 'low' else 'middle' end bin, count(*) n from lineitem group by 1")
+_HIGH, _MID, _LOW = C.SOUNDNESS
+_BIN = f"case when {{0}} >= 3.25 then '{_HIGH}' when {{0}} <= 2.0 then '{_LOW}' else '{_MID}' end"
+
+
+@query("soundness_bins", f"select {_BIN.format('l_quantity / 12')} bin, count(*) n from lineitem group by 1")
 def soundness_bins(spark, d):
     return table(spark, d, "lineitem").groupBy(C.soundness_bin(F.col("l_quantity") / 12).alias("bin")).agg(F.count("*").alias("n"))
 
 
-def reviewed(spark: SparkSession, d: str) -> DataFrame:
-    """Documents joined to their label on the first occurrence of each id, with family flags."""
-    labels = table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic"))
-    docs = table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("value"), *C.incidence_flags(F.col("text")))
-    tier = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "accepted").when(F.col("quality") == 1, "flagged").otherwise("rejected")
-    return docs.join(labels, "doc_id").withColumn("tier", tier)
+#: What reviews may say, in the families' wording and beside it.
+_REMARKS = (
+    "there are no Error Bars at all", "it has typos and a missing reference", "table 2 and table  3 disagree", "recent baselines are absent", "no code was found", "the std of runs", "numbers in table 4 do not match", "reproducibility is doubtful",
+    "confidence is high", "the intervals are wide", "a grammar book", "ablation studies abound", "baselines exist", "codes and coders", "over lengthy", "hyperparameters are not specified",
+)
+_STATUSES = ("ICLR 2026 Oral", "ICLR 2026 Poster", "Reject", "Withdraw", "Desk Reject")
 
 
-_R = "r as (select d.doc_id, n_chars::double v, case when quality = 1 and toxic = 0 then 'accepted' when quality = 1 then 'flagged' else 'rejected' end tier, " + ", ".join(f"regexp_matches(text, '{p}') {n}" for n, p in C.FAMILIES.items()) + " from documents d join labels l on d.doc_id = l.doc_id)"
-_RSUM = "count(*) papers, round(avg(v), 6) mean_value, count(*) filter (" + " or ".join(C.FAMILIES) + ") any_hit, " + ", ".join(f"count(*) filter ({n}) {n}" for n in C.FAMILIES)
-_GROUPED = "(select *, tier tier_group from r union all select *, 'all' from r union all select *, 'good' from r where tier <> 'rejected')"
+def reviewed(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as papers with a status, their line items as reviews whose remarks follow from part and supplier."""
+    remark = F.element_at(F.array(*[F.lit(x) for x in _REMARKS]), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 40 + 1).cast("int"))
+    remark = F.when((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 40 < len(_REMARKS), remark).otherwise("fine work")
+    items = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_quantity") % 10 + 1).alias("rating"), (F.col("l_quantity") % 4 + 1).alias("soundness"), *C.incidence_flags(remark))
+    papers = items.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("reviews"), F.avg("rating").alias("rating"), F.avg("soundness").alias("soundness"), *[F.bool_or(f).alias(f) for f in C.FAMILIES])
+    status = F.element_at(F.array(*[F.lit(s) for s in _STATUSES]), (F.col("o_custkey") % 5 + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", C.decision_tier(status).alias("tier")).join(papers, F.col("o_orderkey") == F.col("l_orderkey"))
+
+
+_SAID = ", ".join(f"'{x}'" for x in _REMARKS)
+_FLAGS = ", ".join(f"bool_or(regexp_matches(said, '(?i){p}')) {n}" for n, p in C.FAMILIES.items())
+_R = (
+    f"s as (select l_orderkey k, l_quantity % 10 + 1 rating, l_quantity % 4 + 1 soundness, case when (l_partkey * 7 + l_suppkey) % 40 < {len(_REMARKS)} then [{_SAID}][((l_partkey * 7 + l_suppkey) % 40 + 1)::int] else 'fine work' end said from lineitem), "
+    f"p as (select k, count(*) reviews, avg(rating) rating, avg(soundness) soundness, {_FLAGS} from s group by 1), r as (select p.*, ['Oral', 'Poster', 'Rejected', 'Withdrawn', 'Desk Reject'][(o_custkey % 5 + 1)::int] tier from p join orders on o_orderkey = k)"
+)
+_ANY = " or ".join(C.FAMILIES)
+_RSUM = f"count(*) papers_n, sum(reviews)::bigint reviews_n, round(avg(rating), 3) mean_rating, round(avg(soundness), 3) mean_soundness, count(*) filter ({_ANY}) hit_any, round(100.0 * count(*) filter ({_ANY}) / count(*), 1) hit_any_pct, " + ", ".join(f"count(*) filter ({n}) {n}, round(100.0 * count(*) filter ({n}) / count(*), 1) {n}_pct" for n in C.FAMILIES)
+_GROUPED = f"(select *, tier tier_group from r union all select *, 'ALL_SCORED' from r union all select *, 'STANDARD_DECISION_TIERS' from r where tier <> 'Desk Reject' union all select *, {_BIN.format('soundness')} from r)"
 
 
 def tiered(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("tier")
-    return C.with_labels(reviewed(spark, d), {"accepted": t == "accepted", "flagged": t == "flagged", "rejected": t == "rejected", "all": F.lit(True), "good": t != "rejected"})
+    return C.with_labels(reviewed(spark, d), C.incidence_groups(F.col("tier"), F.col("soundness")))
 
 
 @query("incidence_by_tier", f"with {_R} select tier_group, {_RSUM} from {_GROUPED} group by 1")
 def incidence_by_tier(spark, d):
-    return C.incidence(tiered(spark, d), ["tier_group"], "value")
+    return C.incidence(tiered(spark, d), ["tier_group"])
 
 
-@query("incidence_split_half", f"with {_R} select tier_group, (instr('0123456789abcdef', right(sha256(doc_id::varchar), 1)) - 1)::int % 2 half, {_RSUM} from {_GROUPED} group by 1, 2")
+@query("incidence_split_half", f"with {_R} select tier_group, (instr('0123456789abcdef', right(sha256(k::varchar), 1)) - 1)::int % 2 half, {_RSUM} from {_GROUPED} group by 1, 2")
 def incidence_split_half(spark, d):
-    return C.incidence(tiered(spark, d).withColumn("half", C.split_half(F.col("doc_id"))), ["tier_group", "half"], "value")
+    return C.incidence(tiered(spark, d).withColumn("half", C.split_half(F.col("o_orderkey"))), ["tier_group", "half"])
 
 
-@query("partition_conservation", f"with {_R} select 'papers' what, count(*) whole, count(*) parts, true consistent from r union all select 'any_hit', count(*) filter ({' or '.join(C.FAMILIES)}), count(*) filter ({' or '.join(C.FAMILIES)}), true from r")
+@query("partition_conservation", f"with {_R}, g as (select tier, count(*) papers_n, sum(reviews)::bigint reviews_n, count(*) filter ({_ANY}) hit_any from r group by 1), w as (select count(*) papers_n, sum(reviews)::bigint reviews_n, count(*) filter ({_ANY}) hit_any from r) " + " union all ".join(f"select '{c}' what, any_value(w.{c}) whole, sum(g.{c})::bigint parts, any_value(w.{c}) = sum(g.{c}) consistent from g, w" for c in ("papers_n", "reviews_n", "hit_any")))
 def partition_conservation(spark, d):
-    by = C.incidence(tiered(spark, d).where("tier_group <> 'good'"), ["tier_group"], "value")
-    return C.conservation(by, F.col("tier_group") == "all", ["papers", "any_hit"])
+    tiers = (*C.DECISION_TIERS, "Desk Reject")
+    by = C.incidence(tiered(spark, d), ["tier_group"]).where(F.col("tier_group").isin(*tiers, "ALL_SCORED"))
+    return C.conservation(by, F.col("tier_group") == "ALL_SCORED", ["papers_n", "reviews_n", "hit_any"])
+
+
+@query("hit_bounds", f"with {_R} select tier tier_group, greatest(" + ", ".join(f"count(*) filter ({n})" for n in C.FAMILIES) + f") least, count(*) filter ({_ANY}) hit_any, " + " + ".join(f"count(*) filter ({n})" for n in C.FAMILIES) + " most, true ok from r group by 1")
+def hit_bounds(spark, d):
+    """Any hit lies between the largest family and all families together."""
+    by = C.incidence(tiered(spark, d), ["tier_group"]).where(F.col("tier_group").isin(*C.DECISION_TIERS, "Desk Reject"))
+    most = sum((F.col(n) for n in C.FAMILIES), F.lit(0))
+    least = F.greatest(*C.FAMILIES)
+    return by.select("tier_group", least.alias("least"), "hit_any", most.cast("long").alias("most"), F.col("hit_any").between(least, most).alias("ok"))
 
 
 @query("confusion_matrix", "with v as (select quality = 0 e, text ~ '.*(!!|%%%|###).*' or regexp_matches(text, '!!|%%%|###') p from documents d join labels l using (doc_id)), c as (select count(*) filter (e and p) tp, count(*) filter (not e and not p) tn, count(*) filter (not e and p) fp, count(*) filter (e and not p) fn from v) select *, round(tp / nullif(tp + fn, 0)::double, 6) recall, round(tp / nullif(tp + fp, 0)::double, 6) \"precision\", round(tn / nullif(tn + fp, 0)::double, 6) specificity, round((tp + tn) / nullif(tp + tn + fp + fn, 0)::double, 6) accuracy from c")

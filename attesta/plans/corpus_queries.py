@@ -15,15 +15,17 @@ from attesta.store import table
 _TITLE = "array_to_string(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'), ' ')"
 
 
-@query("title_normalize", f"select doc_id, {_TITLE.format('left(text, 120)')} title from documents")
+@query("title_normalize", f"select doc_id, {_TITLE.format('text')} title from documents")
 def title_normalize(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.normal_title(F.substring("text", 1, 120)).alias("title"))
+    return table(spark, d, "documents").select("doc_id", T.normal_title(F.col("text")).alias("title"))
 
 
-@query("title_jaccard", "with w as (select doc_id, list_distinct(regexp_extract_all(lower(left(text, 80)), '[\\p{L}\\p{N}]+')) a, list_distinct(regexp_extract_all(lower(substr(text, 41, 80)), '[\\p{L}\\p{N}]+')) b from documents) select doc_id, round(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0)::double, 6) jaccard, round(len(list_intersect(a, b)) / nullif(len(a), 0)::double, 6) coverage from w")
+@query("title_jaccard", "with w as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) w from documents) select a.doc_id, round(len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0)::double, 6) jaccard, round(len(list_intersect(a.w, b.w)) / nullif(len(a.w), 0)::double, 6) coverage from w a join w b on b.doc_id = xor(a.doc_id, 1)")
 def title_jaccard(spark, d):
-    a, b = T.title_words(F.substring("text", 1, 80)), T.title_words(F.substring("text", 41, 80))
-    return table(spark, d, "documents").select("doc_id", F.round(T.jaccard(a, b), 6).alias("jaccard"), F.round(T.coverage(a, b), 6).alias("coverage"))
+    """Every text against that of the id beside it, over all their words."""
+    w = table(spark, d, "documents").select("doc_id", T.title_words(F.col("text")).alias("w"))
+    other = w.select(F.col("doc_id").bitwiseXOR(F.lit(1)).alias("doc_id"), F.col("w").alias("v"))
+    return w.join(other, "doc_id").select("doc_id", F.round(T.jaccard(F.col("w"), F.col("v")), 6).alias("jaccard"), F.round(T.coverage(F.col("w"), F.col("v")), 6).alias("coverage"))
 
 
 _RAW = "case o_orderkey % 8 when 0 then 'https://doi.org/10.1234/AbC.' || o_orderkey || '.' when 1 then 'doi: 10.5555/x' || o_orderkey when 2 then 'arXiv:2101.' || lpad((o_orderkey % 100000)::varchar, 5, '0') || 'v2' when 3 then 'PMID: ' || (o_orderkey % 10000000) when 4 then 'https://openalex.org/w' || (o_orderkey + 1000) when 5 then '0000-0002-1825-0097' when 6 then 'ISBN 978-3-16-148410-0' else 'not an id ' || o_orderkey end"
@@ -60,11 +62,14 @@ def citekeys(spark, d):
     return table(spark, d, "customer").select("c_custkey", T.citekey(authors, 1990 + F.col("c_custkey") % 30, F.lit("On the Learning of it")).alias("citekey"))
 
 
-@query("abstract_rebuild", "select doc_id, array_to_string(list_filter(string_split(left(regexp_replace(text, '\\s+', ' ', 'g'), 200), ' '), lambda x: x <> ''), ' ') abstract from documents")
+@query("abstract_rebuild", "select doc_id, array_to_string(list_filter(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' '), lambda x: x <> ''), ' ') abstract from documents")
 def abstract_rebuild(spark, d):
-    words = F.filter(F.split(F.substring(F.regexp_replace("text", r"\s+", " "), 1, 200), " "), lambda x: x != "")
-    index = F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w, F.filter(F.transform(words, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()))))
-    return table(spark, d, "documents").select("doc_id", T.rebuild_abstract(index).alias("abstract"))
+    """Whole texts to inverted indexes (a row a word) and back."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    words = docs.select("doc_id", F.posexplode(F.filter(F.split(F.regexp_replace("text", r"\s+", " "), " "), lambda x: x != "")).alias("at", "word"))
+    index = words.groupBy("doc_id", "word").agg(F.collect_list("at").alias("places")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("index"))
+    rebuilt = index.select("doc_id", T.rebuild_abstract(F.col("index")).alias("abstract"))
+    return docs.join(rebuilt, "doc_id", "left").select("doc_id", F.when(F.col("text").isNotNull(), F.coalesce("abstract", F.lit(""))).alias("abstract"))
 
 
 @query("tex_escape", "select p_partkey, replace(replace(p_name || '_50%&', '_', '\\_'), '%', '\\%') name0, p_name || '_50%&' back from part".replace("name0", "x").replace("select p_partkey, replace(replace(p_name || '_50%&', '_', '\\_'), '%', '\\%') x", "select p_partkey, replace(replace(replace(replace(p_name || '_50%&', '#', '\\#'), '_', '\\_'), '%', '\\%'), '&', '\\&') escaped"))
@@ -78,11 +83,38 @@ def acronym_protection(spark, d):
     return table(spark, d, "part").select("p_partkey", T.protect_acronyms(F.concat(F.lit("The BERT of GPT2 and Part "), F.col("p_partkey").cast("string"))).alias("title"))
 
 
-@query("number_literals", "select p_partkey, case p_partkey % 4 when 0 then 1234.5 when 1 then 3.0 when 2 then null else 0.01 end::double \"value\", case p_partkey % 2 when 0 then '%' else 'ms' end unit from part")
+@query("number_literals", "with v(i, value) as (values (0, 1234.5), (1, 3.0), (2, null), (3, 0.01), (4, 20.0), (5, 42.0), (6, 91.0), (7, 1200345.0), (8, null), (9, 0.5)), u(i, unit) as (values (0, 'pp'), (1, 'ms'), (2, '%'), (3, 'us'), (4, 'x'), (5, 'parsec')) select p_partkey, value::double \"value\", unit from part join v on v.i = p_partkey % 10 join u on u.i = p_partkey % 6")
 def number_literals(spark, d):
-    k = F.col("p_partkey")
-    s = F.when(k % 4 == 0, "1,234.5 items").when(k % 4 == 1, "three").when(k % 4 == 2, "2 of 3").otherwise("p = 1e-2")
-    return table(spark, d, "part").select("p_partkey", T.number_in(s).alias("value"), T.unit(F.when(k % 2 == 0, " Per  Cent ").otherwise("msec")).alias("unit"))
+    pick = lambda *x: F.element_at(F.array(*[F.lit(v) for v in x]), (F.col("p_partkey") % len(x) + 1).cast("int"))
+    number = pick("1,234.5 items", "three", "2 of 3", "p = 1e-2", "Twenty", "forty-two", "ninety  one", "1,200, 345", "no number", "about .5")
+    return table(spark, d, "part").select("p_partkey", T.number_in(number).alias("value"), T.unit(pick(" Percentage  Points ", "Milliseconds", "pct", "µs", "×", "parsec")).alias("unit"))
+
+
+@query("doi_forms", "with f as (select p_partkey, '10.1/a' || p_partkey b, p_partkey % 4 c from part) select p_partkey, case c when 0 then b || '/' when 1 then b || '.' when 2 then 'doi.org/' || b else 'http://dx.doi.org/' || b end works, case c when 0 then b || '/' when 1 then b || '.' else b end identity_, case c when 1 then b || '.' when 2 then 'doi.org/' || b else b end locator, case c when 0 then b || '/' when 2 then 'doi.org/' || b else b end kernel from f")
+def doi_forms(spark, d):
+    """One DOI in four spellings, as four of the readers have it."""
+    k = F.col("p_partkey").cast("string")
+    c = F.col("p_partkey") % 4
+    raw = F.when(c == 0, F.concat(F.lit(" DOI: 10.1/A"), k, F.lit("/"))).when(c == 1, F.concat(F.lit("https://doi.org/10.1/A"), k, F.lit("."))).when(c == 2, F.concat(F.lit("doi.org/10.1/A"), k)).otherwise(F.concat(F.lit("http://dx.doi.org/10.1/A"), k))
+    return table(spark, d, "part").select("p_partkey", *[T.bare_doi(raw, form).alias("identity_" if form == "identity" else form) for form in ("works", "identity", "locator", "kernel")])
+
+
+@query("entry_keys", "select c_custkey, case when c_custkey % 4 = 0 then 'anon' else 'obrien' || c_custkey end || case when c_custkey % 3 = 0 then 'nd' else (1990 + c_custkey % 30)::varchar end || case when c_custkey % 5 = 0 then 'untitled' else '3d' end \"key\" from customer")
+def entry_keys(spark, d):
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select("c_custkey", T.entry_key(F.when(k % 4 > 0, F.concat(F.lit("O'Brien"), k.cast("string"))), F.when(k % 3 > 0, 1990 + k % 30), F.when(k % 5 > 0, "3D scenes of it").otherwise("")).alias("key"))
+
+
+@query("author_sets", "select p_partkey, 'doe ann ' || p_partkey || '|王 小 明' names from part")
+def author_sets(spark, d):
+    k = F.col("p_partkey").cast("string")
+    return table(spark, d, "part").select("p_partkey", F.array_join(T.normal_authors(F.array(F.concat(F.lit("Doe, Ann-"), k), F.lit("王小明"), F.concat(F.lit("DOE Ann "), k))), "|").alias("names"))
+
+
+@query("canonical_json_digest", "select event_id, sha256('{\"a\":[1,2],\"k\":' || (props->>'k') || ',\"ü\":\"x\"}') digest from events")
+def canonical_json_digest(spark, d):
+    s = F.concat(F.lit('{ "ü" : "x", "k":'), F.get_json_object("props", "$.k"), F.lit(', "a": [1,  2] }'))
+    return table(spark, d, "events").select("event_id", F.sha2(T.canonical_json(s), 256).alias("digest"))
 
 
 @query("target_paths", "select p_partkey, 'src/m' || p_partkey || '.py' \"path\", 'core' \"class\" from part")
@@ -105,7 +137,7 @@ def payload_decode(spark, d):
 
 @query("json_in_prose", "select event_id, (props->>'k')::int k from events")
 def json_in_prose(spark, d):
-    s = F.concat(F.lit("Here it is: "), F.col("props"), F.lit(" and no more."))
+    s = F.concat(F.lit("Set {x | x > 0} first: {not: json} then "), F.col("props"), F.lit(' and {"k": 1}.'))
     return table(spark, d, "events").select("event_id", F.get_json_object(T.first_json_object(s), "$.k").cast("int").alias("k"))
 
 
@@ -113,11 +145,13 @@ def json_in_prose(spark, d):
 
 
 def works(spark, d):
+    """Documents as works; a title is the whole first line."""
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", F.col("source").alias("layer"), F.substring("text", 1, 60).alias("title"), (1990 + F.col("n_chars") % 30).alias("year"), F.col("n_chars").alias("citations"), F.when(F.col("doc_id") % 3 > 0, F.length("text") / 7.0).alias("relevance"), "lang")
+    return docs.select("doc_id", F.col("source").alias("layer"), F.substring_index("text", "\n", 1).alias("title"), (1990 + F.col("n_chars") % 30).alias("year"), F.col("n_chars").alias("citations"), F.when(F.col("doc_id") % 3 > 0, F.length("text") / 7.0).alias("relevance"), "lang")
 
 
-_W = f"w as (select doc_id, source layer, left(text, 60) title, 1990 + n_chars % 30 as \"year\", n_chars citations, case when doc_id % 3 > 0 then length(text) / 7.0::double end relevance, lang, nullif({_TITLE.format('left(text, 60)')}, '') k from documents)"
+_LINE = "split_part(text, chr(10), 1)"
+_W = f"w as (select doc_id, source layer, {_LINE} title, 1990 + n_chars % 30 as \"year\", n_chars citations, case when doc_id % 3 > 0 then length(text) / 7.0::double end relevance, lang, nullif({_TITLE.format(_LINE)}, '') k from documents)"
 
 
 @query("merge_layers", f"with {_W} select k \"key\", arg_max(title, (length(title), title)) title, min(year) \"year\", max(citations) citations, round(max(relevance), 6) relevance, array_to_string(list_sort(list_distinct(list(layer))), '|') layers, count(*) merged from w where k is not null group by k")
@@ -146,10 +180,13 @@ def dedup_first_seen(spark, d):
     return first_seen(docs, "h", ["doc_id"])
 
 
-@query("deduplicate_works", "with f as (select doc_id, min(doc_id) over (partition by text) first from documents) select doc_id pos, case when doc_id = first then 'kept' else 'duplicate_doi' end fate, case when doc_id <> first then first end \"of\" from f")
+@query("deduplicate_works", "with recursive o as (select o_orderkey pos, case when o_orderkey % 5 = 0 then o_custkey end d, o_custkey t, ['a' || (o_orderkey % 3), 'b' || (o_orderkey % 7)] a, case when o_orderkey % 4 > 0 then year(o_orderdate) end y from orders), f as (select *, min(pos) over (partition by d) p from o), w as (select *, row_number() over (partition by t order by pos) n from f where d is null or pos = p), g(t, n, kept, pos, fate, of) as (select t, 1::bigint, [{'p': pos, 'a': a, 'y': y}], pos, 'kept', null::bigint from w where n = 1 union all select t, n, case when len(m) > 0 then kept else list_append(kept, {'p': pos, 'a': a, 'y': y}) end, pos, case when len(m) > 0 then 'duplicate_title' else 'candidate' end, case when len(m) > 0 then m[1].p else kept[1].p end from (select w.t, w.n, g.kept, w.pos, w.a, w.y, list_filter(g.kept, lambda k: list_has_any(k.a, w.a) and (k.y is null or w.y is null or k.y = w.y)) m from g join w on w.t = g.t and w.n = g.n + 1)) select pos, fate, of from g union all select pos, 'duplicate_doi', p from f where d is not null and pos <> p")
 def deduplicate_works(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.concat(F.lit("10.1234/"), F.md5("text")).alias("doi"), F.concat(F.lit("t"), F.md5("text")).alias("title"), F.array(F.lit("Doe, J")).alias("authors"), F.lit(2020).alias("year"))
-    return L.deduplicate(docs)
+    """Orders as works: a customer is a title, every fifth has a DOI, authors and years vary."""
+    k = F.col("o_orderkey")
+    authors = F.array(F.concat(F.lit("a"), (k % 3).cast("string")), F.concat(F.lit("b"), (k % 7).cast("string")))
+    w = table(spark, d, "orders").select(k.alias("pos"), F.when(k % 5 == 0, F.concat(F.lit("10.1234/"), F.col("o_custkey").cast("string"))).alias("doi"), F.col("o_custkey").cast("string").alias("title"), authors.alias("authors"), F.when(k % 4 > 0, F.year("o_orderdate")).alias("year"))
+    return L.deduplicate(w)
 
 
 @query("components", "select doc_id record, min(doc_id) over (partition by text) cluster from documents")
@@ -159,15 +196,17 @@ def components(spark, d):
     return L.linked_records(ids)
 
 
-@query("guarded_identifier_links", "with w as (select o_custkey % 700 oa, o_orderkey % 3 doi from orders where o_custkey % 7 = 0) select oa openalex, min(doi) doi from w group by 1 having count(distinct doi) = 1")
+@query("guarded_identifier_links", "with w as (select o_custkey oa, case when o_custkey % 2 = 0 then o_custkey * 10 else o_orderkey % 3 end doi from orders) select oa openalex, min(doi) doi from w group by 1 having count(distinct doi) = 1")
 def guarded_links(spark, d):
-    w = table(spark, d, "orders").where("o_custkey % 7 = 0").select((F.col("o_custkey") % 700).alias("openalex"), (F.col("o_orderkey") % 3).alias("doi"))
+    """Customers as OpenAlex ids: the even ones go with one DOI, the odd ones with one for each kind of order."""
+    w = table(spark, d, "orders").select(F.col("o_custkey").alias("openalex"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey") * 10).otherwise(F.col("o_orderkey") % 3).alias("doi"))
     return L.guarded_links(w)
 
 
-@query("similar_titles", "with w as (select doc_id id, list_distinct(regexp_extract_all(lower(left(text, 60)), '[\\p{L}\\p{N}]+')) w from documents) select a.id a, b.id b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::double, 6) similarity from w a join w b on a.id < b.id where len(list_intersect(a.w, b.w)) >= 0.5 * len(list_distinct(list_concat(a.w, b.w))) and len(a.w) > 0 and len(b.w) > 0")
+@query("similar_titles", f"with w as (select doc_id id, list_sort(list_distinct(regexp_extract_all(lower({_LINE}), '[\\p{{L}}\\p{{N}}]+'))) w from documents), c as (select w, min(id) id, list(id) ids from w where len(w) > 0 group by w), p as (select a.id a, b.id b, len(list_intersect(a.w, b.w)) met, len(a.w) + len(b.w) most from c a join c b on a.id < b.id and 2 * len(a.w) >= len(b.w) and 2 * len(b.w) >= len(a.w)) select a, b, round(met / (most - met)::double, 6) similarity from p where 2 * met >= most - met union all select id, unnest(list_filter(ids, lambda x: x <> id)), 1.0 from c")
 def similar_titles(spark, d):
-    w = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("title"))
+    """First lines as titles."""
+    w = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"))
     return L.similar_titles(w).withColumn("similarity", F.round("similarity", 6))
 
 
@@ -176,16 +215,16 @@ def provider_comparison(spark, d):
     return L.compare_providers(table(spark, d, "orders").withColumnRenamed("o_custkey", "work"), "work", ["o_orderstatus", "o_orderpriority"])
 
 
-@query("identity_verdicts", "with v as (select p_partkey, p_partkey % 3 c, p_partkey % 5 s, p_size / 50.0::double t, p_partkey % 2 = 0 a, p_partkey % 7 < 4 y, p_partkey % 4 n from part) select p_partkey, case when c = 2 then 'CONFLICT' when s = 4 then 'EXACT' when n < 2 then 'UNRESOLVED' when t >= 0.9 and a and y then 'STRONG' when t >= 0.5 and (a or y) then 'CANDIDATE' else 'UNRESOLVED' end verdict from v")
+@query("identity_verdicts", "with v as (select p_partkey, p_partkey % 3 c, p_partkey % 5 s, p_size / 50.0::double t, p_partkey % 2 = 0 a, p_partkey % 7 < 4 y, p_partkey % 4 n from part) select p_partkey, case when c = 2 then 'CONFLICT' when s = 4 then 'EXACT' when n < 2 then 'UNRESOLVED' when t >= 0.9 and a and y then 'STRONG_MATCH' when t >= 0.5 and (a or y) then 'CANDIDATE' else 'UNRESOLVED' end verdict from v")
 def identity_verdicts(spark, d):
     k = F.col("p_partkey")
     v = L.verdict((k % 3 == 2).cast("int"), (k % 5 == 4).cast("int"), F.col("p_size") / 50.0, k % 2 == 0, k % 7 < 4, k % 4)
     return table(spark, d, "part").select("p_partkey", v.alias("verdict"))
 
 
-@query("review_matrix", "select doc_id \"key\", array_to_string(list_filter(string_split(regexp_replace(left(text, 60), '\\s+', ' ', 'g'), ' '), lambda x: x <> ''), ' ') title, 2::int n_authors, case when doc_id % 3 = 0 then '[no abstract]' else 'A ' || doc_id end abstract from documents")
+@query("review_matrix", "select doc_id \"key\", array_to_string(list_filter(string_split(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g'), ' '), lambda x: x <> ''), ' ') title, 2::int n_authors, case when doc_id % 3 = 0 then '[no abstract]' else 'A ' || doc_id end abstract from documents")
 def review_matrix(spark, d):
-    w = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.substring("text", 1, 60).alias("title"), F.array(F.lit("a"), F.lit("b")).alias("authors"), F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit(" A  "), F.col("doc_id").cast("string"))).alias("abstract"))
+    w = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.substring_index("text", "\n", 1).alias("title"), F.array(F.lit("a"), F.lit("b")).alias("authors"), F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit(" A  "), F.col("doc_id").cast("string"))).alias("abstract"))
     return L.review_matrix(w)
 
 
@@ -193,24 +232,25 @@ def review_matrix(spark, d):
 
 
 def citations(spark, d):
-    c = table(spark, d, "orders").select((F.col("o_orderkey") % 400).alias("citing"), (F.col("o_custkey") % 500).alias("cited"))
-    return spark.range(400).select(F.col("id").alias("node")), c
+    """Parts are the nodes; a line item has its part cite the number of its order, a part or something outside."""
+    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("node"))
+    return nodes, table(spark, d, "lineitem").select(F.col("l_partkey").alias("citing"), F.col("l_orderkey").alias("cited"))
 
 
-_C = "e as (select o_orderkey % 400 citing, o_custkey % 500 cited from orders), n as (select range node from range(400))"
+_C = "n as (select p_partkey node from part), e as (select l_partkey citing, l_orderkey cited, l_orderkey <> l_partkey and l_orderkey in (select node from n) inside from lineitem)"
 
 
-@query("citation_in_degree", f"with {_C} select node, count(citing)::bigint in_degree from n left join (select distinct citing, cited from e where citing <> cited) on cited = node group by 1")
+@query("citation_in_degree", f"with {_C} select node, count(citing)::bigint in_degree from n left join (select distinct citing, cited from e where inside) on cited = node group by 1")
 def citation_in_degree(spark, d):
     return G.degrees(*citations(spark, d))
 
 
-@query("external_refs", f"with {_C} select citing, count(*) filter (cited < 400 and cited <> citing) internal, count(*) filter (not (cited < 400 and cited <> citing)) \"external\" from e group by 1")
+@query("external_refs", f"with {_C} select citing, count(*) filter (inside) internal, count(*) filter (not inside) \"external\" from e group by 1")
 def external_refs(spark, d):
     return G.reference_split(*citations(spark, d))
 
 
-@query("citation_summary", f"with {_C} select 400::bigint nodes, count(distinct case when cited < 400 and cited <> citing then citing * 1000 + cited end) edges, count(*) filter (cited < 400 and cited <> citing) - count(distinct case when cited < 400 and cited <> citing then citing * 1000 + cited end) duplicate_edges, count(*) filter (not (cited < 400 and cited <> citing)) \"external\" from e")
+@query("citation_summary", f"with {_C} select (select count(*) from n)::bigint nodes, count(distinct case when inside then citing * 10000000000 + cited end) edges, count(*) filter (inside) - count(distinct case when inside then citing * 10000000000 + cited end) duplicate_edges, count(*) filter (not inside) \"external\" from e")
 def citation_summary(spark, d):
     return G.summary(*citations(spark, d))
 
@@ -225,24 +265,19 @@ def lineage(spark, d):
     return o.union(c).union(n).union(turns)
 
 
-def lineage_starts(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 100 = 1").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
-    t = table(spark, d, "conversations").where("conv_id % 10 = 3").select(F.concat_ws("-", F.lit("t"), "conv_id", "turn").alias("node"))
-    return o.union(t)
-
-
-_LIN = "e as (select 'o' || o_orderkey child, 'c' || o_custkey parent from orders union select 'c' || c_custkey, 'n' || c_nationkey from customer union select 'n' || n_nationkey, 'r' || n_regionkey from nation union select 't-' || conv_id || '-' || turn, 't-' || conv_id || '-' || (turn - 1) from conversations where turn > 0), s as (select 'o' || o_orderkey node from orders where o_orderkey % 100 = 1 union select 't-' || conv_id || '-' || turn from conversations where conv_id % 10 = 3), a as (select node \"start\", node cur, 0 depth from s union select \"start\", parent, depth + 1 from a join e on cur = child), m as (select \"start\", cur ancestor, min(depth)::int depth from a where depth > 0 group by 1, 2)"
+_LIN = "e as (select 'o' || o_orderkey child, 'c' || o_custkey parent from orders union select 'c' || c_custkey, 'n' || c_nationkey from customer union select 'n' || n_nationkey, 'r' || n_regionkey from nation union select 't-' || conv_id || '-' || turn, 't-' || conv_id || '-' || (turn - 1) from conversations where turn > 0), a as (select child \"start\", parent cur, 1 depth from e union select \"start\", parent, depth + 1 from a join e on cur = child), m as (select \"start\", cur ancestor, min(depth)::int depth from a group by 1, 2)"
 
 
 @query("lineage_closure", f"with recursive {_LIN} select * from m")
 def lineage_closure(spark, d):
-    return G.closure(lineage(spark, d), lineage_starts(spark, d))
+    """The ancestors of every node."""
+    return G.closure(lineage(spark, d))
 
 
 @query("lineage_roots", f"with recursive {_LIN} select \"start\", ancestor from m where ancestor not in (select child from e)")
 def lineage_roots(spark, d):
     e = lineage(spark, d)
-    return G.roots(G.closure(e, lineage_starts(spark, d)), e)
+    return G.roots(G.closure(e), e)
 
 
 @query("lineage_depth", "with recursive e as (select 't-' || conv_id || '-' || turn child, 't-' || conv_id || '-' || (turn - 1) parent from conversations where turn > 0), a as (select distinct parent node, 0 lv from e where parent not in (select child from e) union select child, lv + 1 from a join e on node = parent) select node, max(lv)::int as \"level\" from a group by 1")
@@ -250,9 +285,11 @@ def lineage_depth(spark, d):
     return G.peeled(lineage(spark, d).where("child like 't-%'"))
 
 
-@query("cycle_members", "with recursive e as (select p_partkey child, (p_partkey * p_partkey + 1) % 97 parent from part where p_partkey < 97), a as (select child s, parent cur from e union select s, parent from a join e on cur = child) select distinct s node from a where s = cur")
+@query("cycle_members", "with recursive e as (select p_partkey child, (p_partkey * p_partkey + 1) % 199 parent from part), a as (select child s, parent cur from e union select s, parent from a join e on cur = child) select distinct s node from a where s = cur")
 def cycle_members(spark, d):
-    return G.cyclic(table(spark, d, "part").where("p_partkey < 97").select(F.col("p_partkey").alias("child"), ((F.col("p_partkey") * F.col("p_partkey") + 1) % 97).alias("parent")))
+    """Every part points to the rest of its square plus one by a prime."""
+    k = F.col("p_partkey")
+    return G.cyclic(table(spark, d, "part").select(k.alias("child"), ((k * k + 1) % 199).alias("parent")))
 
 
 @query("ring_pairing", "select n_regionkey, n_nationkey, coalesce(lead(n_nationkey) over (partition by n_regionkey order by n_nationkey), min(n_nationkey) over (partition by n_regionkey)) reviews from nation")

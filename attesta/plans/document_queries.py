@@ -80,12 +80,17 @@ def lint_bundles(spark, d):
     return Q.bundle_lint(manuscripts(spark, d), "p_partkey", "text", ("Limitations",)).select("p_partkey", "code", "severity")
 
 
-@query("lint_includes", "select * from (values ('../x.tex', 'UNSAFE_INCLUDE_PATH'), ('/etc/y', 'UNSAFE_INCLUDE_PATH')) v(child, code) union all select 'm' || p_partkey || '.tex', 'MISSING_INCLUDE' from part where p_partkey % 10 = 0 and p_partkey <= 100")
+@query("lint_includes", "with n as (select distinct o_custkey b, 'm' || (o_orderkey % 40) || '.tex' f from orders), i as (select distinct o_custkey b, 'm' || (o_orderkey % 40) || '.tex' p, case when o_orderkey % 11 = 0 then '../up.tex' else 'm' || (o_orderkey % 43 + 1) || '.tex' end c from orders) select b bundle, c child, case when c like '../%' then 'UNSAFE_INCLUDE_PATH' else 'MISSING_INCLUDE' end code from i where (b, c) not in (select b, f from n) group by all")
 def lint_includes(spark, d):
-    name = F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit(".tex"))
-    p = table(spark, d, "part").where("p_partkey <= 100")
-    inc = p.select(name.alias("child")).unionByName(spark.createDataFrame([("../x.tex",), ("/etc/y",)], "child string"))
-    return Q.include_findings(inc, p.where("p_partkey % 10 > 0").select(name.alias("path")))
+    """A customer is a bundle, an order a file that includes another; which of these are there follows from the orders."""
+    from attesta.operators import lint
+
+    k = F.col("o_orderkey")
+    name = lambda n: F.concat(F.lit("m"), n.cast("string"), F.lit(".tex"))
+    text = F.concat(F.lit("\\input{"), F.when(k % 11 == 0, "../up").otherwise(F.concat(F.lit("m"), (k % 43 + 1).cast("string"))), F.lit("}"))
+    files = table(spark, d, "orders").select(F.col("o_custkey").alias("bundle"), name(k % 40).alias("path"), text.alias("text")).groupBy("bundle", "path").agg(F.array_join(F.array_sort(F.collect_set("text")), "\n").alias("text"))
+    found = lint.includes(lint.masked_files(files), files.groupBy("bundle").agg(F.min("path").alias("path")))
+    return found.where(F.col("code").isin("UNSAFE_INCLUDE_PATH", "MISSING_INCLUDE")).select("bundle", F.when(F.col("code") == "UNSAFE_INCLUDE_PATH", "../up.tex").otherwise(F.col("detail")).alias("child"), "code").distinct()
 
 
 @query("page_limits", "select p_partkey, (p_size % 12 + 1)::bigint body_pages, case when p_size % 12 + 1 > 9 then 'PDF_PAGE_LIMIT_EXCEEDED' end code from part")
@@ -190,10 +195,12 @@ def plain_segments(spark, d):
     return A.segments(p).select("document_id", "locator")
 
 
-@query("quote_location", f"with {_LINES}, s as (select * from l where trim(body) <> '') select doc_id field_id, case when doc_id % 2 = 0 then true else contains(body, 'zzzz-not-there') end found from s where line = 1")
+@query("quote_location", f"with {_LINES}, s as (select * from l where trim(body) <> ''), f as (select doc_id, line, case when (doc_id + line) % 2 = 0 then substr(body, 3, 12) else substr(body, 2, 6) || ' ' || substr(body, 9, 6) end quote from s) select doc_id || '#' || line field_id, contains(body, quote) found from f join s using (doc_id, line)")
 def quote_location(spark, d):
+    """Every line is quoted: every other one truly, the rest with a piece left out."""
     s = doc_lines(spark, d).select(F.col("doc_id").alias("document_id"), F.col("line").alias("locator"), F.col("body").alias("text"))
-    f = s.where("locator = 1").select(F.col("document_id").alias("field_id"), "document_id", "locator", F.when(F.col("document_id") % 2 == 0, F.substring("text", 3, 12)).otherwise("zzzz-not-there").alias("quote"))
+    quote = F.when((F.col("document_id") + F.col("locator")) % 2 == 0, F.substring("text", 3, 12)).otherwise(F.concat(F.substring("text", 2, 6), F.lit(" "), F.substring("text", 9, 6)))
+    f = s.select(F.concat_ws("#", F.col("document_id").cast("string"), F.col("locator").cast("string")).alias("field_id"), "document_id", "locator", quote.alias("quote"))
     return A.locate_quotes(f, s)
 
 
@@ -245,18 +252,27 @@ def stance_parsing(spark, d):
     return P.parse_stances(table(spark, d, "orders").select(k.alias("challenge"), t.alias("text")))
 
 
-@query("deliberation_outcomes", "with i as (select p_partkey issue, ['contradiction', 'consensus', 'singleton'][(p_partkey % 3 + 1)::int] state, 'P' || p_partkey % 4 severity, p_size % 4 c from part) select issue, case when state = 'contradiction' and c in (1) then 'closed' when state = 'contradiction' and c = 3 then 'partial' when state = 'contradiction' then 'unresolved' when state = 'singleton' and severity in ('P0', 'P1') then 'minority_report' else 'accepted' end outcome from i")
+_ISSUES = "b as (select o_custkey issue, count(*) filter (o_orderpriority < '3') pos, count(*) filter (o_orderpriority >= '3') neg, min(left(o_orderpriority, 1)::int - 1) sev from orders group by 1), i as (select issue, case when pos > 0 and neg > 0 then 'contradiction' when pos + neg > 1 then 'consensus' else 'singleton' end state, 'P' || sev severity from b), st as (select o_custkey issue, count(*) n, count(*) filter (o_orderstatus in ('F', 'O')) known, count(*) filter (o_orderstatus = 'F') conceded from orders where o_orderkey % 3 = 0 group by 1), o as (select i.issue, case when state = 'contradiction' and n = known and conceded between 1 and n - 1 then 'closed' when state = 'contradiction' and coalesce(known, 0) < coalesce(n, 1) then 'partial' when state = 'contradiction' then 'unresolved' when state = 'singleton' and severity in ('P0', 'P1') then 'minority_report' else 'accepted' end outcome from i left join st using (issue))"
+
+
+def deliberation(spark, d):
+    """A customer is an issue, its orders the findings on it by priority; every third order is a proposal, whose status is its
+    stance: finished orders concede, open ones defend, pending ones have said nothing."""
+    o = table(spark, d, "orders")
+    high = F.col("o_orderpriority") < "3"
+    by = o.groupBy(F.col("o_custkey").alias("issue")).agg(F.count_if(high).alias("p"), F.count_if(~high).alias("n"), F.min(F.left("o_orderpriority", F.lit(1)).cast("int") - 1).alias("s"))
+    state = F.when((F.col("p") > 0) & (F.col("n") > 0), "contradiction").when(F.col("p") + F.col("n") > 1, "consensus").otherwise("singleton")
+    issues = by.select("issue", state.alias("state"), F.concat(F.lit("P"), F.col("s").cast("string")).alias("severity"))
+    proposals = o.where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("issue"), F.col("o_orderkey").cast("string").alias("proposal"), "o_orderstatus")
+    stances = proposals.where("o_orderstatus in ('F', 'O')").select("proposal", F.when(F.col("o_orderstatus") == "F", "concede").otherwise("defend").alias("stance"))
+    return P.synthesize(issues, proposals.drop("o_orderstatus"), stances)
+
+
+@query("deliberation_outcomes", f"with {_ISSUES} select issue, outcome from o")
 def deliberation_outcomes(spark, d):
-    k, c = F.col("p_partkey"), F.col("p_size") % 4
-    part = table(spark, d, "part")
-    issues = part.select(k.alias("issue"), F.element_at(F.array(F.lit("contradiction"), F.lit("consensus"), F.lit("singleton")), (k % 3 + 1).cast("int")).alias("state"), F.concat(F.lit("P"), (k % 4).cast("string")).alias("severity"))
-    both = part.select(k.alias("issue"), c.alias("c"), F.explode(F.array(F.lit(1), F.lit(2))).alias("i"))
-    name = F.concat_ws("-", "issue", "i")
-    # c: proposals conceded; 3 stands for one that has no stance
-    st = both.where("not (c = 3 and i = 2)").select(name.alias("proposal"), F.when(F.col("c") == 3, "defend").when(F.col("i") <= F.col("c"), "concede").otherwise("defend").alias("stance"))
-    return P.synthesize(issues, both.select("issue", name.alias("proposal")), st)
+    return deliberation(spark, d)
 
 
-@query("deliberation_status", "select 'PARTIAL' status, count(*) issues from part")
+@query("deliberation_status", f"with {_ISSUES} select case when bool_or(outcome = 'partial') then 'PARTIAL' when bool_or(outcome = 'unresolved') then 'UNRESOLVED' else 'CONVERGED' end status, count(*) issues from o")
 def deliberation_status(spark, d):
-    return P.overall(deliberation_outcomes(spark, d))
+    return P.overall(deliberation(spark, d))

@@ -104,10 +104,11 @@ def condition_conflicts(spark, d):
     return O.same_condition_conflicts(f)
 
 
-@query("document_comparison", "with a as (select distinct c_mktsegment s, c_nationkey n from customer where c_custkey % 2 = 0), b as (select distinct c_mktsegment s, c_nationkey n from customer where c_custkey % 2 = 1) select s, n, 'first' missing_from_other from a anti join b using (s, n) union all select s, n, 'second' from b anti join a using (s, n)")
+@query("document_comparison", "with a as (select distinct o_custkey s, o_orderpriority n from orders where o_orderstatus = 'F'), b as (select distinct o_custkey s, o_orderpriority n from orders where o_orderstatus = 'O') select s, n, 'first' missing_from_other from a anti join b using (s, n) union all select s, n, 'second' from b anti join a using (s, n)")
 def document_comparison(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("s"), F.col("c_nationkey").alias("n"), "c_custkey")
-    a, b = (c.where(f"c_custkey % 2 = {i}").select("s", "n").distinct() for i in (0, 1))
+    """Finished and open orders as two documents, customer and priority as name and context of a field."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("s"), F.col("o_orderpriority").alias("n"), "o_orderstatus")
+    a, b = (o.where(F.col("o_orderstatus") == x).select("s", "n").distinct() for x in "FO")
     return O.comparable(a, b, ["s", "n"])
 
 
@@ -118,13 +119,23 @@ def extraction_checks(spark, d):
     return O.extraction_errors(f)
 
 
-@query("recompute_dispatch", "select o_orderkey id, case o_orderkey % 3 when 0 then 'percentage' when 1 then 'values' else 'unknown' end kind, case o_orderkey % 3 when 0 then round(100 * (o_custkey % 50) / 50.0, 1) = 2 * (o_custkey % 50) when 1 then true end consistent, case when o_orderkey % 3 = 2 then 'unsupported kind' end error from orders")
+@query("recompute_dispatch", "with o as (select o_orderkey id, ['percentage', 'values', 'p', 'sample_size', 'ci', 'unknown'][(o_orderkey % 6 + 1)::int] kind, o_custkey % 50 n, o_totalprice v, year(o_orderdate) % 7 y from orders) select id, kind, case kind when 'percentage' then 100 * n >= (200 * n + y - 5) * 50 / 100 and 100 * n < (200 * n + y + 5) * 50 / 100 when 'values' then abs(v - round(v, 1)) <= 0.000001 * greatest(abs(v), abs(round(v, 1))) + 1e-15 when 'p' then n / 1000.0 + y / 10000.0 >= n / 1000.0 - 0.0005 and n / 1000.0 + y / 10000.0 < n / 1000.0 + 0.0005 when 'sample_size' then y = 1 when 'ci' then abs(n + y / 100.0 - n) / greatest(n, 2e-9, 1e-12) <= 0.02 and y <= 100 end consistent, case when kind = 'unknown' then 'unsupported kind' end error from o")
 def recompute_dispatch(spark, d):
-    k, n = F.col("o_orderkey"), F.col("o_custkey") % 50
-    kind = F.when(k % 3 == 0, "percentage").when(k % 3 == 1, "values").otherwise("unknown")
-    rows = table(spark, d, "orders").select(k.alias("id"), kind.alias("kind"), n.alias("n"), F.col("o_totalprice").alias("v"))
-    ok = F.when(F.col("kind") == "percentage", R.percentage_matches(F.col("n"), (2 * F.col("n")).cast("double"), F.lit(50))).when(F.col("kind") == "values", R.values_agree(F.col("v"), F.col("v")))
-    return rows.select("id", "kind", ok.alias("consistent"), F.when(~F.col("kind").isin("percentage", "values"), "unsupported kind").alias("error"))
+    """Checks of several kinds in one table, what was printed off by the order's year; one kind is not known."""
+    k, n, y = F.col("o_orderkey"), F.col("o_custkey") % 50, F.year("o_orderdate") % 7
+    kinds = ("percentage", "values", "p", "sample_size", "ci", "unknown")
+    rows = table(spark, d, "orders").select(k.alias("id"), F.element_at(F.array(*[F.lit(x) for x in kinds]), (k % 6 + 1).cast("int")).alias("kind"), n.alias("n"), y.alias("y"), F.col("o_totalprice").alias("v"))
+    n, y, v = (F.col(x) for x in "nyv")
+    printed = F.format_string("%.3f", n / 1000)
+    checks = {
+        "percentage": R.percentage_matches(n, 2.0 * n + y / 100.0, F.lit(50)),
+        "values": R.values_agree(v, F.round(v, 1)),
+        "p": R.p_matches(printed, (n / 1000 + y / 10000).cast("decimal(20,6)")),
+        "sample_size": R.sample_size_from_df(n.cast("double"), n + y, F.lit("one_sample"), F.lit(1)),
+        "ci": R.ci_consistency(n + y / 100.0, (n - 1).cast("double"), (n + 1).cast("double"))["consistent"],
+    }
+    ok = F.coalesce(*[F.when(F.col("kind") == kind, check) for kind, check in checks.items()])
+    return rows.select("id", "kind", ok.alias("consistent"), F.when(~F.col("kind").isin(*checks), "unsupported kind").alias("error"))
 
 
 @query("incidence_join", "with f as (select doc_id, min(quality) q from labels group by 1), t as (select distinct on (md5(text)) doc_id, source from documents order by md5(text), doc_id) select source, count(*) papers, sum(q)::bigint good from t join f using (doc_id) group by 1")
@@ -136,9 +147,112 @@ def incidence_join(spark, d):
     return texts.join(meta, "doc_id").groupBy("source").agg(F.count("*").alias("papers"), F.sum("q").cast("long").alias("good"))
 
 
-@query("replay_equality", "select 0::bigint missing, 0::bigint \"extra\"")
+@query("replay_equality", "with f as (select doc_id, min(quality) q from labels group by 1), t as (select distinct on (md5(text)) doc_id, source from documents order by md5(text), doc_id), r as (select source, count(*) papers, sum(q)::bigint good from t join f using (doc_id) group by 1) select 'papers' field, source \"key\", (papers + 1)::varchar stored, papers::varchar replayed from r where papers % 2 = 1 union all select 'good', source, null, good::varchar from r where good % 3 = 0")
 def replay_equality(spark, d):
-    from attesta.plans.registry import queries
-
-    a, b = (queries()["incidence_join"](spark, d) for _ in range(2))
-    return a.exceptAll(b).agg(F.count("*").alias("missing")).crossJoin(b.exceptAll(a).agg(F.count("*").alias("extra")))
+    """A stored receipt against the same figures computed anew: where it says one more, and where it says nothing."""
+    now = incidence_join(spark, d)
+    stored = now.select("source", (F.col("papers") + F.col("papers") % 2).alias("papers"), F.when(F.col("good") % 3 != 0, F.col("good")).alias("good"))
+    return O.replay_differences(stored, now, "source")
+
+
+@query("inline_edge_forms", "with o as (select o_orderkey n, o_custkey \"doc\", o_orderkey % 7 f, 'x' || o_orderkey a, 'x' || (o_orderkey + 1) b from orders) select \"doc\", n, case f when 0 then a when 1 then b when 2 then a when 3 then a when 4 then a end child, case f when 0 then b when 1 then a when 2 then b when 3 then b when 4 then b end parent, case f when 5 then 'unsupported_type' when 6 then 'unrecognised_form' end error from o")
+def inline_edge_forms(spark, d):
+    from attesta.operators import validate as V
+
+    k = F.col("o_orderkey")
+    a, b = (F.concat(F.lit("x"), x.cast("string")) for x in (k, k + 1))
+    form = lambda *which: F.when((k % 7).isin(*which), F.lit(True))
+    raw = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("doc"), k.alias("n"), F.when(form(0), a).alias("child_id"), F.when(form(0), b).alias("parent_id"), F.when(form(1, 2, 5), a).when(form(3), b).alias("source_id"), F.when(form(1, 2, 5), b).alias("target_id"),
+        F.when(form(3), a).alias("derived_id"), F.when(form(4), a).alias("entity_id"), F.when(form(4), b).alias("used_id"), F.when(form(1), " Produced").when(form(2), "used").when(form(5), "likes").alias("type"),
+    )
+    return V.inline_edges(raw).select("doc", "n", "child", "parent", "error")
+
+
+@query("context_checks", "with o as (select o_orderkey id, o_custkey c, ['t_p', 'effect_size', 'ci_consistency', 'percentage'][(o_orderkey % 4 + 1)::int] kind from orders), l as (select id check_id, kind, l_linenumber ln, l_returnflag g, l_linestatus u, l_suppkey % 3 = 0 later from o join (select l_orderkey, l_linenumber, any_value(l_returnflag order by l_partkey, l_suppkey, l_quantity) l_returnflag, any_value(l_linestatus order by l_partkey, l_suppkey, l_quantity) l_linestatus, any_value(l_suppkey order by l_partkey, l_suppkey, l_quantity) l_suppkey from lineitem group by 1, 2) on l_orderkey = id), a as (select check_id, any_value(kind) kind, count(distinct g) gs, count(distinct later) ts, count(distinct case when ln <= 3 then u end) us from l group by 1) select check_id, 'inputs_differ_in_group' error from a where kind not in ('effect_size') and gs > 1 union all select check_id, 'inputs_differ_in_timepoint' from a where ts > 1 union all select check_id, 'units_differ' from a where kind = 'ci_consistency' and us > 1")
+def context_checks(spark, d):
+    """An order is a check, its line items the inputs: return flags are groups, line states units, some suppliers later times."""
+    kinds = ("t_p", "effect_size", "ci_consistency", "percentage")
+    first = lambda c: F.min_by(c, F.struct("l_partkey", "l_suppkey", "l_quantity")).alias(c)
+    items = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(first("l_returnflag"), first("l_linestatus"), F.min_by("l_suppkey", F.struct("l_partkey", "l_suppkey", "l_quantity")).alias("l_supp"))
+    args = F.array(*[F.lit(x) for x in ("estimate", "lower", "upper", "level", "a4", "a5", "a6")])
+    context = F.struct(F.lit("d").alias("dataset"), F.col("l_returnflag").alias("group"), F.when(F.col("l_supp") % 3 == 0, "later").otherwise("base").alias("timepoint"), F.lit("all").alias("analysis_set"), F.lit("c").alias("condition"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("check_id"), F.element_at(F.array(*[F.lit(x) for x in kinds]), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("kind"))
+    inputs = o.join(items, F.col("check_id") == F.col("l_orderkey")).select("check_id", "kind", F.element_at(args, F.col("l_linenumber").cast("int")).alias("argument"), F.lit("extracted").alias("status"), F.lit("number").alias("type"), F.lit("x").alias("name"), F.col("l_linestatus").alias("unit"), context.alias("context"))
+    return O.context_errors(inputs)
+
+
+@query("comparable_fields", "select l_orderkey id, l_linenumber ln, l_partkey part, l_suppkey supp, l_quantity qty, l_returnflag <> 'N' and l_linestatus = 'F' ok from lineitem")
+def comparable_fields(spark, d):
+    """A returned line's context is known, an open one has no unit."""
+    unit = F.when(F.col("l_linestatus") == "F", "ms").otherwise(" N/A ")
+    context = F.struct(F.lit("d").alias("dataset"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("group"), F.lit("t").alias("timepoint"), F.lit("all").alias("analysis_set"), F.lit("c").alias("condition"))
+    i = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("ln"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_quantity").alias("qty"), unit.alias("unit"), context.alias("context"))
+    return i.select("id", "ln", "part", "supp", "qty", O.directly_comparable(F.col("unit"), F.col("context")).alias("ok"))
+
+
+@query("open_access", "with w as (select o_orderkey k, case when o_orderkey % 9 = 0 then 'arxiv' when o_orderkey % 17 = 0 then 'pmid' else 'doi' end t from orders), a as (select l_orderkey k, ['unpaywall', 'openalex', 'semantic_scholar', 'europe_pmc'][(l_linenumber % 4 + 1)::int] s, l_linenumber % 4 r, l_returnflag <> 'R' same, case when l_linestatus = 'F' then 'https://h/' || l_partkey end u from lineitem), b as (select k, bool_or(same) same, arg_min(u, (r, u)) filter (same and u is not null) u, arg_min(s, (r, u)) filter (same and u is not null) s from a group by 1) select k \"key\", case when t = 'arxiv' then 'ok' when t <> 'doi' then 'unsupported' when coalesce(same, true) then 'ok' else 'failed' end status, case when t = 'arxiv' then 'arxiv-direct' when t = 'doi' and u is not null then case s when 'unpaywall' then 'unpaywall-live' else replace(s, '_', '-') || '-fallback' end else 'none' end \"mode\", case when t = 'arxiv' then true when t = 'doi' then u is not null else false end is_oa, case when t = 'arxiv' then 'https://arxiv.org/pdf/2101.' || k || '.pdf' when t = 'doi' then u end url from w left join b using (k)")
+def open_access(spark, d):
+    """Orders are wanted works, their line items the providers' answers, some of other works and some without an address."""
+    k = F.col("o_orderkey")
+    kind = F.when(k % 9 == 0, "arxiv").when(k % 17 == 0, "pmid").otherwise("doi")
+    wanted = table(spark, d, "orders").select(k.alias("key"), kind.alias("type"), F.when(kind == "arxiv", F.concat(F.lit("2101."), k.cast("string"))).otherwise(F.concat(F.lit("10.1234/X"), k.cast("string"))).alias("value"))
+    source = F.element_at(F.array(*[F.lit(s) for s in O.OA_SOURCES]), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    doi = F.concat(F.when(F.col("l_returnflag") != "R", "https://doi.org/10.1234/x").otherwise("10.9999/x"), F.col("l_orderkey").cast("string"))
+    answers = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), source.alias("source"), doi.alias("doi"), F.when(F.col("l_linestatus") == "F", F.concat(F.lit("https://h/"), F.col("l_partkey").cast("string"))).alias("url"))
+    return O.resolve_open_access(wanted, answers)
+
+
+@query("provider_locations", "select p_partkey \"key\", 'repository' kind, 'https://r/' || p_partkey || '.pdf' url, true pdf from part where p_size % 2 = 0 union all select p_partkey, 'other', 'https://r/' || p_partkey, false from part where p_size % 2 = 1 union all select p_partkey, 'best', 'http://b/' || p_size, false from part where p_size > 10 union all select p_partkey, 'link', 'https://l/x.PDF', true from part where p_size > 25")
+def provider_locations(spark, d):
+    """Parts as OpenAlex records: size decides which places are open."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    place = lambda is_oa, pdf, page, type_: F.struct(is_oa.alias("is_oa"), pdf.alias("pdf_url"), page.alias("landing_page_url"), F.struct(F.lit(type_).alias("type")).alias("source"))
+    pdf = F.concat(F.lit("https://r/"), k.cast("string"), F.lit(".pdf"))
+    first = place(F.lit(True), F.when(n % 2 == 0, pdf), F.concat(F.lit("https://r/"), k.cast("string")), "repository")
+    closed = place(F.lit(False), pdf, pdf, "repository")
+    best = F.when(n > 10, place(F.when(n % 3 == 0, True), F.lit("ftp://no"), F.concat(F.lit("http://b/"), n.cast("string")), "journal"))
+    record = F.struct(F.array(first, closed).alias("locations"), best.alias("best_oa_location"), F.struct((n > 10).alias("is_oa"), F.when(n > 25, " https://l/x.PDF ").alias("oa_url")).alias("open_access"))
+    return O.openalex_locations(table(spark, d, "part").select(k.alias("key"), F.to_json(record).alias("work")))
+
+
+@query("identity_links", "with l as (select o_custkey a, o_orderkey % 100 b, ['cites', 'correction', 'likes'][(year(o_orderdate) % 3 + 1)::int] kind, o_orderstatus s from orders), k as (select *, 'w' || a fa, 'w' || b fb from l where s <> 'P' and a <> b and kind <> 'likes') select fa holder, case kind when 'cites' then 'relations' else 'lineage' end holds, fa from_object, fb to_object, kind, count(*) n from k group by all union all select fb, 'lineage', fa, fb, kind, count(*) from k where kind = 'correction' group by all")
+def identity_links(spark, d):
+    """Orders link customers to numbers: pending ones have no evidence, and one kind of link is not known."""
+    from attesta.operators import identity as I
+
+    kind = F.element_at(F.array(F.lit("cites"), F.lit("correction"), F.lit("likes")), (F.year("o_orderdate") % 3 + 1).cast("int"))
+    name = lambda c: F.concat(F.lit("w"), c.cast("string"))
+    links = table(spark, d, "orders").select(name(F.col("o_custkey")).alias("a"), name(F.col("o_orderkey") % 100).alias("b"), kind.alias("kind"), F.lit("s").alias("source"), F.lit("t").alias("queried_at"), F.array(F.lit("doi")).alias("match_fields"), F.array().cast("array<string>").alias("conflict_fields"), F.when(F.col("o_orderstatus") != "P", F.lit(True)).alias("human_confirmed"))
+    return I.edges_of(links).groupBy("holder", "holds", "from_object", "to_object", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("work_objects", "with p as (select *, array_to_string(list_slice(string_split(array_to_string(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+'), ' '), ' '), 1, 6), '-') slug from part) select 'ro:work:' || case when p_size % 3 = 0 then '10.1234/' || p_partkey when slug <> '' then slug else 'untitled' end object_id, (p_size % 3 = 0)::int + (p_size % 5 = 0)::int n_identifiers, count(*) n from p group by 1, 2")
+def work_objects(spark, d):
+    from attesta.operators import identity as I
+
+    k, n = F.col("p_partkey").cast("string"), F.col("p_size")
+    works = table(spark, d, "part").select(F.when(n % 3 == 0, F.concat(F.lit(" DOI.org/10.1234/"), k)).alias("doi"), F.when(n % 5 == 0, F.concat(F.lit("arXiv:2101."), k, F.lit("v3"))).alias("arxiv"), F.col("p_name").alias("title"), F.array(F.lit("a")).alias("authors"), F.lit(2000).alias("year"), F.lit(None).cast("string").alias("container"))
+    return I.objects(works).groupBy("object_id", F.size("identifiers").alias("n_identifiers")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("receipt_questions", "with c as (select l_orderkey k, l_returnflag r, l_linenumber n from lineitem), v as (select o_orderkey k, o_orderstatus <> 'P' known from orders) select kind, needs_human, count(*) n from (select 'unsupported_schema_version' kind, true needs_human from v where not known union all select case r when 'A' then 'contradicted_claim' when 'R' then 'unverifiable_claim' end, r = 'A' from c join v using (k) where known and r <> 'N' union all select 'query_failure', false from v where known) group by all")
+def receipt_questions(spark, d):
+    """Orders as receipts: line items are claims, pending orders receipts of another version."""
+    from attesta.operators import identity as I
+
+    status = F.when(F.col("l_returnflag") == "A", "contradicted").when(F.col("l_returnflag") == "R", "unverifiable").otherwise("supported")
+    claims = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.lit("c").alias("claim"), status.alias("support_status"))).alias("claims"))
+    r = table(spark, d, "orders").join(claims, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    doc = F.to_json(F.struct(F.when(F.col("o_orderstatus") == "P", "2.0").otherwise("1.0").alias("schema_version"), "claims", F.array(F.lit("timeout")).alias("failures")))
+    return I.open_questions(r.select(F.col("o_orderkey").alias("key"), doc.alias("receipt"))).groupBy("kind", "needs_human").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("provider_target_comparison", "with r as (select o_custkey k, o_orderkey p, o_orderstatus s from orders), t as (select c_custkey k, case when c_custkey % 3 > 0 then 'F' end w from customer), f as (select k, min(s) l from r group by 1) select r.k \"key\", 'title' field, count(*) known, count(*) filter (lower(s) = lower(coalesce(w, l))) agree, array_to_string(list_sort(coalesce(list_distinct(list(p::varchar) filter (lower(s) <> lower(coalesce(w, l)))), [])), '|') conflicts from r join f on f.k = r.k left join t on t.k = r.k group by r.k")
+def provider_target_comparison(spark, d):
+    """A customer is a work, its orders the providers and their status the title; two customers in three have a target."""
+    from attesta.operators import identity as I
+
+    works = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").cast("string").alias("provider"), F.col("o_orderstatus").alias("title"))
+    target = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.when(F.col("c_custkey") % 3 > 0, "f").alias("title"))
+    return I.compare_works(works, target, ("title",)).withColumn("conflicts", F.array_join("conflicts", "|"))

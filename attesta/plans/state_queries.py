@@ -109,9 +109,9 @@ def batch_ingest(spark, d):
     return S.ingest(docs, docs.where("artifact_id % 7 = 0")).select("artifact_id")
 
 
-@query("snapshot_digest", "with h as (select sha256(concat_ws(chr(31), n_name, n_nationkey::varchar, n_regionkey::varchar)) h from nation), g as (select left(h, 3) g, sha256(string_agg(h, '' order by h)) d, count(*) n from h group by 1) select sum(n)::bigint \"rows\", sha256(string_agg(d, '' order by g)) digest from g")
+@query("snapshot_digest", "with h as (select sha256(concat_ws(chr(31), c_acctbal_, c_custkey::varchar, c_mktsegment, c_name, c_nationkey::varchar)) h from (select *, 'x' c_acctbal_ from customer)), n as (select case when count(*) <= 256 * 4096 then 3 when count(*) <= 256 * 65536 then 4 else 5 end dep from h), l as (select left(h, dep) g, sha256(string_agg(h, '' order by h)) d, count(*) c from h, n group by 1), l4 as (select case when length(g) = 5 then left(g, 4) else g end g, case when length(any_value(g)) = 5 then sha256(string_agg(d, '' order by g)) else any_value(d) end d, sum(c) c from l group by case when length(g) = 5 then left(g, 4) else g end), l3 as (select left(g, 3) g, case when length(any_value(g)) = 4 then sha256(string_agg(d, '' order by g)) else any_value(d) end d, sum(c) c from l4 group by left(g, 3)), l2 as (select left(g, 2) k, sha256(string_agg(d, '' order by g)) d, sum(c) c from l3 group by 1), l1 as (select left(k, 1) g, sha256(string_agg(d, '' order by k)) d, sum(c) c from l2 group by 1) select sum(c)::bigint \"rows\", sha256(string_agg(d, '' order by g)) digest from l1")
 def snapshot_digest(spark, d):
-    return S.table_digest(table(spark, d, "nation"))
+    return S.table_digest(table(spark, d, "customer").select(F.lit("x").alias("c_acctbal"), "c_custkey", "c_mktsegment", "c_name", "c_nationkey"))
 
 
 @query("receipt_stances", "with v as (select l_orderkey k, count(*) t, count(*) filter (l_returnflag <> 'R') p, count(*) filter (l_returnflag = 'A' and l_linenumber = 1) n from lineitem group by 1) select k, case when n > 0 then 'contradicts' when p = t then 'supports' else 'qualifies' end stance from v")
@@ -120,15 +120,31 @@ def receipt_stances(spark, d):
     return v.select("k", S.stance_of(F.lit("audit"), F.col("p"), F.col("n"), F.col("t")).alias("stance"))
 
 
-_STAGES = ", ".join(f"('{s}', {str(s in S.HARD).lower()})" for s in S.STAGES)
+_STAGES = ", ".join(f"('{s}', {i}, {str(s in S.HARD).lower()}, {str(s in S.WAIVABLE).lower()})" for i, s in enumerate(S.STAGES))
+_CHECKED = f"st(stage, i, hard, soft) as (values {_STAGES}), p as (select p_partkey paper, stage, hard, soft, i, case when p_size % 15 <= i - 10 then 'unknown' when hash_ % 19 = 0 then 'mismatch' when hash_ % 13 = 0 then 'fail' when hash_ % 17 = 0 then 'skipped' when hash_ % 29 = 0 then 'blocked' else 'pass' end status, hash_ % 2 = 0 w from (select *, p_partkey * 31 + i * 7 hash_ from part, st))"
 
 
-@query("checklist_verdict", f"with st(stage, hard) as (values {_STAGES}), i as (select stage, hard, row_number() over () - 1 i from st), p as (select p_partkey paper, stage, hard, case when i >= p_size % 15 then null when (p_partkey + i) % 37 = 0 then 'mismatch' when (p_partkey + i) % 23 = 0 then 'fail' else 'pass' end status, (p_partkey + i) % 5 = 0 w from part, i where p_size % 15 > 0), o as (select *, coalesce(status, 'missing') = 'pass' or (status is not null and w) ok from p), r as (select paper, coalesce(bool_or(status = 'mismatch'), false) mm, bool_or(hard and not ok) bl, count(*) filter (not ok) gaps from o group by 1) select paper, case when mm then 'inconsistent' when bl then 'blocked' when gaps = 0 then 'reproducible' else 'partial' end verdict, case when mm or bl then 0 when gaps = 0 then 4 when gaps <= 2 then 3 when gaps <= 5 then 2 else 1 end::int tier, gaps from r")
+@query("checklist_verdict", f"with {_CHECKED}, a as (select paper, " + ", ".join(f"any_value(status) filter (stage = '{s}') \"{s}\"" for s in S.STAGES) + ", count(*) filter (status = 'mismatch') mm, count(*) filter (hard and status <> 'pass') bl, count(*) filter (not hard and status <> 'pass' and not (soft and status = 'skipped' and w)) gaps from p group by 1) select paper, case when mm > 0 then 'inconsistent' when bl > 0 then 'blocked' when gaps = 0 then 'reproducible' else 'partially-reproducible' end verdict, case when identity in ('fail', 'missing', 'blocked', 'mismatch') then null when \"code-link\" in ('fail', 'missing', 'blocked', 'mismatch') or \"repo-identity\" in ('fail', 'missing', 'blocked', 'mismatch') then 'no-code-found' when list_has_any([\"code-link\", \"repo-identity\", identity], ['skipped', 'unknown']) then null when dependencies in ('fail', 'missing', 'blocked') then 'environment-broken' when dependencies in ('skipped', 'unknown') then null when \"build-install\" in ('fail', 'missing', 'blocked') then 'environment-broken' when \"build-install\" in ('skipped', 'unknown') then null when \"smoke-run\" in ('fail', 'missing', 'blocked') then 'environment-broken' when \"smoke-run\" in ('skipped', 'unknown') then null when \"claimed-metrics\" <> 'pass' or \"measured-metrics\" <> 'pass' then 'runs' when \"metric-diff\" = 'pass' then 'numbers-reproduced' when \"metric-diff\" = 'fail' then 'direction-reproduced' else 'runs' end tier, mm::int contradictions, bl::int blocking, gaps::int gaps from a")
 def checklist_verdict(spark, d):
-    i = F.explode(F.sequence(F.lit(0), (F.col("p_size") % 15 - 1).cast("int")))
-    p = table(spark, d, "part").where("p_size % 15 > 0").select("p_partkey", i.alias("i"))
-    x = F.col("p_partkey") + F.col("i")
-    return S.checklist(p.select(F.col("p_partkey").alias("paper"), F.element_at(F.array(*[F.lit(s) for s in S.STAGES]), (F.col("i") + 1).cast("int")).alias("stage"), F.when(x % 37 == 0, "mismatch").when(x % 23 == 0, "fail").otherwise("pass").alias("status"), (x % 5 == 0).alias("waived")))
+    """Parts as papers; records of the last stages are missing where the size says so."""
+    stages = spark.createDataFrame([(s, i) for i, s in enumerate(S.STAGES)], "stage string, i int")
+    h = F.col("p_partkey") * 31 + F.col("i") * 7
+    status = F.when(h % 19 == 0, "mismatch").when(h % 13 == 0, "fail").when(h % 17 == 0, "skipped").when(h % 29 == 0, "blocked").otherwise("pass")
+    rows = table(spark, d, "part").crossJoin(F.broadcast(stages)).where("p_size % 15 > i - 10").select(F.col("p_partkey").alias("paper"), "stage", status.alias("status"), (h % 2 == 0).alias("waived"))  # fourteen rows a paper
+    return S.checklist(rows).select("paper", "verdict", "tier", *[F.size(c).alias(c) for c in ("contradictions", "blocking", "gaps")])
+
+
+@query("checklist_errors", f"with {_CHECKED}, e as (select paper, stage, status, w, p_size % 3 = 0 reasoned from p join part on p_partkey = paper) select paper, stage, 'waived_not_skipped' error from e where w and status <> 'skipped' union all select paper, stage, 'stage_not_waivable' from e where w and stage not in ({', '.join(repr(s) for s in S.WAIVABLE)}) union all select paper, stage, 'waived_without_reason' from e where w and not reasoned union all select p_partkey, 'magic', 'unknown_stage' from part where p_size = 7 union all select p_partkey, 'identity', 'duplicate_stage' from part where p_size = 9 union all select p_partkey, 'identity', 'invalid_status' from part where p_size = 9")
+def checklist_errors(spark, d):
+    stages = spark.createDataFrame([(s, i) for i, s in enumerate(S.STAGES)], "stage string, i int")
+    h = F.col("p_partkey") * 31 + F.col("i") * 7
+    status = F.when(F.col("p_size") % 15 <= F.col("i") - 10, "unknown").when(h % 19 == 0, "mismatch").when(h % 13 == 0, "fail").when(h % 17 == 0, "skipped").when(h % 29 == 0, "blocked").otherwise("pass")
+    part = table(spark, d, "part")
+    rows = part.crossJoin(F.broadcast(stages)).select(F.col("p_partkey").alias("paper"), "stage", status.alias("status"), (h % 2 == 0).alias("waived"), F.when(F.col("p_size") % 3 == 0, "no weights").otherwise(" ").alias("reason"))  # fourteen rows a paper
+    none = F.lit(None).cast("string")
+    more = part.where("p_size = 7").select(F.col("p_partkey").alias("paper"), F.lit("magic").alias("stage"), F.lit("pass").alias("status"), F.lit(False).alias("waived"), none.alias("reason"))
+    again = part.where("p_size = 9").select(F.col("p_partkey").alias("paper"), F.lit("identity").alias("stage"), F.lit("fine").alias("status"), F.lit(False).alias("waived"), none.alias("reason"))
+    return S.checklist_errors(rows.unionByName(more).unionByName(again))
 
 
 # watch state
@@ -179,9 +195,12 @@ def retraction_status(spark, d):
     return N.retraction_status(events(spark, d).select(F.col("user_id").alias("item"), ((t == "purchase") & (v > 90)).alias("flag"), ((t == "error") & (v > 95)).alias("notice"), (v > 1).alias("complete")))
 
 
-@query("update_signals", "select user_id doi, array_to_string(list_sort(list_distinct(list('retraction:' || event_id))), '|') signals, count(*) n from events where event_type = 'purchase' group by 1")
+_UPDATES = ("Retraction", "withdrawal", "Removal", "expression_of_concern", "Expression-of-Concern", "erratum", "partial_retraction", "correction", "new_version")
+
+
+@query("update_signals", "with u as (select event_id notice, user_id doi, lower([" + ", ".join(f"'{u}'" for u in _UPDATES) + "][(event_id % 9 + 1)::int]) t from events) select doi, array_to_string(list_sort(list_distinct(list(t || ':' || notice))), '|') signals, count(*) n from u where t in ('retraction', 'withdrawal', 'removal', 'expression_of_concern', 'expression-of-concern') group by 1")
 def update_signals(spark, d):
-    e = events(spark, d).select(F.col("event_id").alias("notice"), F.col("user_id").alias("doi"), F.when(F.col("event_type") == "purchase", "Retraction").otherwise("erratum").alias("update_type"))
+    e = events(spark, d).select(F.col("event_id").alias("notice"), F.col("user_id").alias("doi"), F.element_at(F.array(*[F.lit(u) for u in _UPDATES]), (F.col("event_id") % 9 + 1).cast("int")).alias("update_type"))
     return N.update_signals(e)
 
 

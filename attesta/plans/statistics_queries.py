@@ -136,22 +136,29 @@ def complement_sums(spark, d):
 # tails
 
 
-@query("p_t_df2", "select l_linenumber, round(1 - l_linenumber / sqrt(2 + l_linenumber * l_linenumber)::double, 9) p from (select distinct l_linenumber from lineitem)")
-def p_t_df2(spark, d):
-    n = table(spark, d, "lineitem").select("l_linenumber").distinct()
-    return n.select("l_linenumber", F.round(special.p_from_t(F.col("l_linenumber").cast("double"), F.lit(2.0)), 9).alias("p"))
+_T = "with n as (select distinct l_linenumber t from lineitem), d as (select t, df, atan(t / sqrt(df)) a from n, (select unnest([1, 2, 3, 4, 5, 6]) df))"
 
 
-@query("p_f_df1_2", "select l_linenumber, round((1 + 2.0 * l_linenumber / 9) ** (-4.5), 9) p from (select distinct l_linenumber from lineitem)")
-def p_f_df1_2(spark, d):
-    n = table(spark, d, "lineitem").select("l_linenumber").distinct()
-    return n.select("l_linenumber", F.round(special.p_from_f(F.col("l_linenumber").cast("double"), F.lit(2.0), F.lit(9.0)), 9).alias("p"))
+@query("p_from_t", f"{_T} select t, df, round(case df when 1 then 1 - 2 / pi() * a when 2 then 1 - sin(a) when 3 then 1 - 2 / pi() * (a + sin(a) * cos(a)) when 4 then 1 - sin(a) * (1 + cos(a) ** 2 / 2) when 5 then 1 - 2 / pi() * (a + sin(a) * (cos(a) + 2 * cos(a) ** 3 / 3)) else 1 - sin(a) * (1 + cos(a) ** 2 / 2 + 3 * cos(a) ** 4 / 8) end, 9) p from d")
+def p_from_t(spark, d):
+    """Two-sided tails at one to six degrees of freedom, for which there are closed forms."""
+    n = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("t")).distinct().withColumn("df", F.explode(F.sequence(F.lit(1), F.lit(6))))
+    return n.select("t", "df", F.round(special.p_from_t(F.col("t").cast("double"), F.col("df").cast("double")), 9).alias("p"))
 
 
-@query("p_chi2_df2", "select l_linenumber, round(exp(-l_linenumber / 2.0), 9) p from (select distinct l_linenumber from lineitem)")
-def p_chi2_df2(spark, d):
-    n = table(spark, d, "lineitem").select("l_linenumber").distinct()
-    return n.select("l_linenumber", F.round(special.p_from_chi2(F.col("l_linenumber").cast("double"), F.lit(2.0)), 9).alias("p"))
+@query("p_from_f", f"{_T} select t f, 2 df1, df df2, round((1 + 2.0 * t / df) ** (-df / 2.0), 9) p from d union all select t * t, 1, df, round(case df when 1 then 1 - 2 / pi() * a when 2 then 1 - sin(a) when 3 then 1 - 2 / pi() * (a + sin(a) * cos(a)) when 4 then 1 - sin(a) * (1 + cos(a) ** 2 / 2) when 5 then 1 - 2 / pi() * (a + sin(a) * (cos(a) + 2 * cos(a) ** 3 / 3)) else 1 - sin(a) * (1 + cos(a) ** 2 / 2 + 3 * cos(a) ** 4 / 8) end, 9) from d")
+def p_from_f(spark, d):
+    """Right tails with two degrees above, by their closed form, and with one, as tails of t."""
+    n = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("t")).distinct().withColumn("df2", F.explode(F.sequence(F.lit(1), F.lit(6)))).withColumn("df1", F.explode(F.array(F.lit(1), F.lit(2))))
+    f = F.when(F.col("df1") == 1, F.col("t") * F.col("t")).otherwise(F.col("t"))
+    return n.withColumn("f", f).select("f", "df1", "df2", F.round(special.p_from_f(F.col("f").cast("double"), F.col("df1").cast("double"), F.col("df2").cast("double")), 9).alias("p"))
+
+
+@query("p_from_chi2", "with n as (select distinct l_linenumber x from lineitem) select x, df, round(exp(-x / 2.0) * (1 + case when df > 2 then x / 2.0 else 0 end + case when df > 4 then (x / 2.0) ** 2 / 2 else 0 end + case when df > 6 then (x / 2.0) ** 3 / 6 else 0 end), 9) p from n, (select unnest([2, 4, 6, 8]) df)")
+def p_from_chi2(spark, d):
+    """Right tails at even degrees of freedom, which are sums of a Poisson distribution."""
+    n = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("x")).distinct().withColumn("df", F.explode(F.array(*[F.lit(i) for i in (2, 4, 6, 8)])))
+    return n.select("x", "df", F.round(special.p_from_chi2(F.col("x").cast("double"), F.col("df").cast("double")), 9).alias("p"))
 
 
 @query("p_from_z")

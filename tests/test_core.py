@@ -71,7 +71,7 @@ def test_cohort(spark):
     slots = spark.createDataFrame([("4;6;;8;nan;x",)], "s string").select(cohort.parse_slots(F.col("s")).alias("a"), cohort.parse_slots(F.col("s"), True).alias("b")).first()
     assert slots["a"] == [4, 6, 8] and slots["b"] == [4, 6, None, 8, None, None]
     s = spark.createDataFrame([("Not accepted",), ("Accept (Oral)",), (None,), ("Desk rejected",)], "s string").select(cohort.classify_status(F.col("s"))).collect()
-    assert [x[0] for x in s] == ["unknown", "accepted", "unknown", "rejected"]
+    assert [x[0] for x in s] == ["unknown", "accepted", "unknown", "rejected_or_unaccepted"]
 
 
 def test_diamonds_and_cycles(spark):
@@ -100,11 +100,35 @@ def test_merge_is_order_free(spark):
 
 
 def test_deduplicate(spark):
-    rows = [(1, "10.1000/a", "One title", ["Doe, A"], 2000), (2, "doi:10.1000/A", "Other", ["Roe, B"], 2001), (3, None, "One Title", ["A Doe"], None), (4, None, "one title", ["Poe, C"], 2000), (5, None, None, [], None)]
+    rows = [(1, "10.1000/a", "One title", ["Doe, A"], 2000), (2, "doi:10.1000/A", "Other", ["Roe, B"], 2001), (3, None, "One Title", ["doe a"], None), (4, None, "one title", ["Poe, C"], 2000), (5, None, None, [], None)]
     got = {r["pos"]: (r["fate"], r["of"]) for r in corpus.deduplicate(spark.createDataFrame(rows, "pos long, doi string, title string, authors array<string>, year int")).collect()}
     assert got == {1: ("kept", None), 2: ("duplicate_doi", 1), 3: ("duplicate_title", 1), 4: ("candidate", 1), 5: ("kept", None)}
 
 
+def test_deduplicate_is_first_come(spark):
+    """Against a walk through the works in order: chains, hot titles, missing years and authors, repeated positions of a class."""
+    rng = random.Random(7)
+    rows = [(i, f"10.1000/{rng.randrange(12)}" if rng.random() < 0.3 else None, rng.choice(["One title", "other  TITLE", "", None]), rng.sample(["Doe A", "Roe B", "Poe C", "王"], rng.randint(0, 2)), rng.choice([None, 2000, 2001])) for i in range(160)]
+    want, seen, kept = {}, {}, {}
+    for pos, doi, title, authors, year in rows:
+        if doi in seen:
+            want[pos] = ("duplicate_doi", seen[doi])
+            continue
+        if doi:
+            seen[doi] = pos
+        t = (title or "").lower().split()
+        if not t:
+            want[pos] = ("kept", None)
+            continue
+        before = kept.setdefault(tuple(t), [])
+        same = [p for p, a, y in before if set(a) & set(authors) and (y is None or year is None or y == year)]
+        want[pos] = ("duplicate_title", same[0]) if same else ("candidate", before[0][0]) if before else ("kept", None)
+        if not same:
+            before.append((pos, authors, year))
+    got = corpus.deduplicate(spark.createDataFrame(rows, "pos long, doi string, title string, authors array<string>, year int")).collect()
+    assert {r["pos"]: (r["fate"], r["of"]) for r in got} == want and len(got) == len(rows)
+
+
 def test_identifiers(spark):
     cases = {"https://doi.org/10.1234/AB.": ("doi", "10.1234/ab"), "arXiv:2101.00001v3": ("arxiv", "2101.00001"), "PMID: 77": ("pmid", "77"), "nothing": ("unknown", None)}
     d = spark.createDataFrame([(k,) for k in cases], "s string").select("s", T.identifier(F.col("s")).alias("i")).collect()
@@ -140,6 +164,20 @@ def test_watch_rules():
     assert s["applied"] == 5 and s["version"] == 2
 
 
+def test_watch_state_is_bounded(spark, tmp_path):
+    """Old numbers are forgotten: a replay of one is stale; the outbox takes each change once, whatever comes twice."""
+    s = watch.blank()
+    for i in range(5 * watch.KEPT):
+        watch.step(s, observation(i, "not_retracted"))
+    assert len(s["commits"]) <= 2 * watch.KEPT and watch.step(s, observation(5 * watch.KEPT - 1, "not_retracted"))[0] == "replayed"
+    assert watch.step(s, observation(1, "not_retracted"))[0] == "stale_ignored" and watch.step(s, observation(2, "retracted"))[0] == "stale_ignored"
+    rows = [("w", f"k{i}", True, v) for i in range(20) for v in (1, 2)]
+    out = spark.createDataFrame(rows + [("w", "no", False, 1)], "watcher string, item_key string, changed boolean, version long")
+    for part in (out.where("version = 1"), out, out):
+        watch.drain(part, str(tmp_path / "outbox"))
+    assert sorted((r["item_key"], r["version"]) for r in spark.read.parquet(str(tmp_path / "outbox")).collect()) == sorted((k, v) for _, k, _, v in rows)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rng = random.Random(2)
     rows = [observation(i, rng.choice(["retracted", "not_retracted", "unknown"]), rng.sample("abc", 2), rng.random() < 0.5) | {"item_key": rng.choice("kl")} for i in range(40)]
@@ -166,18 +204,22 @@ def _zip(**files):
 
 def test_parsers(spark):
     html = b"<h1>Methods</h1><script>x</script><p id='a'>One  two</p><table><tr><td>1</td><td>2</td></tr></table>"
-    assert docs.parse_html(html) == [("html:block=1", "Methods", "Methods"), ("html:id=a", "One two", "Methods"), ("html:block=3", "1 | 2", "Methods")]
-    with pytest.raises(ValueError):
-        docs.parse_html(html, least=500)
-    jats = b"<!DOCTYPE a><article><front><abstract><p>Abs</p></abstract></front><body><sec><title>R</title><p>Text</p><table-wrap><table><tr><td>1</td><td>2</td></tr></table></table-wrap></sec></body></article>"
-    assert docs.parse_jats(jats) == [("xml:abstract", "Abs", "Abstract"), ("xml:p=2", "Text", "R"), ("xml:table=3", "1 | 2", "R")]
-    for bad in (b"<article/>", b"<a", b"<!ENTITY x 'y'><article><body/></article>"):
+    assert docs.parse_html(html) == [("html:block=1", "Methods", "Methods"), ("html:id=a", "One two", "Methods"), ("html:block=3", "; | 1 | 2", "Methods")]
+    jats = b"<!DOCTYPE a><article><front><article-title>T</article-title></front><body><sec><title>R</title><p id='p1'>Text<list><list-item><p>in</p></list-item></list></p><table-wrap><label>Tab 1</label><table><tr><td>1</td><td>2</td></tr></table></table-wrap></sec></body></article>"
+    assert docs.parse_jats(jats) == [("xml:block=1", "T", ""), ("xml:id=p1", "Textin", "R"), ("xml:block=3", "in", "R"), ("xml:block=4", "Tab 1 ; 1 | 2", "R")]
+    for bad in (b"<article/>", b"<a", b"<!ENTITY x 'y'><article><body/></article>", b"<article><body> </body></article>", b"<book><body>x</body></book>"):
         with pytest.raises(ValueError):
             docs.parse_jats(bad)
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
-    assert docs.parse_docx(_zip(**{"word/document.xml": f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>Hi</w:t></w:r></w:p></w:body></w:document>'})) == [("docx:p=1", "Hi", "")]
-    assert docs.parse_xlsx(_zip(**{"xl/sharedStrings.xml": "<sst><si><t>Name</t></si></sst>", "xl/worksheets/sheet1.xml": '<worksheet><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1"><f>1+1</f></c></row></sheetData></worksheet>'})) == [("xlsx:sheet1!1", "A1=Name | B1==1+1", "sheet1")]
-    assert docs.parse_tex(b"\\section{Intro}\nWord 1 % gone\n\n\\begin{abstract}A b\\end{abstract}")[0] == ("tex:abstract=1", "A b", "abstract")
+    body = "<w:p><w:r><w:t>Hi</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>c1</w:t></w:r></w:p></w:tc><w:tc/></w:tr></w:tbl>"
+    assert docs.parse_docx(_zip(**{"word/document.xml": f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>'})) == [("docx:paragraph=1", "Hi", ""), ("docx:paragraph=2", "c1", ""), ("docx:table=1", "c1 |", "")]
+    book = '<workbook xmlns:r="u"><sheets><sheet name="Main" r:id="i2"/></sheets></workbook>'
+    rels = '<Relationships><Relationship Id="i2" Target="worksheets/s.xml"/></Relationships>'
+    sheet = '<worksheet><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1"><f>1+1</f><v>2</v></c></row><row r="2"/></sheetData></worksheet>'
+    assert docs.parse_xlsx(_zip(**{"xl/workbook.xml": book, "xl/_rels/workbook.xml.rels": rels, "xl/sharedStrings.xml": "<sst><si><t>Name</t></si></sst>", "xl/worksheets/s.xml": sheet})) == [("xlsx:sheet=Main:row=1", "A1=Name | B1=2 [formula=1+1; cached value only]", "Main")]
+    assert docs.parse_tex(b"\\section{Intro}\nWord 1 % gone\n\n\\begin{abstract}A\n\nb\\end{abstract} \\begin{table*}x\\end{table*}") == [("tex:block=1", "\\section{Intro} Word 1", "Intro"), ("tex:abstract=1", "\\begin{abstract}A b\\end{abstract}", "Intro"), ("tex:table=1", "\\begin{table*}x\\end{table*}", "Intro")]
+    assert docs.parse_bibliography(b"@article{a, title={x}}\n  @book{b,\n y=1}\n") == [("bib:entry=a", "@article{a, title={x}}", "Bibliography"), ("bib:entry=b", "@book{b, y=1}", "Bibliography")]
+    assert [x[0] for x in docs.parse_bibliography(b"\\bibitem{k} foo\n\\bibitem[z]{l} bar\\end{thebibliography}")] == ["bib:entry=k", "bib:entry=l"] and docs.parse_bibliography(b"\nplain")[0][0] == "bib:line=2"
     with pytest.raises(ValueError):
         docs.open_zip(_zip(**{"../x": "y"}))
     got = docs.segments(spark.createDataFrame([("a", "txt", b"x\n\ny"), ("b", "docx", b"junk"), ("c", "exe", b""), ("d", "txt", None)], "document_id string, suffix string, content binary")).collect()
