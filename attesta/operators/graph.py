@@ -30,6 +30,29 @@ def full_closure(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"closure: not finished after {max_rounds} doublings")
 
 
+def reachable(edges: DataFrame, starts: DataFrame, most_nodes: int) -> tuple[DataFrame, DataFrame]:
+    """edges (child, parent), starts (node) -> (start, ancestor) of all nodes above a start, and the starts (start) from which a
+    cycle is reached. most_nodes: as many nodes as any connected part has, at least.
+
+    Walks of exactly 1, 2, 4, ... steps are found by joining each with itself; a start's ancestors follow from these, the
+    longest first, as any distance is a sum of such lengths. So rounds grow with the logarithm of the depth, and a
+    chain costs a row a node and round. A walk of as many steps as there are nodes goes round a cycle.
+    """
+    walks = [written(edges.where("child is not null and parent is not null").select("child", "parent").distinct(), "walks")]
+    length = 1
+    while length < most_nodes and not walks[-1].isEmpty():
+        one = walks[-1]
+        walks.append(written(one.join(one.select(F.col("child").alias("parent"), F.col("parent").alias("_to")), "parent").select("child", F.col("_to").alias("parent")).distinct(), "walks"))
+        length *= 2
+    reach = written(starts.select(F.col("node").alias("start"), F.col("node").alias("at")).distinct(), "reach")
+    for walk in reversed(walks):
+        step = reach.join(walk, F.col("at") == F.col("child")).select("start", F.col("parent").alias("at"))
+        reach = written(reach.unionByName(step).distinct(), "reach")
+    endless = walks[-1].select(F.col("child").alias("at")).distinct()
+    looped = reach.join(endless, "at", "left_semi").select("start").distinct() if length >= most_nodes else reach.limit(0).select("start")
+    return reach.where("start <> at").select("start", F.col("at").alias("ancestor")), looped
+
+
 def closure(edges: DataFrame, starts: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
     """edges (child, parent), starts (node) -> (start, ancestor, depth), depth the shortest distance; no starts: of all nodes, by
     full_closure.

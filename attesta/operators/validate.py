@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions.text import nfc_compact
-from attesta.operators.graph import closure, cyclic
+from attesta.operators.graph import closure, cyclic, reachable
 from attesta.store import written
 
 _GAP = "\x1f"
@@ -126,9 +126,9 @@ def trace(edges: DataFrame, nodes: DataFrame, targets: DataFrame) -> DataFrame:
     kinds = written(kinds.select("doc", "id", F.when(F.col("act"), "activity").otherwise(F.col("kind")).alias("kind")).distinct(), "trace-nodes")
     links = written(whole.select(_node("child").alias("child"), _node("parent").alias("parent")).distinct(), "trace-edges")
     t = targets.select("doc", F.trim("id").alias("id"))
-    reached = closure(links, t.select(_node("id").alias("node"))).select("start", "ancestor")
-    loops = cyclic(links)
-    looped = reached.join(loops.withColumnRenamed("node", "ancestor"), "ancestor", "left_semi").select("start").unionByName(loops.withColumnRenamed("node", "start")).distinct().withColumn("looped", F.lit(True))
+    most = links.select(_doc("child").alias("d"), F.explode(F.array("child", "parent")).alias("node")).distinct().groupBy("d").count().agg(F.max("count")).first()[0] or 1
+    reached, loops = reachable(links, t.select(_node("id").alias("node")), most)
+    looped = loops.withColumn("looped", F.lit(True))
     typed = kinds.select(_node("id").alias("node"), "kind")
     above = _has_upstream_entity(links, typed).withColumn("above", F.lit(True))
     marked = reached.join(typed.withColumnRenamed("node", "ancestor"), "ancestor", "left").join(above.withColumnRenamed("node", "ancestor"), "ancestor", "left")
@@ -196,7 +196,8 @@ def receipt_findings(receipts: DataFrame, entities: DataFrame, activities: DataF
     found = [*ids, _say(lost, "target_missing", "target"), _say(named, "receipt_id_differs_from_digest", "receipt_id"), _say(missing, "missing_input_with_content", "target"), *[_say(df, rule, "target") for df, rule in matrix]]
     # the closure of the target
     vd = valid.select("doc", "target", "content", "roots")
-    reached = closure(up.select(_node("child").alias("child"), _node("parent").alias("parent")), vd.select(F.concat_ws(_GAP, "doc", "target").alias("node")))
+    most = declared_nodes(ent, act)
+    reached, _ = reachable(up.select(_node("child").alias("child"), _node("parent").alias("parent")), vd.select(F.concat_ws(_GAP, "doc", "target").alias("node")), most)
     inside = reached.select(F.col("ancestor").alias("node")).unionByName(vd.select(F.concat_ws(_GAP, "doc", "target").alias("node"))).distinct()
     declared = ent.withColumn("kind", F.lit("entity")).unionByName(act.withColumn("kind", F.lit("activity"))).withColumn("doc", F.col("doc").cast("string")).join(vd.select("doc"), "doc", "left_semi").withColumn("node", F.concat_ws(_GAP, "doc", "id"))
     found.append(_say(declared.join(inside, "node", "left_anti"), "outside_the_target_s_closure", "id"))
@@ -220,6 +221,11 @@ def receipt_findings(receipts: DataFrame, entities: DataFrame, activities: DataF
     return _all(found)
 
 
+def declared_nodes(entities: DataFrame, activities: DataFrame) -> int:
+    """The most nodes that any document declares."""
+    return entities.select("doc").unionByName(activities.select("doc")).groupBy("doc").count().agg(F.max("count")).first()[0] or 1
+
+
 def up_sides(edges: DataFrame) -> DataFrame:
     """doc, activity, used and generated: what each activity's sound edges name, sorted."""
     by = edges.where("type in ('used', 'generated')").groupBy(F.col("doc").cast("string").alias("doc"), F.col("source").alias("activity"))

@@ -183,7 +183,18 @@ def markdown_matrix(spark, d):
 # documents
 
 
-@query("html_blocks")
+#: The same blocks by cutting the page at tags, which these pages (headings, paragraphs with and without an end) allow.
+_BLOCKS = r"""
+with c as (select page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g') h from pages),
+s as (select page_id, string_split(regexp_replace(regexp_replace(regexp_replace(h, '<p(\s[^>]*)?>', chr(1) || 'p', 'g'), '<h1(\s[^>]*)?>', chr(1) || 'h', 'g'), '</p>|</h1>|<footer[^>]*>|</article>|</body>|<ul>|<div[^>]*>', chr(1) || 'x', 'g'), chr(1)) parts from c),
+u as (select page_id, generate_subscripts(parts, 1) i, unnest(parts) part from s),
+t as (select page_id, i, left(part, 1) kind, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(substr(part, 2), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[\s\x{a0}]+', ' ', 'g')) txt from u where i > 1),
+b as (select *, row_number() over (partition by page_id order by i) n, last_value(case when kind = 'h' then txt end ignore nulls) over (partition by page_id order by i) sec from t where kind in ('p', 'h') and txt <> '')
+select page_id::varchar document_id, 'html:block=' || n locator, coalesce(sec, '') section, md5(txt) h, 'ok' status from b
+"""
+
+
+@query("html_blocks", _BLOCKS)
 def html_blocks(spark, d):
     p = table(spark, d, "pages").select(F.col("page_id").alias("document_id"), F.lit("html").alias("suffix"), F.col("html").cast("binary").alias("content"))
     return A.segments(p).select("document_id", "locator", "section", F.md5("text").alias("h"), "status")

@@ -22,6 +22,24 @@ def tex_masking(spark, d):
     return _part(spark, d, text).select("p_partkey", tex.mask_tex("t").alias("masked"))
 
 
+@query("footnote_pairs", "select p_partkey, 'n' || p_size note, case p_partkey % 3 when 0 then 'Mark ' || p_partkey || ' here.' when 1 then 'Other place.' end \"sentence\" from part")
+def footnote_pairs(spark, d):
+    """One note, numbered, unnumbered, or without any mark."""
+    k, n = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    marks = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Mark "), k, F.lit(" here\\footnotemark["), n, F.lit("]. Other place\\footnotemark.\n"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("Mark "), k, F.lit(" here. Other place\\footnotemark.\n"))).otherwise("% \\footnotemark\n")
+    text = F.concat(marks, F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("\\footnotetext["), n, F.lit("]{n"))).otherwise("\\footnotetext{n"), n, F.lit("}"))
+    return table(spark, d, "part").select("p_partkey", F.explode(tex.footnotes(text)).alias("x")).select("p_partkey", "x.*")
+
+
+@query("statement_divergence", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag = 'R' or (l_returnflag = 'A' and l_suppkey % 10 <> l_partkey % 10) differs from lineitem")
+def statement_divergence(spark, d):
+    """A claim of a gain against lines that state it in other dress, of another size, or turned round."""
+    n = lambda c: (F.col(c) % 10).cast("string")
+    claim = F.concat(F.lit("The model improves accuracy by "), n("l_partkey"), F.lit("%"))
+    said = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("The model reduces accuracy by "), n("l_partkey"), F.lit("\\%"))).when(F.col("l_returnflag") == "A", F.concat(F.lit("Model improves accuracy by "), n("l_suppkey"), F.lit(" percent"))).otherwise(F.concat(F.lit("The model \\emph{improves} accuracy by~$"), n("l_partkey"), F.lit("\\%$ \\cite{a}")))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", tex.diverges(claim, said).alias("differs"))
+
+
 @query("tex_author_leaks", "select p_partkey, 'Ann ' || p_partkey || ' Doe' leak from part where p_partkey % 3 = 0")
 def tex_author_leaks(spark, d):
     k = F.col("p_partkey")

@@ -58,6 +58,10 @@ def test_full_closure_is_breadth_first(spark, seed):
     df = spark.createDataFrame([(str(a), str(b)) for a, b in edges], "child string, parent string")
     assert {(int(r["start"]), int(r["ancestor"])): r["depth"] for r in graph.closure(df).collect()} == want
     some = spark.createDataFrame([("3",), ("100",)], "node string")
+    reached, looped = graph.reachable(df, some, 70)
+    assert {(int(r["start"]), int(r["ancestor"])) for r in reached.collect()} == {k for k in want if k[0] in (3, 100)}
+    loops = {n for a, b in edges for n in (a, b) if any(x == n or (x, n) in want for x in [b2 for a2, b2 in edges if a2 == n])}
+    assert {int(r["start"]) for r in looped.collect()} == {s for s in (3, 100) if s in loops or any((s, n) in want for n in loops)}
     assert {(int(r["start"]), int(r["ancestor"])): r["depth"] for r in graph.closure(df, some).collect()} == {k: v for k, v in want.items() if k[0] in (3, 100)}
 
 
