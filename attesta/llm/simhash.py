@@ -216,15 +216,25 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3, block: int =
 
 
 def representatives(near: DataFrame) -> DataFrame:
-    """near (doc_id, text_key, label) -> doc_id, text_key of each label's row of the least doc_id (nulls last, ties by text_key)."""
-    first = near.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("x"))
-    return first.select("x.doc_id", "x.text_key")
+    """near (doc_id, text_key, label) -> doc_id, text_key, times: each label's row of the least doc_id (nulls last, ties by
+    text_key), and how many rows are the same."""
+    same = near.groupBy("label", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("times"))
+    first = same.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "times")).alias("x"))
+    return first.select("x.doc_id", "x.text_key", "x.times")
 
 
 def rows_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """One row of docs for each of chosen (doc_id, text_key), where these have different texts."""
-    keep, keyed = chosen.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")), docs.withColumn("_key", F.expr(TEXT_KEY))
-    return keyed.join(keep, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi").dropDuplicates(["_key"]).drop("_key")
+    """One row of docs for each of chosen (doc_id, text_key, times), where these have different texts.
+
+    Only where rows repeat are whole rows exchanged to leave one of them.
+    """
+    keyed, chosen = docs.withColumn("_key", F.expr(TEXT_KEY)), written(chosen, "chosen")
+
+    def rows(which: DataFrame) -> DataFrame:
+        keep = which.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"))
+        return keyed.join(keep, F.col("_key").eqNullSafe(F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+
+    return rows(chosen.where("times = 1")).unionByName(rows(chosen.where("times > 1")).dropDuplicates(["_key"])).drop("_key")
 
 
 def one_of_each(docs: DataFrame, near: DataFrame) -> DataFrame:
