@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.llm import langid, mixing, pieces, secrets, shingles, simhash
-from attesta.store import new_path, table
+from attesta.store import cleaned, new_path, removed, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -67,10 +67,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again as the next one's input."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written as Parquet and read again as the next one's input.
+
+    What a stage wrote on its way is deleted when its result is there, and this when the next one's is.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with cleaned(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            removed(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
