@@ -35,10 +35,10 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 #: Types of pieces in the model file (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words kept with their ids; when full the cache starts anew, which changes no result.
-CACHED = 700_000
+#: Words kept with their ids, in two halves: when the newer is full the older is dropped, but for what is met again.
+CACHED = 400_000
 #: Words of one length that advance together.
-TOGETHER = 8192
+TOGETHER = 4096
 #: Words longer than LONG are cut: a chunk begins every STRIDE characters (a multiple of common periods, so that
 #: repeated patterns keep step) and ends OVERLAP behind the next one's beginning.
 LONG, STRIDE, OVERLAP = 1024, 720, 64
@@ -121,6 +121,7 @@ class Pieces:
         self.seen[self.keys >> np.uint64(44)] = True
         self.pair_keys, self.pair_fits = np.full(1 << PAIR_BITS, -1), np.zeros(1 << PAIR_BITS, bool)
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def __reduce__(self):
         return Pieces, (self.model,)
@@ -326,9 +327,14 @@ class Pieces:
                 split.append(_WORDS.findall(whole))
             else:
                 split.append([SPACE + w for w in whole[1:].split(SPACE)])
-        if len(self.words) > CACHED:
-            self.words.clear()
-        new = {w for words in split for w in words if w not in self.words}
+        if len(self.words) > CACHED // 2:
+            self.older, self.words = self.words, {}
+        new = []
+        for w in {w for words in split for w in words}.difference(self.words):
+            if (ids := self.older.get(w)) is not None:
+                self.words[w] = ids
+            else:
+                new.append(w)
         long = {w: b"" for w in new if len(w) > LONG and self.kind == BPE}
         self._learn([w for w in new if w not in long], self.words)
         get = self.words.__getitem__
@@ -366,7 +372,7 @@ def encode_documents(docs: DataFrame, model: Pieces) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in cut(batches, most=2 << 20):
+        for batch in cut(batches, most=1 << 20):
             texts = batch.column("text").to_pylist()
             encoded = m.encode_all(texts)
             decoded = [m.decode(x) for x in encoded]
