@@ -93,9 +93,9 @@ def layer_union(spark, d):
     return c.unionByName(table(spark, d, "supplier").select(F.lit("supplier").alias("layer"), F.col("s_nationkey").alias("key"))).distinct()
 
 
-@query("unreached_nodes", "select n_nationkey from nation where n_nationkey not in (select s_nationkey from supplier where s_suppkey <= 10)")
+@query("unreached_nodes", "select n_nationkey from nation where n_nationkey not in (select s_nationkey from supplier where s_acctbal > 5000)")
 def unreached_nodes(spark, d):
-    return table(spark, d, "nation").select("n_nationkey").join(table(spark, d, "supplier").where("s_suppkey <= 10"), F.col("n_nationkey") == F.col("s_nationkey"), "left_anti")
+    return table(spark, d, "nation").select("n_nationkey").join(table(spark, d, "supplier").where("s_acctbal > 5000"), F.col("n_nationkey") == F.col("s_nationkey"), "left_anti")
 
 
 @query("condition_conflicts", "select l_orderkey paper, l_returnflag \"name\", l_linestatus context, 'x' unit, count(distinct l_quantity) \"values\" from lineitem group by 1, 2, 3 having count(distinct l_quantity) > 1")
