@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attesta.llm import ann, crf, langid, mixing, pieces, rules, secrets, sharding, simhash, warc
+from attesta.llm import ann, audit, crf, langid, mixing, pieces, rules, secrets, sharding, simhash, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_langid": langid.op8_langid,
     "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
+    "op13_filter_audit": audit.op13_filter_audit,
 }
 ORACLES = {
     "op9_warc": warc.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op13_filter_audit": audit.ORACLE,
 }
