@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attesta.llm import ann, audit, crf, langid, mixing, pieces, rules, secrets, sharding, simhash, warc
+from attesta.llm import ann, audit, crf, langid, lexical, mixing, pieces, rules, secrets, sharding, simhash, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_langid": langid.op8_langid,
     "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
+    "op11_lexical_search": lexical.op11_lexical_search,
     "op13_filter_audit": audit.op13_filter_audit,
 }
 ORACLES = {
     "op9_warc": warc.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_lexical_search": lexical.ORACLE,
     "op13_filter_audit": audit.ORACLE,
 }
