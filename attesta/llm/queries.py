@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attesta.llm import ann, audit, crf, langid, lexical, mixing, pieces, rules, secrets, sharding, simhash, warc
+from attesta.llm import ann, audit, crf, langid, lexical, mixing, pieces, ppm, rules, secrets, sharding, simhash, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
     "op11_lexical_search": lexical.op11_lexical_search,
+    "op12_lm_scoring": ppm.op12_lm_scoring,
     "op13_filter_audit": audit.op13_filter_audit,
 }
 ORACLES = {
