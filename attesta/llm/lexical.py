@@ -103,6 +103,8 @@ class Scorer:
         self.scores, self.occupied = np.zeros(WINDOW, np.int64), np.zeros(WINDOW // 64, np.uint64)
 
     def window(self, row: dict) -> None:
+        if not row["terms"]:
+            return
         ids, lengths = row["ids"], np.frombuffer(row["lengths"], np.int64)
         slots, sizes = np.frombuffer(row["slots"], np.uint16).astype(np.int64), np.array(row["sizes"], np.int64)
         ends, kinds = np.cumsum(sizes), np.array(row["terms"], np.int64)
@@ -111,8 +113,8 @@ class Scorer:
         gains *= np.array([self.weights.get(t, 0) for t in kinds.tolist()], np.int64)[owner]
         # the bits that a term sets, word by word of the bitset
         words = slots >> 6
-        runs = np.flatnonzero(np.r_[True, (words[1:] != words[:-1]) | (owner[1:] != owner[:-1])]) if len(slots) else np.zeros(0, np.int64)
-        bits = np.bitwise_or.reduceat(np.uint64(1) << (slots & 63).astype(np.uint64), runs) if len(runs) else np.zeros(0, np.uint64)
+        runs = np.flatnonzero(np.r_[True, (words[1:] != words[:-1]) | (owner[1:] != owner[:-1])])
+        bits = np.bitwise_or.reduceat(np.uint64(1) << (slots & 63).astype(np.uint64), runs)
         words, last = words[runs], np.searchsorted(runs, ends)
         at = {t: (int(e - s), int(e), int(a), int(b)) for t, s, e, a, b in zip(kinds.tolist(), sizes, ends, np.r_[0, last[:-1]], last, strict=True)}
         for q, heap in zip(self.queries, self.heaps, strict=True):
@@ -129,7 +131,7 @@ class Scorer:
     def _harvest(self, heap: list[tuple[int, int, int]], ids: list[int | None]) -> None:
         """Move what is better than the heap's worst into it, and clear the window."""
         used = np.flatnonzero(self.occupied)
-        places = (used[:, None] * 64 + np.flatnonzero(np.unpackbits(np.full(8, 255, np.uint8)))).ravel()
+        places = (used[:, None] * 64 + np.arange(64)).ravel()
         places = places[np.unpackbits(self.occupied[used].view(np.uint8), bitorder="little").astype(bool)]
         got = self.scores[places]
         better = got >= heap[0][0] if len(heap) == self.most else got > 0
