@@ -159,6 +159,28 @@ def test_splitters_are_exact(spark, rows, shards):
         assert abs(below - total * (i + 1) / shards) == pytest.approx(best)
 
 
+def test_repeated_rows_are_sharded_evenly(spark):
+    """A quarter of the rows are one and the same: each shard is near the mean, and slots stay gapless."""
+    rows = spark.range(1800).select("id", F.repeat(F.lit("ab "), (F.col("id") % 9).cast("int")).alias("text")).union(spark.range(600).select(F.lit(7).cast("long"), F.lit("the same row over and over"))).toDF("doc_id", "text")
+    out = sharding.shard_documents(rows, 12, lanes=5).collect()
+    sizes = [sum(r["shard_size"] for r in out if r["shard"] == s) for s in range(12)]
+    assert len(out) == 2400 and max(abs(x - sum(sizes) / 12) for x in sizes) < 0.03 * sum(sizes) / 12
+    for s in range(12):
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(1, 100)), min_size=1, max_size=60), st.integers(2, 5))
+def test_splitters_between_rows_of_a_key(spark, rows, shards):
+    rows = [(k, s, (i * 0x9E3779B97F4A7C15) % 2**63) for i, (k, s) in enumerate(rows)]
+    bounds = sharding.find_splitters(spark.createDataFrame(rows, "key long, size long, row long"), shards, 0.0)
+    total, places = sum(s for _, s, _ in rows), [k << 63 | r for k, _, r in rows]
+    for i, b in enumerate(bounds):
+        below = lambda x: sum(s for (_, s, _), p in zip(rows, places, strict=True) if p < x)
+        best = min(abs(below(x) - total * (i + 1) / shards) for x in [*places, 2**126])
+        assert abs(below(b) - total * (i + 1) / shards) == pytest.approx(best)
+
+
 # 3
 
 
@@ -765,7 +787,7 @@ def test_mixing(spark):
         assert own[0]["target"] == pytest.approx(want[s]) and own[0]["source_size"] == sizes[s]
         assert abs(sum(r["taken"] for r in own) - want[s]) <= 40 and all(r["taken"] <= 2 * r["size"] for r in own)
         assert len({r["copies"] for r in own}) <= 2
-    back = mixing.repeated(df, mixing.mix(df))
+    back = mixing.mixed_documents(df)
     assert back.agg(F.sum(mixing.n_words(F.col("text")))).first()[0] == sum(r["taken"] for r in out)
     assert mixing.mix(awkward(spark)).count() == 11 and mixing.mix(empty(spark)).count() == 0
 
@@ -776,3 +798,19 @@ def test_quality_weights_favour(spark):
     out = mixing.mix(df, quality=q, share=0.5, most=2.0).collect()
     odd = sum(r["copies"] for r in out if r["doc_id"] % 2)
     assert odd > 3 * (sum(r["copies"] for r in out) - odd)
+
+
+def test_mixing_without_ids_and_with_repeated_rows(spark):
+    """A third of the ids null, a quarter of the rows one row: each source comes within a document of its target."""
+    rng = random.Random(5)
+    docs = [(i if i % 3 else None, "w " * rng.randint(1, 9), rng.choice("abc")) for i in range(3000)] + [(9999, "one row again and again", "b")] * 1000
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    for share in (1.5, 0.7, 0.31):
+        out = mixing.mix(df, share=share).collect()
+        assert len(out) == 4000 and Counter(map(tuple, out)) == Counter(map(tuple, mixing.mix(df.repartition(5), share=share).collect()))
+        for s in "abc":
+            own = [r for r in out if r["source"] == s]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 9
+    back = mixing.mixed_documents(df, share=0.31)
+    assert back.columns == df.columns and Counter(map(tuple, back.collect())) <= Counter({d: 2 * n for d, n in Counter(docs).items()})
+    assert back.agg(F.sum(mixing.n_words(F.col("text")))).first()[0] == sum(r["taken"] for r in out)
