@@ -45,8 +45,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents so that sources come to their target weights."""
-    docs = _documents(docs)
-    return _documents(mixing.repeated(docs, mixing.mix(docs, quality=mixing.label_weights(table(spark, sf_dir, "labels")))))
+    return _documents(mixing.mixed_documents(_documents(docs), quality=mixing.label_weights(table(spark, sf_dir, "labels"))))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
