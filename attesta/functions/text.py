@@ -60,18 +60,84 @@ def bare_doi(s: Column, form: str = "kernel") -> Column:
     return F.regexp_replace(t, ends, "") if ends else t
 
 
+#: Identifiers by kind: prefixes, then what must follow, and the address of one (fixed values).
+IDENTIFIERS = {
+    "doi": (r"https?://(?:dx\.)?doi\.org/|doi:", r"10\.\d{4,9}/\S+", "https://doi.org/", ""),
+    "arxiv": (r"https?://arxiv\.org/(?:abs|pdf)/|arxiv:", r"\d{4}\.\d{4,5}(?:v\d+)?|(?i:[a-z][a-z-]*(?:\.[a-z]{2})?/\d{7}(?:v\d+)?)", "https://arxiv.org/abs/", ""),
+    "pmid": (r"https?://pubmed\.ncbi\.nlm\.nih\.gov/|pmid:", r"\d{1,9}", "https://pubmed.ncbi.nlm.nih.gov/", "/"),
+    "openalex": (r"https://openalex\.org/", r"[WASTCPFI]\d+", "https://openalex.org/", ""),
+}
+
+
+def _stripped(s: Column, ends: str = r"\s") -> Column:
+    return F.regexp_replace(s, rf"(?U)^(?:{ends})+|(?:{ends})+$", "")
+
+
 def identifier(s: Column) -> Column:
-    """Struct of type and canonical value: doi, arxiv, pmid, openalex, orcid, isbn or unknown."""
-    t = F.trim(s)
-    doi = normal_doi(t)
-    arxiv = F.regexp_extract(t, r"(?i)^(?:https?://arxiv\.org/(?:abs|pdf)/|arxiv:\s*)?(\d{4}\.\d{4,5}|[a-z\-]+(?:\.[A-Z]{2})?/\d{7})(?:v\d+)?(?:\.pdf)?$", 1)
-    pmid = F.regexp_extract(t, r"(?i)^(?:https?://pubmed\.ncbi\.nlm\.nih\.gov/|pmid:\s*)(\d{1,8})/?$", 1)
-    openalex = F.upper(F.regexp_extract(t, r"(?i)^(?:https?://openalex\.org/)?(W\d{4,12})$", 1))
-    orcid = F.upper(F.regexp_extract(t, r"(?i)^(?:https?://orcid\.org/)?(\d{4}-\d{4}-\d{4}-\d{3}[\dX])$", 1))
-    isbn = F.regexp_replace(F.regexp_extract(t, r"(?i)^isbn:?\s*([\d\-]{10,17}[\dX]?)$", 1), "-", "")
-    kind = F.when(doi.isNotNull(), "doi").when(arxiv != "", "arxiv").when(pmid != "", "pmid").when(openalex != "", "openalex").when(orcid != "", "orcid").when(isbn != "", "isbn").otherwise("unknown")
-    value = F.when(doi.isNotNull(), doi).when(arxiv != "", F.lower(arxiv)).when(pmid != "", pmid).when(openalex != "", openalex).when(orcid != "", orcid).when(isbn != "", isbn)
-    return F.struct(kind.alias("type"), value.alias("value"))
+    """Struct of type, value and canonical address: doi, arxiv (its version kept), pmid, openalex or unknown.
+
+    With a kind's prefix only that kind will do; without one the whole text must have its form, arxiv before doi before
+    openalex before pmid. Null and empty texts are unknown.
+    """
+    t = _stripped(s)
+    low = F.lower(t)
+    values = {}
+    for kind, (prefix, body, _, _) in IDENTIFIERS.items():
+        has = low.rlike(f"^(?:{prefix})")
+        rest = _stripped(F.regexp_replace(t, f"(?i)^(?:{prefix})", ""))
+        if kind == "doi":
+            rest, bare = F.regexp_replace(F.lower(rest), r"\.+$", ""), low
+        elif kind == "arxiv":
+            pdf = low.rlike(r"^https?://arxiv\.org/pdf/")
+            rest, bare = _stripped(F.when(pdf, F.regexp_replace(F.lower(rest), r"\.pdf$", "")).otherwise(rest), "/"), t
+        else:
+            rest, bare = _stripped(rest, "/"), t
+        if kind == "openalex":
+            rest, bare = F.upper(rest), F.upper(t)
+        form = f"^(?:{body})$"
+        values[kind] = (has, F.when(rest.rlike(form), rest), F.when(bare.rlike(form), bare))
+    prefixed = F.when(F.lit(False), F.lit(None))
+    for kind, (has, value, _) in values.items():
+        prefixed = prefixed.when(has, F.when(value.isNotNull(), F.struct(F.lit(kind).alias("type"), value.alias("value"))))
+    for kind in ("arxiv", "doi", "openalex", "pmid"):
+        prefixed = prefixed.when(values[kind][2].isNotNull(), F.struct(F.lit(kind).alias("type"), values[kind][2].alias("value")))
+    kind, value = prefixed["type"], prefixed["value"]
+    address = F.lit(None)
+    for k, (_, _, start, end) in IDENTIFIERS.items():
+        address = F.when(kind == k, F.concat(F.lit(start), value, F.lit(end))).otherwise(address)
+    return F.struct(F.coalesce(kind, F.lit("unknown")).alias("type"), value.alias("value"), address.cast("string").alias("canonical"))
+
+
+#: What is taken off an identifier whose kind is given: patterns in order (fixed values).
+KINDS = {
+    "doi": (r"(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:\s*|doi\.org/)",),
+    "arxiv_id": (r"(?i)^https?://arxiv\.org/(?:abs|pdf)/", r"(?i)^arxiv:\s*", r"(?i)\.pdf$", r"(?i)v\d+$"),
+    "pmid": (r"\D",),
+    "pmcid": (r"(?i)^PMC\s*", r"\s"),
+    "openalex_id": (r"/+$", r"^.*/"),
+    "orcid": (r"(?i)^https?://orcid\.org/", r"[^0-9Xx]"),
+    "isbn": (r"[^0-9Xx]",),
+    "issn": (r"[^0-9Xx]",),
+    "handle": (r"(?i)^https?://(?:hdl\.)?handle\.net/",),
+    "url": (r"/+$",),
+}
+_UPPER_KINDS, _LOWER_KINDS = ("pmcid", "openalex_id", "orcid", "isbn", "issn"), ("doi", "arxiv_id")
+
+
+def normal_identifier(kind: Column, value: Column) -> Column:
+    """An identifier of a given kind in its one form; other kinds only without white space at their ends; null is empty."""
+    t = _stripped(F.coalesce(value, F.lit("")))
+    out = F.when(F.lit(False), F.lit(""))
+    for name, patterns in KINDS.items():
+        own = t
+        for pattern in patterns:
+            own = F.regexp_replace(own, pattern, "")
+        own = _stripped(own)
+        if name == "url":
+            parts = lambda k, own=own: F.regexp_extract(own, r"(?i)^(https?)://([^/]+)(.*)$", k)
+            own = F.when(parts(1) != "", F.concat(F.lower(parts(1)), F.lit("://"), F.lower(parts(2)), parts(3))).otherwise(own)
+        out = out.when(kind == name, F.upper(own) if name in _UPPER_KINDS else F.lower(own) if name in _LOWER_KINDS else own)
+    return out.otherwise(t)
 
 
 def arxiv_version(s: Column) -> Column:
@@ -144,8 +210,15 @@ def tex_unescape(s: Column) -> Column:
 
 
 def protect_acronyms(title: Column) -> Column:
-    """Words with two capitals or more in braces."""
-    return F.regexp_replace(title, r"\b([A-Za-z0-9]*[A-Z][A-Za-z0-9]*[A-Z][A-Za-z0-9]*)\b", "{$1}")
+    """Words of two letters or more, all capitals, in braces with their punctuation; words in braces already stay."""
+
+    def one(token: Column) -> Column:
+        core = F.regexp_replace(token, r"^[.,:;()\[\]]+|[.,:;()\[\]]+$", "")
+        braced = lambda c: c.rlike(r"(?s)^(?:\{.*\}|\\\{.*\\\})$")
+        capitals = (F.length(core) >= 2) & (F.upper(core) == core) & (F.lower(core) != core)
+        return F.when(capitals & ~braced(token) & ~braced(core), F.concat(F.lit("{"), token, F.lit("}"))).otherwise(token)
+
+    return F.array_join(F.transform(F.split(title, " "), one), " ")
 
 
 #: Number words (fixed values); tens take a unit after a hyphen or a space.

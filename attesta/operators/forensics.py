@@ -15,15 +15,16 @@ from attesta.functions import text as T
 EMAIL = r"[A-Za-z0-9._%+\-]+@(?!example\.)[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 ORCID = r"\b\d{4}-\d{4}-\d{4}-\d{3}[\dX]\b"
 HOME = r"(?:/home/|/Users/|[A-Za-z]:\\Users\\)[A-Za-z0-9._\-]+"
-REPOSITORY = r"https?://(?:www\.)?(?:github|gitlab|bitbucket|huggingface)\.(?:com|org|co)/[A-Za-z0-9_.\-]+(?:/[A-Za-z0-9_.\-]+)?"
-#: Hosts that hide their owner (fixed values).
-NEUTRAL = ("anonymous.4open.science", "osf.io/anonymous")
+#: Addresses of repositories (fixed values).
+REPOSITORY = r"(?i)(?:https?://|git@)?(?:www\.|raw\.|gist\.)?(?:github(?:usercontent)?\.com|gitlab\.com|bitbucket\.org|huggingface\.co)[:/][A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+"
+#: Addresses that hide their owner (fixed values).
+NEUTRAL = ("github.com/iclr/", "github.com/acl-org/", "github.com/neurips/", "github.com/anonymous/", "gitlab.com/anonymous/", "bitbucket.org/anonymous/", "huggingface.co/anonymous/")
 #: Words by which authors call a repository their own (fixed values).
 OWNED = (
     r"(?i)\b(?:our\s+(?:source\s+|anonymous\s+)?(?:code|repo|repository|implementation|package|project|library|artifact|data|dataset|benchmark|model|framework|system|tool|supplement|scripts?)\b"
     r"|we\s+(?:release|provide|open[- ]source|publish|host|maintain)\b"
     r"|(?:code|implementation|repository|artifact)\s+(?:is\s+)?(?:available|released|hosted)\b"
-    r"|source\s+code\s*[:=])[^.]{0,80}$"
+    r"|source\s+code\s*[:=])"
 )
 
 
@@ -54,14 +55,24 @@ def leaks(rows: DataFrame, key: str, tokens: tuple[str, ...] = ()) -> DataFrame:
     return rows.where(maybe).select(key, "line", F.explode(found).alias("f")).select(key, "line", "f.*")
 
 
-def repository_urls(rows: DataFrame, key: str) -> DataFrame:
-    """Repository links: error where the words before claim ownership, else a warning; neutral hosts left out."""
-    before = F.regexp_extract("body", r"^(.*?)" + REPOSITORY, 1)
-    url = F.regexp_extract("body", REPOSITORY, 0)
-    hit = rows.withColumn("url", url).where("url <> ''")
-    for n in NEUTRAL:
-        hit = hit.where(~F.col("url").contains(n))
-    return hit.select(key, "line", "url", F.when(before.rlike(OWNED), "error").otherwise("warning").alias("severity"))
+def repository_urls(rows: DataFrame, key: str, tokens: tuple[str, ...] = ()) -> DataFrame:
+    """rows (key, line, body) -> key, line, url, severity of every repository address of a line: error where its sentence claims it
+    or it holds a forbidden token, else a warning; neutral addresses without such a token are left out.
+
+    A sentence ends at . ! ? or ; before a blank or the end, outside addresses. Null bodies have none.
+    """
+    mark = "\ue000"  # stands for an address while sentences are found
+    plain = F.regexp_replace("body", REPOSITORY, mark)
+    found = rows.where(F.col("body").rlike(REPOSITORY)).select(key, "line", plain.alias("_plain"), F.posexplode(F.regexp_extract_all("body", F.lit(REPOSITORY), F.lit(0))).alias("_n", "_url"))
+    before = F.expr(f"substring_index(_plain, '{mark}', _n + 1)")
+    after = F.substring(F.col("_plain"), F.length(before) + 2, F.length("_plain"))
+    sentence = F.concat(F.regexp_replace(before, r"(?s)^.*[.!?;](?=\s)", ""), F.lit(mark), F.regexp_extract(after, r"(?s)^.*?(?:[.!?;](?=\s|$)|$)", 0))
+    # what only ends the sentence is no part of the address
+    url = F.when(F.lower("_url").endswith(".git"), F.col("_url")).otherwise(F.regexp_replace("_url", r"[.,;:!?)>\]}]+$", ""))
+    found = found.select(key, "line", url.alias("url"), sentence.alias("_sentence"))
+    named = reduce(Column.__or__, [F.col("url").rlike(forbidden_pattern(t)) for t in tokens], F.lit(False))
+    neutral = reduce(Column.__or__, [F.contains(F.lower("url"), F.lit(n)) for n in NEUTRAL])
+    return found.where(named | ~neutral).select(key, "line", "url", F.when(named | F.col("_sentence").rlike(OWNED), "error").otherwise("warning").alias("severity"))
 
 
 def redacted(match: Column) -> Column:

@@ -83,36 +83,6 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, max_rounds: int =
     raise RuntimeError(f"closure: not finished after {max_rounds} rounds")
 
 
-def peeled(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(node, level): level is the longest distance to a root; nodes on or below a cycle have none.
-
-    Kahn's rounds: a round takes the nodes all of whose parents are taken.
-    """
-    left = written(edges.where("child is not null and parent is not null").select("child", "parent").distinct(), "peel")
-    nodes = left.select(F.col("child").alias("node")).unionByName(left.select("parent").withColumnRenamed("parent", "node")).distinct()
-    front = written(nodes.join(left.select(F.col("child").alias("node")), "node", "left_anti"), "peel")
-    out = [front.withColumn("level", F.lit(0))]
-    for level in range(1, max_rounds + 1):
-        if front.isEmpty():
-            found = out[0]
-            for o in out[1:]:
-                found = found.unionByName(o)
-            return nodes.join(found, "node", "left")
-        freed = left.join(front, left["parent"] == front["node"], "left_semi").select("child").distinct()
-        left = written(left.join(front, left["parent"] == front["node"], "left_anti"), "peel")
-        front = written(freed.select(F.col("child").alias("node")).join(left.select(F.col("child").alias("node")), "node", "left_anti"), "peel")
-        out.append(front.withColumn("level", F.lit(level)))
-    raise RuntimeError(f"peel: not finished after {max_rounds} rounds")
-
-
-def cyclic(edges: DataFrame) -> DataFrame:
-    """Nodes on a cycle or on a path between cycles: what is left when peeled from both ends."""
-    core = peeled(edges).where("level is null").select("node")
-    inner = edges.join(core.withColumnRenamed("node", "child"), "child", "left_semi").join(core.withColumnRenamed("node", "parent"), "parent", "left_semi")
-    mirrored = inner.select(F.col("parent").alias("child"), F.col("child").alias("parent"))
-    return peeled(mirrored).where("level is null").select("node")
-
-
 def roots(reached: DataFrame, edges: DataFrame) -> DataFrame:
     """Of each start's ancestors those without a parent."""
     return reached.join(edges.select(F.col("child").alias("ancestor")).distinct(), "ancestor", "left_anti").select("start", "ancestor")

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from attesta.functions.tex import diverges, mask_tex, tex_authors
 from attesta.operators import forensics as Q
-from attesta.operators.graph import closure, cyclic
+from attesta.operators.graph import closure
+from attesta.operators.lineage import cyclic
 
 #: All codes a bundle may get (fixed values).
 CODES = (

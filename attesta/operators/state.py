@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.operators.graph import cyclic
+from attesta.operators.lineage import cyclic
 from attesta.store import written
 
 

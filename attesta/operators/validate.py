@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions.text import nfc_compact
-from attesta.operators.graph import closure, cyclic, reachable
+from attesta.operators.graph import closure, reachable
+from attesta.operators.lineage import cyclic
 from attesta.store import written
 
 _GAP = "\x1f"

@@ -28,19 +28,49 @@ def title_jaccard(spark, d):
     return w.join(other, "doc_id").select("doc_id", F.round(T.jaccard(F.col("w"), F.col("v")), 6).alias("jaccard"), F.round(T.coverage(F.col("w"), F.col("v")), 6).alias("coverage"))
 
 
-_RAW = "case o_orderkey % 8 when 0 then 'https://doi.org/10.1234/AbC.' || o_orderkey || '.' when 1 then 'doi: 10.5555/x' || o_orderkey when 2 then 'arXiv:2101.' || lpad((o_orderkey % 100000)::varchar, 5, '0') || 'v2' when 3 then 'PMID: ' || (o_orderkey % 10000000) when 4 then 'https://openalex.org/w' || (o_orderkey + 1000) when 5 then '0000-0002-1825-0097' when 6 then 'ISBN 978-3-16-148410-0' else 'not an id ' || o_orderkey end"
+#: Texts of every grammar, right and wrong, by the rest of the key by 26; both engines read this.
+_RAW = "case o_orderkey % 26 " + " ".join(f"when {i} then {x}" for i, x in enumerate((
+    "'https://doi.org/10.1234/AbC.' || o_orderkey || '.'", "'doi: 10.5555/x' || o_orderkey", "'arXiv:2101.' || lpad(cast(o_orderkey % 100000 as varchar(9)), 5, '0') || 'v' || (1 + o_orderkey % 4)", "'PMID: ' || o_orderkey",
+    "'https://openalex.org/w' || o_orderkey", "'W' || o_orderkey", "'https://openalex.org/A' || o_orderkey || '/'", "'  ' || o_orderkey || ' '", "'hep-th/' || lpad(cast(o_orderkey as varchar(9)), 7, '0')",
+    "'math.GT/' || lpad(cast(o_orderkey as varchar(9)), 7, '0') || 'v2'", "'https://arxiv.org/pdf/2101.' || lpad(cast(o_orderkey % 100000 as varchar(9)), 5, '0') || 'V2.PDF'", "'http://arxiv.org/abs/0704.' || lpad(cast(o_orderkey % 10000 as varchar(9)), 4, '0')",
+    "'10.1000/Q' || o_orderkey || '.'", "'doi:11.1000/' || o_orderkey", "'http://dx.doi.org/10.123/' || o_orderkey", "'https://pubmed.ncbi.nlm.nih.gov/' || o_orderkey || '/'", "'PMID:123456789' || o_orderkey", "'X' || o_orderkey",
+    "'0000-0002-1825-0097'", "cast(null as varchar(9))", "''", "'arxiv:' || o_orderkey", "'pmid:12a'", "'t' || o_orderkey", "'DOI:10.1000/' || o_orderkey || '...'", "'arxiv.org/abs/2101.00001'",
+))) + " end"
+
+
+@query("identifier_normalize", rf"""
+with r as (select o_orderkey id, trim(coalesce({_RAW}, '')) t from orders), l as (select *, lower(t) w from r),
+p as (select *, case when regexp_matches(w, '^(https?://(dx\.)?doi\.org/|doi:)') then 'doi' when regexp_matches(w, '^(https?://arxiv\.org/(abs|pdf)/|arxiv:)') then 'arxiv' when regexp_matches(w, '^(https?://pubmed\.ncbi\.nlm\.nih\.gov/|pmid:)') then 'pmid' when starts_with(w, 'https://openalex.org/') then 'openalex' end pre from l),
+c as (select *, case pre when 'doi' then rtrim(trim(regexp_replace(w, '^(https?://(dx\.)?doi\.org/|doi:)', '')), '.') when 'arxiv' then trim(trim(case when w like '%arxiv.org/pdf/%' then regexp_replace(split_part(w, '/pdf/', 2), '\.pdf$', '') else regexp_replace(t, '(?i)^(https?://arxiv\.org/abs/|arxiv:)', '') end), '/')
+  when 'pmid' then trim(trim(regexp_replace(w, '^(https?://pubmed\.ncbi\.nlm\.nih\.gov/|pmid:)', '')), '/') when 'openalex' then upper(trim(trim(substr(t, 22)), '/')) end v from p),
+k as (select *, case when pre is not null then pre when regexp_matches(t, '^\d{{4}}\.\d{{4,5}}(v\d+)?$') or regexp_matches(w, '^[a-z][a-z-]*(\.[a-z]{{2}})?/\d{{7}}(v\d+)?$') then 'arxiv' when regexp_matches(w, '^10\.\d{{4,9}}/\S+$') then 'doi' when regexp_matches(upper(t), '^[WASTCPFI]\d+$') then 'openalex' when regexp_matches(t, '^\d{{1,9}}$') then 'pmid' end kind from c),
+x as (select id, kind, case when pre is null then case kind when 'doi' then w when 'openalex' then upper(t) else t end else v end value from k),
+y as (select id, case when kind = 'doi' and regexp_matches(value, '^10\.\d{{4,9}}/\S+$') or kind = 'arxiv' and (regexp_matches(value, '^\d{{4}}\.\d{{4,5}}(v\d+)?$') or regexp_matches(lower(value), '^[a-z][a-z-]*(\.[a-z]{{2}})?/\d{{7}}(v\d+)?$')) or kind = 'pmid' and regexp_matches(value, '^\d{{1,9}}$') or kind = 'openalex' and regexp_matches(value, '^[WASTCPFI]\d+$') then kind end kind, value from x)
+select id, coalesce(kind, 'unknown') "type", case when kind is not null then value end "value", case kind when 'doi' then 'https://doi.org/' || value when 'arxiv' then 'https://arxiv.org/abs/' || value when 'pmid' then 'https://pubmed.ncbi.nlm.nih.gov/' || value || '/' when 'openalex' then 'https://openalex.org/' || value end canonical from y""")
+def identifier_normalize(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), T.identifier(F.expr(_RAW)).alias("x")).select("id", "x.*")
 
 
-@query("identifier_normalize", "select o_orderkey id, ['doi', 'doi', 'arxiv', 'pmid', 'openalex', 'orcid', 'isbn', 'unknown'][(o_orderkey % 8 + 1)::int] \"type\", case o_orderkey % 8 when 0 then '10.1234/abc.' || o_orderkey when 1 then '10.5555/x' || o_orderkey when 2 then '2101.' || lpad((o_orderkey % 100000)::varchar, 5, '0') when 3 then (o_orderkey % 10000000)::varchar when 4 then 'W' || (o_orderkey + 1000) when 5 then '0000-0002-1825-0097' when 6 then '9783161484100' end \"value\" from orders")
-def identifier_normalize(spark, d):
-    raw = F.expr(_RAW.replace("::varchar", "").replace("lpad((o_orderkey % 100000),", "lpad(cast(o_orderkey % 100000 as string),"))
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), T.identifier(raw).alias("x")).select("id", "x.*")
+_KIND = "['doi', 'arxiv_id', 'pmid', 'pmcid', 'openalex_id', 'orcid', 'isbn', 'issn', 'handle', 'url', 'other']"
+_KINDED = "case o_orderkey % 11 " + " ".join(f"when {i} then {x}" for i, x in enumerate((
+    "'DOI: 10.1000/Q' || o_orderkey", "'https://arxiv.org/pdf/2101.12345V' || o_orderkey || '.pdf'", "'PMID ' || o_orderkey || ' (x)'", "'pmc ' || o_orderkey || 'a'", "'https://openalex.org/w' || o_orderkey || '/'", "'https://ORCID.org/0000-0002-' || o_orderkey || '-009x'",
+    "'ISBN 978-' || o_orderkey || '-X'", "'1234-567x'", "'http://hdl.handle.net/20.500/' || o_orderkey", "'HTTPS://Example.ORG/Path' || o_orderkey || '//'", "'  Left as it is ' || o_orderkey || ' '",
+))) + " end"
+
 
+@query("identifier_by_kind", rf"""
+with r as (select o_orderkey id, {_KIND}[(o_orderkey % 11 + 1)::int] kind, trim({_KINDED}) t from orders)
+select id, kind, case kind when 'doi' then lower(trim(regexp_replace(t, '(?i)^(https?://(dx\.)?doi\.org/|doi:\s*|doi\.org/)', ''))) when 'arxiv_id' then lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?i)^https?://arxiv\.org/(abs|pdf)/', ''), '(?i)^arxiv:\s*', ''), '(?i)\.pdf$', ''), '(?i)v\d+$', ''))
+  when 'pmid' then regexp_replace(t, '\D', '', 'g') when 'pmcid' then upper(regexp_replace(regexp_replace(t, '(?i)^PMC\s*', ''), '\s', '', 'g')) when 'openalex_id' then upper(regexp_extract(rtrim(t, '/'), '[^/]*$')) when 'orcid' then upper(regexp_replace(regexp_replace(t, '(?i)^https?://orcid\.org/', ''), '[^0-9Xx]', '', 'g'))
+  when 'isbn' then upper(regexp_replace(t, '[^0-9Xx]', '', 'g')) when 'issn' then upper(regexp_replace(t, '[^0-9Xx]', '', 'g')) when 'handle' then trim(regexp_replace(t, '(?i)^https?://(hdl\.)?handle\.net/', '')) when 'url' then lower(regexp_extract(t, '^[^:]+://[^/]+')) || substr(rtrim(t, '/'), length(regexp_extract(t, '^[^:]+://[^/]+')) + 1) else t end "value" from r""")
+def identifier_by_kind(spark, d):
+    kind = F.element_at(F.array(*[F.lit(k) for k in (*T.KINDS, "other")]), (F.col("o_orderkey") % 11 + 1).cast("int"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), kind.alias("kind"), T.normal_identifier(kind, F.expr(_KINDED)).alias("value"))
 
-@query("arxiv_versions", "select o_orderkey id, case when o_orderkey % 8 = 2 then 2 end::int version from orders")
+
+@query("arxiv_versions", f"select o_orderkey id, regexp_extract(lower({_RAW}), '(\\d{{4}}\\.\\d{{4,5}}|/\\d{{7}})v(\\d+)', 2) v, try_cast(nullif(v, '') as int) version from orders".replace("select o_orderkey id, ", "select id, version from (select o_orderkey id, ") + ")")
 def arxiv_versions(spark, d):
-    raw = F.expr(_RAW.replace("::varchar", "").replace("lpad((o_orderkey % 100000),", "lpad(cast(o_orderkey % 100000 as string),"))
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), T.arxiv_version(raw).alias("version"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), T.arxiv_version(F.expr(_RAW)).alias("version"))
 
 
 @query("doi_extraction", "select o_orderkey id, '10.1000/a' || o_orderkey || '|10.2000/b' dois from orders")
@@ -78,9 +108,17 @@ def tex_escape(spark, d):
     return table(spark, d, "part").select("p_partkey", T.tex_escape(s).alias("escaped"), T.tex_unescape(T.tex_escape(s)).alias("back"))
 
 
-@query("acronym_protection", "select p_partkey, 'The {BERT} of {GPT2} and Part ' || p_partkey title from part")
+_SHOUTED = "regexp_replace(text, '\\n', ' ', 'g') || ' GPT-4, mRNA LLMs {BERT} {NASA}. (ÄÖ) A B2B ' || upper(lang)"
+
+
+@query("acronym_protection", rf"""
+with t as (select doc_id, unnest(string_split({_SHOUTED.replace("\\\\n", "\\n")}, ' ')) w, generate_subscripts(string_split({_SHOUTED.replace("\\\\n", "\\n")}, ' '), 1) i from documents),
+c as (select *, trim(w, '.,:;()[]') k from t)
+select doc_id, string_agg(case when length(k) >= 2 and upper(k) = k and lower(k) <> k and not (w like '{{%}}' or k like '{{%}}' or w like '\{{%\}}' or k like '\{{%\}}') then '{{' || w || '}}' else w end, ' ' order by i) title from c group by doc_id""")
 def acronym_protection(spark, d):
-    return table(spark, d, "part").select("p_partkey", T.protect_acronyms(F.concat(F.lit("The BERT of GPT2 and Part "), F.col("p_partkey").cast("string"))).alias("title"))
+    """The whole texts as titles, with words of every kind after them."""
+    text = F.concat(F.regexp_replace("text", "\n", " "), F.lit(" GPT-4, mRNA LLMs {BERT} {NASA}. (ÄÖ) A B2B "), F.upper("lang"))
+    return table(spark, d, "documents").select("doc_id", T.protect_acronyms(text).alias("title"))
 
 
 @query("number_literals", "with v(i, value) as (values (0, 1234.5), (1, 3.0), (2, null), (3, 0.01), (4, 20.0), (5, 42.0), (6, 91.0), (7, 1200345.0), (8, null), (9, 0.5)), u(i, unit) as (values (0, 'pp'), (1, 'ms'), (2, '%'), (3, 'us'), (4, 'x'), (5, 'parsec')) select p_partkey, value::double \"value\", unit from part join v on v.i = p_partkey % 10 join u on u.i = p_partkey % 6")
@@ -280,18 +318,6 @@ def lineage_roots(spark, d):
     return G.roots(G.closure(e), e)
 
 
-@query("lineage_depth", "with recursive e as (select 't-' || conv_id || '-' || turn child, 't-' || conv_id || '-' || (turn - 1) parent from conversations where turn > 0), a as (select distinct parent node, 0 lv from e where parent not in (select child from e) union select child, lv + 1 from a join e on node = parent) select node, max(lv)::int as \"level\" from a group by 1")
-def lineage_depth(spark, d):
-    return G.peeled(lineage(spark, d).where("child like 't-%'"))
-
-
-@query("cycle_members", "with recursive e as (select p_partkey child, (p_partkey * p_partkey + 1) % 199 parent from part), a as (select child s, parent cur from e union select s, parent from a join e on cur = child) select distinct s node from a where s = cur")
-def cycle_members(spark, d):
-    """Every part points to the rest of its square plus one by a prime."""
-    k = F.col("p_partkey")
-    return G.cyclic(table(spark, d, "part").select(k.alias("child"), ((k * k + 1) % 199).alias("parent")))
-
-
 @query("ring_pairing", "select n_regionkey, n_nationkey, coalesce(lead(n_nationkey) over (partition by n_regionkey order by n_nationkey), min(n_nationkey) over (partition by n_regionkey)) reviews from nation")
 def ring_pairing(spark, d):
     return G.ring(table(spark, d, "nation").select("n_regionkey", "n_nationkey"), ["n_regionkey"], "n_nationkey")

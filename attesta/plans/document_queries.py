@@ -44,10 +44,17 @@ def redacted_leaks(spark, d):
     return Q.leaks(doc_lines(spark, d), "doc_id").select("doc_id", "line", Q.redacted(F.col("match")).alias("match"))
 
 
-@query("repository_links", "select o_orderkey id, 1::int line, 'https://github.com/o' || o_custkey || '/r' url, case when o_orderkey % 3 = 0 then 'error' else 'warning' end severity from orders where o_orderkey % 3 < 2")
+#: Lines about repositories, and what each gives: addresses in order, with an E for those the authors claim.
+_LINKS = [
+    ("Our code is at https://github.com/o{k}/r.", ["Ehttps://github.com/o{k}/r"]), ("See https://github.com/a{k}/b and our code is at https://gitlab.com/me/m{k}, too", ["Ehttps://github.com/a{k}/b", "Ehttps://gitlab.com/me/m{k}"]),
+    ("See https://github.com/a{k}/b for more. We release ours: git@github.com:me/m{k}.git; thanks", ["Whttps://github.com/a{k}/b", "Egit@github.com:me/m{k}.git"]), ("Anonymous at https://github.com/anonymous/x{k}, nothing else", []),
+    ("Baselines: huggingface.co/x/y{k}) and raw.githubusercontent.com/q/z{k}!", ["Whuggingface.co/x/y{k}", "Wraw.githubusercontent.com/q/z{k}"]), ("Source code: www.bitbucket.org/me/r{k}? It runs. Other: https://github.com/o/p{k}", ["Ewww.bitbucket.org/me/r{k}", "Whttps://github.com/o/p{k}"]), ("No link {k} here", []),
+]
+
+
+@query("repository_links", "select o_orderkey id, 1::int line, substr(x, 2) url, case when x[1] = 'E' then 'error' else 'warning' end severity from (select o_orderkey, unnest(case o_orderkey % 7 " + " ".join("when {} then [{}]".format(i, ", ".join("'" + u.replace("{k}", "' || o_custkey || '") + "'" for u in urls)) for i, (_, urls) in enumerate(_LINKS) if urls) + " end) x from orders where o_orderkey % 7 not in (3, 6)) t")
 def repository_links(spark, d):
-    k = F.col("o_orderkey") % 3
-    body = F.concat(F.when(k == 0, "Our code is at ").when(k == 1, "See ").otherwise("Data at "), F.when(k < 2, F.concat(F.lit("https://github.com/o"), F.col("o_custkey").cast("string"), F.lit("/r "))).otherwise("https://anonymous.4open.science/r/x"))
+    body = F.element_at(F.array(*[F.replace(F.lit(t), F.lit("{k}"), F.col("o_custkey").cast("string")) for t, _ in _LINKS]), (F.col("o_orderkey") % 7 + 1).cast("int"))
     return Q.repository_urls(Q.lines(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), body.alias("t")), "id", "t"), "id")
 
 

@@ -10,9 +10,9 @@ from attesta.plans.statistics_queries import _ST, r6, studies
 from attesta.store import table
 
 
-@query("claim_graph_export", "with e as (select l_partkey claim, l_orderkey a, l_linenumber l, case when l_tax > 0.06 then 'contradicts' when l_tax > 0.03 then 'supports' else 'qualifies' end st, 'ev-' || left(sha256(l_partkey || chr(31) || l_orderkey || chr(31) || l_linenumber), 16) id from lineitem where l_quantity > 40), g as (select claim, array_to_string(list_sort(list_distinct(list(id) filter (st = 'supports'))), ',') s, array_to_string(list_sort(list_distinct(list(id) filter (st = 'contradicts'))), ',') c, count(*) filter (st = 'qualifies') u from e group by 1) select p_partkey claim, p_brand status, coalesce(s, '') supported_by, coalesce(c, '') contradicted_by, coalesce(u, 0) uncertain from part left join g on claim = p_partkey")
+@query("claim_graph_export", "with e as (select l_partkey claim, l_orderkey a, l_linenumber l, case when l_tax > 0.06 then 'contradicts' when l_tax > 0.03 then 'supports' else 'qualifies' end st, 'ev-' || left(sha256(l_partkey || chr(31) || l_orderkey || chr(31) || l_linenumber), 16) id from lineitem), g as (select claim, array_to_string(list_sort(list_distinct(list(id) filter (st = 'supports'))), ',') s, array_to_string(list_sort(list_distinct(list(id) filter (st = 'contradicts'))), ',') c, count(*) filter (st = 'qualifies') u from e group by 1) select p_partkey claim, p_brand status, coalesce(s, '') supported_by, coalesce(c, '') contradicted_by, coalesce(u, 0) uncertain from part left join g on claim = p_partkey")
 def claim_graph_export(spark, d):
-    e = table(spark, d, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("claim"), F.col("l_orderkey").alias("artifact"), F.col("l_linenumber").alias("locator"), F.when(F.col("l_tax") > 0.06, "contradicts").when(F.col("l_tax") > 0.03, "supports").otherwise("qualifies").alias("stance"))
+    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("claim"), F.col("l_orderkey").alias("artifact"), F.col("l_linenumber").alias("locator"), F.when(F.col("l_tax") > 0.06, "contradicts").when(F.col("l_tax") > 0.03, "supports").otherwise("qualifies").alias("stance"))
     return ledger.export_graph(table(spark, d, "part").select(F.col("p_partkey").alias("claim"), F.col("p_brand").alias("status")), e)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import special
 from attesta.functions import text as T
-from attesta.operators import cohort, corpus, deliberate, graph, meta, recompute
+from attesta.operators import cohort, corpus, deliberate, graph, lineage, meta, recompute
 from attesta.operators.components import connected_components
 from attesta.sources import documents as docs
 from attesta.streaming import watch
@@ -78,9 +78,9 @@ def test_diamonds_and_cycles(spark):
     edges = [(f"{i}{a}", f"{i - 1}{b}") for i in range(1, 26) for a in "xy" for b in "xy"]
     e = spark.createDataFrame(edges, "child string, parent string")
     assert graph.closure(e, spark.createDataFrame([("25x",)], "node string")).count() == 50
-    assert graph.peeled(e).agg(F.max("level")).first()[0] == 25
+    assert lineage.levels(e).agg(F.max("level")).first()[0] == 25
     loop = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("z", "a")], "child string, parent string")
-    assert {r[0] for r in graph.cyclic(loop).collect()} == {"a", "b", "c"}
+    assert {r[0] for r in lineage.cyclic(loop).collect()} == {"a", "b", "c"}
 
 
 def test_components_of_a_chain(spark):
@@ -130,7 +130,7 @@ def test_deduplicate_is_first_come(spark):
 
 
 def test_identifiers(spark):
-    cases = {"https://doi.org/10.1234/AB.": ("doi", "10.1234/ab"), "arXiv:2101.00001v3": ("arxiv", "2101.00001"), "PMID: 77": ("pmid", "77"), "nothing": ("unknown", None)}
+    cases = {"https://doi.org/10.1234/AB.": ("doi", "10.1234/ab"), "arXiv:2101.00001v3": ("arxiv", "2101.00001v3"), "PMID: 77": ("pmid", "77"), "nothing": ("unknown", None), "W123": ("openalex", "W123"), "https://openalex.org/A5023888391": ("openalex", "A5023888391"), "PMID:123456789": ("pmid", "123456789"), "123456": ("pmid", "123456"), "doi:10.1/x": ("unknown", None), None: ("unknown", None)}
     d = spark.createDataFrame([(k,) for k in cases], "s string").select("s", T.identifier(F.col("s")).alias("i")).collect()
     assert all((r["i"]["type"], r["i"]["value"]) == cases[r["s"]] for r in d)
 
