@@ -156,21 +156,39 @@ OBS = "watcher string, item_key string, seq long, arrival long, status string, s
 def test_watch_rules():
     s = watch.blank()
     assert watch.step(s, observation(1, "not_retracted", ["a"])) == ("applied", True)
-    assert watch.step(s, observation(1, "not_retracted", ["a"])) == ("replayed", False)
-    assert watch.step(s, observation(1, "retracted")) == ("conflict", False)
     assert watch.step(s, observation(5, "unknown")) == ("applied", False) and s["current"] == "unknown" and s["confirmed"] == "not_retracted"
     assert watch.step(s, observation(3, "retracted", ["b"])) == ("applied", True) and s["current"] == "unknown" and s["confirmed"] == "retracted" and s["signals"] == ["a", "b"]
     assert watch.step(s, observation(2, "not_retracted"))[0] == "stale_ignored" and watch.step(s, observation(4, "unknown"))[0] == "stale_ignored"
     assert s["applied"] == 5 and s["version"] == 2
 
 
-def test_watch_state_is_bounded(spark, tmp_path):
-    """Old numbers are forgotten: a replay of one is stale; the outbox takes each change once, whatever comes twice."""
-    s = watch.blank()
-    for i in range(5 * watch.KEPT):
-        watch.step(s, observation(i, "not_retracted"))
-    assert len(s["commits"]) <= 2 * watch.KEPT and watch.step(s, observation(5 * watch.KEPT - 1, "not_retracted"))[0] == "replayed"
-    assert watch.step(s, observation(1, "not_retracted"))[0] == "stale_ignored" and watch.step(s, observation(2, "retracted"))[0] == "stale_ignored"
+def by_hand(rows):
+    """Requests served one after the other: outcomes by arrival, and the state of each key."""
+    states, commits, boxes, out = {}, {}, {}, {}
+    for r in sorted(rows, key=lambda r: r["arrival"]):
+        k = r["item_key"]
+        s, seen, box = states.setdefault(k, watch.blank()), commits.setdefault(k, {}), boxes.setdefault(k, [])
+        if r.get("op", "commit") == "reserve":
+            s["reserved"] += 1
+            out[r["arrival"]] = [("reserved", s["reserved"], s["version"])]
+        elif r.get("op") == "drain":
+            out[r["arrival"]] = [("delta", q, v) for q, v in box]
+            box.clear()
+        else:
+            what = (r["status"], tuple(sorted(set(r["signals"]))), r["signals_complete"], r["truncated"], r["error"])
+            if r["seq"] in seen:
+                outcome = "replayed" if seen[r["seq"]] == what else "conflict"
+                s["replays" if outcome == "replayed" else "conflicts"] += 1
+            else:
+                seen[r["seq"]] = what
+                outcome, changed = watch.step(s, r)
+                if changed:
+                    box.append((r["seq"], s["version"]))
+            out[r["arrival"]] = [(outcome, r["seq"], s["version"])]
+    return out, states
+
+
+def test_outbox_takes_each_change_once(spark, tmp_path):
     rows = [("w", f"k{i}", True, v) for i in range(20) for v in (1, 2)]
     out = spark.createDataFrame(rows + [("w", "no", False, 1)], "watcher string, item_key string, changed boolean, version long")
     for part in (out.where("version = 1"), out, out):
@@ -178,20 +196,41 @@ def test_watch_state_is_bounded(spark, tmp_path):
     assert sorted((r["item_key"], r["version"]) for r in spark.read.parquet(str(tmp_path / "outbox")).collect()) == sorted((k, v) for _, k, _, v in rows)
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rng = random.Random(2)
-    rows = [observation(i, rng.choice(["retracted", "not_retracted", "unknown"]), rng.sample("abc", 2), rng.random() < 0.5) | {"item_key": rng.choice("kl")} for i in range(40)]
-    rng.shuffle(rows)
-    for arrival, r in enumerate(rows):
-        r["arrival"] = arrival
-    batch = {r["item_key"]: (r["current_status"], r["confirmed"], r["version"]) for r in watch.fold(spark.createDataFrame(rows, OBS)).collect()}
-    for i in range(0, 40, 10):
-        spark.createDataFrame(rows[i : i + 10], OBS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    out = watch.stream(spark.readStream.schema(OBS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
-    q = out.writeStream.format("memory").queryName("watched").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {k: tuple(spark.sql(f"select current_status, confirmed, version from watched where item_key = '{k}' order by version desc, seq desc limit 1").first())[2] for k in batch}
-    assert got == {k: v[2] for k, v in batch.items()} and spark.sql("select count(*) from watched").first()[0] == 40
+def requests(rng, n):
+    """Commits with replays and conflicts of numbers of any age, reservations and drains."""
+    rows = []
+    for arrival in range(n):
+        r = observation(rng.randrange(n // 2), rng.choice(["retracted", "not_retracted", "unknown"]), rng.sample("abc", rng.randrange(3)), rng.random() < 0.5, arrival) | {"item_key": rng.choice("kl"), "op": rng.choice(["commit"] * 6 + ["reserve", "drain"])}
+        before = [x for x in rows if x["item_key"] == r["item_key"] and x["op"] == "commit"]
+        if before and rng.random() < 0.3:
+            r = rng.choice(before) | {"arrival": arrival}
+        rows.append(r if r["op"] == "commit" else r | {"seq": None})
+    return rows
+
+
+def test_stream_serves_as_one_by_one_and_restarts(spark, tmp_path):
+    rows = requests(random.Random(2), 60)
+    schema = OBS + ", op string"
+    want, _ = by_hand(rows)
+    source = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for part in (rows[:20], rows[20:40], rows[40:]):  # each time a new query goes on from the checkpoint
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = watch.serve(source()).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+        assert q.awaitTermination(180)
+    got = {}
+    for r in spark.read.parquet(str(tmp_path / "out")).collect():
+        got.setdefault(r["arrival"], []).append((r["outcome"], r["seq"], r["version"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items() if v}
+    assert {x[0] for v in got.values() for x in v} == {"reserved", "delta", "applied", "replayed", "conflict", "stale_ignored"}
+
+
+def test_batch_is_as_one_by_one(spark):
+    """Replays and conflicts of numbers of any age, without a map in any task."""
+    rows = [r for r in requests(random.Random(5), 400) if r["op"] == "commit"]
+    _, states = by_hand(rows)
+    got = watch.fold(spark.createDataFrame(rows, OBS + ", op string")).collect()
+    assert {r["item_key"]: (r["current_status"], r["confirmed"], r["signals"], r["applied"], r["version"], r["stale"], r["replays"], r["conflicts"]) for r in got} == {k: (s["current"], s["confirmed"], s["signals"], s["applied"], s["version"], s["stale"], s["replays"], s["conflicts"]) for k, s in states.items()}
+    assert watch.fold(spark.createDataFrame([], OBS)).count() == 0
 
 
 def _zip(**files):
