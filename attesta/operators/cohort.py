@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.operators.selection import medians, nearest_ranks
+from attesta.store import written
+
 UNSPECIFIED = "<unspecified>"
 
 
@@ -33,9 +36,12 @@ def cohort_filter(records: DataFrame, tracks: set[str] | None = None, statuses:
 
 
 def first_seen(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row of each key in the given order; rows without a key are all kept."""
-    w = Window.partitionBy(key).orderBy(*order)
-    with_key = rows.where(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The first row of each key in the given order (of equal ones any); rows without a key are all kept.
+
+    An aggregate: each task keeps one row a key before the exchange, so a key of any number of rows is no more than another.
+    """
+    least = F.min_by(F.struct(*rows.columns), F.struct(*order))
+    with_key = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(least.alias("_first")).select("_first.*")
     return with_key.unionByName(rows.where(F.col(key).isNull()))
 
 
@@ -64,12 +70,14 @@ def scored_slots(submissions: DataFrame, slots: DataFrame) -> DataFrame:
 
 def venue_summary(s: DataFrame) -> DataFrame:
     """One row a status of scored records: submissions, scored, reviews, anomalies, statistics of the records' mean ratings, unanimity."""
-    s = s.withColumn("many", F.col("n_pos") >= 2)
-    return s.groupBy("status").agg(
+    s = written(s.select("status", "mean_rating", "n_pos", "n_anomalies", "one_mind").withColumn("many", F.col("n_pos") >= 2), "summary")
+    middle = medians(s, ["status"], "mean_rating").select(F.col("status").alias("_s"), F.round("median", 6).alias("median_of_means"))
+    told = s.groupBy("status").agg(
         F.count("*").alias("submissions"), F.count("mean_rating").alias("scored"), F.sum("n_pos").cast("long").alias("reviews"), F.sum("n_anomalies").cast("long").alias("anomalies"),
-        F.round(F.avg("mean_rating"), 6).alias("mean_of_means"), F.round(F.median("mean_rating"), 6).alias("median_of_means"), F.round(F.min("mean_rating"), 6).alias("lowest"), F.round(F.max("mean_rating"), 6).alias("highest"),
+        F.round(F.avg("mean_rating"), 6).alias("mean_of_means"), F.round(F.min("mean_rating"), 6).alias("lowest"), F.round(F.max("mean_rating"), 6).alias("highest"),
         F.count_if(F.expr("many and one_mind")).alias("unanimous"), F.round(F.count_if(F.expr("many and one_mind")) / F.nullif(F.count_if("many"), F.lit(0)), 6).alias("unanimous_share"),
     )
+    return told.join(middle, F.col("status").eqNullSafe(F.col("_s")), "left").drop("_s")
 
 
 def rating_histogram(records: DataFrame, anomalies: bool = False) -> DataFrame:
@@ -78,16 +86,8 @@ def rating_histogram(records: DataFrame, anomalies: bool = False) -> DataFrame:
 
 
 def nearest_rank(values: DataFrame, by: list[str], value: str, probs: list[float], digits: int = 4) -> DataFrame:
-    """Value at index round-half-even((n - 1) p) of the sorted values, a row for each group and p.
-
-    Ranks come from counts of distinct values, so no group is gathered as an array.
-    """
-    counts = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by)
-    ranked = counts.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
-    p = ranked.withColumn("p", F.explode(F.array(*[F.lit(x) for x in probs])))
-    at = F.bround((F.col("n") - 1) * F.col("p"), 0)
-    return p.where((at < F.col("upto")) & (at >= F.col("upto") - F.col("c"))).select(*by, "p", F.round(value, digits).alias("quantile"))
+    """Value at index round-half-even((n - 1) p) of the sorted values, a row for each group and p."""
+    return nearest_ranks(values, by, value, probs).select(*by, "p", F.round("value", digits).alias("quantile"))
 
 
 def iid_baseline(records: DataFrame) -> DataFrame:
@@ -109,7 +109,9 @@ def modal_slots(records: DataFrame) -> DataFrame:
 def median_words(records: DataFrame) -> DataFrame:
     """Median and count of words by rounded confidence, slots aligned by position."""
     zipped = records.select(F.explode(F.arrays_zip("confidences", "words")).alias("z")).select(F.round("z.confidences").cast("int").alias("confidence"), F.col("z.words").alias("words"))
-    return zipped.where("confidence is not null and words is not null").groupBy("confidence").agg(F.count("*").alias("n"), F.round(F.median("words"), 6).alias("median_words"), F.round(F.avg("words"), 6).alias("mean_words"))
+    slots = written(zipped.where("confidence is not null and words is not null"), "words")
+    told = slots.groupBy("confidence").agg(F.count("*").alias("n"), F.round(F.avg("words"), 6).alias("mean_words"))
+    return told.join(medians(slots, ["confidence"], "words"), "confidence").select("confidence", "n", F.round("median", 6).alias("median_words"), "mean_words")
 
 
 def word_counts(review: Column, both: Column, limits: Column) -> Column:
