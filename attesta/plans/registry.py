@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("cohort_queries", "statistics_queries", "corpus_queries", "state_queries", "document_queries", "record_queries", "ledger_queries", "tex_queries", "validate_queries", "lineage_queries", "schema_queries", "resolve_queries")
+MODULES = ("cohort_queries", "statistics_queries", "corpus_queries", "state_queries", "document_queries", "record_queries", "ledger_queries", "tex_queries", "validate_queries", "lineage_queries", "schema_queries", "resolve_queries", "markup_queries")
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}

@@ -6,22 +6,18 @@ one bad document from failing the rest.
 
 from __future__ import annotations
 
-import io
-import posixpath
 import re
-import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.functions.tex import braced
+from attesta.sources.markup import article_segments, word_segments, workbook_segments
 
 MOST_BYTES = 32 << 20
-MOST_MEMBERS, MOST_EXPANDED = 10_000, 48 << 20
 Segment = tuple[str, str, str]
 SEGMENT = "document_id string, locator string, text string, section string, status string, error string"
 
@@ -144,101 +140,6 @@ def parse_html(data: bytes, article: bool = False) -> list[Segment]:
     return out
 
 
-def _xml(data: bytes) -> ElementTree.Element:
-    data = re.sub(rb"<!DOCTYPE[^>\[]*(?:\[[^\]]*\])?[^>]*>", b"", data, count=1)
-    if b"<!ENTITY" in data:
-        raise ValueError("entities are not allowed")
-    try:
-        return ElementTree.fromstring(data)
-    except ElementTree.ParseError as e:
-        raise ValueError(f"malformed XML: {e}") from e
-
-
-def _text(e: ElementTree.Element) -> str:
-    return _clean("".join(e.itertext()))
-
-
-def _local(root: ElementTree.Element) -> ElementTree.Element:
-    for e in root.iter():
-        e.tag = e.tag.rsplit("}", 1)[-1]
-    return root
-
-
-def parse_jats(data: bytes) -> list[Segment]:
-    """Paragraphs, tables, supplements and titles of a journal article, each under the title before it. An article without
-    a body of some text is refused."""
-    root = _local(_xml(data))
-    body = root.find("body")
-    if root.tag != "article" or body is None or not _text(body):
-        raise ValueError("no article with a body")
-    out: list[Segment] = []
-    section = ""
-    for e in root.iter():
-        if e.tag == "title":
-            section = _text(e)
-        elif e.tag == "table-wrap":
-            rows = [_text(x) if x.tag != "tr" else " | ".join(_text(c) for c in x if c.tag in ("td", "th")) for x in e.iter() if x.tag in ("label", "caption", "table-wrap-foot", "tr")]
-            out.append((_place(e, out), " ; ".join(rows), section))
-        elif e.tag in ("p", "supplementary-material", "article-title"):
-            out.append((_place(e, out), _text(e), section))
-    return out
-
-
-def _place(e: ElementTree.Element, out: list[Segment]) -> str:
-    return f"xml:id={e.get('id')}" if e.get("id") else f"xml:block={len(out) + 1}"
-
-
-def open_zip(data: bytes) -> zipfile.ZipFile:
-    """An archive within the limits, none of whose members leaves its root."""
-    try:
-        z = zipfile.ZipFile(io.BytesIO(data))
-    except zipfile.BadZipFile as e:
-        raise ValueError("not a zip archive") from e
-    infos = z.infolist()
-    if len(infos) > MOST_MEMBERS or sum(i.file_size for i in infos) > MOST_EXPANDED:
-        raise ValueError("archive over its limits")
-    if any(i.filename.startswith(("/", "\\")) or ".." in re.split(r"[/\\]", i.filename) for i in infos):
-        raise ValueError("archive member outside its root")
-    return z
-
-
-def parse_docx(data: bytes) -> list[Segment]:
-    """All paragraphs, those in tables too, then each table whole."""
-    root = _local(_xml(open_zip(data).read("word/document.xml")))
-    words = lambda e, gap: _clean(gap.join(t.text or "" for t in e.iter("t")))
-    paragraphs = [t for e in root.iter("p") if (t := words(e, ""))]
-    tables = [" ; ".join(" | ".join(words(c, " ") for c in row.findall("tc")) for row in e.findall("tr")) for e in root.iter("tbl")]
-    return [(f"docx:{kind}={i}", _clean(t), "") for kind, texts in (("paragraph", paragraphs), ("table", tables)) for i, t in enumerate(texts, 1)]
-
-
-def parse_xlsx(data: bytes) -> list[Segment]:
-    """A segment for every row of every sheet, in the workbook's order and by its names; cells as address=value, with the
-    formula where a value is only its cached result."""
-    z = open_zip(data)
-    read = lambda name: _local(_xml(z.read(name)))
-    strings = [_clean("".join(e.itertext())) for e in read("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in z.namelist() else []
-    targets = {r.get("Id"): r.get("Target") for r in read("xl/_rels/workbook.xml.rels")}
-
-    def value(c: ElementTree.Element) -> str:
-        kind, v, f = c.get("t"), c.findtext("v") or "", c.findtext("f")
-        if kind == "s" and v:
-            v = strings[int(v)]
-        elif kind == "inlineStr":
-            v = "".join(t.text or "" for t in c.iter("t"))
-        return f"{c.get('r', '?')}={v}" + (f" [formula={f}; cached value only]" if f else "")
-
-    out: list[Segment] = []
-    for sheet in read("xl/workbook.xml").iter("sheet"):
-        target = targets[next(v for k, v in sheet.attrib.items() if k.rsplit("}", 1)[-1] == "id")]
-        member = target.lstrip("/") if target.startswith("/") else posixpath.normpath("xl/" + target)
-        if ".." in member.split("/"):
-            raise ValueError("a sheet outside the archive")
-        for row in read(member).iter("row"):
-            if cells := [value(c) for c in row.findall("c")]:
-                out.append((f"xlsx:sheet={sheet.get('name')}:row={row.get('r')}", " | ".join(cells), sheet.get("name")))
-    return out
-
-
 _TEX_WHOLE = re.compile(r"\\begin\{(?P<env>table\*?|abstract)\}.*?\\end\{(?P=env)\}", re.S)
 
 
@@ -268,12 +169,48 @@ def parse_tex(data: bytes) -> list[Segment]:
     return out
 
 
+def _balanced(text: str, at: int, pair: str = "{}") -> int:
+    """Where the group that opens at a place ends (after its closing sign); the end of the text where it does not."""
+    depth = 0
+    for i in range(at, len(text)):
+        if text[i] in pair and text[i - 1 : i] != "\\":
+            depth += 1 if text[i] == pair[0] else -1
+            if not depth:
+                return i + 1
+    return len(text)
+
+
+def _bib_entries(text: str) -> Iterator[tuple[str, str]]:
+    """(key, entry) of a BibTeX file: an entry goes from a sign at the beginning of a line to the end of its braces."""
+    at = 0
+    while (at := text.find("@", at)) >= 0:
+        brace = text.find("{", at)
+        name, line = text[at + 1 : brace].strip(), text[text.rfind("\n", 0, at) + 1 : at]
+        if brace < 0 or not name.isidentifier() or line.strip():
+            at += 1
+            continue
+        end = _balanced(text, brace)
+        key, comma, _ = text[brace + 1 : end].partition(",")
+        if comma and len(key.split()) == 1:
+            yield key.strip(), text[at:end]
+        at = end
+
+
+def _bib_items(text: str) -> Iterator[tuple[str, str]]:
+    """(key, item) of a list of references: an item goes to the next one, or to the end of the list."""
+    first, *rest = text.partition("\\end{thebibliography}")[0].split("\\bibitem")
+    for part in rest:
+        open_ = _balanced(part, 0, "[]") if part[:1] == "[" else 0
+        if part[open_ : open_ + 1] == "{":
+            yield part[open_ + 1 : _balanced(part, open_) - 1].strip(), "\\bibitem" + part
+
+
 def parse_bibliography(data: bytes) -> list[Segment]:
     """Entries of a BibTeX file; without any, bibitems; without these, its lines."""
     text = data.decode("utf-8", "replace")
-    for pattern in (r"(?s)^[ \t]*@\w+\s*\{\s*(?P<key>[^,\s]+)\s*,.*?(?=^[ \t]*@\w+\s*\{|\Z)", r"(?s)\\bibitem(?:\[[^\]]*\])?\{(?P<key>[^}]+)\}.*?(?=\\bibitem|\\end\{thebibliography\}|\Z)"):
-        if found := [(f"bib:entry={m['key'].strip()}", _clean(m[0]), "Bibliography") for m in re.finditer(pattern, text, re.M)]:
-            return found
+    named = [*_bib_entries(text)] or [*_bib_items(text)]
+    if named:
+        return [(f"bib:entry={key}", _clean(entry), "Bibliography") for key, entry in named]
     return [(f"bib:line={i}", _clean(x), "Bibliography") for i, x in enumerate(text.splitlines(), 1) if x.strip()]
 
 
@@ -281,28 +218,37 @@ def parse_plain(data: bytes) -> list[Segment]:
     return [(f"text:line={i + 1}", _clean(x), "") for i, x in enumerate(data.decode("utf-8", "replace").split("\n")) if x.strip()]
 
 
-PARSERS = {"html": parse_html, "htm": parse_html, "xml": parse_jats, "nxml": parse_jats, "docx": parse_docx, "xlsx": parse_xlsx, "tex": parse_tex, "bib": parse_bibliography, "bbl": parse_bibliography, "txt": parse_plain, "md": parse_plain, "csv": parse_plain, "tsv": parse_plain, "json": parse_plain}
+PARSERS = {"html": parse_html, "htm": parse_html, "tex": parse_tex, "bib": parse_bibliography, "bbl": parse_bibliography, "txt": parse_plain, "md": parse_plain, "csv": parse_plain, "tsv": parse_plain, "json": parse_plain}
+#: Formats that are read as tables of elements.
+QUERIES = {("xml", "nxml"): article_segments, ("docx",): word_segments, ("xlsx",): workbook_segments}
 
 
 def segments(documents: DataFrame) -> DataFrame:
     """documents (document_id, suffix, content binary) -> segments; a failed one has a row with status and error."""
+    known = [*PARSERS, *(s for suffixes in QUERIES for s in suffixes)]
+    docs = documents.select(F.col("document_id").cast("string").alias("document_id"), "suffix", F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content"))
+    wrong = F.when(~F.coalesce(F.col("suffix").isin(known), F.lit(False)), "unknown format").when(F.octet_length("content") > MOST_BYTES, "over the size limit")
+    docs = docs.withColumn("error", wrong)
+    none, good = F.lit(None).cast("string"), docs.where("error is null")
+    names = [x.split()[0] for x in SEGMENT.split(", ")]
+    found = docs.where("error is not null").select("document_id", none.alias("locator"), none.alias("text"), none.alias("section"), F.lit("failed").alias("status"), "error")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in SEGMENT.split(", ")]
         for batch in batches:
             for r in batch.to_pylist():
                 try:
-                    if r["suffix"] not in PARSERS:
-                        raise ValueError("unknown format")
-                    if len(r["content"] or b"") > MOST_BYTES:
-                        raise ValueError("over the size limit")
-                    rows = [(r["document_id"], *s, "ok", None) for s in PARSERS[r["suffix"]](r["content"] or b"")]
+                    rows = [(r["document_id"], *s, "ok", None) for s in PARSERS[r["suffix"]](r["content"])]
                 except (ValueError, KeyError, RecursionError) as e:
                     rows = [(r["document_id"], None, None, None, "failed", str(e)[:200])]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names)
 
-    return documents.select(F.col("document_id").cast("string").alias("document_id"), "suffix", F.col("content").cast("binary").alias("content")).mapInArrow(run, SEGMENT)
+    found = found.unionByName(good.where(F.col("suffix").isin([*PARSERS])).select("document_id", "suffix", "content").mapInArrow(run, SEGMENT))
+    for suffixes, read in QUERIES.items():
+        own = good.where(F.col("suffix").isin(*suffixes)).select("document_id", "content")
+        if not own.isEmpty():
+            found = found.unionByName(read(own))
+    return found
 
 
 def files(spark: SparkSession, path: str, exclude: tuple[str, ...] = (".git", "node_modules", "__pycache__")) -> DataFrame:

@@ -18,6 +18,7 @@ from attesta.functions import text as T
 from attesta.operators import cohort, corpus, deliberate, graph, lineage, meta, recompute
 from attesta.operators.components import connected_components
 from attesta.sources import documents as docs
+from attesta.sources import markup
 from attesta.streaming import watch
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -245,22 +246,27 @@ def test_parsers(spark):
     html = b"<h1>Methods</h1><script>x</script><p id='a'>One  two</p><table><tr><td>1</td><td>2</td></tr></table>"
     assert docs.parse_html(html) == [("html:block=1", "Methods", "Methods"), ("html:id=a", "One two", "Methods"), ("html:block=3", "; | 1 | 2", "Methods")]
     jats = b"<!DOCTYPE a><article><front><article-title>T</article-title></front><body><sec><title>R</title><p id='p1'>Text<list><list-item><p>in</p></list-item></list></p><table-wrap><label>Tab 1</label><table><tr><td>1</td><td>2</td></tr></table></table-wrap></sec></body></article>"
-    assert docs.parse_jats(jats) == [("xml:block=1", "T", ""), ("xml:id=p1", "Textin", "R"), ("xml:block=3", "in", "R"), ("xml:block=4", "Tab 1 ; 1 | 2", "R")]
-    for bad in (b"<article/>", b"<a", b"<!ENTITY x 'y'><article><body/></article>", b"<article><body> </body></article>", b"<book><body>x</body></book>"):
-        with pytest.raises(ValueError):
-            docs.parse_jats(bad)
+    given = lambda *contents: spark.createDataFrame([(str(i), bytearray(c)) for i, c in enumerate(contents)], "document_id string, content binary")
+    read = lambda df: sorted((r["document_id"], r["locator"], r["text"], r["section"]) for r in df.where("status = 'ok'").collect())
+    assert read(markup.article_segments(given(jats))) == sorted([("0", "xml:block=1", "T", ""), ("0", "xml:id=p1", "Textin", "R"), ("0", "xml:block=3", "in", "R"), ("0", "xml:block=4", "Tab 1 ; 1 | 2", "R")])
+    bad = (b"<article/>", b"<a", b"<!DOCTYPE a [<!ENTITY x 'y'>]><article><body>&x;</body></article>", b"<article><body> </body></article>", b"<book><body>x</body></book>", b"")
+    assert {(r["document_id"], r["status"]) for r in markup.article_segments(given(*bad)).collect()} == {(str(i), "failed") for i in range(len(bad))}
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
     body = "<w:p><w:r><w:t>Hi</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>c1</w:t></w:r></w:p></w:tc><w:tc/></w:tr></w:tbl>"
-    assert docs.parse_docx(_zip(**{"word/document.xml": f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>'})) == [("docx:paragraph=1", "Hi", ""), ("docx:paragraph=2", "c1", ""), ("docx:table=1", "c1 |", "")]
+    word = _zip(**{"word/document.xml": f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>'})
+    assert read(markup.word_segments(given(word))) == [("0", "docx:paragraph=1", "Hi", ""), ("0", "docx:paragraph=2", "c1", ""), ("0", "docx:table=1", "c1 |", "")]
     book = '<workbook xmlns:r="u"><sheets><sheet name="Main" r:id="i2"/></sheets></workbook>'
     rels = '<Relationships><Relationship Id="i2" Target="worksheets/s.xml"/></Relationships>'
-    sheet = '<worksheet><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1"><f>1+1</f><v>2</v></c></row><row r="2"/></sheetData></worksheet>'
-    assert docs.parse_xlsx(_zip(**{"xl/workbook.xml": book, "xl/_rels/workbook.xml.rels": rels, "xl/sharedStrings.xml": "<sst><si><t>Name</t></si></sst>", "xl/worksheets/s.xml": sheet})) == [("xlsx:sheet=Main:row=1", "A1=Name | B1=2 [formula=1+1; cached value only]", "Main")]
+    sheet = '<worksheet><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1"><f>1+1</f><v>2</v></c><c r="C1" t="inlineStr"><is><t>in</t></is></c><c/></row><row r="2"/></sheetData></worksheet>'
+    made = lambda **more: _zip(**({"xl/workbook.xml": book, "xl/_rels/workbook.xml.rels": rels, "xl/sharedStrings.xml": "<sst><si><t>Name</t></si></sst>", "xl/worksheets/s.xml": sheet} | more))
+    out = made(**{"xl/_rels/workbook.xml.rels": rels.replace("worksheets", "../..")})
+    got = markup.workbook_segments(given(made(), out, _zip(**{"../x": "y"}), b"junk"))
+    assert read(got) == [("0", "xlsx:sheet=Main:row=1", "A1=Name | B1=2 [formula=1+1; cached value only] | C1=in | ?=", "Main")]
+    assert {r["document_id"]: r["error"] for r in got.where("status = 'failed'").collect()} == {"1": "a sheet outside the archive", "2": "archive member outside its root", "3": "File is not a zip file"}
     assert docs.parse_tex(b"\\section{Intro}\nWord 1 % gone\n\n\\begin{abstract}A\n\nb\\end{abstract} \\begin{table*}x\\end{table*}") == [("tex:block=1", "\\section{Intro} Word 1", "Intro"), ("tex:abstract=1", "\\begin{abstract}A b\\end{abstract}", "Intro"), ("tex:table=1", "\\begin{table*}x\\end{table*}", "Intro")]
     assert docs.parse_bibliography(b"@article{a, title={x}}\n  @book{b,\n y=1}\n") == [("bib:entry=a", "@article{a, title={x}}", "Bibliography"), ("bib:entry=b", "@book{b, y=1}", "Bibliography")]
     assert [x[0] for x in docs.parse_bibliography(b"\\bibitem{k} foo\n\\bibitem[z]{l} bar\\end{thebibliography}")] == ["bib:entry=k", "bib:entry=l"] and docs.parse_bibliography(b"\nplain")[0][0] == "bib:line=2"
-    with pytest.raises(ValueError):
-        docs.open_zip(_zip(**{"../x": "y"}))
+    assert docs.parse_bibliography(b"@a{k, note={mail @me{x, } here},\n url={http://x/@b{c,}}}\n@string{z = {q}}\n@b{l,}")[0][1] == "@a{k, note={mail @me{x, } here}, url={http://x/@b{c,}}}"
     got = docs.segments(spark.createDataFrame([("a", "txt", b"x\n\ny"), ("b", "docx", b"junk"), ("c", "exe", b""), ("d", "txt", None)], "document_id string, suffix string, content binary")).collect()
     assert {(r["document_id"], r["status"], r["locator"]) for r in got} == {("a", "ok", "text:line=1"), ("a", "ok", "text:line=3"), ("b", "failed", None), ("c", "failed", None)}
 
