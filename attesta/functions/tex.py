@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from attesta.functions.text import UNITS
 
@@ -176,6 +177,80 @@ def author_leaks(text: str) -> list[str]:
     return [n for n in names if n and not re.search(r"(?i)anonym|under (?:double.)?blind|submission", n)]
 
 
+#: Macros that include a file: relative to the root of a bundle or else to the file they stand in, to a folder below the root, or
+#: to one beside the file; and those that only show a file (fixed values).
+INCLUDES = {"input": "either", "include": "either", "subfile": "either", "import": "root", "subimport": "local"}
+SHOWS = ("verbatiminput", "lstinputlisting", "includegraphics", "includepdf", "inputminted")
+#: Macros that refer to a label (fixed values).
+REFERS = ("ref", "eqref", "autoref", "cref", "Cref", "pageref")
+#: Macros whose calls lint reads, besides all that begin with cite.
+READ = frozenset((*INCLUDES, *SHOWS, *REFERS, "documentclass", "usepackage", "section", "subsection", "paragraph", "nocite", "label", "bibitem", "bibliography", "addbibresource", "thanks", "begin"))
+_MACRO = re.compile(r"\\([A-Za-z@]+)(\*?)")
+_SPACE = re.compile(r"\s*")
+
+
+def _group(text: str, at: int) -> int:
+    """The end of the bracket or brace group that opens at a place, after its closing sign; 0 where it does not end."""
+    braces, i = 0, at
+    while i < len(text):
+        c = text[i]
+        if c == "\\":
+            i += 1
+        elif c == "{":
+            braces += 1
+        elif c == "}":
+            braces -= 1
+            if not braces and text[at] == "{":
+                return i + 1
+        elif c == "]" and not braces and text[at] == "[":
+            return i + 1
+        i += 1
+    return 0
+
+
+def calls(text: str) -> list[dict]:
+    """Calls of the macros in READ and of citations, in order: line, name, options in brackets, arguments in braces. An input without
+    braces takes the word after it, or what stands in quotes. Groups that do not end are none."""
+    found, line, seen = [], 1, 0
+    for m in _MACRO.finditer(text):
+        if m[1] not in READ and not m[1].startswith("cite"):
+            continue
+        line, seen = line + text.count("\n", seen, m.start()), m.start()
+        at, options, args = m.end(), [], []
+        while True:
+            start = _SPACE.match(text, at).end()
+            if text[start : start + 1] not in ("{", "[") or (text[start] == "[" and args) or not (end := _group(text, start)):
+                break
+            (options if text[start] == "[" else args).append(text[start + 1 : end - 1])
+            at = end
+        if not args and m[1] in ("input", "include") and (bare := re.match(r'\s*(?:"([^"]+)"|([^\s\\{}%"\[]+))', text[at:])):
+            args = [bare[1] or bare[2]]
+        found.append({"line": line, "name": m[1], "options": options, "args": args})
+    return found
+
+
+def _reached(folder: str, name: str) -> str | None:
+    """A path below the root, plain; None where it leaves the root."""
+    way = posixpath.normpath(posixpath.join(folder, name))
+    return None if way == ".." or way.startswith(("../", "/")) or re.match("[A-Za-z]:|\\\\", name) else way
+
+
+def included(path: str, call: dict) -> dict | None:
+    """What a call includes or shows: name as written, and its paths from the root and from beside the file at `path`, each None where it leaves
+    the root or is not asked for; tex: whether it is read as LaTeX."""
+    name, args = call["name"], [a.strip() for a in call["args"]]
+    if name in INCLUDES and args and args[0]:
+        where = INCLUDES[name]
+        target = args[0] if where == "either" else posixpath.join(args[0], args[1]) if len(args) > 1 and not args[1].startswith("/") else "/"
+        target = target if target.lower().endswith(".tex") else target + ".tex"
+        beside = posixpath.dirname(path)
+        return {"target": target, "root": _reached("", target) if where != "local" else None, "local": _reached(beside, target) if where != "root" else None, "tex": True}
+    if name in SHOWS and len(args) > (name == "inputminted"):
+        target = args[name == "inputminted"]
+        return {"target": target, "root": _reached("", target), "local": _reached(posixpath.dirname(path), target), "tex": False}
+    return None
+
+
 #: Units are compared with their numbers.
 _UNIT_WORDS = frozenset(w for u in UNITS for w in u.split())
 _PAIR = StructType([StructField("path", StringType()), StructField("value", StringType())])
@@ -212,3 +287,16 @@ def footnotes(text: pd.Series) -> pd.Series:
 @F.pandas_udf(BooleanType())
 def diverges(claim: pd.Series, statement: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else says_otherwise(a, b) for a, b in zip(claim, statement, strict=True)], dtype=object)
+
+
+_CALL = StructType([StructField("line", IntegerType()), StructField("name", StringType()), StructField("options", ArrayType(StringType())), StructField("args", ArrayType(StringType())), StructField("includes", StructType([StructField("target", StringType()), StructField("root", StringType()), StructField("local", StringType()), StructField("tex", BooleanType())]))])
+
+
+@F.pandas_udf(StructType([StructField("clean", StringType()), StructField("calls", ArrayType(_CALL)), StructField("authors", ArrayType(StringType()))]))
+def lexed(path: pd.Series, text: pd.Series) -> pd.DataFrame:
+    """All that lint reads of a file, in one pass: its masked text, its calls and whom it names as authors."""
+    rows = []
+    for p, t in zip(path, text, strict=True):
+        clean = masked(t or "")
+        rows.append((None if t is None else clean, [{**c, "includes": included(p or "", c)} for c in calls(clean)], author_leaks(t or "")))
+    return pd.DataFrame(rows, columns=["clean", "calls", "authors"])

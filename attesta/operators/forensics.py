@@ -85,97 +85,9 @@ def scan_status(files: DataFrame, findings: DataFrame, key: str, complete: Colum
     return files.join(n, key, "left").select(key, F.when(F.col("n") > 0, "leaks_detected").when(~complete, "incomplete").otherwise("clean").alias("status"), F.coalesce("n", F.lit(0)).cast("long").alias("findings"))
 
 
-#: Rules on single lines: code and severity (fixed values), and a pattern.
-LINE_RULES = [
-    ("FINAL_MODE_IN_REVIEW", "error", r"\\(?:documentclass|usepackage)\[[^\]]*\b(?:final|accepted|camera\s*ready|preprint)\b[^\]]*\]"),
-    ("BLIND_AUTHOR_LEAK", "error", r"\\author\{(?!\s*(?:anonymous|paper under|\}))"),
-    ("BLIND_THANKS_LEAK", "error", r"\\thanks\{[^}]*\S[^}]*\}"),
-    ("BLIND_ACK_LEAK", "error", r"(?i)\\(?:section|subsection|paragraph)\*?\{\s*acknowledge?ments?\s*\}|\\begin\{acks?\}"),
-    ("BLIND_FUNDING_LEAK", "error", r"(?i)\b(?:supported|funded) by (?:the )?[A-Z].{0,60}\b(?:grant|award|foundation)\b"),
-    ("LAYOUT_TAMPER", "error", r"\\(?:vspace\*?\{-|setlength\{\\(?:textheight|textwidth|topmargin)|linespread|addtolength\{\\text)"),
-    ("UNRESOLVED_TODO", "warning", r"\b(?:TODO|FIXME|XXX)\b"),
-    ("UNRESOLVED_REFERENCE", "error", r"(?:\[\?+\]|\?\?)"),
-    ("OVERCLAIM_PHRASING", "warning", r"(?i)\b(?:first ever|unprecedented|completely solves?|always outperforms?|revolutionary|guarantees? perfect)\b"),
-    ("FORBIDDEN_PACKAGE", "error", r"\\usepackage(?:\[[^\]]*\])?\{[^}]*\b(?:geometry|fullpage|savetrees)\b[^}]*\}"),
-]
-
-
-def tex_lines(files: DataFrame, key: str, text: str) -> DataFrame:
-    """Lines of LaTeX without comments; an escaped percent sign is none."""
-    return lines(files, key, text).withColumn("body", F.regexp_replace("body", r"(?<!\\)%.*$", "")).where(F.trim("body") != "")
-
-
-def lint_lines(rows: DataFrame, key: str) -> DataFrame:
-    hits = F.filter(F.array(*[F.when(F.col("body").rlike(p), F.struct(F.lit(code).alias("code"), F.lit(sev).alias("severity"))) for code, sev, p in LINE_RULES]), lambda x: x.isNotNull())
-    return rows.select(key, "line", F.explode(hits).alias("f"), F.left(F.trim("body"), F.lit(80)).alias("detail")).select(key, "line", "f.code", "f.severity", "detail")
-
-
-def _names(rows: DataFrame, key: str, pattern: str, name: str) -> DataFrame:
-    found = F.explode(F.regexp_extract_all("body", F.lit(pattern), F.lit(1)))
-    return rows.select(key, "line", found.alias("g")).select(key, "line", F.explode(F.split("g", r"\s*,\s*")).alias(name)).withColumn(name, F.trim(name)).where(f"{name} <> ''")
-
-
-def reference_lint(rows: DataFrame, bib: DataFrame, key: str) -> DataFrame:
-    """Citations without entry, entries never cited, doubled entries, references without label, by bundle key.
-
-    rows: LaTeX lines; bib (key, entry, crossref): an entry that a cited one crossrefers to is used.
-    """
-    cites = _names(rows, key, r"\\(?:no)?cite[a-zA-Z]*\*?(?:\[[^\]]*\])*\{([^}]*)\}", "entry")
-    refs = _names(rows, key, r"\\(?:eq|auto|c|C|page)?ref\{([^}]*)\}", "label")
-    labels = _names(rows, key, r"\\label\{([^}]*)\}", "label").select(key, "label").distinct()
-    entries, used = bib.select(key, "entry").distinct(), cites.select(key, "entry").distinct()
-    used = used.unionByName(bib.where("crossref is not null").join(used, [key, "entry"], "left_semi").select(key, F.col("crossref").alias("entry"))).distinct()
-    none = F.lit(None).cast("int")
-    undefined = cites.join(entries, [key, "entry"], "left_anti").select(key, F.col("line").cast("int").alias("line"), F.lit("UNDEFINED_CITATION").alias("code"), F.lit("error").alias("severity"), F.col("entry").alias("detail"))
-    uncited = entries.join(used, [key, "entry"], "left_anti").select(key, none.alias("line"), F.lit("UNCITED_BIB_ENTRY").alias("code"), F.lit("warning").alias("severity"), F.col("entry").alias("detail"))
-    doubled = bib.groupBy(key, "entry").agg(F.count("*").alias("n")).where("n > 1").select(key, none.alias("line"), F.lit("DUPLICATE_BIB_KEY").alias("code"), F.lit("error").alias("severity"), F.col("entry").alias("detail"))
-    lost = refs.join(labels, [key, "label"], "left_anti").select(key, F.col("line").cast("int").alias("line"), F.lit("UNRESOLVED_REFERENCE").alias("code"), F.lit("error").alias("severity"), F.col("label").alias("detail"))
-    return reduce(DataFrame.unionByName, [undefined, uncited, doubled, lost])
-
-
-def bundle_lint(files: DataFrame, key: str, text: str, sections: tuple[str, ...] = ()) -> DataFrame:
-    """Rules on whole bundles: abstract, bibliography directive, required sections, tables without dispersion."""
-    has = files.groupBy(key).agg(F.bool_or(F.col(text).rlike(r"\\begin\{abstract\}|\\abstract\{")).alias("abstract"), F.bool_or(F.col(text).rlike(r"\\cite")).alias("cites"), F.bool_or(F.col(text).rlike(r"\\bibliography\{|\\printbibliography|\\begin\{thebibliography\}")).alias("bib"), *[F.bool_or(F.col(text).rlike(r"(?i)\\section\*?\{\s*" + s)).alias(f"s{i}") for i, s in enumerate(sections)])
-    row = lambda code, sev, detail: F.struct(F.lit(code).alias("code"), F.lit(sev).alias("severity"), F.lit(detail).alias("detail"))
-    found = [F.when(~F.col("abstract"), row("MISSING_ABSTRACT", "error", "")), F.when(F.col("cites") & ~F.col("bib"), row("MISSING_BIBLIOGRAPHY_DIRECTIVE", "warning", "")), *[F.when(~F.col(f"s{i}"), row("MISSING_REQUIRED_SECTION", "error", s)) for i, s in enumerate(sections)]]
-    wide = has.select(key, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("f")).select(key, "f.*")
-    tables = files.select(key, F.explode(F.regexp_extract_all(text, F.lit(r"(?s)\\begin\{tabular\}.*?\\end\{tabular\}"), F.lit(0))).alias("t"))
-    bare = tables.where(F.col("t").rlike(r"\d\.\d") & ~F.col("t").rlike(r"\\pm|±|\(\s*\d*\.\d+\s*\)|\bstd\b|\bCI\b")).select(key, F.lit("TABLE_MISSING_DISPERSION").alias("code"), F.lit("warning").alias("severity"), F.left("t", F.lit(40)).alias("detail"))
-    return wide.unionByName(bare)
-
-
-def include_findings(includes: DataFrame, files: DataFrame) -> DataFrame:
-    """includes (child included by parent): paths out of the root, and files that are not there."""
-    unsafe = includes.where(F.col("child").rlike(r"^(?:/|[A-Za-z]:)|(?:^|/)\.\.(?:/|$)")).select("child", F.lit("UNSAFE_INCLUDE_PATH").alias("code"))
-    lost = includes.join(files.select(F.col("path").alias("child")), "child", "left_anti").select("child", F.lit("MISSING_INCLUDE").alias("code"))
-    return unsafe.unionByName(lost.join(unsafe.select("child"), "child", "left_anti")).distinct()
-
-
-def page_limit(pages: DataFrame, key: str, most: int) -> DataFrame:
-    """pages (key, page, text): body pages up to the references heading; a page they share counts if prose precedes."""
-    head = r"(?m)^\s*(?:References|Bibliography|REFERENCES)\s*$"
-    p = pages.withColumn("refs", F.col("text").rlike(head)).withColumn("prose", F.length(F.trim(F.regexp_replace("text", r"(?s)^\s*(?:References|Bibliography|REFERENCES).*|\n\s*(?:References|Bibliography|REFERENCES)\s*\n.*", ""))) > 200)
-    first = p.groupBy(key).agg(F.min(F.when(F.col("refs"), F.col("page"))).alias("at"), F.max("page").alias("last"))
-    body = p.join(first, key).where("at is null or page < at or (page = at and prose)").groupBy(key).agg(F.count("*").alias("body_pages"))
-    return body.withColumn("code", F.when(F.col("body_pages") > most, "PDF_PAGE_LIMIT_EXCEEDED"))
-
-
 def composition(files: DataFrame) -> DataFrame:
     """files (path, size) -> files, bytes and estimated lines (38 bytes each) by class, with shares of bytes."""
     by = files.withColumn("class", T.path_class(F.col("path"))).groupBy("class").agg(F.count("*").alias("files"), F.sum("size").cast("long").alias("bytes"))
     total = by.where("class <> 'excluded'").agg(F.sum("bytes").alias("total"))
     out = by.crossJoin(F.broadcast(total))  # one row
     return out.select("class", "files", "bytes", F.floor(F.col("bytes") / 38).cast("long").alias("lines"), F.when(F.col("class") != "excluded", F.round(F.col("bytes") / F.col("total"), 6)).alias("share"))
-
-
-def bound_claims(rows: DataFrame, anchors: DataFrame, key: str) -> DataFrame:
-    """Lines tagged `% claim: id` against anchors (claim, anchor): unknown or not eligible ones are findings."""
-    tags = rows.select(key, "line", F.nullif(F.regexp_extract("body", r"%\s*claim:\s*([A-Za-z0-9_\-]+)", 1), F.lit("")).alias("claim")).where("claim is not null")
-    a = tags.join(anchors, "claim", "left")
-    return a.where("anchor is null or anchor <> 'eligible'").select(key, "line", "claim", F.when(F.col("anchor").isNull(), "INVALID_CEG_BINDING").otherwise("UNVERIFIED_CEG_ANCHOR").alias("code"))
-
-
-def ungrounded(rows: DataFrame, key: str) -> DataFrame:
-    """Lines that state a gain in numbers without a claim tag."""
-    gain = r"(?i)\b(?:improv|outperform|reduc|increas|gain)\w*\b[^.]*\b\d+(?:\.\d+)?\s*(?:\\?%|points?|x\b)"
-    return rows.where(F.col("body").rlike(gain) & ~F.col("body").rlike(r"%\s*claim:")).select(key, "line", F.lit("UNGROUNDED_QUANT_CLAIM").alias("code"))

@@ -12,10 +12,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.functions.tex import diverges, mask_tex, tex_authors
+from attesta.functions.tex import REFERS, diverges, lexed
 from attesta.operators import forensics as Q
 from attesta.operators.graph import closure
 from attesta.operators.lineage import cyclic
+from attesta.sources.documents import bib_entries
+from attesta.store import written
 
 #: All codes a bundle may get (fixed values).
 CODES = (
@@ -38,6 +40,9 @@ TABULAR = r"(?s)\\begin\{tabular\}.*?\\end\{tabular\}"
 DISPERSION = r"(?i)\\pm\b|±|\b(?:std|sd|se|ci|iqr)\b"
 QUANTITY = r"(?i)(?:\b\d+(?:\.\d+)?\s*(?:(?:\\%|%|×)(?!\w)|(?:x|\\times|ms|s|dB|pp)\b)|\bp\s*[<=>]\s*0?\.\d+\b|\b(?:improves?|reduces?|outperforms?|increases?|decreases?|speedup|faster|smaller)\b[^\n.]{0,40}\b\d+(?:\.\d+)?\b)"
 CLAIM_TAG = r"(?<!\\)%\s*ark:claim=([^\s%]+)"
+#: The heading of the references, and what stands at the head or foot of a page (fixed values).
+REFERENCES = r"(?i)(?:^|\n)\s*(?:\d+\.?\s+)?(?:references|bibliography)\s*(?:\n|$)"
+RUNNING = r"(?i)(?:page\s*\d+(?:\s*(?:/|of)\s*\d+)?|under\s+review\s+as\s+a\s+conference\s+paper\b.*|published\s+as\s+a\s+conference\s+paper\b.*|anonymous\s+authors?|preprint\.?\s*under\s+review.*|[\d\s\-–—.|/]+)"
 #: Bounds of a bundle (fixed values).
 MOST_DEPTH, MOST_FILES, MOST_BYTES, MOST_BIB_FILES = 16, 64, 20 << 20, 32
 
@@ -61,8 +66,21 @@ def _union(found: Iterable[DataFrame]) -> DataFrame:
 
 
 def masked_files(files: DataFrame) -> DataFrame:
-    """files (bundle, path, text) -> with `clean`, the masked text."""
-    return files.withColumn("clean", mask_tex("text"))
+    """files (bundle, path, text) -> with `clean`, the masked text, `calls`, its macros with options and arguments, and
+    `authors`, whom it names: read once and written, so that every rule is a query over one table."""
+    read = files.select("bundle", "path", "text", lexed(F.coalesce(F.col("path"), F.lit("")), F.col("text")).alias("_l"))
+    return written(read.select("bundle", "path", "text", "_l.clean", "_l.calls", "_l.authors"), "lint-files")
+
+
+def _calls(files: DataFrame, *names: str) -> DataFrame:
+    """Calls of these macros: bundle, path, line, name, options, args, includes."""
+    return files.select("bundle", "path", F.explode("calls").alias("c")).select("bundle", "path", "c.*").where(F.col("name").isin(*names))
+
+
+def _each_name(calls: DataFrame, name: str) -> DataFrame:
+    """The names in a call's first argument, split at commas: bundle, path, line, name."""
+    one = calls.select("bundle", "path", "line", F.explode(F.split(F.try_element_at("args", F.lit(1)), ",")).alias(name)).withColumn(name, F.trim(name))
+    return one.where(F.col(name) != "")
 
 
 def _first(files: DataFrame, pattern: str, code: str, severity: str, detail: str | None = None) -> DataFrame:
@@ -78,33 +96,30 @@ def _each(files: DataFrame, pattern: str) -> DataFrame:
     return m.withColumn("line", _line(F.col("clean"), F.instr(F.col("clean"), F.col("match")))).drop("clean")
 
 
-def _options(match: Column) -> Column:
-    raw = F.regexp_extract(match, r"\[([^\]]*)\]", 1)
-    return F.filter(F.transform(F.split(raw, ","), lambda o: F.lower(F.trim(o))), lambda o: o != "")
-
-
 def final_mode(files: DataFrame) -> DataFrame:
     """Options of the class or of packages, and macros, that end double-blind mode; a plain final option of a benign package does not."""
     holds = lambda o, *words: reduce(lambda a, w: a | F.contains(o, F.lit(w)), words, F.lit(False))
-    classes = _each(files, r"\\documentclass\s*\[[^\]]*\]\s*\{[^{}]+\}").where(F.exists(_options(F.col("match")), lambda o: holds(o, "final", "preprint", "cameraready")))
-    packages = _each(files, r"\\usepackage\s*\[[^\]]*\]\s*\{[^{}]+\}").withColumn("options", _options(F.col("match")))
-    packages = packages.withColumn("package", F.explode(F.split(F.regexp_extract("match", r"\{([^{}]+)\}", 1), r"\s*,\s*"))).withColumn("package", F.trim("package")).where("package <> ''")
+    options = F.filter(F.transform(F.flatten(F.transform("options", lambda o: F.split(o, ","))), lambda o: F.lower(F.trim(o))), lambda o: o != "")
+    told = _calls(files, "documentclass", "usepackage").where("size(args) > 0").withColumn("options", options)
+    classes = told.where("name = 'documentclass'").where(F.exists("options", lambda o: holds(o, "final", "preprint", "cameraready")))
+    packages = _each_name(told.where("name = 'usepackage'").withColumn("line", F.struct("line", "options")), "package").select("bundle", "path", "line.*", "package")
     copy = F.exists("options", lambda o: holds(o, "preprint", "cameraready"))
     final = F.exists("options", lambda o: (o == "final") | (o.startswith("final=") & ~o.endswith("false")))
     packages = packages.where(copy | (final & ~F.lower("package").isin(*BENIGN_FINAL)))
     code = "FINAL_MODE_IN_REVIEW"
-    return _union([_say(classes, code, "error", F.col("match"), F.col("line")), _say(packages, code, "error", F.col("package"), F.col("line")), _first(files, FINAL_COPY, code, "error")])
+    return _union([_say(classes, code, "error", F.concat_ws(",", "options"), F.col("line")), _say(packages, code, "error", F.col("package"), F.col("line")), _first(files, FINAL_COPY, code, "error")])
 
 
 def blindness(files: DataFrame) -> DataFrame:
     """What names the authors: author and thanks macros, acknowledgements, funding, repository addresses."""
-    authors = files.where(F.size(tex_authors("text")) > 0)
+    authors = files.where(F.size("authors") > 0)
+    thanks = _calls(files, "thanks").where(F.trim(F.try_element_at("args", F.lit(1))) != "").groupBy("bundle", "path").agg(F.min("line").alias("line"))
     rows = files.select("bundle", "path", F.posexplode(F.split("clean", "\n")).alias("_at", "body")).withColumn("line", F.col("_at") + 1)
     keyed = rows.withColumn("key", F.struct("bundle", "path"))
     urls = Q.repository_urls(keyed, "key").select("key.bundle", "key.path", "line", "url", "severity")
     return _union([
         _say(authors, "BLIND_AUTHOR_LEAK", "error", "an author or affiliation is named", _line(F.col("text"), F.greatest(F.lit(1), F.instr("text", "\\author")))),
-        _first(files, r"\\thanks\s*\{[^{}]*\S", "BLIND_THANKS_LEAK", "error", "thanks"), _first(files, ACKNOWLEDGEMENT, "BLIND_ACK_LEAK", "error", "acknowledgements"), _first(files, FUNDING, "BLIND_FUNDING_LEAK", "error"),
+        _say(thanks, "BLIND_THANKS_LEAK", "error", "thanks", F.col("line")), _first(files, ACKNOWLEDGEMENT, "BLIND_ACK_LEAK", "error", "acknowledgements"), _first(files, FUNDING, "BLIND_FUNDING_LEAK", "error"),
         _say(urls, "BLIND_URL_LEAK", F.col("severity"), F.col("url"), F.col("line")),
     ])
 
@@ -119,36 +134,30 @@ def form(files: DataFrame, style: bool = False) -> DataFrame:
     return _union(found)
 
 
-def _keys(files: DataFrame, pattern: str, name: str) -> DataFrame:
-    """Names in the braces of a macro, split at commas: bundle, path, line, name."""
-    m = _each(files, pattern).withColumn(name, F.explode(F.split(F.regexp_extract("match", r"\{([^{}]+)\}$", 1), ","))).withColumn(name, F.trim(name))
-    return m.where(F.col(name) != "").select("bundle", "path", "line", "match", name)
-
-
 def references(files: DataFrame, bibs: DataFrame, style: bool = False) -> DataFrame:
     """References without label, citations without entry and entries without citation.
 
     bibs (bundle, path, text): BibTeX files of each bundle. An entry that a cited one crossrefers to, at any distance,
     is used; a nocite of everything uses all. A bundle that cites without any entry only lacks its bibliography.
     """
-    labels = _keys(files, r"\\label\s*\{[^{}]+\}", "label").select("bundle", "label").distinct()
-    refs = _keys(files, r"\\(?:ref|eqref|autoref|cref|Cref|pageref)\s*\{[^{}]+\}", "label").where("label <> '??'")
+    labels = _each_name(_calls(files, "label"), "label").select("bundle", "label").distinct()
+    refs = _each_name(_calls(files, *REFERS), "label").where("label <> '??'")
     lost = refs.join(labels, ["bundle", "label"], "left_anti")
-    cites = _keys(files, r"\\cite[a-zA-Z*]*\s*(?:\[[^\]]*\]\s*)*\{[^{}]+\}", "entry").where("entry <> '*'")
-    used = cites.select("bundle", "entry").distinct()
-    entry = r"(?i)@(?!comment|string|preamble)\w+\s*\{\s*([^,\s{}]+)\s*,"
-    bodies = bibs.select("bundle", F.explode(F.split("text", r"(?=@\w+\s*\{)")).alias("body")).withColumn("entry", F.regexp_extract("body", entry, 1)).where("entry <> ''")
-    parents = bodies.select("bundle", "entry", F.explode(F.transform(F.regexp_extract_all("body", F.lit(r'(?i)\b(?:crossref|xdata)\s*=\s*(?:\{[^{}]+\}|"[^"]+")'), F.lit(0)), lambda x: F.trim(F.regexp_extract(x, r'[{"]([^{}"]+)', 1)))).alias("parent"))
-    items = _keys(files, r"\\bibitem(?:\s*\[[^\]]*\])?\s*\{[^{}]+\}", "entry").select("bundle", "entry")
+    called = files.select("bundle", "path", F.explode("calls").alias("c")).select("bundle", "path", "c.*")
+    used = _each_name(called.where("name like 'cite%'"), "entry").where("entry <> '*'").select("bundle", "entry").distinct()
+    bodies = written(bibs.select("bundle", F.explode(bib_entries("text")).alias("e")).select("bundle", "e.*"), "lint-entries")
+    parents = bodies.select("bundle", "entry", F.explode("parents").alias("parent"))
+    items = _each_name(_calls(files, "bibitem"), "entry").select("bundle", "entry")
     entries = bodies.select("bundle", "entry").unionByName(items).distinct()
     node = lambda c: F.concat_ws("\x1f", F.col("bundle").cast("string"), c)
     reached = closure(parents.select(node("entry").alias("child"), node("parent").alias("parent")), used.select(node("entry").alias("node"))).select(F.col("ancestor").alias("_n"))
-    all_used = files.where(F.col("clean").rlike(r"\\nocite\s*\{\s*\*\s*\}")).select("bundle").distinct()
+    all_used = _each_name(_calls(files, "nocite"), "entry").where("entry = '*'").select("bundle").distinct()
     with_entries = entries.select("bundle").distinct()
     uncited = entries.join(used, ["bundle", "entry"], "left_anti").withColumn("_n", node("entry")).join(reached, "_n", "left_anti").join(all_used, "bundle", "left_anti")
     undefined = used.join(with_entries, "bundle", "left_semi").join(entries, ["bundle", "entry"], "left_anti")
     bare = used.select("bundle").distinct().join(with_entries, "bundle", "left_anti")
-    directive = files.where(F.col("clean").rlike(r"\\(?:bibliography|addbibresource)\s*(?:\[[^\]]*\]\s*)*\{|\\bibitem|\\begin\{thebibliography\}")).select("bundle")
+    listed = called.where(F.col("name").isin("bibliography", "addbibresource", "bibitem") | ((F.col("name") == "begin") & (F.try_element_at("args", F.lit(1)) == "thebibliography")))
+    directive = listed.select("bundle")
     silent = used.select("bundle").distinct().join(with_entries, "bundle", "left_semi").join(directive, "bundle", "left_anti")
     doubled = bodies.groupBy("bundle", "entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return _union([
@@ -159,25 +168,32 @@ def references(files: DataFrame, bibs: DataFrame, style: bool = False) -> DataFr
 
 def structure(files: DataFrame, venues: DataFrame) -> DataFrame:
     """What a venue wants. venues (bundle, required_sections array, forbids_geometry): abstract, sections, packages."""
-    titles = files.select("bundle", F.explode(F.regexp_extract_all("clean", F.lit(r"(?i)\\(?:section|subsection|paragraph)\*?\s*\{([^{}]+)\}"), F.lit(1))).alias("title")).select("bundle", F.lower(F.trim("title")).alias("title"))
-    abstract = files.where(F.contains("clean", F.lit("\\begin{abstract}"))).select("bundle").unionByName(titles.where("title like '%abstract%'").select("bundle"))
+    titles = _calls(files, "section", "subsection", "paragraph").select("bundle", F.lower(F.trim(F.try_element_at("args", F.lit(1)))).alias("title")).where("title is not null")
+    began = _calls(files, "begin").where(F.trim(F.try_element_at("args", F.lit(1))) == "abstract").select("bundle")
+    abstract = began.unionByName(titles.where("title like '%abstract%'").select("bundle"))
     bundles = files.select("bundle").distinct()
     wanted = venues.join(bundles, "bundle", "left_semi").select("bundle", F.explode("required_sections").alias("section"))
     have = wanted.join(titles, "bundle").where(F.contains("title", F.lower("section"))).select("bundle", "section").distinct()
-    packages = files.select("bundle", F.explode(F.regexp_extract_all("clean", F.lit(r"\\usepackage(?:\s*\[[^\]]*\])?\s*\{([^{}]+)\}"), F.lit(1))).alias("p")).select("bundle", F.explode(F.split("p", r"\s*,\s*")).alias("package"))
+    packages = _each_name(_calls(files, "usepackage"), "package")
     forbidden = packages.where(F.trim("package") == "geometry").select("bundle").distinct().join(venues.where("forbids_geometry").select("bundle"), "bundle", "left_semi")
     return _union([_say(bundles.join(abstract, "bundle", "left_anti"), "MISSING_ABSTRACT", "error"), _say(wanted.join(have, ["bundle", "section"], "left_anti"), "MISSING_REQUIRED_SECTION", "error", F.col("section")), _say(forbidden, "FORBIDDEN_PACKAGE", "error", "geometry")])
 
 
 def includes(files: DataFrame, entries: DataFrame) -> DataFrame:
     """The tree of included files from each bundle's entry (bundle, path): paths out of the bundle, files that are missing,
-    cycles, and bundles over their bounds of depth, files or bytes."""
-    pattern = r"\\(?:input|include|subfile)\s*\{[^{}]+\}"
-    inc = _keys(files, pattern, "child").where(~F.col("child").isin("glyphtounicode", "glyphtounicode-cmex", "glyphtounicode-cmr"))
-    inc = inc.withColumn("child", F.when(F.col("child").rlike(r"\.[A-Za-z0-9]+$"), F.col("child")).otherwise(F.concat("child", F.lit(".tex"))))
-    unsafe = inc.where(F.col("child").rlike(r"^(?:/|[A-Za-z]:|\\)|(?:^|/)\.\.(?:/|$)"))
-    inside = inc.join(unsafe.select("bundle", "child").distinct(), ["bundle", "child"], "left_anti").withColumn("child", F.regexp_replace("child", r"^(?:\./)+", ""))
-    lost = inside.join(files.select("bundle", F.col("path").alias("child")), ["bundle", "child"], "left_anti")
+    cycles, and bundles over their bounds of depth, files or bytes.
+
+    A path is looked for from the root, and where it is not there but beside the including file, from there; imports go
+    by the root or the file alone. Files that are only shown must lie in the bundle.
+    """
+    inc = files.select("bundle", "path", F.explode("calls").alias("c")).select("bundle", "path", "c.line", "c.includes.*").where("target is not null and target not in ('glyphtounicode.tex', 'glyphtounicode-cmex.tex', 'glyphtounicode-cmr.tex')")
+    there = files.select("bundle", F.col("path").alias("_p"), F.lit(True).alias("_there"))
+    at = lambda df, c: df.join(there.withColumnsRenamed({"_p": c, "_there": f"{c}_there"}), ["bundle", c], "left")
+    inc = at(at(inc, "root"), "local")
+    inc = inc.withColumn("child", F.when(F.col("root_there").isNull() & F.col("local_there"), F.col("local")).when(F.col("root").isNotNull(), F.col("root")).otherwise(F.col("local")))
+    unsafe = inc.where("child is null").withColumn("child", F.col("target"))
+    inside = inc.where("child is not null and tex")
+    lost = inside.where("root_there is null and local_there is null")
     node = lambda c: F.concat_ws("\x1f", F.col("bundle").cast("string"), c)
     links = inside.select(node("path").alias("child"), node("child").alias("parent")).distinct()
     starts = entries.select(node("path").alias("node"))
@@ -201,7 +217,7 @@ def bibliographies(files: DataFrame, tree: DataFrame) -> DataFrame:
     A declared path out of the bundle is unsafe, one that is not there missing; a bundle that declares none is searched
     whole, where links are passed over and said, and too many files end it.
     """
-    declared = _keys(files, r"\\(?:bibliography|addbibresource)\s*(?:\[[^\]]*\]\s*)*\{[^{}]+\}", "bib")
+    declared = _each_name(_calls(files, "bibliography", "addbibresource"), "bib")
     declared = declared.withColumn("path", F.when(F.lower("bib").endswith(".bib"), F.col("bib")).otherwise(F.concat("bib", F.lit(".bib"))))
     unsafe = declared.where(F.col("path").rlike(r"^(?:/|[A-Za-z]:|\\)|(?:^|/)\.\.(?:/|$)"))
     lost = declared.join(unsafe.select("bundle", "path").distinct(), ["bundle", "path"], "left_anti").join(tree.select("bundle", "path"), ["bundle", "path"], "left_anti")
@@ -216,10 +232,8 @@ def page_limits(reads: DataFrame, pages: DataFrame, venues: DataFrame) -> DataFr
     what = {"missing": "MISSING_PDF", "unavailable": "PDF_CHECK_UNAVAILABLE", "failed": "PDF_CHECK_FAILED"}
     asked = reads.join(venues.where("max_pages > 0").select("bundle", "max_pages"), "bundle")
     unread = [_say(asked.where(F.col("status") == status), code, "error") for status, code in what.items()]
-    head = r"(?i)(?:^|\n)\s*(?:\d+\.?\s+)?(?:references|bibliography)\s*(?:\n|$)"
-    running = r"(?i)(?:page\s*\d+(?:\s*(?:/|of)\s*\d+)?|under\s+review\s+as\s+a\s+conference\s+paper\b.*|published\s+as\s+a\s+conference\s+paper\b.*|anonymous\s+authors?|preprint\.?\s*under\s+review.*|[\d\s\-–—.|/]+)"
-    at = F.regexp_instr("text", F.lit(head), F.lit(0))
-    before = F.filter(F.transform(F.split(F.left("text", at - 1), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike("^" + running + "$"))
+    at = F.regexp_instr("text", F.lit(REFERENCES), F.lit(0))
+    before = F.filter(F.transform(F.split(F.left("text", at - 1), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike("^" + RUNNING + "$"))
     p = pages.join(asked.where("status = 'ok'"), "bundle").withColumn("at", at).withColumn("prose", F.size(before) > 0)
     first = p.groupBy("bundle", "max_pages").agg(F.min(F.when(F.col("at") > 0, F.struct("page", "prose"))).alias("refs"), F.count(F.lit(1)).alias("all"))
     body = F.coalesce(F.col("refs.page") - F.when(F.col("refs.prose"), 0).otherwise(1), F.col("all"))

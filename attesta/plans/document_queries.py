@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from attesta.operators import deliberate as P
 from attesta.operators import forensics as Q
+from attesta.operators import lint
 from attesta.plans.registry import query
 from attesta.sources import biblio as B
 from attesta.sources import documents as A
@@ -69,29 +70,42 @@ def manuscripts(spark, d):
     return table(spark, d, "part").select("p_partkey", text.alias("text"))
 
 
-@query("lint_rules", "with c as (select p_partkey k from part) select k p_partkey, 'FINAL_MODE_IN_REVIEW' code, 'error' severity, 1::bigint n from c where k % 2 = 0 union all select k, 'FORBIDDEN_PACKAGE', 'error', 1 from c where k % 3 = 0 union all select k, 'UNRESOLVED_TODO', 'warning', 1 from c where k % 11 = 0 union all select k, 'UNRESOLVED_REFERENCE', 'error', 1 from c where k % 11 = 0")
+def bundles(spark, d):
+    """The manuscripts read by lint, and what their venue wants."""
+    files = lint.masked_files(manuscripts(spark, d).select(F.col("p_partkey").alias("bundle"), F.lit("main.tex").alias("path"), "text"))
+    return files, files.select("bundle", F.array(F.lit("Limitations")).alias("required_sections"), F.lit(True).alias("forbids_geometry"))
+
+
+def entries(spark, d):
+    """Four entries a manuscript, the first under the last; for every sixth the first twice."""
+    first = "@article{a0,\n title = {On @misc{no, } x},\n crossref = {a3}}\n"
+    rest = "".join(f'@book{{a{i}, title = "T, {i}"}}\n' for i in (1, 2, 3)) + "@comment{a9, x}\n"
+    return table(spark, d, "part").select(F.col("p_partkey").alias("bundle"), F.lit("x.bib").alias("path"), F.when(F.col("p_partkey") % 6 == 0, 2 * first + rest).otherwise(first + rest).alias("text"))
+
+
+@query("lint_rules", "with c as (select p_partkey k from part) select k p_partkey, 'FINAL_MODE_IN_REVIEW' code, 'error' severity, 1::bigint n from c where k % 2 = 0 union all select k, 'FORBIDDEN_PACKAGE', 'error', 1 from c where k % 3 = 0 union all select k, 'UNRESOLVED_TODO', 'warning', 1 from c where k % 11 = 0 union all select k, 'UNRESOLVED_REFERENCE', 'error', 1 from c where k % 11 = 0 union all select k, 'TABLE_MISSING_DISPERSION', 'warning', 1 from c where k % 2 = 1")
 def lint_rules(spark, d):
-    return Q.lint_lines(Q.tex_lines(manuscripts(spark, d), "p_partkey", "text"), "p_partkey").groupBy("p_partkey", "code", "severity").agg(F.count("*").alias("n"))
+    files, venues = bundles(spark, d)
+    found = lint.final_mode(files).unionByName(lint.form(files)).unionByName(lint.structure(files, venues).where("code = 'FORBIDDEN_PACKAGE'"))
+    return found.groupBy(F.col("bundle").alias("p_partkey"), "code", "severity").agg(F.count("*").alias("n"))
 
 
-@query("lint_references", "with c as (select p_partkey k from part) select k p_partkey, 'UNDEFINED_CITATION' code, 'error' severity, 'a' || k % 7 detail from c where k % 7 > 3 union all select k, 'UNCITED_BIB_ENTRY', 'warning', 'a' || i from c, (select unnest([0, 1, 2, 3]) i) where k % 7 <> i and not (i = 3 and k % 7 = 0) union all select k, 'DUPLICATE_BIB_KEY', 'error', 'a0' from c where k % 6 = 0 union all select k, 'UNRESOLVED_REFERENCE', 'error', 't' || k % 4 from c where k % 4 <> 1")
+@query("lint_references", "with c as (select p_partkey k from part) select k p_partkey, 'UNDEFINED_CITATION' code, 'error' severity, 'a' || k % 7 detail from c where k % 7 > 3 union all select k, 'UNCITED_BIB_ENTRY', 'warning', 'a' || i from c, (select unnest([0, 1, 2, 3]) i) where k % 7 <> i and not (i = 3 and k % 7 = 0) union all select k, 'DUPLICATE_BIB_KEY', 'error', 'a0' from c where k % 6 = 0 union all select k, 'UNRESOLVED_REFERENCE', 'error', 't' || k % 4 from c where k % 4 <> 1 union all select k, 'MISSING_BIBLIOGRAPHY_DIRECTIVE', 'warning', '' from c where k % 4 > 0")
 def lint_references(spark, d):
-    rows = Q.tex_lines(manuscripts(spark, d), "p_partkey", "text")
-    bib = table(spark, d, "part").select("p_partkey", F.explode(F.array(*[F.struct(F.lit(f"a{i}").alias("entry"), (F.lit("a3") if i == 0 else F.lit(None).cast("string")).alias("crossref")) for i in range(4)])).alias("b")).select("p_partkey", "b.*")
-    twice = bib.where("p_partkey % 6 = 0 and entry = 'a0'")
-    return Q.reference_lint(rows, bib.unionByName(twice), "p_partkey").select("p_partkey", "code", "severity", "detail")
+    return lint.references(bundles(spark, d)[0], entries(spark, d)).select(F.col("bundle").alias("p_partkey"), "code", "severity", "detail")
 
 
-@query("lint_bundles", "with c as (select p_partkey k from part) select k p_partkey, 'MISSING_ABSTRACT' code, 'error' severity from c where k % 5 = 0 union all select k, 'MISSING_BIBLIOGRAPHY_DIRECTIVE', 'warning' from c where k % 4 > 0 union all select k, 'MISSING_REQUIRED_SECTION', 'error' from c where k % 3 <> 1 union all select k, 'TABLE_MISSING_DISPERSION', 'warning' from c where k % 2 = 1")
+@query("lint_bundles", "with c as (select p_partkey k from part) select k p_partkey, 'MISSING_ABSTRACT' code, 'error' severity from c where k % 5 = 0 union all select k, 'FORBIDDEN_PACKAGE', 'error' from c where k % 3 = 0 union all select k, 'MISSING_REQUIRED_SECTION', 'error' from c where k % 3 <> 1 union all select k, 'MISSING_BIBLIOGRAPHY', 'error' from c where k % 4 = 0")
 def lint_bundles(spark, d):
-    return Q.bundle_lint(manuscripts(spark, d), "p_partkey", "text", ("Limitations",)).select("p_partkey", "code", "severity")
+    """What a venue wants, and the bibliography that a bundle declares, which is not among its files."""
+    files, venues = bundles(spark, d)
+    tree = files.select("bundle", "path", F.lit(False).alias("link"))
+    return lint.structure(files, venues).unionByName(lint.bibliographies(files, tree)).select(F.col("bundle").alias("p_partkey"), "code", "severity")
 
 
 @query("lint_includes", "with n as (select distinct o_custkey b, 'm' || (o_orderkey % 40) || '.tex' f from orders), i as (select distinct o_custkey b, 'm' || (o_orderkey % 40) || '.tex' p, case when o_orderkey % 11 = 0 then '../up.tex' else 'm' || (o_orderkey % 43 + 1) || '.tex' end c from orders) select b bundle, c child, case when c like '../%' then 'UNSAFE_INCLUDE_PATH' else 'MISSING_INCLUDE' end code from i where (b, c) not in (select b, f from n) group by all")
 def lint_includes(spark, d):
     """A customer is a bundle, an order a file that includes another; which of these are there follows from the orders."""
-    from attesta.operators import lint
-
     k = F.col("o_orderkey")
     name = lambda n: F.concat(F.lit("m"), n.cast("string"), F.lit(".tex"))
     text = F.concat(F.lit("\\input{"), F.when(k % 11 == 0, "../up").otherwise(F.concat(F.lit("m"), (k % 43 + 1).cast("string"))), F.lit("}"))
@@ -100,26 +114,37 @@ def lint_includes(spark, d):
     return found.where(F.col("code").isin("UNSAFE_INCLUDE_PATH", "MISSING_INCLUDE")).select("bundle", F.when(F.col("code") == "UNSAFE_INCLUDE_PATH", "../up.tex").otherwise(F.col("detail")).alias("child"), "code").distinct()
 
 
-@query("page_limits", "select p_partkey, (p_size % 12 + 1)::bigint body_pages, case when p_size % 12 + 1 > 9 then 'PDF_PAGE_LIMIT_EXCEEDED' end code from part")
+@query("page_limits", "select p_partkey, (p_size % 12 + 1)::varchar body_pages, 'PDF_PAGE_LIMIT_EXCEEDED' code from part where p_size % 12 + 1 > 9")
 def page_limits(spark, d):
     prose = "Some prose of a page. " * 20
-    p = table(spark, d, "part").select("p_partkey", (F.col("p_size") % 12 + 1).alias("n"), F.explode(F.sequence(F.lit(1), F.lit(14))).alias("page"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("bundle"), (F.col("p_size") % 12 + 1).alias("n"), F.explode(F.sequence(F.lit(1), F.lit(14))).alias("page"))
     text = F.when(F.col("page") == F.col("n"), prose + "\nReferences\n[1] x").when(F.col("page") == F.col("n") + 1, "References\nmore").otherwise(prose)
-    return Q.page_limit(p.select("p_partkey", "page", text.alias("text")), "p_partkey", 9)
+    reads = table(spark, d, "part").select(F.col("p_partkey").alias("bundle"), F.lit("ok").alias("status"))
+    found = lint.page_limits(reads, p.select("bundle", "page", text.alias("text")), reads.select("bundle", F.lit(9).alias("max_pages")))
+    return found.select(F.col("bundle").alias("p_partkey"), F.col("detail").alias("body_pages"), "code")
+
+
+def tagged(spark, d, text):
+    """A bundle of one line a part, each with a graph of claims."""
+    files = lint.masked_files(table(spark, d, "part").select(F.col("p_partkey").alias("bundle"), F.lit("main.tex").alias("path"), text.alias("text")))
+    return files, files.select("bundle", F.lit(0).alias("dangling"), F.lit(0).alias("errors"))
 
 
-@query("claim_bindings", "select p_partkey, case when p_partkey % 3 = 0 then 'INVALID_CEG_BINDING' else 'UNVERIFIED_CEG_ANCHOR' end code from part where p_partkey % 3 < 2")
+@query("claim_bindings", "select p_partkey, 'INVALID_CEG_BINDING' code from part where p_partkey % 3 < 2 union all select p_partkey, 'CEG_CLAIM_TEXT_MISMATCH' from part where p_partkey % 3 = 2 and p_size % 2 = 0")
 def claim_bindings(spark, d):
+    """Claims nobody knows, claims in conflict, and eligible ones, half of whom say another number."""
     k = F.col("p_partkey")
-    p = table(spark, d, "part").select("p_partkey", F.concat(F.lit("We gain 3% % claim: c"), k.cast("string")).alias("t"))
-    anchors = table(spark, d, "part").where("p_partkey % 3 > 0").select(F.concat(F.lit("c"), k.cast("string")).alias("claim"), F.when(k % 3 == 1, "conflicted").otherwise("eligible").alias("anchor"))
-    return Q.bound_claims(Q.lines(p, "p_partkey", "t"), anchors, "p_partkey").select("p_partkey", "code")
+    files, graphs = tagged(spark, d, F.concat(F.lit("We gain 3\\% % ark:claim=c"), k.cast("string")))
+    stated = F.concat(F.lit("We gain "), F.when(F.col("p_size") % 2 == 0, "4").otherwise("3"), F.lit("%"))
+    anchors = table(spark, d, "part").where("p_partkey % 3 > 0").select(k.alias("bundle"), F.concat(F.lit("c"), k.cast("string")).alias("claim"), F.when(k % 3 == 1, "conflicted").otherwise("eligible").alias("anchor"), stated.alias("text"))
+    return lint.bindings(files, graphs, anchors).select(F.col("bundle").alias("p_partkey"), "code")
 
 
 @query("ungrounded_claims", "select p_partkey, 1::int line, 'UNGROUNDED_QUANT_CLAIM' code from part where p_partkey % 2 = 0")
 def ungrounded_claims(spark, d):
-    t = F.when(F.col("p_partkey") % 2 == 0, "It improves accuracy by 3.2%.").otherwise("It improves by 3% % claim: c1")
-    return Q.ungrounded(Q.lines(table(spark, d, "part").select("p_partkey", t.alias("t")), "p_partkey", "t"), "p_partkey")
+    files, graphs = tagged(spark, d, F.when(F.col("p_partkey") % 2 == 0, "It improves accuracy by 3.2\\%.").otherwise("It is so. % ark:claim=c1"))
+    anchors = files.select("bundle", F.lit("c1").alias("claim"), F.lit("eligible").alias("anchor"), F.lit("It is so").alias("text"))
+    return lint.bindings(files, graphs, anchors, strict=True).select(F.col("bundle").alias("p_partkey"), "line", "code")
 
 
 @query("repo_composition", "with f as (select ['core', 'vendored', 'tests', 'examples', 'excluded'][(p_partkey % 5 + 1)::int] \"class\", p_size * 100 size from part), g as (select \"class\", count(*) files, sum(size)::bigint bytes from f group by 1) select \"class\", files, bytes, floor(bytes / 38)::bigint \"lines\", case when \"class\" <> 'excluded' then round(bytes / sum(bytes) filter (\"class\" <> 'excluded') over ()::double, 6) end \"share\" from g")

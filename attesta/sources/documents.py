@@ -10,9 +10,11 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from attesta.functions.tex import braced
 from attesta.sources.markup import article_segments, word_segments, workbook_segments
@@ -196,6 +198,31 @@ def _bib_entries(text: str) -> Iterator[tuple[str, str]]:
         at = end
 
 
+def _linked(entry: str) -> list[str]:
+    """Keys that an entry's crossref and xdata fields name."""
+    found, at = [], entry.find(",")
+    while at >= 0 and (sign := entry.find("=", at)) >= 0:
+        name = entry[at + 1 : sign].strip().lower()
+        start = sign + 1 + len(entry[sign + 1 :]) - len(entry[sign + 1 :].lstrip())
+        if entry[start : start + 1] == "{":
+            end = _balanced(entry, start)
+        elif entry[start : start + 1] == '"':
+            end = entry.find('"', start + 1) + 1 or len(entry)
+        else:
+            end = start
+        if name in ("crossref", "xdata") and end > start:
+            found.append(entry[start + 1 : end - 1].strip())
+        at = entry.find(",", end)
+    return found
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("entry", StringType()), StructField("parents", ArrayType(StringType()))])))
+def bib_entries(text: pd.Series) -> pd.Series:
+    """Keys of a BibTeX file's entries, each with those it inherits from; comments, strings and preambles are none."""
+    skipped = ("comment", "string", "preamble")
+    return text.map(lambda t: [{"entry": key, "parents": _linked(entry)} for key, entry in _bib_entries(t or "") if entry[1:].split("{", 1)[0].strip().lower() not in skipped])
+
+
 def _bib_items(text: str) -> Iterator[tuple[str, str]]:
     """(key, item) of a list of references: an item goes to the next one, or to the end of the list."""
     first, *rest = text.partition("\\end{thebibliography}")[0].split("\\bibitem")

@@ -176,6 +176,15 @@ def test_lint_of_trees(spark):
     assert {(r["bundle"], r["code"], r["detail"]) for r in lint.bibliographies(f, tree).collect()} == {("x", "UNSAFE_BIB_PATH", "../a.bib"), ("x", "MISSING_BIBLIOGRAPHY", "gone.bib"), ("y", "UNSAFE_BIB_SYMLINK", "link"), ("y", "INCOMPLETE_COVERAGE", "40 bibliographies")}
 
 
+def test_includes_of_all_forms(spark):
+    main = "\n".join([r"\input{sec/a}", r"\include{sec/gone1}", r"\input sec/gone2", r'\input "sec/gone3.tex"', r"\subfile*[x=1]{gone4}", r"\import{sec/}{gone5}", r"\import*{sec}{b.tex}", r"\includegraphics[width=1]{../out.png}", r"\inputminted{py}{/abs.py}", r"\import{/etc/}{x}", r"\input{glyphtounicode}", r"\input{sec/../there}", r"\lstinputlisting{any/where.py}"])
+    a = "\n".join([r"\input{b}", r"\subimport{deep/}{gone6}", r"\import{deep}{gone7}", r"\input{../../up}", r"\inputs{no}"])
+    f = bundle(spark, [("t", "main.tex", main), ("t", "sec/a.tex", a), ("t", "sec/b.tex", "end"), ("t", "there.tex", "end")])
+    got = {(r["path"], r["line"], r["code"], r["detail"]) for r in lint.includes(f, spark.createDataFrame([("t", "main.tex")], "bundle string, path string")).collect()}
+    lost = {("main.tex", i, "MISSING_INCLUDE", d) for i, d in ((2, "sec/gone1.tex"), (3, "sec/gone2.tex"), (4, "sec/gone3.tex"), (5, "gone4.tex"), (6, "sec/gone5.tex"))} | {("sec/a.tex", i, "MISSING_INCLUDE", d) for i, d in ((2, "sec/deep/gone6.tex"), (3, "deep/gone7.tex"))}
+    assert got == lost | {("main.tex", 8, "UNSAFE_INCLUDE_PATH", "../out.png"), ("main.tex", 9, "UNSAFE_INCLUDE_PATH", "/abs.py"), ("main.tex", 10, "UNSAFE_INCLUDE_PATH", "/etc/x.tex"), ("sec/a.tex", 4, "UNSAFE_INCLUDE_PATH", "../../up.tex")}
+
+
 def test_lint_of_pages_and_sections(spark):
     venues = spark.createDataFrame([(b, ["Limitations"], True, 2) for b in ("ok", "over", "shared", "gone", "bad")], "bundle string, required_sections array<string>, forbids_geometry boolean, max_pages int")
     reads = spark.createDataFrame([("ok", "ok"), ("over", "ok"), ("shared", "ok"), ("gone", "missing"), ("bad", "failed")], "bundle string, status string")
