@@ -54,7 +54,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     carried = [c for c in keep or () if c not in ("doc_id", "source")]
     narrow = docs.select("doc_id", "source", *[F.col(c).alias(f"_keep_{c}") for c in carried], n_words(F.col("text")).alias("size"), uniform(F.lit(seed), F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("_u"))
     if quality is not None:
-        narrow = narrow.join(quality.groupBy("doc_id").agg(F.max("weight").alias("_q")), "doc_id", "left")
+        weighed = quality.groupBy("doc_id").agg(F.max("weight").alias("_q"))
+        # with texts beside them rows go by sort and merge at every size, so that what is exchanged grows as the input does
+        narrow = narrow.join(weighed.hint("merge") if carried else weighed, "doc_id", "left")
     else:
         narrow = narrow.withColumn("_q", F.lit(1.0))
     narrow = narrow.withColumn("_key", F.pow("_u", 1.0 / F.coalesce(F.col("_q"), F.lit(1.0)))).withColumn("_bin", F.floor(F.col("_key") * bins).cast("int")).withColumn("_row", F.monotonically_increasing_id())
