@@ -33,8 +33,11 @@ def at_ranks(values: DataFrame, by: list[str], value: str, ranks: dict[str, Colu
         span = F.col("high") - F.col("low")
         # halves where the span is beyond the greatest double
         share = F.when(span < float("inf"), (F.col("v") - F.col("low")) / span).otherwise((F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2))
+        # infinities are bins of their own, before any other
+        edge = F.when(F.col("v") == float("-inf"), 0).when(F.col("v") == float("inf"), 2).otherwise(1)
+        bin_ = F.when((F.col("low") == float("-inf")) | (F.col("high") == float("inf")), edge).otherwise(F.least(F.floor(share * BINS), F.lit(BINS - 1)))
         inside = rows.join(intervals, F.col("g").eqNullSafe(F.col("h")) & F.col("v").between(F.col("low"), F.col("high")))
-        bins = inside.groupBy("h", "low", "high", F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
+        bins = inside.groupBy("h", "low", "high", bin_.alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
         upto = Window.partitionBy("h", "low", "high").orderBy("bin")  # at most BINS rows
         bins = bins.withColumn("before", F.sum("c").over(upto) - F.col("c")).withColumnsRenamed({"low": "_low", "high": "_high"})
         met = now.where("low < high").join(bins, F.col("g").eqNullSafe(F.col("h")) & (F.col("low") == F.col("_low")) & (F.col("high") == F.col("_high")))
