@@ -40,8 +40,12 @@ _BLANK, _UPPER, _LOWER, _DIGIT = _lut(BLANKS), _lut(bytes(range(65, 91))), _lut(
 _SHOUT, _SYMBOL, _BAR, _END = _lut(b"!"), _lut(b"#*$%&<>"), _lut(b"|"), _lut(b".!?")
 
 
-def _measure(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """block: lines that each end in a newline. Own features without `seen`, lengths without blanks, line hashes."""
+COUNTS = ("words", "chars", "upper", "lower", "shouts", "symbols", "bars", "again", "digits")
+
+
+def _measure(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """block: lines that each end in a newline. Their counts, whether a sentence ends with them, hashes, bytes, and the hashes of their
+    first and last words (0 without one)."""
     arr = np.frombuffer(block, np.uint8)
     ends = np.flatnonzero(arr == 10)
     starts = np.r_[0, ends[:-1] + 1]
@@ -55,40 +59,75 @@ def _measure(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     line = np.searchsorted(ends, first)
     again = line[1:][(words[1:] == words[:-1]) & (line[1:] == line[:-1])]
     n, chars = np.bincount(line, minlength=len(ends)), (ends - starts + 1) - count(_BLANK)
-    w = np.maximum(n, 1)
-    upper, lower = count(_UPPER), count(_LOWER)
     closes = _END[arr[np.maximum(ends - 1, 0)]] & (ends > starts)
-    own = np.stack([np.log1p(n), chars / w / 10, upper / np.maximum(upper + lower, 1), count(_SHOUT) / w, count(_SYMBOL) / w, count(_BAR) / w, np.bincount(again, minlength=len(ends)) / w, closes, count(_DIGIT) / np.maximum(chars, 1)], 1)
-    return own, chars, (sums[ends] - sums[starts]) * back[starts]
+    outer = np.zeros((len(ends), 2), np.uint64)
+    if len(line):
+        new = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+        outer[line[new], 0], outer[line[new], 1] = words[new], words[np.r_[new[1:] - 1, len(words) - 1]]
+    counts = np.stack([n, chars, count(_UPPER), count(_LOWER), count(_SHOUT), count(_SYMBOL), count(_BAR), np.bincount(again, minlength=len(ends)), count(_DIGIT)], 1)
+    return counts, closes, (sums[ends] - sums[starts]) * back[starts], ends - starts, outer
+
+
+def _whole_lines(parts: list[tuple], open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, closes and hashes of lines from those of their parts; open_: a part goes on in the next one, with a blank between words."""
+    counts, closes, h, size, outer = (np.concatenate(x) for x in zip(*parts, strict=True))
+    first = np.flatnonzero(np.r_[True, ~open_[:-1]])
+    last = np.r_[first[1:] - 1, len(open_) - 1]
+    total = np.add.reduceat(counts, first, axis=0)
+    whole = h[first]
+    for i in np.flatnonzero(last > first).tolist():
+        code, at, word = 0, 0, None
+        for k in range(first[i], last[i] + 1):
+            code, at = (code + int(h[k]) * pow(int(_BASE), int(at), 1 << 64)) % (1 << 64), at + int(size[k])
+            if counts[k, 0]:
+                total[i, 7] += word == outer[k, 0]
+                word = outer[k, 1]
+        whole[i] = code
+    return total, closes[last], whole
+
+
+def _own(counts: np.ndarray, closes: np.ndarray) -> np.ndarray:
+    """The features of OWN without `seen`."""
+    n, chars, upper, lower, shouts, symbols, bars, again, digits = counts.T
+    w = np.maximum(n, 1)
+    return np.stack([np.log1p(n), chars / w / 10, upper / np.maximum(upper + lower, 1), shouts / w, symbols / w, bars / w, again / w, closes, digits / np.maximum(chars, 1)], 1)
 
 
 def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all lines with a word, their lengths, and the text each belongs to. Whole texts are measured."""
-    owns, lengths, hashes, docs, block, held, owners = [], [], [], [], [], 0, []
+    """Features of all lines with a word, their lengths, and the text each belongs to. Whole texts are measured, long lines in parts
+    cut at blanks, so what is held beyond a text is some forty times BLOCK, or its longest word."""
+    parts, opens, docs, block, held, owners = [], [], [], [], 0, []
 
     def flush() -> None:
         nonlocal block, held, owners
         if block:
-            own, length, h = _measure(b"".join(block))
-            owns.append(own)
-            lengths.append(length)
-            hashes.append(h)
-            docs.append(np.repeat(*np.array(owners).T))
+            parts.append(_measure(b"".join(block)))
+            opens.append(np.concatenate([np.r_[np.zeros(n - 1, bool), goes_on] for _, n, goes_on in owners]))
+            docs.append(np.repeat([i for i, _, _ in owners], [n for _, n, _ in owners]))
         block, held, owners = [], 0, []
 
     for i, text in enumerate(texts):
         data, at = utf8(text) + b"\n", 0
         while at < len(data):
-            end = len(data) if len(data) - at <= BLOCK else data.find(b"\n", at + BLOCK - 1) + 1
-            part = data[at:end]
+            end = len(data) if len(data) - at <= BLOCK else data.rfind(b"\n", at, at + BLOCK) + 1
+            goes_on = not end
+            if goes_on:  # no line ends here: the part ends before a blank, which the next one begins with
+                end = at + BLOCK
+                while data[end] not in BLANKS:
+                    end += 1
+                goes_on = data[end] != 10
+                end += not goes_on
+            part = data[at:end] + b"\n" * goes_on
             block.append(part)
-            owners.append((i, part.count(b"\n")))
+            owners.append((i, part.count(b"\n"), goes_on))
             held += len(part)
             at = end
             if held >= BLOCK:
                 flush()
     flush()
-    own, length, h, doc = np.concatenate(owns), np.concatenate(lengths), np.concatenate(hashes), np.concatenate(docs)
+    open_ = np.concatenate(opens)
+    counts, closes, h = _whole_lines(parts, open_)
+    own, length, doc = _own(counts, closes), counts[:, 1], np.concatenate(docs)[np.r_[True, ~open_[:-1]]]
     some = length > 0
     own, length, h, doc = own[some], length[some], h[some], doc[some]
     order = np.lexsort((h, doc))
@@ -231,7 +270,7 @@ def score_documents(docs: DataFrame, model: LineModel) -> DataFrame:
     """docs (text, ...) -> its columns and quality_score (0 to 1); a column of that name is replaced.
 
     Null texts, empty ones and those without a word score 0. Equal texts score alike, whatever their ids; very
-    long texts are measured whole, in blocks of lines; an empty table gives an empty one.
+    long texts are measured whole, in blocks, and so are very long lines; an empty table gives an empty one.
     """
     docs = docs.drop("quality_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few dozen weights

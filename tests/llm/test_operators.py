@@ -555,6 +555,24 @@ def test_quality(spark):
     assert crf.score_documents(empty(spark), crf.fit_lines([])).count() == 0
 
 
+def test_long_lines_are_measured_in_parts(monkeypatch):
+    """The same features however small the parts, and memory that does not grow with the line."""
+    import tracemalloc
+
+    rng = random.Random(1)
+    texts = [None, "", "a", "a a\n\n b.", "x " * 50] + [" ".join(rng.choice(["aa", "b!", "C|d", "9.", "aa", "é#"]) + rng.choice(["", "", " ", "\n", "\t"]) for _ in range(rng.randrange(400))) for _ in range(40)]
+    whole = crf.line_features(texts)
+    for block in (8, 50, 301):
+        monkeypatch.setattr(crf, "BLOCK", block)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, crf.line_features(texts), strict=True))
+    monkeypatch.setattr(crf, "BLOCK", 1 << 18)
+    tracemalloc.start()
+    crf.line_features(["word 12 " * 1_000_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+
+
 # 7
 
 
