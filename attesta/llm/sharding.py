@@ -46,7 +46,7 @@ def _inside(starts: list[int], left: int) -> Column:
 def find_splitters(rows: DataFrame, shards: int, tolerance: float = 0.002, bits: int = 12) -> list[int]:
     """rows (key, size, row) -> shards - 1 boundaries, ascending; a row goes to the shard bisect_right(boundaries, key << 63 | row).
 
-    row: numbers below 2**63 that tell rows of one key apart; without the column, rows of one key stay together.
+    row: numbers below 2**63 that tell rows of one key apart; without the column, rows of one key stay together and boundaries are keys.
     tolerance: allowed distance of each boundary's exact bytes from its aim, as a share of a mean shard.
     Where one row (or one key) weighs more than that, the boundary next to it that is nearer the aim is taken.
     """
@@ -80,7 +80,7 @@ def find_splitters(rows: DataFrame, shards: int, tolerance: float = 0.002, bits:
                 else:
                     after.setdefault(own[at][0], (low, []))[1].append(i)
         open_, left = after, step
-    return [found[i] for i in range(shards - 1)]
+    return [found[i] >> end for i in range(shards - 1)]
 
 
 def _chosen(bounds: list[int], low: int = 0) -> Column:
