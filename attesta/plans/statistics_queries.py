@@ -161,10 +161,15 @@ def p_from_chi2(spark, d):
     return n.select("x", "df", F.round(special.p_from_chi2(F.col("x").cast("double"), F.col("df").cast("double")), 9).alias("p"))
 
 
-@query("p_from_z")
+#: Weights of Simpson's rule on 2,000 steps, as SQL over i from 0 to 2000.
+_SIMPSON = "(case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end)"
+
+
+@query("p_from_z", f"with n as (select distinct l_linenumber from lineitem), g as (select l_linenumber, l_linenumber / 2.0 z, unnest(range(0, 2001)) i from n) select l_linenumber, round(1 - 2 * any_value(z) / 6000 * sum({_SIMPSON} * exp(-0.5 * (z * i / 2000) ** 2) / sqrt(2 * pi())), 9) p from g group by 1")
 def p_from_z(spark, d):
+    """Two-sided normal tails; the SQL integrates the density by Simpson's rule."""
     n = table(spark, d, "lineitem").select("l_linenumber").distinct()
-    return n.select("l_linenumber", special.p_from_z(F.col("l_linenumber") / 2.0).alias("p"))
+    return n.select("l_linenumber", F.round(special.p_from_z(F.col("l_linenumber") / 2.0), 9).alias("p"))
 
 
 @query("power_ttest")
@@ -234,8 +239,9 @@ def subgroup_q(spark, d):
     return M.subgroups(studies(spark, d), ["analysis"]).select("analysis", r6("q_within").alias("q_within"), r6("q_between").alias("q_between"), "df_between")
 
 
-@query("subgroup_p")
+@query("subgroup_p", f"with {_ST}, t as {_het('analysis')}, i as (select analysis, sum(q) qw, count(*) - 1 dfb from (select analysis, q from {_het('analysis, subgroup')}) group by 1), b as (select t.analysis, dfb, sqrt(greatest(0, q - qw)) u, unnest(range(0, 2001)) i from t join i using (analysis)) select analysis, round(case when any_value(dfb) > 0 then 1 - any_value(u) / 6000 * sum({_SIMPSON} * 2 * (u * i / 2000) ** (dfb - 1) * exp(-0.5 * (u * i / 2000) ** 2) / (2 ** (dfb / 2.0) * gamma(dfb / 2.0))) end, 6) p_between from b group by 1")
 def subgroup_p(spark, d):
+    """The SQL integrates the density of chi, whose square has the tail asked for."""
     return M.subgroups(studies(spark, d), ["analysis"]).select("analysis", r6("p_between").alias("p_between"))
 
 
@@ -247,8 +253,9 @@ def egger_intercept(spark, d):
     return M.egger(studies(spark, d), ["analysis"]).select("analysis", "k", r6("slope").alias("slope"), r6("intercept").alias("intercept"), F.round("t", 4).alias("t"))
 
 
-@query("egger_p")
+@query("egger_p", f"{_EG}, z as (select analysis, k - 2 v, abs(case when k >= 3 then a / sqrt(rss / (k - 2) * (1.0 / k + mx * mx / sxx)) end) t, unnest(range(0, 2001)) i from s) select analysis, round(1 - 2 * any_value(t) / 6000 * sum({_SIMPSON} * exp(lgamma((v + 1) / 2.0) - lgamma(v / 2.0)) / sqrt(v * pi()) * (1 + (t * i / 2000) ** 2 / v) ** (-(v + 1) / 2.0)), 6) p from z group by 1")
 def egger_p(spark, d):
+    """The SQL integrates the density of t by Simpson's rule."""
     return M.egger(studies(spark, d), ["analysis"]).select("analysis", r6("p").alias("p"))
 
 
