@@ -276,10 +276,21 @@ def complementarity(spark, d):
     return P.complementarity(findings(spark, d))
 
 
-@query("derangement")
+#: Three orders in a row review one another; what a review weighs follows from both their prices.
+_WEIGHT = "cast(cast(floor(r.o_totalprice) as bigint) * cast(floor(r.o_totalprice) as bigint) * cast(floor(a.o_totalprice) as bigint) % 100003 as double)"
+
+
+@query("derangement", f"""
+with w as (select r.o_orderkey // 3 g, r.o_orderkey % 3 i, a.o_orderkey % 3 j, r.o_orderkey reviewer, a.o_orderkey author, {_WEIGHT} weight from orders r join orders a on r.o_orderkey // 3 = a.o_orderkey // 3 and r.o_orderkey <> a.o_orderkey),
+t as (select g, (j - i + 3) % 3 turn, sum(weight) total, count(*) n from w group by all), b as (select g, arg_max(turn, (n, total)) turn from t group by g having max(n) = 3)
+select g panel, reviewer, author, weight from w join b using (g) where (j - i + 3) % 3 = turn""")
 def derangement(spark, d):
-    w = P.complementarity(findings(spark, d)).withColumn("round", F.lit(1))
-    return P.assign_reviewers(w, ["round"])
+    """Panels of three, each given the one of its two ways round that weighs more."""
+    o = table(spark, d, "orders").withColumn("panel", F.floor(F.col("o_orderkey") / 3).cast("long"))
+    full = o.groupBy("panel").agg(F.count("*").alias("n")).where("n = 3").select("panel")
+    r, a = o.join(full, "panel").alias("r"), o.alias("a")
+    w = r.join(a, F.expr("r.panel = a.panel and r.o_orderkey <> a.o_orderkey")).select(F.col("r.panel").alias("panel"), F.col("r.o_orderkey").alias("reviewer"), F.col("a.o_orderkey").alias("author"), F.expr(_WEIGHT).alias("weight"))
+    return P.assign_reviewers(w, ["panel"])
 
 
 @query("challenge_plan")

@@ -17,12 +17,18 @@ def json_lines_scan(spark, d):
     return spark.read.schema("event_id long, event_type string, value double, props struct<k: long>").json(path).select("event_id", "event_type", "value", "props.k")
 
 
-@query("json_array_scan", "select n_nationkey, n_name, n_regionkey from nation")
+@query("json_array_scan", """
+select o_custkey document_id, o_orderkey, o_orderstatus, null as error from orders where o_custkey % 9 > 2 union all select o_custkey, null, null, 'no object' from orders where o_custkey % 9 = 2
+union all select distinct o_custkey, null, null, case o_custkey % 9 when 0 then 'an empty array' else 'no array' end from orders where o_custkey % 9 < 2 union all select c_custkey, null, null, 'no JSON' from customer where c_custkey not in (select o_custkey from orders)""")
 def json_array_scan(spark, d):
-    path = new_path(spark, "json")
-    rows = table(spark, d, "nation").agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey"))).alias("value"))
-    rows.write.text(path)
-    return spark.read.schema("n_nationkey int, n_name string, n_regionkey int").json(path, multiLine=True)
+    """A file a customer: an array of its orders, an empty one, an object, an array of numbers, or nothing."""
+    from attesta.sources import documents as A
+
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", "o_orderstatus")).alias("o"))
+    k = F.col("o_custkey") % 9
+    content = F.when(k == 0, F.lit("[]")).when(k == 1, F.to_json(F.struct("o"))).when(k == 2, F.to_json(F.transform("o", lambda x: x["o_orderkey"]))).otherwise(F.to_json("o"))
+    held = table(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_custkey").alias("document_id"), F.coalesce(content, F.lit("")).alias("content"))
+    return A.json_arrays(held, "o_orderkey long, o_orderstatus string").select("document_id", "record.o_orderkey", "record.o_orderstatus", "error")
 
 
 @query("verified_file_pick", "select 1::bigint files, sum(n_nationkey)::bigint total from nation")

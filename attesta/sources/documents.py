@@ -278,6 +278,20 @@ def segments(documents: DataFrame) -> DataFrame:
     return found
 
 
+def json_arrays(documents: DataFrame, record: str) -> DataFrame:
+    """documents (document_id, content text) that are JSON arrays of records (DDL) -> document_id, at (from 0), record, error.
+
+    What is no JSON, no array or an empty one has one row with an error; so has a member that is no object, in its place. Null contents are no JSON.
+    """
+    whole = F.try_parse_json("content")
+    members = F.try_variant_get(whole, "$", "array<variant>")
+    error = F.when(whole.isNull(), "no JSON").when(members.isNull(), "no array").when(F.size(members) == 0, "an empty array")
+    read = documents.select("document_id", error.alias("error"), F.posexplode_outer(F.when(error.isNull(), members)).alias("at", "v"))
+    held = F.from_json(F.to_json("v"), record)
+    wrong = F.when(F.col("error").isNull() & ~F.to_json("v").startswith("{"), "no object").otherwise(F.col("error"))
+    return read.select("document_id", "at", F.when(wrong.isNull(), held).alias("record"), wrong.alias("error"))
+
+
 def files(spark: SparkSession, path: str, exclude: tuple[str, ...] = (".git", "node_modules", "__pycache__")) -> DataFrame:
     """All files below a folder as document_id (path), suffix, length, sha256 and content."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
