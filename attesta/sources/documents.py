@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -108,11 +109,15 @@ def _words(node: _Node) -> str:
     return _clean("".join(parts))
 
 
-def html_segments(page: str) -> list[Segment]:
+#: A reference to a character without its semicolon.
+UNCLOSED = re.compile(r"&(?!(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);)")
+
+
+def html_segments(page: str, closed: bool = False) -> list[Segment]:
     """Headings, paragraphs, tables and preformatted blocks in order, each under the heading before it. A block inside
-    another one is part of it."""
+    another one is part of it. closed: only references with a semicolon stand for a character (HTML takes `&amp` too)."""
     tree = _Tree()
-    tree.feed(page)
+    tree.feed(UNCLOSED.sub("&amp;", page) if closed else page)
     tree.close()
     out, section, todo = [], "", [tree.root]
     while todo:
@@ -127,11 +132,11 @@ def html_segments(page: str) -> list[Segment]:
     return out
 
 
-def parse_html(data: bytes, article: bool = False) -> list[Segment]:
+def parse_html(data: bytes, article: bool = False, closed: bool = False) -> list[Segment]:
     """The page's segments; where an article is wanted, a page of little text, one that asks for a login and one
     without a section on methods or results are refused."""
     page = data.decode("utf-8", "replace")
-    out = html_segments(page)
+    out = html_segments(page, closed)
     if article:
         if sum(len(t) for _, t, _ in out) < LEAST_HTML:
             raise ValueError("too little text")
@@ -250,13 +255,14 @@ PARSERS = {"html": parse_html, "htm": parse_html, "tex": parse_tex, "bib": parse
 QUERIES = {("xml", "nxml"): article_segments, ("docx",): word_segments, ("xlsx",): workbook_segments}
 
 
-def segments(documents: DataFrame) -> DataFrame:
-    """documents (document_id, suffix, content binary) -> segments; a failed one has a row with status and error."""
+def segments(documents: DataFrame, closed: bool = False) -> DataFrame:
+    """documents (document_id, suffix, content binary) -> segments; a failed one has a row with status and error. closed: see html_segments."""
     known = [*PARSERS, *(s for suffixes in QUERIES for s in suffixes)]
     docs = documents.select(F.col("document_id").cast("string").alias("document_id"), "suffix", F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content"))
     wrong = F.when(~F.coalesce(F.col("suffix").isin(known), F.lit(False)), "unknown format").when(F.octet_length("content") > MOST_BYTES, "over the size limit")
     docs = docs.withColumn("error", wrong)
     none, good = F.lit(None).cast("string"), docs.where("error is null")
+    parsers = PARSERS | {s: partial(parse_html, closed=closed) for s in ("html", "htm")}
     names = [x.split()[0] for x in SEGMENT.split(", ")]
     found = docs.where("error is not null").select("document_id", none.alias("locator"), none.alias("text"), none.alias("section"), F.lit("failed").alias("status"), "error")
 
@@ -264,7 +270,7 @@ def segments(documents: DataFrame) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 try:
-                    rows = [(r["document_id"], *s, "ok", None) for s in PARSERS[r["suffix"]](r["content"])]
+                    rows = [(r["document_id"], *s, "ok", None) for s in parsers[r["suffix"]](r["content"])]
                 except (ValueError, KeyError, RecursionError) as e:
                     rows = [(r["document_id"], None, None, None, "failed", str(e)[:200])]
                 if rows:

@@ -185,6 +185,12 @@ def test_includes_of_all_forms(spark):
     assert got == lost | {("main.tex", 8, "UNSAFE_INCLUDE_PATH", "../out.png"), ("main.tex", 9, "UNSAFE_INCLUDE_PATH", "/abs.py"), ("main.tex", 10, "UNSAFE_INCLUDE_PATH", "/etc/x.tex"), ("sec/a.tex", 4, "UNSAFE_INCLUDE_PATH", "../../up.tex")}
 
 
+def test_references_without_semicolon():
+    page = "<h1>a&amp;b &amp</h1><p>c &lt; &am</p>"
+    assert docs.html_segments(page, closed=True) == [("html:block=1", "a&b &amp", "a&b &amp"), ("html:block=2", "c < &am", "a&b &amp")]
+    assert docs.html_segments(page)[0] == ("html:block=1", "a&b &", "a&b &")
+
+
 def test_body_pages_of_every_bundle(spark):
     pages = spark.createDataFrame([("under", 1, "a"), ("under", 2, "References\n[1]"), ("shared", 1, "a"), ("shared", 2, "b\nReferences"), ("bare", 1, "a"), ("bare", 2, "b"), ("bare", 3, "c")], "bundle string, page int, text string")
     assert {tuple(r) for r in lint.body_pages(pages).collect()} == {("under", 1), ("shared", 2), ("bare", 3)}
