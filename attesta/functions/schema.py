@@ -41,6 +41,16 @@ def _names(names: list[str]) -> Column:
     return F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Keywords that need a value's items, and its members (fixed values).
+_OF_ARRAYS = {"items", "minItems", "maxItems", "uniqueItems"}
+_OF_OBJECTS = {"required", "properties", "patternProperties", "additionalProperties", "propertyNames", "minProperties", "maxProperties"}
+
+
 class _Compiler:
     """most_refs: how often one way down the schema may pass through references, so that a recursive schema ends; others: the
     schemas that references name, by the last part of their names."""
@@ -62,9 +72,21 @@ class _Compiler:
             return _none()
         if schema is False:
             return _say(F.lit(True), path, "false")
-        text = F.to_json(v)
+        return _let(self.facts(v, path, schema), lambda x: self.judged(x, schema, refs))
+
+    def facts(self, v: Column, path: Column, schema: dict[str, Any]) -> Column:
+        """What a value is asked for, each worked out once: members and items only where the schema speaks of them."""
+        out = [v.alias("v"), path.alias("path"), F.to_json(v).alias("text"), F.try_variant_get(v, "$", "double").alias("number"), F.try_variant_get(v, "$", "string").alias("string")]
+        if _OF_ARRAYS & schema.keys():
+            out.append(F.try_variant_get(v, "$", "array<variant>").alias("items"))
+        if _OF_OBJECTS & schema.keys():
+            out.append(F.try_variant_get(v, "$", "map<string,variant>").alias("members"))
+        return F.struct(*out)
+
+    def judged(self, x: Column, schema: dict[str, Any], refs: int) -> Column:
+        v, path, text = x["v"], x["path"], x["text"]
         being = {kind: text.rlike(begin) for kind, begin in _BEGINS.items()}
-        number, string = F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", "string")
+        number, string = x["number"], x["string"]
         being["integer"] = being["number"] & (number == F.floor(number))
         out: list[Column] = []
         say = lambda broken, rule: out.append(_say(F.coalesce(broken, F.lit(False)), path, rule))
@@ -84,14 +106,15 @@ class _Compiler:
             say(~either([same(x) for x in schema["enum"]]), "enum")
         if "const" in schema:
             say(~same(schema["const"]), "const")
-        for name, test in self.bounds(string, number, v).items():
+        for name, test in self.bounds(x).items():
             if name in schema:
                 kind, broken = test(schema[name])
                 say(being[kind] & broken, name)
-        self.object(v, path, schema, refs, only)
+        if _OF_OBJECTS & schema.keys():
+            self.object(x["members"], path, schema, refs, only)
         items = schema.get("items")
         if isinstance(items, dict | bool):
-            only("array", F.flatten(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: self.check(x, _below(path, i.cast("string")), items, refs))))
+            only("array", F.flatten(F.transform(x["items"], lambda e, i: self.check(e, _below(path, i.cast("string")), items, refs))))
         for sub in schema.get("allOf", ()):
             out.append(self.check(v, path, sub, refs))
         if "anyOf" in schema:
@@ -104,19 +127,19 @@ class _Compiler:
             out.append(F.when(valid(schema["if"]), self.check(v, path, schema.get("then", True), refs)).otherwise(self.check(v, path, schema.get("else", True), refs)))
         return _all(out)
 
-    def bounds(self, string: Column, number: Column, v: Column) -> dict[str, Callable[[Any], tuple[str, Column]]]:
-        items, keys = F.try_variant_get(v, "$", "array<variant>"), F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+    def bounds(self, x: Column) -> dict[str, Callable[[Any], tuple[str, Column]]]:
+        string, number, items = x["string"], x["number"], x["items"]
+        keys = F.map_keys(x["members"])
         return {
             "minLength": lambda n: ("string", F.length(string) < n), "maxLength": lambda n: ("string", F.length(string) > n), "pattern": lambda p: ("string", ~string.rlike(p)),
             "minimum": lambda n: ("number", number < n), "maximum": lambda n: ("number", number > n), "exclusiveMinimum": lambda n: ("number", number <= n), "exclusiveMaximum": lambda n: ("number", number >= n),
             "minItems": lambda n: ("array", F.size(items) < n), "maxItems": lambda n: ("array", F.size(items) > n),
-            "uniqueItems": lambda on: ("array", F.lit(bool(on)) & (F.size(F.array_distinct(F.transform(items, lambda x: F.to_json(x)))) < F.size(items))),
+            "uniqueItems": lambda on: ("array", F.lit(bool(on)) & (F.size(F.array_distinct(F.transform(items, lambda e: F.to_json(e)))) < F.size(items))),
             "minProperties": lambda n: ("object", F.size(keys) < n), "maxProperties": lambda n: ("object", F.size(keys) > n),
         }
 
-    def object(self, v: Column, path: Column, schema: dict, refs: int, only: Callable[[str, Column], None]) -> None:
+    def object(self, members: Column, path: Column, schema: dict, refs: int, only: Callable[[str, Column], None]) -> None:
         """What concerns the members of an object."""
-        members = F.try_variant_get(v, "$", "map<string,variant>")
         for name in schema.get("required", ()):
             only("object", _say(~F.array_contains(F.map_keys(members), name), path, f"required:{name}"))
         known: dict[str, Any] = schema.get("properties", {})
@@ -144,8 +167,9 @@ def findings(document: Column, schema: dict[str, Any], others: dict[str, dict[st
     Paths name members and places (from 0) with slashes between, `<root>` for the document. References that lead round more
     than most_refs times break `$ref`, rather than pass unseen.
     """
-    found = _Compiler(schema, most_refs, others or {}).check(F.try_parse_json(document), F.lit("<root>"), schema)
-    return F.when(document.isNotNull(), F.when(F.try_parse_json(document).isNull(), _say(F.lit(True), F.lit("<root>"), "json")).otherwise(found))
+    judge = _Compiler(schema, most_refs, others or {})
+    told = lambda v: F.when(v.isNull(), _say(F.lit(True), F.lit("<root>"), "json")).otherwise(judge.check(v, F.lit("<root>"), schema))
+    return F.when(document.isNotNull(), _let(F.try_parse_json(document), told))
 
 
 def validate(documents: DataFrame, column: str, schemas: dict[str, dict[str, Any]], kind: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import schema as S
 from attesta.plans.registry import query
-from attesta.store import table
+from attesta.store import spread, table
 
 SCHEMAS = {
     "event": {
@@ -42,14 +42,14 @@ def schema_findings(spark, d):
     """Members come from the columns; some are left out, added or of another type by what the columns hold."""
     k = F.col("event_id")
     props = F.when(k % 5 != 0, F.parse_json("props"))
-    e = table(spark, d, "events").select(
+    e = spread(table(spark, d, "events")).select(
         F.lit("event").alias("kind"), k.alias("id"),
         F.concat(F.lit("{"), F.concat_ws(",", F.concat(F.lit('"id":'), k.cast("string")), F.concat(F.lit('"type":"'), F.col("event_type"), F.lit('"')), F.concat(F.lit('"value":'), F.col("value").cast("string")), F.when(k % 7 != 0, F.concat(F.lit('"user":"u-'), F.col("user_id").cast("string"), F.lit('"'))),
             F.concat(F.lit('"props":'), F.coalesce(F.to_json(props), F.lit("null"))), F.when(k % 10 == 1, F.lit('"odd":1')), F.when(k % 10 < 2, F.when(k % 10 == 0, F.lit('"spare":[]')).when(k % 3 == 0, F.lit('"spare":"s"')))), F.lit("}")).alias("json"),
     )
     o = F.col("o_orderkey")
     lines = F.concat(F.lit('"lines":['), F.concat_ws(",", (F.col("o_custkey") % 500).cast("string"), (o % 1000).cast("string"), F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit('"'))), F.lit("]"))
-    r = table(spark, d, "orders").select(
+    r = spread(table(spark, d, "orders")).select(
         F.lit("order").alias("kind"), o.alias("id"),
         F.concat(F.when(o % 11 != 0, "{").otherwise("{{"), F.concat_ws(",", F.concat(F.lit('"status":"'), F.col("o_orderstatus"), F.lit('"')), lines, F.concat(F.lit('"price":'), F.when(o % 19 != -1, F.col("o_totalprice").cast("decimal(18,2)").cast("string"))), F.concat(F.lit('"by":"u-'), F.col("o_custkey").cast("string"), F.lit('"')),
             F.when(F.col("o_totalprice") > 100000, F.lit('"closed":"yes"')), F.when(o % 13 == 0, F.lit('"x-late":"no"')).otherwise(F.lit('"x-late":false')), F.when(o % 17 == 0, F.lit('"note":7')).otherwise(F.lit('"note":null'))), F.lit("}")).alias("json"),

@@ -113,3 +113,9 @@ def test_schema_keywords(spark):
     assert [None if r["f"] is None else [tuple(x) for x in r["f"]] for r in got] == [[], [("sub/sub/sub/sub", "$ref")], [("<root>", "json")], None]
     other = schema.findings(F.col("d"), {"$ref": "urn:x/part.json#/definitions/p"}, {"part.json": {"definitions": {"p": {"type": "string"}}}})
     assert [len(r[0]) for r in spark.createDataFrame([('"s"',), ("1",)], "d string").select(other).collect()] == [0, 1]
+
+
+def test_schema_parses_a_text_once(spark):
+    one = {"type": "object", "required": ["a"], "properties": {"a": {"type": "object", "properties": {"b": {"type": "integer"}}}}}
+    found = spark.range(1).select(schema.findings(F.col("id").cast("string"), one).alias("f"))
+    assert found._jdf.queryExecution().analyzed().toString().count("parse_json") == 1
