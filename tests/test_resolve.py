@@ -119,3 +119,25 @@ def test_schema_parses_a_text_once(spark):
     one = {"type": "object", "required": ["a"], "properties": {"a": {"type": "object", "properties": {"b": {"type": "integer"}}}}}
     found = spark.range(1).select(schema.findings(F.col("id").cast("string"), one).alias("f"))
     assert found._jdf.queryExecution().analyzed().toString().count("parse_json") == 1
+
+
+def test_similar_titles_by_brute_force(spark):
+    from attesta.operators import corpus
+
+    rng = random.Random(5)
+    titles = [" ".join(rng.sample("a b c d e f g h i j k l".split(), rng.randint(1, 9))) for _ in range(150)]
+    sets = [frozenset(x.split()) for x in titles]
+    first = {w: i for i, w in reversed(list(enumerate(sets)))}
+    for least in (0.5, 0.7):
+        want = {(first[w], i) for i, w in enumerate(sets) if first[w] < i}
+        want |= {(a, b) for w, a in first.items() for x, b in first.items() if a < b and len(w & x) >= least * len(w | x)}
+        got = corpus.similar_titles(spark.createDataFrame(list(enumerate(titles)), "id long, title string"), least).select("a", "b").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_similar_titles_pairs_with_too_few_words_left_are_not_dealt(spark):
+    """Two titles that share only the last word of their prefixes go no further than the join."""
+    from attesta.operators import corpus
+
+    plan = corpus.similar_titles(spark.createDataFrame([(1, "a b c")], "id long, title string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "least(ra" in plan
