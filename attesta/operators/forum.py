@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions.text import bare_doi
 from attesta.operators.cohort import classify_status
+from attesta.store import dealt
 
 
 def value_of(content: Column, field: str) -> Column:
@@ -129,7 +130,9 @@ def set_sizes(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 def same_condition_conflicts(fields: DataFrame) -> DataFrame:
     """fields (paper, name, context, unit, value): conditions under which one name has several values."""
-    return fields.groupBy("paper", "name", "context", "unit").agg(F.count_distinct("value").alias("values")).where("values > 1")
+    # values of a condition hardly repeat, so rows are dealt before they are grouped: a task holds a bounded number of them
+    by = ["paper", "name", "context", "unit"]
+    return dealt(fields.select(*by, "value"), *by).groupBy(*by).agg(F.count_distinct("value").alias("values")).where("values > 1")
 
 
 def comparable(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
