@@ -173,27 +173,31 @@ def context_errors(inputs: DataFrame) -> DataFrame:
     """inputs (check_id, kind, argument, status, type, name, unit, context; argument `reported` for the reported value) ->
     check_id, error: why the inputs of a check do not go together."""
     usable = (F.col("status") == "extracted") & F.col("type").isin("number", "integer", "p_value")
-    is_input = F.col("argument") != "reported"
-    both = lambda name, hit: (F.lit(name), hit)
+    # a check's inputs are few, so they are gathered once, in place of a copy of each for every count of distinct values. A null
+    # is a value of its own here
+    own = lambda c: F.coalesce(c, F.lit("\0"))
+    mislabelled = F.concat_ws(" ", "name", "unit").rlike(r"(?i)\bSE\b|standard error|标准误")
+    one = F.struct("kind", "argument", own(F.col("unit")).alias("unit"), *[own(F.col("context")[axis]).alias(axis) for axis in AXES], F.coalesce(usable, F.lit(False)).alias("usable"), mislabelled.alias("mislabelled"))
+    held = inputs.select("check_id", one.alias("x")).groupBy("check_id").agg(F.collect_list("x").alias("rows"))
+    rows = F.col("rows")
+    is_input = lambda x: x["argument"] != "reported"
+    values = lambda of, c: F.array_distinct(F.transform(F.filter(rows, of), lambda x: x[c]))
+    among = lambda args: lambda x: x["argument"].isin(*args)
+    kinds = lambda hit: F.forall(rows, lambda x: F.coalesce(hit(x["kind"]), F.lit(True))) & F.exists(rows, lambda x: x["kind"].isNotNull())
     found = []
     for axis in AXES:
-        counts = ~F.col("kind").isin(*BETWEEN_GROUPS) if axis == "group" else F.lit(True)
-        value = F.col("context")[axis]
-        # a null is a value of its own here
-        kinds = F.count_distinct(F.when(is_input, F.coalesce(value, F.lit("\0"))))
-        found.append(both(f"inputs_differ_in_{axis}", F.bool_and(counts) & (kinds > 1)))
-        found.append(both(f"reported_differs_in_{axis}", F.bool_and(counts) & F.bool_or(~is_input) & (F.count_distinct(F.coalesce(value, F.lit("\0"))) > F.greatest(kinds, F.lit(1)))))
-    unit = F.coalesce("unit", F.lit("\0"))
+        counts = kinds(lambda k: ~k.isin(*BETWEEN_GROUPS)) if axis == "group" else F.lit(True)
+        n = F.size(values(is_input, axis))
+        found.append((f"inputs_differ_in_{axis}", counts & (n > 1)))
+        found.append((f"reported_differs_in_{axis}", counts & F.exists(rows, lambda x: ~is_input(x)) & (F.size(values(lambda x: F.lit(True), axis)) > F.greatest(n, F.lit(1)))))
     for kind, args in SAME_UNIT.items():
-        found.append(both("units_differ", F.bool_and(F.col("kind") == kind) & (F.count_distinct(F.when(F.col("argument").isin(*args), unit)) > 1)))
+        found.append(("units_differ", kinds(lambda k, name=kind: k == name) & (F.size(values(among(args), "unit")) > 1)))
     for kind, sets in SAME_GROUP.items():
         for args in sets:
-            mine = F.col("argument").isin(*args)
-            found.append(both("groups_differ_within_" + "".join(args[-1:]), F.bool_and(F.col("kind") == kind) & (F.count_if(mine) == len(args)) & (F.count_distinct(F.when(mine, F.coalesce(F.col("context")["group"], F.lit("\0")))) > 1)))
-    error_for_deviation = F.col("argument").isin("sd1", "sd2") & F.concat_ws(" ", "name", "unit").rlike(r"(?i)\bSE\b|standard error|标准误")
-    found.append(both("standard_error_for_deviation", F.bool_and(F.col("kind").isin("effect_size", "hedges_g")) & F.bool_or(error_for_deviation)))
-    unusable = F.bool_or(is_input & ~F.coalesce(usable, F.lit(False)))
-    wide = inputs.groupBy("check_id").agg(unusable.alias("unusable"), F.array_compact(F.array(*[F.when(hit, name) for name, hit in found])).alias("errors"))
+            found.append(("groups_differ_within_" + args[-1], kinds(lambda k, name=kind: k == name) & (F.size(F.filter(rows, among(args))) == len(args)) & (F.size(values(among(args), "group")) > 1)))
+    found.append(("standard_error_for_deviation", kinds(lambda k: k.isin("effect_size", "hedges_g")) & F.exists(rows, lambda x: x["argument"].isin("sd1", "sd2") & x["mislabelled"])))
+    unusable = F.exists(rows, lambda x: is_input(x) & ~x["usable"])
+    wide = held.select("check_id", unusable.alias("unusable"), F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in found])).alias("errors"))
     # without usable numbers nothing else is said
     errors = F.when(F.col("unusable"), F.array(F.lit("no_usable_number"))).otherwise(F.array_distinct("errors"))
     return wide.select("check_id", F.explode(errors).alias("error"))

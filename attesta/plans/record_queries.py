@@ -179,8 +179,9 @@ def inline_edge_forms(spark, d):
 def context_checks(spark, d):
     """An order is a check, its line items the inputs: return flags are groups, line states units, some suppliers later times."""
     kinds = ("t_p", "effect_size", "ci_consistency", "percentage")
-    first = lambda c: F.min_by(c, F.struct("l_partkey", "l_suppkey", "l_quantity")).alias(c)
-    items = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(first("l_returnflag"), first("l_linestatus"), F.min_by("l_suppkey", F.struct("l_partkey", "l_suppkey", "l_quantity")).alias("l_supp"))
+    # of lines of one number the first counts
+    one = F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")).alias("x")
+    items = table(spark, d, "lineitem").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(one).select("l_orderkey", "l_linenumber", "x.l_returnflag", "x.l_linestatus", F.col("x.l_suppkey").alias("l_supp"))
     args = F.array(*[F.lit(x) for x in ("estimate", "lower", "upper", "level", "a4", "a5", "a6")])
     context = F.struct(F.lit("d").alias("dataset"), F.col("l_returnflag").alias("group"), F.when(F.col("l_supp") % 3 == 0, "later").otherwise("base").alias("timepoint"), F.lit("all").alias("analysis_set"), F.lit("c").alias("condition"))
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("check_id"), F.element_at(F.array(*[F.lit(x) for x in kinds]), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("kind"))

@@ -19,3 +19,17 @@ def test_conditions_are_dealt_before_they_are_grouped(spark):
     assert sorted(map(tuple, found.collect())) == [(p, "x", "c", "u", 2) for p in range(20) if p % 3]
     lines = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x or "Repartition" in x]
     assert "Repartition" in lines[-1]  # nothing is gathered before rows are dealt
+
+
+def test_context_of_checks_without_copies(spark):
+    whole = ("d", "g", "t", "a", "c")
+
+    def row(check, argument, kind="ci_consistency", unit="x", **other):
+        return check, kind, argument, "extracted", "number", "n", unit, {**dict(zip(forum.AXES, whole, strict=True)), **other}
+
+    rows = [row(1, "estimate"), row(1, "lower", group="h"), row(1, "reported", group="h"), row(2, "estimate"), row(2, "lower", group="h"), row(2, "reported", group="i"), row(3, "reported"), row(3, "reported", timepoint=None)]
+    rows += [row(4, "estimate"), row(4, "lower", unit=None), row(5, "mean1", "effect_size"), row(5, "sd1", "effect_size", group="h"), row(5, "n1", "effect_size"), (6, "t_p", "x", "lost", "number", "n", "x", dict(zip(forum.AXES, whole, strict=True)))]
+    kinds = "check_id int, kind string, argument string, status string, type string, name string, unit string, context struct<" + ", ".join(f"`{a}`: string" for a in forum.AXES) + ">"
+    found = forum.context_errors(spark.createDataFrame(rows, kinds))
+    assert sorted(map(tuple, found.collect())) == [(1, "inputs_differ_in_group"), (2, "inputs_differ_in_group"), (2, "reported_differs_in_group"), (3, "reported_differs_in_timepoint"), (4, "units_differ"), (5, "groups_differ_within_n1"), (6, "no_usable_number")]
+    assert "Expand" not in plan(found)  # before: a copy of every input for each of 17 counts
