@@ -155,18 +155,23 @@ TIERS = ("no-code-found", "environment-broken", "runs", "direction-reproduced",
 
 
 def checklist_errors(stages: DataFrame) -> DataFrame:
-    """stages (paper, stage, status, waived, reason) -> paper, stage, error for every row that is no valid record."""
-    w = Window.partitionBy("paper", "stage")
+    """stages (paper, stage, status, waived, reason) -> paper, stage, error for every row that is no valid record.
+
+    A paper is one row on the way: of each stage how many records it has and the union of their errors, as bits.
+    """
     waived = F.coalesce("waived", F.lit(False))
-    found = [
-        F.when(~F.coalesce(F.col("stage").isin(*STAGES), F.lit(False)), "unknown_stage"),
-        F.when(F.count(F.lit(1)).over(w) > 1, "duplicate_stage"),
-        F.when(~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)), "invalid_status"),
-        F.when(waived & (F.col("status") != "skipped"), "waived_not_skipped"),
-        F.when(waived & ~F.col("stage").isin(*WAIVABLE), "stage_not_waivable"),
-        F.when(waived & (F.trim(F.coalesce("reason", F.lit(""))) == ""), "waived_without_reason"),
-    ]
-    return stages.select("paper", "stage", F.array_compact(F.array(*found)).alias("errors")).distinct().select("paper", "stage", F.explode("errors").alias("error")).distinct()
+    faults = {
+        "invalid_status": ~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)), "waived_not_skipped": waived & (F.col("status") != "skipped"),
+        "stage_not_waivable": waived & ~F.col("stage").isin(*WAIVABLE), "waived_without_reason": waived & (F.trim(F.coalesce("reason", F.lit(""))) == ""),
+    }
+    bits = reduce(Column.bitwiseOR, [F.when(hit, 1 << i).otherwise(0) for i, hit in enumerate(faults.values())])
+    marked, known = stages.select("paper", "stage", bits.alias("bits")), F.coalesce(F.col("stage").isin(*STAGES), F.lit(False))
+    of = lambda s: F.col("stage") == s
+    papers = marked.where(known).groupBy("paper").agg(*[x for i, s in enumerate(STAGES) for x in (F.count_if(of(s)).alias(f"n{i}"), F.bit_or(F.when(of(s), F.col("bits"))).alias(f"b{i}"))])
+    wide = papers.select("paper", F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.col(f"n{i}").alias("n"), F.col(f"b{i}").alias("bits"), F.lit(True).alias("known")) for i, s in enumerate(STAGES)])).alias("x")).select("paper", "x.*")
+    other = marked.where(~known).groupBy("paper", "stage").agg(F.count(F.lit(1)).alias("n"), F.bit_or("bits").alias("bits")).withColumn("known", F.lit(False))
+    found = [F.when(~F.col("known"), "unknown_stage"), F.when(F.col("n") > 1, "duplicate_stage"), *[F.when(F.col("bits").bitwiseAND(1 << i) > 0, rule) for i, rule in enumerate(faults)]]
+    return wide.where("n > 0").unionByName(other).select("paper", "stage", F.explode(F.array_compact(F.array(*found))).alias("error"))
 
 
 def checklist(stages: DataFrame) -> DataFrame:
@@ -177,23 +182,30 @@ def checklist(stages: DataFrame) -> DataFrame:
     tier says how far the run came, from facts alone: null where a needed stage is unchecked or the paper's identity
     failed. One row a paper that has records of known stages; of doubled records the first status by name counts.
     """
-    known = stages.where(F.col("stage").isin(*STAGES)).groupBy("paper", "stage").agg(F.min(F.struct("status", F.coalesce("waived", F.lit(False)).alias("waived"))).alias("r"))
-    by = known.groupBy("paper").agg(F.map_from_entries(F.collect_list(F.struct("stage", "r"))).alias("of"))  # fourteen stages at most
-
-    def status(stage: str) -> Column:
-        return F.coalesce(F.col("of")[stage]["status"], F.lit("unknown"))
+    # a record is a number: its status's place among the names (odd where it is one of them), then whether it is waived
+    names = sorted(STATUSES)
+    place = {name: 2 * i + 1 for i, name in enumerate(names)}
+    before = reduce(Column.__add__, [F.when(F.col("status") > name, 2).otherwise(0) for name in names])
+    code = F.when(F.col("status").isNull(), -1).otherwise(before + F.when(F.col("status").isin(*names), 1).otherwise(0))
+    record = 2 * code + F.when(F.coalesce("waived", F.lit(False)), 1).otherwise(0)
+    of = stages.where(F.col("stage").isin(*STAGES)).select("paper", "stage", record.alias("record"))
+    by = of.groupBy("paper").agg(*[F.min(F.when(F.col("stage") == s, F.col("record"))).alias(f"r{i}") for i, s in enumerate(STAGES)])
+
+    def has(stage: str, *statuses: str) -> Column:
+        r = F.col(f"r{STAGES.index(stage)}")
+        return F.coalesce(F.when(r >= 0, F.shiftright(r, 1)), F.lit(place["unknown"])).isin(*[place[x] for x in statuses])
 
     def named(stages_: tuple[str, ...], when: Callable[[str], Column]) -> Column:
         return F.array_compact(F.array(*[F.when(when(s), F.lit(s)) for s in stages_]))
 
-    waived = lambda s: (status(s) == "skipped") & F.coalesce(F.col("of")[s]["waived"], F.lit(False)) if s in WAIVABLE else F.lit(False)
+    waived = lambda s: F.coalesce(F.col(f"r{STAGES.index(s)}") == 2 * place["skipped"] + 1, F.lit(False)) if s in WAIVABLE else F.lit(False)
     soft = tuple(s for s in STAGES if s not in HARD)
-    out = by.select("paper", "of", named(STAGES, lambda s: status(s) == "mismatch").alias("contradictions"), named(HARD, lambda s: status(s) != "pass").alias("blocking"), named(soft, lambda s: (status(s) != "pass") & ~waived(s)).alias("gaps"))
+    out = by.select("*", named(STAGES, lambda s: has(s, "mismatch")).alias("contradictions"), named(HARD, lambda s: ~has(s, "pass")).alias("blocking"), named(soft, lambda s: ~has(s, "pass") & ~waived(s)).alias("gaps"))
     verdict = F.when(F.size("contradictions") > 0, "inconsistent").when(F.size("blocking") > 0, "blocked").when(F.size("gaps") == 0, "reproducible").otherwise("partially-reproducible")
-    no, open_ = (lambda s: status(s).isin(*NEGATIVE, "mismatch")), (lambda s: status(s).isin(*UNCHECKED))
+    no, open_ = (lambda s: has(s, *NEGATIVE, "mismatch")), (lambda s: has(s, *UNCHECKED))
     tier = F.when(no("identity"), None).when(no("code-link") | no("repo-identity"), "no-code-found").when(open_("code-link") | open_("repo-identity") | open_("identity"), None)
     for s in ("dependencies", "build-install", "smoke-run"):
-        tier = tier.when(status(s).isin(*NEGATIVE), "environment-broken").when(open_(s), None)
-    ran = (status("claimed-metrics") == "pass") & (status("measured-metrics") == "pass")
-    tier = tier.when(ran & (status("metric-diff") == "pass"), "numbers-reproduced").when(ran & (status("metric-diff") == "fail"), "direction-reproduced").otherwise("runs")
+        tier = tier.when(has(s, *NEGATIVE), "environment-broken").when(open_(s), None)
+    ran = has("claimed-metrics", "pass") & has("measured-metrics", "pass")
+    tier = tier.when(ran & has("metric-diff", "pass"), "numbers-reproduced").when(ran & has("metric-diff", "fail"), "direction-reproduced").otherwise("runs")
     return out.select("paper", verdict.alias("verdict"), tier.alias("tier"), "contradictions", "blocking", "gaps")

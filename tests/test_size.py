@@ -33,3 +33,30 @@ def test_context_of_checks_without_copies(spark):
     found = forum.context_errors(spark.createDataFrame(rows, kinds))
     assert sorted(map(tuple, found.collect())) == [(1, "inputs_differ_in_group"), (2, "inputs_differ_in_group"), (2, "reported_differs_in_group"), (3, "reported_differs_in_timepoint"), (4, "units_differ"), (5, "groups_differ_within_n1"), (6, "no_usable_number")]
     assert "Expand" not in plan(found)  # before: a copy of every input for each of 17 counts
+
+
+def test_a_paper_is_one_row_of_its_checklist(spark):
+    rng = random.Random(1)
+    stages = [*state.STAGES, "magic", None]
+    rows = [(p, rng.choice(stages), rng.choice([*state.STATUSES, "odd", None]), rng.choice([True, False, None]), rng.choice([" ", "why", None])) for p in range(60) for _ in range(12)]
+    df = spark.createDataFrame(rows, "paper int, stage string, status string, waived boolean, reason string")
+    counts, want = Counter((p, s) for p, s, *_ in rows), set()
+    for p, s, status, waived, reason in rows:
+        hits = {"unknown_stage": s not in state.STAGES, "duplicate_stage": counts[p, s] > 1, "invalid_status": status not in state.STATUSES, "waived_not_skipped": waived and status not in ("skipped", None), "stage_not_waivable": waived and s is not None and s not in state.WAIVABLE, "waived_without_reason": waived and not (reason or "").strip()}
+        want |= {(p, s, rule) for rule, hit in hits.items() if hit}
+    found = state.checklist_errors(df)
+    got = list(map(tuple, found.collect()))
+    assert len(got) == len(set(got)) and set(got) == want
+    assert "Window" not in plan(found)  # before: every record sorted by paper and stage, and the errors made distinct twice
+    first: dict = {}
+    for p, s, status, waived, _ in rows:
+        if s in state.STAGES:
+            first[p, s] = min(first.get((p, s), (status or "", bool(waived))), (status or "", bool(waived)))
+    verdicts = state.checklist(df)
+    for r in verdicts.collect():
+        status = {s: first.get((r.paper, s), ("unknown", False)) for s in state.STAGES}
+        status = {s: (x or "unknown", w) for s, (x, w) in status.items()}
+        assert r.contradictions == [s for s in state.STAGES if status[s][0] == "mismatch"]
+        assert r.blocking == [s for s in state.HARD if status[s][0] != "pass"]
+        assert r.gaps == [s for s in state.STAGES if s not in state.HARD and status[s][0] != "pass" and not (s in state.WAIVABLE and status[s] == ("skipped", True))]
+    assert plan(verdicts).count("Exchange") <= 1 and "collect_list" not in plan(verdicts)
