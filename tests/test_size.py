@@ -60,3 +60,14 @@ def test_a_paper_is_one_row_of_its_checklist(spark):
         assert r.blocking == [s for s in state.HARD if status[s][0] != "pass"]
         assert r.gaps == [s for s in state.STAGES if s not in state.HARD and status[s][0] != "pass" and not (s in state.WAIVABLE and status[s] == ("skipped", True))]
     assert plan(verdicts).count("Exchange") <= 1 and "collect_list" not in plan(verdicts)
+
+
+def test_texts_are_inverted_in_their_own_row(spark):
+    texts = [(1, "b a b"), (1, "c a"), (2, ""), (3, None), (4, " ".join(f"w{i % 700}" for i in range(20_000)))]
+    df = spark.createDataFrame(texts, "id int, text string").select("id", F.filter(F.split("text", " "), lambda x: x != "").alias("words"))
+    index = corpus.inverted_indexes(df)
+    back = index.select("id", "index", T.rebuild_abstract(F.col("index")).alias("text"))
+    assert "Exchange" not in plan(back)  # before: two of every word, and texts of one id were mixed
+    rows = back.collect()
+    assert sorted((r.id, r.text or "") for r in rows) == sorted((i, t or "") for i, t in texts)
+    assert next(r["index"] for r in rows if r.text == "b a b") == {"a": [1], "b": [0, 2]}
