@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attesta.functions import text as T
 from attesta.operators import lint, validate
 from attesta.plans.registry import query
-from attesta.store import table
+from attesta.store import table, written
 
 # a customer's orders, each derived from the one before it, through an activity where it is finished
 
@@ -65,8 +65,10 @@ def ledgers(spark, d):
     forks = o.select("doc", key("o_orderkey").alias("n"), key("o_orderkey").alias("decision"), F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderkey")).otherwise(F.col("o_orderkey") - 1).cast("string").alias("alternative"))
     i = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     order = Window.partitionBy("doc").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    # numbered once, for events and corrections
+    i = written(i.select("doc", F.row_number().over(order).alias("n"), "l_orderkey", "l_linenumber", "l_returnflag", "l_suppkey", "l_linestatus"), "ledger-items")
     state = F.when(F.col("l_returnflag") == "A", "active").when(F.col("l_returnflag") == "R", "reopened").otherwise("pruned")
-    events = i.select("doc", F.row_number().over(order).alias("n"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sequence"), key("l_orderkey").alias("decision"), F.lit(None).cast("string").alias("from_state"), state.alias("to_state"), F.when(F.col("l_suppkey") % 10 == 0, "superseded").otherwise("other").alias("reason"), (F.col("l_orderkey") - 1).cast("string").alias("alternative"), F.lit(None).cast("string").alias("caused_by"), F.when(F.col("l_linestatus") == "F", "positive").otherwise("never").alias("verdict_override"))
+    events = i.select("doc", "n", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sequence"), key("l_orderkey").alias("decision"), F.lit(None).cast("string").alias("from_state"), state.alias("to_state"), F.when(F.col("l_suppkey") % 10 == 0, "superseded").otherwise("other").alias("reason"), (F.col("l_orderkey") - 1).cast("string").alias("alternative"), F.lit(None).cast("string").alias("caused_by"), F.when(F.col("l_linestatus") == "F", "positive").otherwise("never").alias("verdict_override"))
     corrections = events.where("reason = 'other' and n % 50 = 0").select("doc", "n", "sequence", "decision", F.lit("negative").alias("verdict"))
     uncertain = decisions.where("entry_kind = 'negative_result' and cast(id as bigint) % 3 = 0").select("doc", F.lit("unsupported_negative_result").alias("kind"), F.col("id").alias("subject"))
     return decisions, bases, forks, events, corrections, uncertain

@@ -6,11 +6,11 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from attesta.functions import text as T
-from attesta.operators import corpus, forum, state
+from attesta.operators import corpus, forum, state, validate
 
 
 def plan(df) -> str:
-    return df._jdf.queryExecution().sparkPlan().toString()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
 
 
 def test_conditions_are_dealt_before_they_are_grouped(spark):
@@ -71,3 +71,25 @@ def test_texts_are_inverted_in_their_own_row(spark):
     rows = back.collect()
     assert sorted((r.id, r.text or "") for r in rows) == sorted((i, t or "") for i, t in texts)
     assert next(r["index"] for r in rows if r.text == "b a b") == {"a": [1], "b": [0, 2]}
+
+
+def test_events_are_dealt_once(spark):
+    rng = random.Random(2)
+    rows = [(doc, n, rng.randint(0, 9), rng.choice("abx"), rng.choice([None, "active"]), rng.choice(["active", "pruned", "reopened"]), rng.choice([None, "positive", "never"])) for doc in range(6) for n in range(1, 12)]
+    events = spark.createDataFrame(rows, "doc int, n int, sequence int, decision string, from_state string, to_state string, verdict_override string")
+    decisions = [(doc, i) for doc in range(6) for i in "abc"]
+    want, top, last = set(), {}, {}
+    for doc, n, sequence, decision, before, state_, override in rows:
+        rules = {"event_sequence": sequence <= top.get(doc, 0), "event_of_unknown_decision": decision == "x"}
+        top[doc] = max(top.get(doc, sequence), sequence)
+        if decision != "x":
+            was, new = last.get((doc, decision)), (doc, decision) not in last
+            wrong = state_ not in validate.STEPS[was]
+            rules |= {"first_event_has_a_state_before": new and before is not None, "illegal_first_state": new and wrong, "state_before_differs": not new and before != was, "illegal_transition": not new and wrong, "illegal_verdict_override": override == "never"}
+            last[doc, decision] = state_
+        want |= {(str(doc), rule, str(n)) for rule, hit in rules.items() if hit}
+    want |= {(str(doc), "decision_without_first_event", i) for doc, i in decisions if (doc, i) not in last}
+    found = validate._event_findings(events, spark.createDataFrame(decisions, "doc int, id string"))
+    got = list(map(tuple, found.collect()))
+    assert len(got) == len(set(got)) and set(got) == want
+    assert plan(found).count("Exchange hashpartitioning") == 1  # before: a join and a sort of all events for nearly every rule
