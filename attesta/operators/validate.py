@@ -352,20 +352,30 @@ def graph_findings(claims: DataFrame, evidence: DataFrame, edges: DataFrame, rel
     claims (doc, id, text, normalized_text, claim_digest; the last two may be null), evidence (doc, id), edges (doc, n,
     claim, evidence, status), relations (doc, n, source, target, relation, evidence_refs array).
     """
-    text = nfc_compact(F.coalesce("text", F.lit("")))
-    loops = relations.where(F.col("relation").isin(*DEPENDS) & (F.col("source") != F.col("target")))
-    loops = loops.join(claims.select("doc", F.col("id").alias("source")), ["doc", "source"], "left_semi").join(claims.select("doc", F.col("id").alias("target")), ["doc", "target"], "left_semi")
-    return _all([
-        _say(claims.where(_bad_name("id") | F.col("id").rlike(r"[\r\n]")), "bad_claim_id", "id"), _say(_doubled(claims, "id"), "duplicate_claim", "id"),
-        _say(evidence.where(_bad_name("id")), "bad_evidence_id", "id"), _say(_doubled(evidence, "id"), "duplicate_evidence", "id"),
-        _say(_unknown(edges, "claim", claims), "edge_of_unknown_claim", "n"), _say(_unknown(edges, "evidence", evidence), "edge_from_unknown_evidence", "n"),
-        _say(_unknown(relations, "source", claims), "relation_of_unknown_claim", "n"), _say(_unknown(relations, "target", claims), "relation_to_unknown_claim", "n"),
-        _say(relations.where((F.col("source") == F.col("target")) & F.col("relation").isin(*DEPENDS, "contradicts")), "relation_to_itself", "n"),
-        _say(_unknown(relations.select("doc", "n", F.explode("evidence_refs").alias("ref")), "ref", evidence), "relation_names_unknown_evidence", "n"),
+    return _all(_graph_rules(claims, evidence, edges, relations))
+
+
+def _graph_rules(claims: DataFrame, evidence: DataFrame, edges: DataFrame, relations: DataFrame) -> list[DataFrame]:
+    """The findings of each rule on its own. Claims and evidence are grouped by id and judged once; edges and relations are
+    joined once with each of what they name."""
+    text, told = nfc_compact(F.coalesce("text", F.lit(""))), lambda c: F.coalesce(c, F.lit(False))
+    bad = told(_bad_name("id"))
+    own = claims.groupBy("doc", "id").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(told(F.col("normalized_text").isNotNull() & (F.col("normalized_text") != text))).alias("differs"), F.bool_or(told(F.col("claim_digest").isNotNull() & (F.col("claim_digest") != F.sha2(text, 256)))).alias("forged")
+    )
+    own = written(_marked(own, {"bad_claim_id": bad | told(F.col("id").rlike(r"[\r\n]")), "duplicate_claim": F.col("n") > 1, "normalized_text": F.col("differs"), "claim_digest": F.col("forged")}).select("doc", "id", "rules"), "graph-claims")
+    shown = written(_marked(evidence.groupBy("doc", "id").agg(F.count(F.lit(1)).alias("n")), {"bad_evidence_id": bad, "duplicate_evidence": F.col("n") > 1}).select("doc", "id", "rules"), "graph-evidence")
+    known = lambda rows, key, ids: rows.join(ids.select("doc", F.col("id").alias(key), F.lit(True).alias(f"{key}_known")), ["doc", key], "left")
+    lost = lambda key: F.col(f"{key}_known").isNull()
+    ends = known(known(edges.select("doc", "n", "claim", "evidence"), "claim", own), "evidence", shown)
+    pairs = known(known(relations.select("doc", "n", "source", "target", "relation"), "source", own), "target", own)
+    pairs = written(_marked(pairs, {"relation_of_unknown_claim": lost("source"), "relation_to_unknown_claim": lost("target"), "relation_to_itself": (F.col("source") == F.col("target")) & F.col("relation").isin(*DEPENDS, "contradicts")}), "graph-relations")
+    loops = pairs.where(F.col("relation").isin(*DEPENDS) & (F.col("source") != F.col("target")) & ~lost("source") & ~lost("target"))
+    return [
+        _told(own, "id"), _told(shown, "id"), _told(_marked(ends, {"edge_of_unknown_claim": lost("claim"), "edge_from_unknown_evidence": lost("evidence")}), "n"), _told(pairs, "n"),
+        _say(_unknown(relations.select("doc", "n", F.explode("evidence_refs").alias("ref")), "ref", shown), "relation_names_unknown_evidence", "n"),
         _say(_on_cycles(loops.select("doc", F.col("source").alias("child"), F.col("target").alias("parent"))), "dependency_cycle", "id"),
-        _say(claims.where(F.col("normalized_text").isNotNull() & (F.col("normalized_text") != text)), "normalized_text", "id"),
-        _say(claims.where(F.col("claim_digest").isNotNull() & (F.col("claim_digest") != F.sha2(text, 256))), "claim_digest", "id"),
-    ])
+    ]
 
 
 def dangling_edges(edges: DataFrame, claims: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -380,7 +390,8 @@ def anchors(claims: DataFrame, evidence: DataFrame, edges: DataFrame, relations:
     with any finding has invalid claims only; then contradiction makes a claim conflicted, and support without open
     edges, uncertainty or an unsettled status makes it eligible; what is left is unsupported.
     """
-    wrong = graph_findings(claims, evidence, edges, relations).select("doc").distinct().withColumn("wrong", F.lit(True))
+    # of findings only their documents count, so no subject is carried along
+    wrong = reduce(DataFrame.unionByName, [rule.select("doc").distinct() for rule in _graph_rules(claims, evidence, edges, relations)]).distinct().withColumn("wrong", F.lit(True))
     status = F.lower(F.trim(F.coalesce("status", F.lit(""))))
     met = edges.withColumn("s", status).join(evidence.select("doc", F.col("id").alias("evidence"), F.coalesce("verified", F.lit(True)).alias("verified")), ["doc", "evidence"])
     yes, no = F.col("s").isin(*SUPPORTS), F.col("s").isin(*CONTRADICTS)

@@ -159,6 +159,8 @@ def claim_anchor_states(spark, d):
     null = F.lit(None).cast("string")
     claims = o.select("doc", claim.alias("id"), F.lit("A claim.").alias("text"), null.alias("normalized_text"), null.alias("claim_digest"), F.when(F.col("o_orderstatus") == "P", "Unresolved").alias("status"))
     i = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    # joined once, for evidence and edges
+    i = written(i.select("doc", "o_orderkey", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"), "anchor-items")
     supplier = F.col("l_suppkey").cast("string")
     evidence = i.select("doc", supplier.alias("id"), (F.col("l_suppkey") % 4 > 0).alias("verified")).distinct()
     status = F.when(F.col("l_returnflag") == "A", "Supports").when(F.col("l_returnflag") == "R", "refuted").otherwise("related")

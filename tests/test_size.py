@@ -93,3 +93,21 @@ def test_events_are_dealt_once(spark):
     got = list(map(tuple, found.collect()))
     assert len(got) == len(set(got)) and set(got) == want
     assert plan(found).count("Exchange hashpartitioning") == 1  # before: a join and a sort of all events for nearly every rule
+
+
+def test_claims_edges_and_evidence_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    seen = lambda rows, kinds: (df := spark.createDataFrame(rows, kinds)).mapInArrow(counted, df.schema)
+    claims = seen([(1, "a", "A", "B", None), (1, "a", "A", None, "x"), (1, " b", "B", None, None), (2, "c", "C", None, None)], "doc int, id string, text string, normalized_text string, claim_digest string")
+    evidence = seen([(1, "e"), (1, "e"), (2, "f")], "doc int, id string")
+    edges = seen([(1, "n1", "a", "f", "supports"), (2, "n2", "a", "f", "supports"), (2, "n3", "c", "f", "supports")], "doc int, n string, claim string, evidence string, status string")
+    none = spark.createDataFrame([], "doc int, n string, source string, target string, relation string, evidence_refs array<string>")
+    found = sorted(map(tuple, validate.graph_findings(claims, evidence, edges, none).collect()))
+    assert found == sorted([("1", "normalized_text", "a"), ("1", "claim_digest", "a"), ("1", "duplicate_claim", "a"), ("1", "bad_claim_id", " b"), ("1", "duplicate_evidence", "e"), ("1", "edge_from_unknown_evidence", "n1"), ("2", "edge_of_unknown_claim", "n2")])
+    assert read.value == 4 + 3 + 3  # before: claims for each of nine rules, edges for each of two
