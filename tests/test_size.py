@@ -3,8 +3,10 @@
 import random
 from collections import Counter
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from attesta.functions import tex
 from attesta.functions import text as T
 from attesta.operators import corpus, forum, state, validate
 
@@ -111,3 +113,13 @@ def test_claims_edges_and_evidence_are_read_once(spark):
     found = sorted(map(tuple, validate.graph_findings(claims, evidence, edges, none).collect()))
     assert found == sorted([("1", "normalized_text", "a"), ("1", "claim_digest", "a"), ("1", "duplicate_claim", "a"), ("1", "bad_claim_id", " b"), ("1", "duplicate_evidence", "e"), ("1", "edge_from_unknown_evidence", "n1"), ("2", "edge_of_unknown_claim", "n2")])
     assert read.value == 4 + 3 + 3  # before: claims for each of nine rules, edges for each of two
+
+
+def test_files_are_masked_once(monkeypatch):
+    texts = pd.Series([r"\author{A. Uthor} \cite{a}", "% \\author{B}\n\\author{C}", None, r"\au\verb|x|thor{D}"])
+    seen, real = [], tex.masked
+    monkeypatch.setattr(tex, "masked", lambda text: seen.append(text) or real(text))
+    read = tex.lexed.func(pd.Series(["main.tex"] * 4), texts)
+    assert len(seen) == 4  # before: once for the text and once more for the authors
+    assert read["authors"].tolist() == [["A. Uthor"], ["C"], [], ["D"]]
+    assert read["clean"].tolist() == [texts[0], "\n\\author{C}", None, r"\author{D}"]
