@@ -5,10 +5,10 @@ is looked for in the longest known context; where it has not been seen there, an
 of that context are excluded, and the next shorter context is asked, down to all 257 symbols alike. The escape
 weighs as much as the context has kinds of symbols (method C). The code lengths of all bytes and of the end add up to the text's.
 
-Counts are made by tasks and summed by Spark. Nodes enter the trie if at least one in 2**19 training symbols
-is theirs, so an order has 2**19 nodes at most, at any size of the corpus; what a context has lost by this is part of its
-escape's weight. Words that make up one in 2**18 of all or more are sent to every task in the same way, all
-others are joined.
+Counts are made by tasks and summed by Spark; every gram is kept. What a gram's symbol costs depends on the grams that end
+in the same two context symbols, and on counts of single symbols and pairs (257 * 258 at most, sent to every task), so grams
+are dealt by these two symbols and costs found there. Grams and words that make up one in 2**22 symbols, 2**18 words, or more
+are sent to every task with their costs, all others are joined.
 """
 
 from __future__ import annotations
@@ -28,14 +28,14 @@ from pyspark.sql.types import StructField, StructType
 from attesta.llm.arrow import pieces
 from attesta.llm.sample import fold
 from attesta.llm.words import BLANKS, utf8
-from attesta.store import spread, table, written
+from attesta.store import dealt, spread, table, written
 
 ORDER = 4
 #: Symbols beyond the bytes: the end of a text, and what stands before its beginning (never predicted).
 END, START, KINDS = 256, 257, 257
 BITS = 9
-#: A gram enters the trie, a word the table sent to every task, if at least one in 2**NODES symbols, 2**WORDS words is it.
-NODES, WORDS = 19, 18
+#: A gram, a word enters the tables sent to every task if at least one in 2**NODES symbols, 2**WORDS words is it.
+NODES, WORDS = 22, 18
 #: Symbols handled at once; counts held by a task before it hands them on.
 PIECE, HELD = 1 << 19, 1 << 16
 #: The token that ends every text (no word is empty).
@@ -66,7 +66,32 @@ def _level(k: int) -> int:
     return (1 << BITS * (k + 1)) - 1
 
 
-class Trie:
+class Cached:
+    """Costs of grams, those already met in a table."""
+
+    keys: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("keys", "known")}
+
+    def logs(self, codes: np.ndarray) -> np.ndarray:
+        """log10 probability of each gram's symbol after its context; grams already met are found in a table."""
+        if self.keys is None:
+            self.keys, self.known = np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS)
+        slot = (codes.view(np.uint64) * _SPREAD) >> np.uint64(64 - SLOT_BITS)
+        out = self.known[slot]
+        missing = np.flatnonzero(self.keys[slot] != codes)
+        if len(missing):
+            new, first, where = np.unique(codes[missing], return_index=True, return_inverse=True)
+            cost = self._cost(new)
+            out[missing] = cost[where]
+            place = slot[missing[first]]
+            self.keys[place] = new
+            self.known[place] = cost  # of two new grams in one slot the last written stays, in both tables alike
+        return out
+
+
+class Trie(Cached):
     """Nodes by order in sorted arrays: grams and their counts; contexts with the sum and number of their nodes, what they have
     beyond these, and what their symbols' counts come to in the next shorter context."""
 
@@ -83,10 +108,6 @@ class Trie:
                 shorter, counts = self.levels[-1][:2]
                 below = np.add.reduceat(counts[np.searchsorted(shorter, gram[:-1] & _level(k - 1))], first)
             self.levels.append((gram, n, np.r_[context, last], *(np.r_[x, 0].astype(np.float64) for x in (total, kinds, rest, below))))
-        self.keys: np.ndarray | None = None
-
-    def __getstate__(self) -> dict:
-        return {"levels": self.levels, "keys": None}
 
     def _cost(self, codes: np.ndarray) -> np.ndarray:
         out, open_ = np.zeros(len(codes)), np.ones(len(codes), bool)
@@ -110,37 +131,41 @@ class Trie:
             out[open_] -= np.log10(KINDS - self.levels[0][4][0])
         return out
 
-    def logs(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram's symbol after its context; grams already met are found in a table."""
-        if self.keys is None:
-            self.keys, self.known = np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS)
-        slot = (codes.view(np.uint64) * _SPREAD) >> np.uint64(64 - SLOT_BITS)
-        out = self.known[slot]
-        missing = np.flatnonzero(self.keys[slot] != codes)
-        if len(missing):
-            new, first, where = np.unique(codes[missing], return_index=True, return_inverse=True)
-            cost = self._cost(new)
-            out[missing] = cost[where]
-            place = slot[missing[first]]
-            self.keys[place] = new
-            self.known[place] = cost  # of two new grams in one slot the last written stays, in both tables alike
-        return out
 
-    def log10(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each whole text, many short ones at once."""
-        out, held, owners, size = np.zeros(len(texts)), [], [], 0
+class Costs(Cached):
+    """log10 probabilities of some grams; nan for all others."""
+
+    def __init__(self, gram: np.ndarray, log: np.ndarray):
+        order = np.argsort(gram)
+        self.gram, self.log = np.r_[gram[order], np.iinfo(np.int64).max].astype(np.int64), np.r_[log[order], np.nan].astype(np.float64)
+
+    def _cost(self, codes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.gram, codes)
+        return np.where(self.gram[at] == codes, self.log[at], np.nan)
+
+    def read(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """In pieces, many short texts at once: what each text's known grams add, and of the others the text, gram and times."""
+        held, owners, size = [], [], 0
         for i, data in enumerate(texts):
             for code in grams(data):
                 held.append(code)
                 owners.append(i)
                 size += len(code)
                 if size >= PIECE:
-                    out += self._sums(held, owners, len(texts))
+                    yield self._sums(held, owners, len(texts))
                     held, owners, size = [], [], 0
-        return out + self._sums(held, owners, len(texts)) if held else out
+        if held:
+            yield self._sums(held, owners, len(texts))
 
-    def _sums(self, held: list[np.ndarray], owners: list[int], n: int) -> np.ndarray:
-        return np.bincount(np.repeat(owners, [len(c) for c in held]), self.logs(np.concatenate(held)), n)
+    def _sums(self, held: list[np.ndarray], owners: list[int], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        codes, owner = np.concatenate(held), np.repeat(owners, [len(c) for c in held])
+        logs = self.logs(codes)
+        other = np.flatnonzero(np.isnan(logs))
+        logs[other] = 0.0
+        kinds, at = np.unique(codes[other], return_inverse=True)
+        pair, times = np.unique(owner[other] * len(kinds) + at, return_counts=True)
+        who, what = np.divmod(pair, max(1, len(kinds)))
+        return np.bincount(owner, logs, n), who, kinds[what], times
 
 
 class Model(NamedTuple):
@@ -148,7 +173,9 @@ class Model(NamedTuple):
     n_tokens: int
     n_kinds: int
     frequent: pa.Table  # token, learned of the words that are frequent anywhere
-    trie: Trie
+    grams: DataFrame  # gram, everywhere, learned: its count among all and among training symbols
+    short: tuple[np.ndarray, np.ndarray]  # all learned grams of two symbols, sorted, and their counts
+    known: Costs  # grams that are frequent anywhere
 
 
 def _segments(texts: list[bytes]) -> Iterator[list[tuple[int, bytes]]]:
@@ -199,7 +226,8 @@ def _counts(docs: DataFrame) -> DataFrame:
         return code, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
 
     def symbols(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.nulls(len(code), pa.binary()), pa.array(code), pa.array(n), pa.array(n)], schema=schema)
+        # the lowest bit tells whether the gram was learned from
+        return pa.RecordBatch.from_arrays([pa.nulls(len(code), pa.binary()), pa.array(code >> 1), pa.array(n), pa.array(n * (code & 1))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, ends, learned_ends = [], 0, 0
@@ -215,8 +243,8 @@ def _counts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("token"), pa.nulls(part.num_rows, pa.int64()), part.column("everywhere_sum"), part.column("learned_sum")], schema=schema)
             fresh, held = [], 0
             for data, use in zip(texts, learn.tolist(), strict=True):
-                for code in grams(data) if use else ():
-                    fresh.append(code)
+                for code in grams(data):
+                    fresh.append(code << 1 | use)
                     held += len(code)
                     if held >= PIECE:
                         parts.append(np.unique(np.concatenate(fresh), return_counts=True))
@@ -234,28 +262,57 @@ def _counts(docs: DataFrame) -> DataFrame:
     return spread(docs).mapInArrow(run, "token binary, gram long, everywhere long, learned long")
 
 
+def _summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    kinds, at = np.unique(code, return_inverse=True)
+    return kinds, np.bincount(at, n, len(kinds)).astype(np.int64)
+
+
+def _costs(rows: DataFrame, short: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """rows (gram, learned, asked), all learned grams among them, each once -> (gram, log) of those asked for.
+
+    A task holds the grams of two context symbols at once: what it holds is bounded by the alphabet, not by the corpus.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(short)  # 257 * 258 grams at most
+
+    def priced(code: np.ndarray, n: np.ndarray, asked: np.ndarray) -> pa.RecordBatch:
+        seen = n > 0
+        nodes = [_summed(shared.value[0] & _level(0), shared.value[1]), shared.value]
+        nodes += [_summed(code[seen] & _level(k), n[seen]) for k in range(2, ORDER + 1)]
+        trie = Trie(nodes, [_summed(c >> BITS, x) for c, x in nodes])
+        return pa.RecordBatch.from_arrays([pa.array(code[asked]), pa.array(trie._cost(code[asked]))], ["gram", "log"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "learned", "asked")])
+            size += batch.num_rows
+            if size >= 4 * HELD:
+                code, n, asked = map(np.concatenate, zip(*held, strict=True))
+                pair = code >> BITS & _level(1)
+                end = int(np.flatnonzero(pair != pair[-1])[-1]) + 1 if pair[0] != pair[-1] else 0  # the last pair may go on
+                if end:
+                    yield priced(code[:end], n[:end], asked[:end])
+                held, size = [[code[end:], n[end:], asked[end:]]], len(code) - end
+        if held:
+            yield priced(*map(np.concatenate, zip(*held, strict=True)))
+
+    pair = F.shiftright("gram", BITS).bitwiseAND(F.lit(_level(1)))
+    return dealt(rows.withColumn("pair", pair), "pair").sortWithinPartitions("pair").mapInArrow(run, "gram long, log double")
+
+
 def fit(docs: DataFrame, learn: Column) -> Model:
-    """Counts of every document (text) and, where learn is true, the trie; null texts are empty ones."""
+    """Counts of every document (text) and of those where learn is true, and the costs of frequent grams; null texts are empty ones."""
     partial = written(_counts(docs.select("text", F.coalesce(learn, F.lit(False)).alias("learn"))), "ppm-partial")
-    tokens = written(partial.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("everywhere").alias("everywhere"), F.sum("learned").alias("learned")), "ppm-tokens")
+    tokens, full = (written(partial.where(F.col(c).isNotNull()).groupBy(c).agg(F.sum("everywhere").alias("everywhere"), F.sum("learned").alias("learned")), f"ppm-{c}s") for c in ("token", "gram"))
     everywhere, n_tokens, n_kinds = tokens.agg(F.sum("everywhere"), F.coalesce(F.sum("learned"), F.lit(0)), F.count(F.when(F.col("learned") > 0, 1))).first()
     # at most 2**WORDS words have that share of all, together at most 2**WORDS times as long as the mean word
     frequent = tokens.where(F.col("everywhere") >= F.lit(-(-(everywhere or 0) // (1 << WORDS)))).select("token", "learned").toArrow()
-    full = written(partial.where(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("learned").alias("n")), "ppm-grams")
-    total = full.agg(F.sum("n")).first()[0] or 0
-    orders = full.select("n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND(F.lit(_level(k))).alias("code")) for k in range(ORDER + 1)])).alias("x")).select("n", "x.k", "x.code")
-
-    def kept(code: Column) -> list[tuple[np.ndarray, np.ndarray]]:
-        # counts of an order add up to the total, so at most 2**NODES of them have that share
-        rows = orders.groupBy("k", code.alias("code")).agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(-(-total // (1 << NODES)))).toArrow()
-        k, codes, n = (rows.column(c).to_numpy() for c in ("k", "code", "n"))
-        out = []
-        for i in range(ORDER + 1):
-            order = np.argsort(codes[k == i])
-            out.append((codes[k == i][order].astype(np.int64), n[k == i][order].astype(np.int64)))
-        return out
-
-    return Model(tokens, n_tokens, n_kinds, frequent, Trie(kept(F.col("code")), kept(F.shiftright("code", BITS))))
+    pairs = full.where(F.col("learned") > 0).groupBy(F.col("gram").bitwiseAND(F.lit(_level(1))).alias("code")).agg(F.sum("learned").alias("n")).toArrow()  # 257 * 258 at most
+    short = _summed(pairs.column("code").to_numpy().astype(np.int64), pairs.column("n").to_numpy())
+    # counts add up to the total, so at most 2**NODES grams have that share
+    total = full.agg(F.sum("everywhere")).first()[0] or 0
+    known = _costs(full.select("gram", "learned", (F.col("everywhere") >= F.lit(-(-total // (1 << NODES)))).alias("asked")), short).toArrow()
+    return Model(tokens, n_tokens, n_kinds, frequent, full, short, Costs(known.column("gram").to_numpy(), known.column("log").to_numpy()))
 
 
 def _base(count: Column | np.ndarray, model: Model) -> Column | np.ndarray:
@@ -272,17 +329,21 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     texts get equal scores, but for the order of additions; an empty table gives an empty one. A model of no
     documents gives every symbol 1/257.
     """
-    added = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "_row", "_token", "_times", "_known", "_base", "_more_known", "_more_base")
+    added = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "_row", "_token", "_gram", "_times", "_known", "_base", "_more_known", "_more_base", "_more_score")
     docs = docs.drop(*added)
     learned = model.frequent.column("learned").to_numpy().astype(np.float64)
-    shared = docs.sparkSession.sparkContext.broadcast((model.trie, model.frequent.column("token").combine_chunks(), learned > 0, _base(learned, model)))  # bounds as in fit
+    shared = docs.sparkSession.sparkContext.broadcast((model.known, model.frequent.column("token").combine_chunks(), learned > 0, _base(learned, model)))  # bounds as in fit
     names = [c for c in docs.columns if keep is None or c in keep]
     out = StructType([StructField(f.name, f.dataType) for f in docs.schema if f.name in names])
-    for name, kind in (("_row", "long"), ("n_tokens", "long"), ("_known", "long"), ("_base", "double"), ("score", "double"), ("_token", "binary"), ("_times", "long")):
+    for name, kind in (("_row", "long"), ("n_tokens", "long"), ("_known", "long"), ("_base", "double"), ("score", "double"), ("_token", "binary"), ("_gram", "long"), ("_times", "long")):
         out = out.add(name, kind)
 
+    def rare(batch: pa.RecordBatch, row: np.ndarray, times: np.ndarray, token: pa.Array | None = None, gram: np.ndarray | None = None) -> pa.RecordBatch:
+        n = len(row)
+        return pa.RecordBatch.from_arrays([*(pa.nulls(n, batch.column(c).type) for c in names), pa.array(row), *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())), pa.nulls(n, pa.binary()) if token is None else token, pa.nulls(n, pa.int64()) if gram is None else pa.array(gram), pa.array(times)], [*names, *out.names[len(names) :]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, frequent, seen, logs = shared.value
+        costs, frequent, seen, logs = shared.value
         first = TaskContext.get().partitionId() << 40
         for batch in pieces(batches, most=2 << 20):
             texts = [utf8(t.as_py()).lower() for t in batch.column("text")]
@@ -298,17 +359,29 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
                 pair, times = np.unique(owner[~often] * len(kinds) + code[~often], return_counts=True)
                 for a in range(0, len(pair), HELD):
                     r, w = np.divmod(pair[a : a + HELD], len(kinds))
-                    yield pa.RecordBatch.from_arrays([*(pa.nulls(len(r), batch.column(c).type) for c in names), pa.array(first + r), *(pa.nulls(len(r), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())), kinds.take(pa.array(w)), pa.array(times[a : a + HELD])], [*names, *out.names[len(names) :]])
-            stats = (first + np.arange(n), total, known.astype(np.int64), base, trie.log10(texts))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *map(pa.array, stats), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], [*names, *out.names[len(names) :]])
+                    yield rare(batch, first + r, times[a : a + HELD], token=kinds.take(pa.array(w)))
+            total_log = np.zeros(n)
+            for sums, who, code, times in costs.read(texts):
+                total_log += sums
+                for a in range(0, len(who), HELD):
+                    yield rare(batch, first + who[a : a + HELD], times[a : a + HELD], gram=code[a : a + HELD])
+            stats = (first + np.arange(n), total, known.astype(np.int64), base, total_log)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *map(pa.array, stats), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], [*names, *out.names[len(names) :]])
             first += n
 
-    # a row for every document, and one for each of its words that is not frequent: a word of these has less than one in 2**WORDS rows
+    # a row for every document, and one for each of its words and grams that are not frequent: such a word has less than one in
+    # 2**WORDS rows of these, a gram less than one in 2**NODES
     rows = written(spread(docs).mapInArrow(run, out), "ppm-rows")
-    rare = rows.where(F.col("_token").isNotNull()).select("_row", F.col("_token").alias("token"), "_times").join(model.tokens.select("token", "learned"), "token")
-    sums = rare.groupBy("_row").agg(F.sum(F.when(F.col("learned") > 0, F.col("_times")).otherwise(0)).alias("_more_known"), F.sum(F.col("_times") * _base(F.col("learned"), model)).alias("_more_base"))
-    scored = rows.where(F.col("_token").isNull()).join(sums, "_row", "left")
-    return scored.select(*names, "n_tokens", (F.col("_known") + F.coalesce("_more_known", F.lit(0))).alias("n_known"), F.lit(model.n_tokens).cast("long").alias("train_tokens"), (F.col("_base") + F.coalesce("_more_base", F.lit(0.0))).alias("base_score"), "score")
+    words = rows.where(F.col("_token").isNotNull()).select("_row", F.col("_token").alias("token"), "_times").join(model.tokens.select("token", "learned"), "token")
+    words = words.select("_row", F.when(F.col("learned") > 0, F.col("_times")).otherwise(0).alias("_more_known"), (F.col("_times") * _base(F.col("learned"), model)).alias("_more_base"), F.lit(0.0).alias("_more_score"))
+    grams_of = rows.where(F.col("_gram").isNotNull()).select("_row", F.col("_gram").alias("gram"), "_times")
+    both = model.grams.select("gram", "learned", F.lit(False).alias("asked")).unionByName(grams_of.select("gram", F.lit(0).cast("long").alias("learned"), F.lit(True).alias("asked")).distinct())
+    costs = _costs(written(both.groupBy("gram").agg(F.max("learned").alias("learned"), F.max("asked").alias("asked")), "ppm-asked"), model.short)
+    grams_of = grams_of.join(costs, "gram").select("_row", F.lit(0).cast("long").alias("_more_known"), F.lit(0.0).alias("_more_base"), (F.col("_times") * F.col("log")).alias("_more_score"))
+    more = ("_more_known", "_more_base", "_more_score")
+    sums = words.unionByName(grams_of).groupBy("_row").agg(*[F.sum(c).alias(c) for c in more])
+    scored = rows.where(F.col("n_tokens").isNotNull()).join(sums, "_row", "left")
+    return scored.select(*names, "n_tokens", (F.col("_known") + F.coalesce("_more_known", F.lit(0))).alias("n_known"), F.lit(model.n_tokens).cast("long").alias("train_tokens"), (F.col("_base") + F.coalesce("_more_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("_more_score", F.lit(0.0))).alias("score"))
 
 
 def op12_lm_scoring(spark, sf_dir: str) -> DataFrame:

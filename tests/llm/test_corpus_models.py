@@ -175,6 +175,22 @@ def test_lm_scores(spark, monkeypatch, words):
         assert r["score"] == pytest.approx(sum(math.log10(brute.p(s[:i], s[i])) for i in range(ppm.ORDER, len(s))))
 
 
+@pytest.mark.parametrize("nodes", [0, 6])
+def test_lm_keeps_rare_grams(spark, monkeypatch, nodes):
+    """Grams below the share that is sent to every task count in full, also where only the scored texts have them."""
+    monkeypatch.setattr(ppm, "NODES", nodes)
+    monkeypatch.setattr(ppm, "HELD", 16)
+    rng = random.Random(8)
+    docs = [(i, "".join(rng.choice("aabc é") for _ in range(rng.randrange(0, 60)))) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    other = spark.createDataFrame([*docs, (60, "zzz never met abc"), (61, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in ppm.score(other, ppm.fit(df, F.col("doc_id") < 50)).collect()}
+    brute = Partial([t.encode() for i, t in docs if i < 50])
+    for i, t in [*docs, (60, "zzz never met abc"), (61, "")]:
+        s = [ppm.START] * ppm.ORDER + list(t.encode()) + [ppm.END]
+        assert got[i] == pytest.approx(sum(math.log10(brute.p(s[:j], s[j])) for j in range(ppm.ORDER, len(s))))
+
+
 def test_lm_held_out(spark):
     """Held-out texts take under 3 bits a byte, texts of shuffled bytes far more, and both scores agree on which are odd."""
     out = ppm.op12_lm_scoring(spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", F.octet_length("text").alias("b")), "doc_id").collect()
