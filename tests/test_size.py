@@ -123,3 +123,12 @@ def test_files_are_masked_once(monkeypatch):
     assert len(seen) == 4  # before: once for the text and once more for the authors
     assert read["authors"].tolist() == [["A. Uthor"], ["C"], [], ["D"]]
     assert read["clean"].tolist() == [texts[0], "\n\\author{C}", None, r"\author{D}"]
+
+
+def test_works_without_doi_are_not_joined_by_it(spark, monkeypatch):
+    plans, keep = {}, corpus.written
+    monkeypatch.setattr(corpus, "written", lambda df, what: (plans.setdefault(what, plan(df)), keep(df, what))[1])
+    rows = [(i, None if i % 3 else f"10.1000/{i % 2}", f"title {i}", ["a"], 2020) for i in range(12)]
+    found = corpus.deduplicate(spark.createDataFrame(rows, "pos long, doi string, title string, authors array<string>, year int"))
+    assert {r["pos"]: (r["fate"], r["of"]) for r in found.collect()} == {i: ("duplicate_doi", i % 2 * 3) if i in (6, 9) else ("kept", None) for i in range(12)}
+    assert "LeftOuter" not in plans["dedup-works"]  # before: all works without a DOI met in one task
