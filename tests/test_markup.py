@@ -1,6 +1,11 @@
 """Documents are turned into rows a piece of the file at a time: texts across its seams stay one, and rows come before the end is read."""
 
+import io
+import zipfile
+
+from attesta.plans import registry
 from attesta.sources import markup
+from tests.test_oracles import DATA
 
 
 def test_a_long_text_of_a_cell_stays_whole(spark):
@@ -22,3 +27,24 @@ def test_rows_come_in_pieces_and_a_bad_end_gives_none():
         raise AssertionError("a document without its end was read")
     except ValueError as e:
         assert "malformed" in str(e)
+
+
+def packed(**members) -> bytearray:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, body in members.items():
+            z.writestr(name, body)
+    return bytearray(out.getvalue())
+
+
+def test_a_file_of_any_size_is_read_and_a_failure_says_so(spark):
+    """A trusted file over the bytes that others may have; a file over them and one with broken bytes fail by status."""
+    large = packed(**{"word/document.xml": "<w:document xmlns:w='u'><w:body><w:p><w:t>a</w:t></w:p>" + " " * (49 << 20) + "<w:p><w:t>b</w:t></w:p></w:body></w:document>"})
+    broken = packed(**{"word/document.xml": "<w:document xmlns:w='u'><w:p><w:t>" + "".join(map(str, range(9_999))) + "</w:t></w:p></w:document>"})
+    broken[2_000:2_100] = bytes(100)
+    files = spark.createDataFrame([("large", large), ("broken", broken)], "document_id string, content binary")
+    got = lambda df: sorted((r["document_id"], r["locator"], r["text"], r["status"]) for r in df.collect())
+    failed = ("broken", None, None, "failed")
+    assert got(markup.word_segments(files)) == [failed, ("large", None, None, "failed")]
+    assert got(markup.word_segments(files, most_expanded=None)) == [failed, ("large", "docx:paragraph=1", "a", "ok"), ("large", "docx:paragraph=2", "b", "ok")]
+    assert "status" in registry.queries()["word_segments"](spark, DATA).columns  # before: a failed file was a row like any other
