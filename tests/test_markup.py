@@ -48,3 +48,19 @@ def test_a_file_of_any_size_is_read_and_a_failure_says_so(spark):
     assert got(markup.word_segments(files)) == [failed, ("large", None, None, "failed")]
     assert got(markup.word_segments(files, most_expanded=None)) == [failed, ("large", "docx:paragraph=1", "a", "ok"), ("large", "docx:paragraph=2", "b", "ok")]
     assert "status" in registry.queries()["word_segments"](spark, DATA).columns  # before: a failed file was a row like any other
+
+
+def test_a_workbook_that_leads_nowhere_fails(spark):
+    row = '<row r="1"><c r="A1" t="s"><v>0</v></c></row>'
+    parts = {"xl/workbook.xml": '<workbook xmlns:r="u"><sheets><sheet name="M" r:id="i"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="i" Target="s.xml"/></Relationships>', "xl/sharedStrings.xml": "<sst><si><t>N</t></si></sst>", "xl/s.xml": f"<worksheet><sheetData>{row}</sheetData></worksheet>"}
+    made = {
+        "ok": parts, "string": parts | {"xl/s.xml": parts["xl/s.xml"].replace("</sheetData>", row.replace("1", "2").replace("0", "7") + "</sheetData>")}, "part": {k: v for k, v in parts.items() if k != "xl/s.xml"}, "book": {k: v for k, v in parts.items() if k != "xl/workbook.xml"},
+        "row": parts | {"xl/s.xml": parts["xl/s.xml"].replace(' r="1"', "")}, "large": parts | {"xl/s.xml": parts["xl/s.xml"].replace("</sheetData>", " " * (49 << 20) + "</sheetData>")},
+    }
+    files = spark.createDataFrame([(k, packed(**v)) for k, v in made.items()], "document_id string, content binary")
+    got = lambda df: {r["document_id"]: (r["text"], r["status"], r["error"]) for r in df.collect()}
+    good = ("A1=N", "ok", None)
+    want = {"ok": good, "string": (None, "failed", "a shared string that is not there"), "part": (None, "failed", "a sheet without its part"), "book": (None, "failed", "no workbook"), "row": (None, "failed", "a row without its number")}
+    assert got(markup.workbook_segments(files)) == want | {"large": (None, "failed", "archive over its limits")}
+    assert got(markup.workbook_segments(files, most_expanded=None)) == want | {"large": good}
+    assert "status" in registry.queries()["workbook_segments"](spark, DATA).columns
