@@ -3,12 +3,15 @@
 import random
 from collections import Counter
 
+import duckdb
 import pandas as pd
 from pyspark.sql import functions as F
 
 from attesta.functions import tex
 from attesta.functions import text as T
 from attesta.operators import corpus, forum, state, validate
+from attesta.plans import registry
+from tests.oracle import rows_of, rows_of_sql
 
 
 def plan(df) -> str:
@@ -132,3 +135,18 @@ def test_works_without_doi_are_not_joined_by_it(spark, monkeypatch):
     found = corpus.deduplicate(spark.createDataFrame(rows, "pos long, doi string, title string, authors array<string>, year int"))
     assert {r["pos"]: (r["fate"], r["of"]) for r in found.collect()} == {i: ("duplicate_doi", i % 2 * 3) if i in (6, 9) else ("kept", None) for i in range(12)}
     assert "LeftOuter" not in plans["dedup-works"]  # before: all works without a DOI met in one task
+
+
+def test_panels_are_turned_in_their_own_row(spark, tmp_path):
+    """Keys that repeat, are negative or null, and prices that are null, as SQL has them; panels without a tie."""
+    rng = random.Random(4)
+    keys = [k for k in range(300) if k % 7] + [600, 600, 600, 601, 603, 604, 604, 605, -1, -2, -5, -7, -6, -8, 1, None, None] + [900] * 50 + [901]
+    rows = [(k, None if k in (33, 39) else rng.uniform(900, 500_000)) for k in keys]
+    path = f"{tmp_path}/orders.parquet"
+    spark.createDataFrame(rows, "o_orderkey long, o_totalprice double").write.parquet(path)
+    found = registry.queries()["derangement"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{path}/*.parquet'")
+    cols, want = rows_of_sql(con, registry.oracles()["derangement"])
+    assert sorted(found.columns) == cols and rows_of(found) == want and len(want) > 60
+    assert "Join" not in plan(found) and "Python" not in plan(found) and plan(found).count("Exchange hashpartitioning") == 1  # before: two joins and a call of Python a panel
