@@ -141,3 +141,13 @@ def test_similar_titles_pairs_with_too_few_words_left_are_not_dealt(spark):
 
     plan = corpus.similar_titles(spark.createDataFrame([(1, "a b c")], "id long, title string"))._jdf.queryExecution().optimizedPlan().toString()
     assert "least(ra" in plan
+
+
+def test_schema_casts_only_what_is_asked_for(spark):
+    """Strings are not cast to numbers, nor the other way round: before, every value was cast to both."""
+    plan = lambda one: spark.range(1).select(schema.findings(F.col("id").cast("string"), one).alias("f"))._jdf.queryExecution().analyzed().toString()
+    assert "variant_get" not in plan({"type": "string"}) and plan({"minimum": 1}).count("variant_get") == 1
+    one = {"type": ["integer", "string", "boolean", "null", "array"], "minimum": 2, "maxLength": 1, "maxItems": 1}
+    texts = ['"5"', '"55"', "1", "-3", "2.5", "true", "null", "[1]", "[1,2]", "{}"]
+    found = [[r["rule"] for r in x["f"]] for x in spark.createDataFrame([(t,) for t in texts], "d string").select(schema.findings(F.col("d"), one).alias("f")).collect()]
+    assert found == [[], ["maxLength"], ["minimum"], ["minimum"], ["type"], [], [], [], ["maxItems"], ["type"]]
